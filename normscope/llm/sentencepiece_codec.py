@@ -33,6 +33,8 @@ SPACE = "▁"
 #: Types of pieces in a model file (fixed values of the format).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0xD6E8FEB86659FD93)  # odd, so no two hashes meet; spreads them over the leading bits
+_SLOT_SHIFT = np.uint64(64 - 19)
 _FAR = np.int64(1 << 60)
 _UNKNOWN_CHARACTER = -2
 
@@ -132,12 +134,20 @@ class Codec:
             for i in range(1, len(self.power)):
                 self.power[i] = self.power[i - 1] * _BASE
         hashes = self._hash_all(text)
-        order = np.argsort(hashes)
-        self.keys, self.key_piece = hashes[order], normal[order]
-        if (self.keys[1:] == self.keys[:-1]).any():
+        with np.errstate(over="ignore"):
+            mixed = hashes * _MIX
+        order = np.argsort(mixed)
+        keys = mixed[order]
+        if (keys[1:] == keys[:-1]).any():
             raise ValueError("two pieces share a hash")
+        # Where in the sorted keys those of each leading bit pattern begin, and how many there are.
+        slots = 1 << (64 - int(_SLOT_SHIFT))
+        self.slot_size = np.bincount((keys >> _SLOT_SHIFT).astype(np.int64), minlength=slots).astype(np.int8)
+        self.slot_at = (np.cumsum(self.slot_size, dtype=np.int64) - self.slot_size).astype(np.int32)
+        self.keys = np.concatenate([keys, np.zeros(int(self.slot_size.max()), dtype=np.uint64)])
+        self.key_piece = normal[order].astype(np.int32)
         n = len(model.pieces)
-        self.piece_hash, self.piece_len = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.int64)
+        self.piece_hash, self.piece_len = np.zeros(n, dtype=np.uint64), np.zeros(n + 1, dtype=np.int64)
         self.piece_hash[normal], self.piece_len[normal] = hashes, [len(t) for t in text]
         if model.kind == 2:
             self._learn_merges(normal)
@@ -163,10 +173,19 @@ class Codec:
 
     def _probe(self, hashes: np.ndarray, lengths) -> np.ndarray:
         """Piece ids of the substrings with these hashes and lengths, -1 for none."""
-        at = np.searchsorted(self.keys, hashes)
-        at[at == len(self.keys)] = 0
-        piece = self.key_piece[at]
-        return np.where((self.keys[at] == hashes) & (self.piece_len[piece] == lengths), piece, -1)
+        with np.errstate(over="ignore"):
+            hashes = hashes * _MIX
+        slot = (hashes >> _SLOT_SHIFT).astype(np.int32)
+        out = np.full(len(hashes), -1, dtype=np.int32)
+        live = np.flatnonzero(self.slot_size[slot])  # most substrings end here
+        wanted, at = hashes[live], self.slot_at[slot[live]]
+        hit = np.full(len(live), -1, dtype=np.int64)
+        for step in range(int(self.slot_size.max())):
+            hit = np.where(self.keys[at + step] == wanted, at + step, hit)
+        piece = np.where(hit >= 0, self.key_piece[hit], -1)
+        size = lengths if np.isscalar(lengths) else lengths[live]
+        out[live] = np.where(self.piece_len[piece] == size, piece, -1)
+        return out
 
     # -- BPE ---------------------------------------------------------------
 
