@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +53,7 @@ def byte_slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> It
     values = batch.column(column)
     if len(values) == 0:
         return
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(values), 0), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(values), 0), dtype=np.int64)
     part = np.cumsum(sizes) // most
     cuts = np.flatnonzero(np.diff(part)) + 1
     for a, b in zip([0, *cuts], [*cuts, len(values)], strict=True):

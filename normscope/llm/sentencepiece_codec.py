@@ -25,7 +25,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .common import byte_slices, expand
 
@@ -421,7 +423,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", ids:
     like ``ids`` is replaced.  No shuffle.
     """
     kept = [c for c in docs.columns if c != ids]
-    schema = docs.select(*kept).schema.add(ids, "array<int>")
+    schema = docs.select(*kept).schema.add(ids, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load_codec(model_path)
@@ -444,8 +446,8 @@ def decode_documents(encoded: DataFrame, model_path: str, ids: str = "ids", text
         codec = load_codec(model_path)
         for batch in batches:
             column = batch.column(ids)
-            counts = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0), dtype=np.int64)
-            flat = np.asarray(pa.compute.list_flatten(column), dtype=np.int64)
+            counts = np.asarray(pc.fill_null(pc.list_value_length(column), 0), dtype=np.int64)
+            flat = np.asarray(pc.list_flatten(column), dtype=np.int64)
             texts = [t.decode("utf-8", "replace") for t in codec.decode(flat, counts)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, text])
 

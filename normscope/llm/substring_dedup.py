@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,8 +118,8 @@ def _pack(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
     for batch in batches:
         for part in byte_slices(batch, "text"):
             doc, out = [], []
-            flat = pa.compute.list_flatten(part.column("cuts"))
-            sizes = np.asarray(pa.compute.list_value_length(part.column("cuts")), dtype=np.int64)
+            flat = pc.list_flatten(part.column("cuts"))
+            sizes = np.asarray(pc.list_value_length(part.column("cuts")), dtype=np.int64)
             first = np.asarray(flat.field("first"))
             last = (first + np.asarray(flat.field("windows")) + (window - 1)).tolist()
             at = 0
