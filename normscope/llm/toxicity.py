@@ -89,24 +89,26 @@ def damped(counts: np.ndarray) -> np.ndarray:
     return 1.0 + np.log(np.minimum(counts, 3))
 
 
-def document_bags(texts: list[str | None], s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean subword bags: table rows and weights of all texts in a row, and each text's number of rows."""
+def document_bags(texts: list[str | None], s: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Mean subword bag of each text: table rows and their weights.  Words are hashed a part at a time, to bound memory."""
     numbers: dict[bytes, int] = {}
     docs = []
     for t in texts:
         ids, n = np.unique([numbers.setdefault(w, len(numbers)) for w in plain_words(t)], return_counts=True)
         worth = damped(n)
-        docs.append((ids.astype(np.int64), worth / (worth.sum() + s.padding)))
-    rows, sizes = subword_rows(list(numbers), s)
+        docs.append((ids.astype(np.int32), (worth / (worth.sum() + s.padding)).astype(np.float32)))
+    words = list(numbers)
+    parts = [subword_rows(words[a : a + 20_000], s) for a in range(0, len(words), 20_000)]
+    kind = np.uint16 if s.buckets <= 1 << 16 else np.int32
+    rows = np.concatenate([p[0].astype(kind) for p in parts]) if parts else np.zeros(0, dtype=kind)
+    sizes = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, dtype=np.int64)
     at = np.cumsum(sizes) - sizes
-    out_rows, out_worth, counts = [], [], []
+    out = []
     for ids, share in docs:
         n = sizes[ids]
         found, inverse = np.unique(rows[expand(at[ids], n)], return_inverse=True)
-        out_rows.append(found.astype(np.int32))
-        out_worth.append(np.bincount(inverse, weights=np.repeat(share / np.maximum(n, 1), n), minlength=len(found)).astype(np.float32))
-        counts.append(len(found))
-    return np.concatenate(out_rows), np.concatenate(out_worth), np.array(counts)
+        out.append((found, np.bincount(inverse, weights=np.repeat(share / np.maximum(n, 1), n), minlength=len(found)).astype(np.float32)))
+    return out
 
 
 @dataclass
@@ -130,20 +132,17 @@ def train(texts: list[str | None], labels: np.ndarray, prior: float, settings: S
     out = rng.uniform(-1.0, 1.0, (s.dims, 2)).astype(np.float32)
     bias = np.zeros(2, dtype=np.float32)
     seen = np.zeros(s.buckets)
-    if len(texts):
-        rows, worth, counts = document_bags(texts, s)
-        begin = np.cumsum(counts) - counts
-        order = np.flatnonzero(counts)
-    else:
-        order = np.zeros(0, dtype=np.int64)
+    bags = document_bags(texts, s)
+    counts = np.array([len(b[0]) for b in bags], dtype=np.int64)
+    order = np.flatnonzero(counts)
     target = np.eye(2, dtype=np.float32)[labels.astype(int)]
     for epoch in range(s.epochs):
         rng.shuffle(order)
         fade = 1.0 - epoch / s.epochs
         for a in range(0, len(order), s.batch):
             part = order[a : a + s.batch]
-            at = expand(begin[part], counts[part])
-            row, value = rows[at], worth[at]
+            row = np.concatenate([bags[i][0] for i in part]).astype(np.int64)
+            value = np.concatenate([bags[i][1] for i in part])
             owner = np.repeat(np.arange(len(part)), counts[part])
             cut = np.cumsum(counts[part]) - counts[part]
             mean = np.add.reduceat(table[row] * value[:, None], cut, axis=0)

@@ -180,16 +180,18 @@ class WordEncoder:
 
     ODD_TEXT = re.compile("[\x1c-\x1f]")
 
-    def __init__(self, path: str, cache_words: int = 500_000):
+    def __init__(self, path: str, cache_words: int = 700_000, cache_pieces: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache_words = cache_words
+        self.cache_words, self.cache_pieces = cache_words, cache_pieces
+        self.pieces: dict[str, tuple[int, ...]] = {}
         self._forget()
 
     def _forget(self) -> None:
         self.words: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
+        if len(self.pieces) > self.cache_pieces:
+            self.pieces = {}
         self.flat = np.zeros(1 << 16, dtype=np.int32)
         self.filled = 0
         self.starts: list[np.ndarray] = []
@@ -212,7 +214,7 @@ class WordEncoder:
             for (piece, _), k in zip(cut, owner, strict=True):
                 ids = pieces.get(piece)
                 if ids is None:
-                    ids = pieces[piece] = [t.id for t in model.tokenize(piece)]
+                    ids = pieces[piece] = tuple(t.id for t in model.tokenize(piece))
                 found[plain[k]].extend(ids)
         rows = [found[w] if w in found else self.whole(w) for w in words]
         lengths = np.array([len(r) for r in rows], dtype=np.int64)
