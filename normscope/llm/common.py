@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -60,6 +62,18 @@ def byte_slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> It
         yield batch.slice(a, b - a)
 
 
+@contextlib.contextmanager
+def no_cycle_search() -> Iterator[None]:
+    """Python's search for reference cycles walks all large containers again and again; a part's work makes none."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start+1, .. start+length-1 of every pair, one after the other."""
     total = int(lengths.sum())
@@ -98,6 +112,19 @@ def key_runs(batches: Iterator[pa.RecordBatch], keys: list[str], least_rows: int
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+class Numbered(dict):
+    """Numbers words in order of first sight; ``new`` lists those since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
 class Forest:
     """Union by smallest root over positions 0..n-1, for the rows of one part."""
 

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import byte_slices, expand
+from .common import Numbered, byte_slices, expand, no_cycle_search
 
 SPACE = "▁"
 #: Types of pieces in a model file (fixed values of the format).
@@ -341,7 +341,7 @@ class Codec:
     # -- texts -------------------------------------------------------------
 
     def _forget(self) -> None:
-        self.vocab = _Numbered()
+        self.vocab = Numbered()
         self.flat = np.zeros(1 << 16, dtype=np.int32)
         self.start, self.length = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int32)
         self.filled = 0
@@ -354,6 +354,7 @@ class Codec:
             self.start = np.concatenate([self.start, np.zeros(more, dtype=self.start.dtype)])
             self.length = np.concatenate([self.length, np.zeros(more, dtype=self.length.dtype)])
 
+    @no_cycle_search()
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and each text's number of ids; null and empty texts have none."""
         if len(self.vocab) > self.cache_words:
@@ -392,19 +393,6 @@ class Codec:
         return out
 
 
-class _Numbered(dict):
-    """Numbers words in order of first sight; ``new`` lists those since it was last emptied."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = number = len(self)
-        self.new.append(word)
-        return number
-
-
 _LOADED: dict[str, Codec] = {}
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, expand
+from .common import byte_slices, expand, no_cycle_search
 
 #: A-Z become a-z; ASCII punctuation parts words.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if 32 < c < 127 and not chr(c).isalnum() else c for c in range(256))
@@ -89,6 +89,7 @@ def damped(counts: np.ndarray) -> np.ndarray:
     return 1.0 + np.log(np.minimum(counts, 3))
 
 
+@no_cycle_search()
 def document_bags(texts: list[str | None], s: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
     """Mean subword bag of each text: table rows and their weights.  Words are hashed a part at a time, to bound memory."""
     numbers: dict[bytes, int] = {}
@@ -192,6 +193,7 @@ class Scorer:
         self.model, self.cache_words = model, cache_words
         self.known: dict[bytes, float] = {}
 
+    @no_cycle_search()
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         if len(self.known) > self.cache_words:
             self.known = {}

@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, expand, scratch_path, shuffle_partitions
+from .common import Numbered, byte_slices, expand, no_cycle_search, scratch_path, shuffle_partitions
 
 MAGIC = b"NSWAVE01"
 BLOCK = 512
@@ -51,7 +52,7 @@ class WaveletMatrix:
         zeros, planes, ranks = np.zeros(bits, dtype=np.uint64), [], []
         pad = -len(rest) % BLOCK
         for level in range(bits):
-            bit = (rest & kind(1 << (bits - 1 - level))) != 0
+            bit = (rest & kind(1 << (bits - 1 - level))).astype(bool)
             packed = np.packbits(bit)
             packed = np.concatenate([packed, np.zeros((len(rest) + pad) // 8 - len(packed), dtype=np.uint8)])
             ones = np.bitwise_count(packed.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.int64)
@@ -189,50 +190,67 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.words: dict[str, int] = {}
+        self.words = Numbered()
         if len(self.pieces) > self.cache_pieces:
             self.pieces = {}
         self.flat = np.zeros(1 << 16, dtype=np.int32)
         self.filled = 0
-        self.starts: list[np.ndarray] = []
-        self.lengths: list[np.ndarray] = []
+        self.start, self.length = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if "<|" not in w]
-        tk = self.tokenizer
-        normal = tk.normalizer.normalize_str(" ".join(plain)) if tk.normalizer else " ".join(plain)
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some words in a row, and each word's number of ids."""
+        tk, pieces = self.tokenizer, self.pieces
+        joined = " ".join(words)
+        normal = tk.normalizer.normalize_str(joined) if tk.normalizer else joined
         gaps = np.flatnonzero(np.frombuffer(normal.encode("utf-32-le"), dtype=np.uint32) == 32)
-        found: dict[str, list[int]] = {}
-        if len(gaps) == len(plain) - 1:
-            cut = tk.pre_tokenizer.pre_tokenize_str(normal)
-            owner = np.searchsorted(gaps, [o[0] for _, o in cut]).tolist()
-            pieces, model = self.pieces, tk.model
-            found = {w: [] for w in plain}
-            for (piece, _), k in zip(cut, owner, strict=True):
+        if len(gaps) != len(words) - 1:  # normalising made or took white space
+            rows = [self.whole(w) for w in words]
+            return np.array([i for r in rows for i in r], dtype=np.int32), np.array([len(r) for r in rows], dtype=np.int64)
+        cut = tk.pre_tokenizer.pre_tokenize_str(normal)
+        owner = np.searchsorted(gaps, [o[0] for _, o in cut])
+        found = [pieces.get(p) for p, _ in cut]
+        for k, ids in enumerate(found):
+            if ids is None:
+                piece = cut[k][0]
                 ids = pieces.get(piece)
                 if ids is None:
-                    ids = pieces[piece] = tuple(t.id for t in model.tokenize(piece))
-                found[plain[k]].extend(ids)
-        rows = [found[w] if w in found else self.whole(w) for w in words]
-        lengths = np.array([len(r) for r in rows], dtype=np.int64)
-        total = int(lengths.sum())
-        if self.filled + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(total, len(self.flat)), dtype=np.int32)])
-        self.flat[self.filled : self.filled + total] = [i for r in rows for i in r]
-        self.starts.append(self.filled + np.cumsum(lengths) - lengths)
-        self.lengths.append(lengths)
-        self.filled += total
+                    ids = pieces[piece] = tuple(t.id for t in tk.model.tokenize(piece))
+                found[k] = ids
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        flat = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(size.sum()))
+        return flat, np.bincount(owner, weights=size, minlength=len(words)).astype(np.int64)
 
+    def _learn(self, words: list[str]) -> None:
+        marked = [w for w in words if "<|" in w]
+        order = [w for w in words if "<|" not in w] + marked if marked else words
+        flat, lengths = self._ids_of(order[: len(order) - len(marked)]) if len(order) > len(marked) else (np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64))
+        if marked:
+            rows = [self.whole(w) for w in marked]
+            flat = np.concatenate([flat, np.array([i for r in rows for i in r], dtype=np.int32)])
+            lengths = np.concatenate([lengths, np.array([len(r) for r in rows], dtype=np.int64)])
+        if self.filled + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(flat), len(self.flat)), dtype=np.int32)])
+        self.flat[self.filled : self.filled + len(flat)] = flat
+        number = np.array([self.words[w] for w in order], dtype=np.int64) if marked else np.arange(len(self.start), len(self.words))
+        base = len(self.start)
+        self.start = np.concatenate([self.start, np.zeros(len(words), dtype=np.int64)])
+        self.length = np.concatenate([self.length, np.zeros(len(words), dtype=np.int64)])
+        self.start[number], self.length[number] = self.filled + np.cumsum(lengths) - lengths, lengths
+        self.filled += len(flat)
+        assert len(self.start) == base + len(words) == len(self.words)
+
+    @no_cycle_search()
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and each text's number of ids."""
         if len(self.words) > self.cache_words:
             self._forget()
         counts = np.zeros(len(texts), dtype=np.int64)
-        chunks: list[str] = []
+        index: list[int] = []
         odd: dict[int, list[int]] = {}
+        number = self.words.__getitem__
         for i, text in enumerate(texts):
             if text:
                 if self.ODD_TEXT.search(text):
@@ -240,18 +258,13 @@ class WordEncoder:
                     continue
                 found = text.split()
                 counts[i] = len(found)
-                chunks.extend(found)
-        table = self.words
-        known = list(map(table.get, chunks))
-        new = list(dict.fromkeys(w for w, k in zip(chunks, known, strict=True) if k is None))
-        if new:
-            table.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
+                index.extend(map(number, found))
+        if self.words.new:
+            new, self.words.new = self.words.new, []
             self._learn(new)
-            known = [table[w] if k is None else k for w, k in zip(chunks, known, strict=True)]
-            self.starts, self.lengths = [np.concatenate(self.starts)], [np.concatenate(self.lengths)]
-        at = np.array(known, dtype=np.int64)
-        lengths = self.lengths[0][at] if len(at) else np.zeros(0, dtype=np.int64)
-        ids = self.flat[expand(self.starts[0][at], lengths)] if len(at) else np.zeros(0, dtype=np.int32)
+        at = np.array(index, dtype=np.int64)
+        lengths = self.length[at]
+        ids = self.flat[expand(self.start[at], lengths)]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         sizes = np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
         if odd:
@@ -301,7 +314,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id:
             return row
 
         for batch in batches:
-            for part in byte_slices(batch, text, 2_000_000):
+            for part in byte_slices(batch, text):
                 flat, sizes = encoder.encode(part.column(text).to_pylist())
                 ends = np.cumsum(sizes)
                 ids += part.column(key).to_pylist()
