@@ -71,7 +71,7 @@ def _by_blocks(queries: DataFrame, bank: DataFrame, vector: str, distance: str,
     numbered = queries.withColumn("_row", F.monotonically_increasing_id())
     many = 64  # parts of the queries, so that a block's comparisons are shared out
     asks = numbered.select("_row", F.col(vector).cast("array<double>").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("_row"), F.lit(many)).alias("part")).where("q is not null")
-    held = bank.select("b", F.pmod(F.xxhash64("b"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(many - 1))).cast("long").alias("part"))
+    held = bank.select("b", F.pmod(F.xxhash64("b"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long"))).alias("part"))
 
     def meet(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
