@@ -133,21 +133,26 @@ def build_index(vectors: DataFrame, quantizer: Quantizer, key: str, vector: str)
     return vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vec")).mapInArrow(run, f"id long, vec {kind}, cell int, code binary")
 
 
-def _visit(queries: DataFrame, quantizer: Quantizer, probe: int) -> DataFrame:
-    """A row for each query and cell that it visits."""
-    handle = queries.sparkSession.sparkContext.broadcast(quantizer.centroids)
+def _visit(queries: DataFrame, quantizer: Quantizer, sizes: np.ndarray, probe: int, wanted: int) -> DataFrame:
+    """A row for each query and cell that it visits: the ``probe`` nearest, and more where those hold too few rows.
+
+    ``sizes``: rows of each cell.  The cells visited hold ``wanted`` rows, or all there are.
+    """
+    handle = queries.sparkSession.sparkContext.broadcast((quantizer.centroids, sizes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centroids = handle.value
+        centroids, rows = handle.value
         half = (centroids**2).sum(axis=1) / 2
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 x = vectors_of(batch.column("vec"))
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                near = np.argsort(half - x @ centroids.T, axis=1, kind="stable")[:, :probe]
-                row = np.repeat(np.arange(len(x)), near.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), batch.column("vec").take(pa.array(row)), pa.array(near.ravel().astype(np.int32))], names=["id", "vec", "cell"])
+                order = np.argsort(half - x @ centroids.T, axis=1, kind="stable")
+                before = np.cumsum(rows[order], axis=1) - rows[order]
+                row, rank = np.nonzero((np.arange(len(rows)) < probe) | (before < wanted))
+                near = order[row, rank]
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), batch.column("vec").take(pa.array(row)), pa.array(near.astype(np.int32))], names=["id", "vec", "cell"])
 
     return queries.select("id", "vec").mapInArrow(run, f"id long, vec {dict(queries.dtypes)['vec']}, cell int")
 
@@ -217,7 +222,11 @@ def search(vectors: DataFrame, queries: Column, nearest: int = 5, key: str = "ve
     cells = len(quantizer.centroids)
     index = materialise(build_index(usable, quantizer, key, vector), "ivfpq")
     asked = usable.where(queries).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vec")).dropDuplicates(["id"])
-    visits = materialise(_visit(asked, quantizer, max(1, int(np.ceil(cells * s.probe)))), "visits")
+    held = np.zeros(cells, dtype=np.int64)
+    for r in index.groupBy("cell").count().collect():  # at most ``most_cells`` rows
+        held[r["cell"]] = r["count"]
+    # One more than asked for: the query's own row is among them.
+    visits = materialise(_visit(asked, quantizer, held, max(1, int(np.ceil(cells * s.probe))), nearest + 1), "visits")
     # Rows and visitors of each cell: as many numbers as there are cells.
     deal = index.groupBy("cell").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks")).join(visits.groupBy("cell").agg(F.ceil(F.count("*") / s.visitors).cast("int").alias("groups")), "cell")
     deal = F.broadcast(deal)  # at most ``most_cells`` rows
