@@ -186,17 +186,23 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache_words, self.cache_pieces = cache_words, cache_pieces
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pieces = Numbered()
+        self._forget_pieces()
         self._forget()
 
     def _forget(self) -> None:
         self.words = Numbered()
         if len(self.pieces) > self.cache_pieces:
-            self.pieces = {}
+            self._forget_pieces()
         self.flat = np.zeros(1 << 16, dtype=np.int32)
         self.filled = 0
         self.start, self.length = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
+    def _forget_pieces(self) -> None:
+        self.pieces = Numbered()
+        self.piece_ids = np.zeros(0, dtype=np.int32)
+        self.piece_size = np.zeros(0, dtype=np.int64)
+
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -210,17 +216,17 @@ class WordEncoder:
             rows = [self.whole(w) for w in words]
             return np.array([i for r in rows for i in r], dtype=np.int32), np.array([len(r) for r in rows], dtype=np.int64)
         cut = tk.pre_tokenizer.pre_tokenize_str(normal)
-        owner = np.searchsorted(gaps, [o[0] for _, o in cut])
-        found = [pieces.get(p) for p, _ in cut]
-        for k, ids in enumerate(found):
-            if ids is None:
-                piece = cut[k][0]
-                ids = pieces.get(piece)
-                if ids is None:
-                    ids = pieces[piece] = tuple(t.id for t in tk.model.tokenize(piece))
-                found[k] = ids
-        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        flat = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(size.sum()))
+        owner = np.searchsorted(gaps, np.fromiter([o[0] for _, o in cut], dtype=np.int64, count=len(cut)))
+        number = np.fromiter(map(pieces.__getitem__, [p for p, _ in cut]), dtype=np.int64, count=len(cut))
+        if pieces.new:
+            tokenize = tk.model.tokenize
+            rows = [[t.id for t in tokenize(p)] for p in pieces.new]
+            pieces.new = []
+            size = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+            self.piece_ids = np.concatenate([self.piece_ids, np.fromiter(chain.from_iterable(rows), dtype=np.int32, count=int(size.sum()))])
+            self.piece_size = np.concatenate([self.piece_size, size])
+        size = self.piece_size[number]
+        flat = self.piece_ids[expand((np.cumsum(self.piece_size) - self.piece_size)[number], size)]
         return flat, np.bincount(owner, weights=size, minlength=len(words)).astype(np.int64)
 
     def _learn(self, words: list[str]) -> None:
