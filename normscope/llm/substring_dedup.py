@@ -108,28 +108,39 @@ def _find(batches: Iterator[pa.RecordBatch], key: str, text: str, window: int, g
             texts = part.column(text).cast(pa.binary()).fill_null(b"").to_pylist()
             words, counts = word_hashes(texts)
             owner, minimiser, first, size = super_kmers(words, counts, window, gram)
-            ids = part.column(key).take(pa.array(owner))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(minimiser), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32))], names=[key, "minimiser", "first", "windows"])
+            # A document's super-k-mers of one minimiser are one row, so a line repeated within a document is no crowd.
+            order = np.lexsort((minimiser, owner))
+            owner, minimiser = owner[order], minimiser[order]
+            begin = np.flatnonzero(np.concatenate([[len(owner) > 0], (owner[1:] != owner[:-1]) | (minimiser[1:] != minimiser[:-1])])[: len(owner)])
+            bounds = pa.array(np.append(begin, len(owner)).astype(np.int32))
+            cuts = pa.StructArray.from_arrays([pa.array(first[order].astype(np.int32)), pa.array(size[order].astype(np.int32))], names=["first", "windows"])
+            ids = part.column(key).take(pa.array(owner[begin]))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(minimiser[begin]), pa.ListArray.from_arrays(bounds, cuts)], names=[key, "minimiser", "cuts"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Cut the super-k-mers out of their texts."""
-    names = ["doc", "minimiser", "first", "packed"]
+    """Cut the super-k-mers out of their texts; a string that recurs in its document is one row with all its first words."""
+    names = ["doc", "minimiser", "firsts", "packed"]
     for batch in batches:
         for part in byte_slices(batch, "text"):
-            doc, out = [], []
+            doc, out, minimisers, firsts = [], [], [], []
             flat = pc.list_flatten(part.column("cuts"))
             sizes = np.asarray(pc.list_value_length(part.column("cuts")), dtype=np.int64)
-            first = np.asarray(flat.field("first"))
+            first, minimiser = np.asarray(flat.field("first")), np.asarray(flat.field("minimiser"))
             last = (first + np.asarray(flat.field("windows")) + (window - 1)).tolist()
             at = 0
             for row, (body, n) in enumerate(zip(part.column("text").cast(pa.binary()).to_pylist(), sizes.tolist(), strict=True)):
                 words = body.split()
-                out += [b" ".join(words[a:b]) for a, b in zip(first[at : at + n].tolist(), last[at : at + n], strict=True)]
-                doc += [row] * n
+                found: dict[tuple[int, bytes], list[int]] = {}
+                for m, a, b in zip(minimiser[at : at + n].tolist(), first[at : at + n].tolist(), last[at : at + n], strict=True):
+                    found.setdefault((m, b" ".join(words[a:b])), []).append(a)
+                minimisers += [k[0] for k in found]
+                out += [k[1] for k in found]
+                firsts += found.values()
+                doc += [row] * len(found)
                 at += n
             ids = part.column("doc").take(pa.array(doc, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, flat.field("minimiser"), flat.field("first"), pa.array(out, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(minimisers, pa.int64()), pa.array(firsts, pa.list_(pa.int32())), pa.array(out, pa.binary())], names=names)
 
 
 def _windows_of(packed: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -232,13 +243,14 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         raise ValueError("a minimiser lies within a window")
     n = shuffle_partitions(docs.sparkSession)
     source = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    found = materialise(source.mapInArrow(lambda b: _find(b, "doc", "text", window, gram), "doc long, minimiser long, first int, windows int"), "superkmers")
-    repeated = found.groupBy("minimiser").count().where("count > 1").select("minimiser")
-    wanted = found.join(repeated, "minimiser").groupBy("doc").agg(F.collect_list(F.struct("minimiser", "first", "windows")).alias("cuts"))
-    cut = source.join(wanted, "doc").select("doc", "text", "cuts").mapInArrow(lambda b: _pack(b, window), "doc long, minimiser long, first int, packed binary")
+    found = materialise(source.mapInArrow(lambda b: _find(b, "doc", "text", window, gram), "doc long, minimiser long, cuts array<struct<first:int,windows:int>>"), "superkmers")
+    repeated = found.groupBy("minimiser").agg(F.sum(F.size("cuts")).alias("all")).where("all > 1").select("minimiser")
+    wanted = found.join(repeated, "minimiser").select("doc", F.transform("cuts", lambda c: F.struct(F.col("minimiser"), c["first"].alias("first"), c["windows"].alias("windows"))).alias("cuts"))
+    wanted = wanted.groupBy("doc").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
+    cut = source.join(wanted, "doc").select("doc", "text", "cuts").mapInArrow(lambda b: _pack(b, window), "doc long, minimiser long, firsts array<int>, packed binary")
     packed = materialise(cut.withColumn("string_id", F.xxhash64("packed")), "packed")
     # Equal strings first: one row for each string, with how often it occurs.
-    strings = packed.groupBy("minimiser", "string_id", "packed").agg(F.count("*").alias("copies"))
+    strings = packed.groupBy("minimiser", "string_id", "packed").agg(F.sum(F.size("firsts")).alias("copies"))
     strings = materialise(strings, "strings")
     crowds = strings.groupBy("minimiser").agg(F.count("*").alias("crowd"), F.sum("copies").alias("all"))
     counted = strings.join(crowds.where("all > 1"), "minimiser")
@@ -247,8 +259,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     hot = hot.mapInArrow(lambda b: _split_hot(b, window, crowd), calm.schema)
     buckets = calm.unionByName(hot).repartition(n, "minimiser", "sub").sortWithinPartitions("minimiser", "sub")
     marks = buckets.mapInArrow(lambda b: _count(b, window), "minimiser long, string_id long, offset int, windows int")
-    places = packed.select("doc", "minimiser", "first", "string_id")
-    return places.join(marks, ["minimiser", "string_id"]).select("doc", (F.col("first") + F.col("offset")).alias("first"), "windows")
+    places = packed.select("doc", "minimiser", "firsts", "string_id")
+    return places.join(marks, ["minimiser", "string_id"]).select("doc", F.explode("firsts").alias("first"), "offset", "windows").select("doc", (F.col("first") + F.col("offset")).alias("first"), "windows")
 
 
 def _strip(batches: Iterator[pa.RecordBatch], window: int, rest: list[str], whole: bool) -> Iterator[pa.RecordBatch]:
