@@ -11,7 +11,8 @@ is the host's wrapper, a union-free regular expression over tags and slots.
 Over all pages of the host, each of the wrapper's slots gathers what its texts are
 like (how long, how much of it links, whether it is the same text everywhere);
 with the tags around the slot this tells the article's slots from the rest.
-Extraction matches each page's form with its host's wrapper and reads those slots.
+Extraction matches each page's form with its host's wrapper and reads those slots;
+whether article and main tags mark the article is decided for each form by itself.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ _WORDS = re.compile(
     re.I,
 )
 _MAIN = frozenset(("article", "main"))
+#: Kinds of slots: good ones within article or main tags, other good ones.
+INNER, OUTER = 0, 1
 _CLOSES = {t: {"p"} for t in "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()} | {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 _SCOPES = frozenset("article main section div td th li table ul ol body blockquote aside nav header footer form".split())
 
@@ -321,12 +324,12 @@ def _inside(path: str) -> bool:
     return False
 
 
-def article_slots(stats: dict[str, list[float]], pages: int) -> list[str]:
-    """The slots that hold the article: not outside by their tags, not mostly links, not the same text on many pages.
+def slot_kinds(stats: dict[str, list[float]], pages: int) -> dict[str, list[float]]:
+    """The slots that may hold the article: not outside by their tags, not mostly links, not the same text on many pages.
 
-    Where some slots lie within article or main tags, only those count.
+    Each with its kind, its unlinked characters a page, and its characters a text.
     """
-    good = []
+    found = {}
     for path, (n, texts, chars, linked, least, largest) in stats.items():
         if _outside(path) or chars == 0:
             continue
@@ -334,9 +337,32 @@ def article_slots(stats: dict[str, list[float]], pages: int) -> list[str]:
         inside = _inside(path)
         if linked * 2 > chars and not inside or linked * 10 > chars * 9 or same and not inside:
             continue
-        good.append(path)
-    inner = [p for p in good if _inside(p)]
-    return sorted(inner or good)
+        found[path] = [INNER if inside else OUTER, (chars - linked) / n, chars / max(texts, 1)]
+    return dict(sorted(found.items()))
+
+
+def chosen_slots(paths: list[str], kinds: dict[str, list[float]], cards: bool) -> set[str]:
+    """Which of a form's slots are read: those within article or main tags if the article is there, else all good ones.
+
+    ``cards``: the form has several article blocks, as teasers are; then the article is
+    in them only if no slot outside has longer texts.  Else a quarter of the text outside is enough.
+    """
+    at = {p: kinds[p] for p in paths if p in kinds}
+    inner, outer = ([v for v in at.values() if v[0] == kind] for kind in (INNER, OUTER))
+    if inner and outer:
+        held = max(v[2] for v in inner) >= max(v[2] for v in outer) if cards else 4 * sum(v[1] for v in inner) >= sum(v[1] for v in outer)
+    else:
+        held = bool(inner)
+    return {p for p, v in at.items() if v[0] == INNER or not held}
+
+
+def has_cards(nodes: list[Folded]) -> bool:
+    """Whether a form has more than one article block."""
+
+    def count(nodes: list[Folded]) -> int:
+        return sum((n.label.partition("[")[0] == "article") * (2 if n.many else 1) + count(n.children) for n in nodes)
+
+    return count(nodes) > 1
 
 
 def _infer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -358,7 +384,7 @@ def _infer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             s = stats.get(path)
             new = [r.pages, r.texts, r.chars, r.linked, r.least, r.largest]
             stats[path] = new if s is None else [s[0] + new[0], s[1] + new[1], s[2] + new[2], s[3] + new[3], min(s[4], new[4]), max(s[5], new[5])]
-    good = article_slots(stats, int(forms["pages"].sum()))
+    good = slot_kinds(stats, int(forms["pages"].sum()))
     return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps({"nodes": dump(wrapper), "slots": good}, separators=(",", ":"))], "pages": [int(forms["pages"].sum())], "forms": [len(forms)]})
 
 
@@ -388,9 +414,12 @@ class Extractor:
             if len(self.wrappers) > self.most:
                 self.wrappers.clear()
             made = json.loads(wrapper_text) if wrapper_text else {"nodes": [], "slots": []}
-            self.wrappers[wrapper_text] = (load(made["nodes"]), frozenset(made["slots"]))
-        wrapper, good = self.wrappers[wrapper_text]
-        wanted = {k for path, leaves in match(fold(page.names), wrapper) if path in good for k in leaves}
+            self.wrappers[wrapper_text] = (load(made["nodes"]), dict(made["slots"]))
+        wrapper, kinds = self.wrappers[wrapper_text]
+        form = fold(page.names)
+        places = list(match(form, wrapper))
+        good = chosen_slots([path for path, _ in places], kinds, has_cards(form))
+        wanted = {k for path, leaves in places if path in good for k in leaves}
         return [t for k, t, _ in page.texts if k in wanted]
 
 

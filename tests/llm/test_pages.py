@@ -50,3 +50,24 @@ def test_each_page_of_the_table_gives_its_article(spark):
     got = html_wrapper.extract_text(pages).collect()
     assert len(got) == pages.count() and sum(r["n_chars"] > 0 for r in got) >= 0.9 * len(got)
     assert all("<" not in r["text"] or "&lt;" in "".join(p["html"] for p in pages.where(pages.page_id == r["page_id"]).collect()) for r in got[:20])
+
+
+def plain(k):
+    return f"<html><body><div class='text'><p>Long body of page {k} in plain blocks, with more words than any card has.</p></div></body></html>"
+
+
+def tagged(k):
+    return f"<html><body><article><h1>Head {k}</h1><p>Tagged body {k} of some length</p></article><div><p>Odd {k}</p></div></body></html>"
+
+
+def test_templates_of_one_host_are_judged_apart(spark):
+    for url in ("http://two.test/x", None, "no url"):
+        got = extract(spark, [(k, url, plain(k) if k % 2 else tagged(k)) for k in range(8)])
+        for k in range(8):
+            assert got[k][0] == (f"Long body of page {k} in plain blocks, with more words than any card has." if k % 2 else f"Head {k}\n\nTagged body {k} of some length")
+
+
+def test_article_tags_of_teasers_do_not_hide_the_text(spark):
+    cards = "".join(f"<article><p>Card {c} of {{k}}</p></article>" for c in range(4))
+    got = extract(spark, [(k, "http://cards.test", plain(k).replace("</body>", cards.format(k=k) + "</body>")) for k in range(6)])
+    assert all(f"Long body of page {k} in plain blocks" in got[k][0] for k in range(6))
