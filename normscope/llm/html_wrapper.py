@@ -23,6 +23,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -44,12 +45,17 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _OUTSIDE = frozenset("head title nav header footer aside form menu dialog button figcaption".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
 _WORDS = re.compile(
-    r"(?:^|[\s_-])(?:nav\w*|menu\w*|header|masthead|footer|foot|side-?bar\w*|aside|ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice\w*|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|comments?|comment-\w+|respond|replies|disqus|related|recommend\w*|breadcrumbs?|pagination|pager|toolbar|widget\w*|form|search\w*|tags?|meta|byline|legal|copyright|skip\w*)(?=$|[\s_-])",
+    r"nav\w*|menu\w*|header|masthead|footer|foot|side-?bar\w*|aside|ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice\w*|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|comments?|comment-\w+|respond|replies|disqus|related|recommend\w*|breadcrumbs?|pagination|pager|toolbar|widget\w*|form|search\w*|tags?|meta|byline|legal|copyright|skip\w*",
     re.I,
 )
+#: What may stand beside those words in a class or id; any other part (tag-politics, no-sidebar, with-sidebar) makes it another word.
+_BESIDE = frozenset("site page main entry post posts blog article top bottom left right global primary secondary sub list item items area wrap wrapper container inner outer box block bar section row col links link icons buttons button policy 0".split())
+_FIRST = frozenset("tag tags category cat no not has have with without is hide show".split())
+#: Their own class and id say what the page is about or how it is laid out, not that its text is no article.
+_WHOLE = frozenset("html body article main".split())
 _MAIN = frozenset(("article", "main"))
-#: Kinds of slots: good ones within article or main tags, other good ones.
-INNER, OUTER = 0, 1
+#: Kinds of slots: good ones within article or main tags, other good ones, those outside by a class or id alone.
+INNER, OUTER, NAMED = 0, 1, 2
 _CLOSES = {t: {"p"} for t in "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()} | {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 _SCOPES = frozenset("article main section div td th li table ul ol body blockquote aside nav header footer form".split())
 
@@ -302,18 +308,36 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns[:3]] + [pa.array(c, pa.int64()) for c in columns[3:]], names=names)
 
 
-def _outside(path: str) -> bool:
-    for part in path.split(" > "):
+def _names_outside(token: str) -> bool:
+    """Whether one class or id names a part that is no article: such a word, or one with nothing but place words beside it."""
+    if _WORDS.fullmatch(token):
+        return True
+    parts = [p for p in re.split(r"[-_]+", token.lower()) if p]
+    if len(parts) < 2 or parts[0] in _FIRST:
+        return False
+    words = [bool(_WORDS.fullmatch(p)) for p in parts]
+    return any(words) and all(w or p in _BESIDE for w, p in zip(words, parts, strict=True))
+
+
+@lru_cache(maxsize=65_536)
+def _outside(path: str) -> tuple[int, str]:
+    """0: may be the article; 1: outside by a class or id alone, and the path down to it; 2: outside by a tag, a role or hidden."""
+    parts = path.split(" > ")
+    named = ""
+    for k, part in enumerate(parts):
         tag, _, marks = part.partition("[")
-        if tag.partition("~")[0] in _OUTSIDE:
-            return True
-        for mark in marks.partition("]")[0].split(";") if marks else ():
+        tag = tag.partition("~")[0]
+        if tag in _OUTSIDE:
+            return 2, ""
+        for mark in marks.rpartition("]")[0].split(";") if marks else ():
             kind, _, value = mark.partition("=")
             if kind == "hidden" or (kind == "aria-hidden" and value == "true") or (kind == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-                return True
-            if kind == "role" and value.lower() in _ROLES or kind in ("class", "id") and _WORDS.search(value):
-                return True
-    return False
+                return 2, ""
+            if kind == "role" and value.lower() in _ROLES:
+                return 2, ""
+            if not named and kind in ("class", "id") and tag not in _WHOLE and any(map(_names_outside, value.split())):
+                named = " > ".join(parts[: k + 1])
+    return (1, named) if named else (0, "")
 
 
 def _inside(path: str) -> bool:
@@ -331,13 +355,14 @@ def slot_kinds(stats: dict[str, list[float]], pages: int) -> dict[str, list[floa
     """
     found = {}
     for path, (n, texts, chars, linked, least, largest) in stats.items():
-        if _outside(path) or chars == 0:
+        outside, _ = _outside(path)
+        if outside == 2 or chars == 0:
             continue
         same = n >= 3 and least == largest and pages >= 3
         inside = _inside(path)
         if linked * 2 > chars and not inside or linked * 10 > chars * 9 or same and not inside:
             continue
-        found[path] = [INNER if inside else OUTER, (chars - linked) / n, chars / max(texts, 1)]
+        found[path] = [NAMED if outside else INNER if inside else OUTER, (chars - linked) / n, chars / max(texts, 1)]
     return dict(sorted(found.items()))
 
 
@@ -346,14 +371,21 @@ def chosen_slots(paths: list[str], kinds: dict[str, list[float]], cards: bool) -
 
     ``cards``: the form has several article blocks, as teasers are; then the article is
     in them only if no slot outside has longer texts.  Else a quarter of the text outside is enough.
+    Where classes and ids leave nothing, the block so named that holds most text is read.
     """
     at = {p: kinds[p] for p in paths if p in kinds}
+    if at and all(v[0] == NAMED for v in at.values()):
+        held_by: dict[str, float] = {}
+        for p, v in at.items():
+            held_by[_outside(p)[1]] = held_by.get(_outside(p)[1], 0) + v[1]
+        most = max(sorted(held_by), key=lambda block: held_by[block])
+        return {p for p in at if _outside(p)[1] == most}
     inner, outer = ([v for v in at.values() if v[0] == kind] for kind in (INNER, OUTER))
     if inner and outer:
         held = max(v[2] for v in inner) >= max(v[2] for v in outer) if cards else 4 * sum(v[1] for v in inner) >= sum(v[1] for v in outer)
     else:
         held = bool(inner)
-    return {p for p, v in at.items() if v[0] == INNER or not held}
+    return {p for p, v in at.items() if v[0] == INNER or v[0] == OUTER and not held}
 
 
 def has_cards(nodes: list[Folded]) -> bool:

@@ -71,3 +71,15 @@ def test_article_tags_of_teasers_do_not_hide_the_text(spark):
     cards = "".join(f"<article><p>Card {c} of {{k}}</p></article>" for c in range(4))
     got = extract(spark, [(k, "http://cards.test", plain(k).replace("</body>", cards.format(k=k) + "</body>")) for k in range(6)])
     assert all(f"Long body of page {k} in plain blocks" in got[k][0] for k in range(6))
+
+
+def test_class_names_of_the_whole_page_do_not_hide_it(spark):
+    def body(k):
+        return f"<p>Words of {k}</p><p>More words of {k}</p>"
+
+    rows = [(k, "http://names.test", f"<body class='single-post no-sidebar'><div class='content with-sidebar'><article class='post-{k} hentry category-news tag-politics'>{body(k)}</article></div><div class='site-footer'><p>foot {k}</p></div></body>") for k in range(4)]
+    rows += [(10 + k, "http://fall.test", f"<body><div class='legal'>{body(k)}</div><div class='sidebar'><p>s{k}</p></div></body>") for k in range(4)]
+    got = extract(spark, rows)
+    assert all(got[k][0] == got[10 + k][0] == f"Words of {k}\n\nMore words of {k}" for k in range(4))
+    for token in ("site-header", "cookie-notice", "entry-meta", "comment-list", "widget-0", "side-bar"):
+        assert html_wrapper._names_outside(token)
