@@ -27,7 +27,7 @@ from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_slices, materialise
@@ -54,8 +54,8 @@ _FIRST = frozenset("tag tags category cat no not has have with without is hide s
 #: Their own class and id say what the page is about or how it is laid out, not that its text is no article.
 _WHOLE = frozenset("html body article main".split())
 _MAIN = frozenset(("article", "main"))
-#: Kinds of slots: good ones within article or main tags, other good ones, those outside by a class or id alone.
-INNER, OUTER, NAMED = 0, 1, 2
+#: Kinds of slots: good ones within article or main tags, other good ones, those with the same text on many pages, those outside by a class or id alone.
+INNER, OUTER, SAME, NAMED = 0, 1, 2, 3
 _CLOSES = {t: {"p"} for t in "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()} | {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 _SCOPES = frozenset("article main section div td th li table ul ol body blockquote aside nav header footer form".split())
 
@@ -281,8 +281,8 @@ def host_of(url):
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host, form and slot of some pages: pages, texts, characters, linked characters, least and largest text hash."""
-    names = ["host", "form", "slot", "pages", "texts", "chars", "linked", "least", "largest"]
+    """Per host, form and slot of some pages: pages, texts, characters, linked characters, least and largest text hash, and up to three hashes of different page contents."""
+    names = ["host", "form", "slot", "pages", "texts", "chars", "linked", "least", "largest", "contents"]
     for whole in batches:
         found: dict[tuple[str, str], dict[str, list]] = {}
         for part in byte_slices(whole, "html"):
@@ -291,21 +291,24 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 form = fold(page.names)
                 body = {k: (t, n) for k, t, n in page.texts}
                 key = (host, json.dumps(dump(form), separators=(",", ":")))
-                stats = found.setdefault(key, {"": [0, 0, 0, 0, 0, 0]})
+                stats = found.setdefault(key, {"": [0, 0, 0, 0, 0, 0, []]})
                 stats[""][0] += 1
-                for slot, leaves in slots(form):
-                    texts = [body[k] for k in leaves if k in body]
+                places = [(slot, [body[k] for k in leaves if k in body]) for slot, leaves in slots(form)]
+                content = zlib.crc32("\n".join(t for slot, texts in places if not _outside(slot)[0] for t, _ in texts).encode("utf-8", "surrogatepass"))
+                for slot, texts in places:
                     digest = zlib.crc32("\n".join(t for t, _ in texts).encode("utf-8", "surrogatepass"))
-                    s = stats.setdefault(slot, [0, 0, 0, 0, digest, digest])
+                    s = stats.setdefault(slot, [0, 0, 0, 0, digest, digest, []])
                     s[0] += 1
                     s[1] += len(texts)
                     s[2] += sum(len(t) for t, _ in texts)
                     s[3] += sum(n for _, n in texts)
                     s[4], s[5] = min(s[4], digest), max(s[5], digest)
+                    if len(s[6]) < 3 and content not in s[6]:
+                        s[6].append(content)
         rows = [(host, form, slot, *s) for (host, form), by in found.items() for slot, s in by.items()]
         if rows:
             columns = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns[:3]] + [pa.array(c, pa.int64()) for c in columns[3:]], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns[:3]] + [pa.array(c, pa.int64()) for c in columns[3:-1]] + [pa.array(columns[-1], pa.list_(pa.int64()))], names=names)
 
 
 def _names_outside(token: str) -> bool:
@@ -348,21 +351,22 @@ def _inside(path: str) -> bool:
     return False
 
 
-def slot_kinds(stats: dict[str, list[float]], pages: int) -> dict[str, list[float]]:
-    """The slots that may hold the article: not outside by their tags, not mostly links, not the same text on many pages.
+def slot_kinds(stats: dict[str, list]) -> dict[str, list[float]]:
+    """The slots that may hold the article: not outside by their tags, not mostly links.
 
+    The same text on three or more pages that differ elsewhere is boilerplate; copies of one page are one content.
     Each with its kind, its unlinked characters a page, and its characters a text.
     """
     found = {}
-    for path, (n, texts, chars, linked, least, largest) in stats.items():
+    for path, (n, texts, chars, linked, least, largest, contents) in stats.items():
         outside, _ = _outside(path)
         if outside == 2 or chars == 0:
             continue
-        same = n >= 3 and least == largest and pages >= 3
+        same = least == largest and len(set(contents)) >= 3
         inside = _inside(path)
-        if linked * 2 > chars and not inside or linked * 10 > chars * 9 or same and not inside:
+        if linked * 2 > chars and not inside or linked * 10 > chars * 9:
             continue
-        found[path] = [NAMED if outside else INNER if inside else OUTER, (chars - linked) / n, chars / max(texts, 1)]
+        found[path] = [NAMED if outside else INNER if inside else SAME if same else OUTER, (chars - linked) / n, chars / max(texts, 1)]
     return dict(sorted(found.items()))
 
 
@@ -371,10 +375,14 @@ def chosen_slots(paths: list[str], kinds: dict[str, list[float]], cards: bool) -
 
     ``cards``: the form has several article blocks, as teasers are; then the article is
     in them only if no slot outside has longer texts.  Else a quarter of the text outside is enough.
-    Where classes and ids leave nothing, the block so named that holds most text is read.
+    Where nothing good is left, slots of the same text are read; where classes and ids leave
+    nothing, the block so named that holds most text.
     """
     at = {p: kinds[p] for p in paths if p in kinds}
-    if at and all(v[0] == NAMED for v in at.values()):
+    best = min((v[0] for v in at.values()), default=INNER)
+    if best == SAME:
+        return {p for p, v in at.items() if v[0] == SAME}
+    if best == NAMED:
         held_by: dict[str, float] = {}
         for p, v in at.items():
             held_by[_outside(p)[1]] = held_by.get(_outside(p)[1], 0) + v[1]
@@ -414,12 +422,17 @@ def _infer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         for r in by_form[text].itertuples():
             path = to_wrapper.get(r.slot, r.slot)
             s = stats.get(path)
-            new = [r.pages, r.texts, r.chars, r.linked, r.least, r.largest]
-            stats[path] = new if s is None else [s[0] + new[0], s[1] + new[1], s[2] + new[2], s[3] + new[3], min(s[4], new[4]), max(s[5], new[5])]
-    good = slot_kinds(stats, int(forms["pages"].sum()))
+            new = [r.pages, r.texts, r.chars, r.linked, r.least, r.largest, list(r.contents)]
+            stats[path] = new if s is None else [s[0] + new[0], s[1] + new[1], s[2] + new[2], s[3] + new[3], min(s[4], new[4]), max(s[5], new[5]), [*{*s[6], *new[6]}][:3]]
+    good = slot_kinds(stats)
     return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps({"nodes": dump(wrapper), "slots": good}, separators=(",", ":"))], "pages": [int(forms["pages"].sum())], "forms": [len(forms)]})
 
 
+def _three(column: str) -> Column:
+    """Up to three different values of a group's short arrays: one array of three for each batch of pages is the most that meets."""
+    return F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(column)))), 1, 3).alias(column)
+
+
 def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``host``, ``wrapper`` (JSON), ``pages``, ``forms``: one row for each host, from all its pages.
 
@@ -427,8 +440,8 @@ def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> Da
     matter; one task aligns the distinct forms of one host.
     """
     source = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
-    seen = source.mapInArrow(_survey, "host string, form string, slot string, pages long, texts long, chars long, linked long, least long, largest long")
-    forms = seen.groupBy("host", "form", "slot").agg(*(F.sum(c).alias(c) for c in ("pages", "texts", "chars", "linked")), F.min("least").alias("least"), F.max("largest").alias("largest"))
+    seen = source.mapInArrow(_survey, "host string, form string, slot string, pages long, texts long, chars long, linked long, least long, largest long, contents array<long>")
+    forms = seen.groupBy("host", "form", "slot").agg(*(F.sum(c).alias(c) for c in ("pages", "texts", "chars", "linked")), F.min("least").alias("least"), F.max("largest").alias("largest"), _three("contents"))
     return forms.groupBy("host").applyInPandas(_infer, "host string, wrapper string, pages long, forms long")
 
 

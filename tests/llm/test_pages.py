@@ -83,3 +83,14 @@ def test_class_names_of_the_whole_page_do_not_hide_it(spark):
     assert all(got[k][0] == got[10 + k][0] == f"Words of {k}\n\nMore words of {k}" for k in range(4))
     for token in ("site-header", "cookie-notice", "entry-meta", "comment-list", "widget-0", "side-bar"):
         assert html_wrapper._names_outside(token)
+
+
+def test_copies_of_a_page_are_no_boilerplate(spark):
+    copy = "<body><div><h1>Copied head</h1><p>Copied words</p></div></body>"
+    own = "<body><table><tr><td>Own layout</td></tr></table></body>"
+    rows = [(k, "http://copies.test", copy) for k in range(5)] + [(10 + k, "http://mixed.test", own) for k in range(3)]
+    rows += [(20 + k, "http://mixed.test", f"<body><section><p>Story {k}</p></section><div><p>All rights are with us</p></div></body>") for k in range(6)]
+    got = extract(spark, rows)
+    assert all(got[k][0] == "Copied head\n\nCopied words" for k in range(5))
+    assert all(got[10 + k][0] == "Own layout" for k in range(3))
+    assert all(got[20 + k][0] == f"Story {k}" for k in range(6))
