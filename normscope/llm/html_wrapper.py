@@ -3,7 +3,8 @@
 Pages of one host come from few templates.  Each page is read as a stream of
 structural tags and text; neighbouring repeats are folded into repeated groups,
 so pages that differ only in how often a part occurs have one *form*.  The
-distinct forms of a host are aligned one after the other, most frequent first:
+distinct forms of a host are aligned with each other in small groups, then the
+wrappers of the groups, until one is left:
 where two streams mismatch, the part on one side becomes an optional group, a part
 that repeats on one side a repeated group, and differing text a slot.  The result
 is the host's wrapper, a union-free regular expression over tags and slots.
@@ -129,7 +130,7 @@ def read_page(source: str | None) -> Page:
         if attributes:
             marks = sorted(f"{k.lower()}={v.strip(chr(34) + chr(39)).strip()}" for k, v in _ATTRIBUTE.findall(attributes))
             if marks:
-                name += "[" + ";".join(x if not x.startswith("id=") else re.sub(r"\d+", "0", x) for x in marks) + "]"
+                name += "[" + ";".join(re.sub(r"\d+", "0", x) for x in marks) + "]"
         names.append(name)
         if tag not in _VOID and not attributes.rstrip().endswith("/"):
             stack.append((tag, name))
@@ -405,27 +406,54 @@ def has_cards(nodes: list[Folded]) -> bool:
     return count(nodes) > 1
 
 
-def _infer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """The wrapper of one host from its distinct forms (rows: one for each form and slot)."""
-    forms = rows[rows["slot"] == ""].sort_values(["pages", "form"], ascending=[False, True], kind="stable")
+def _merge_forms(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """One wrapper of some forms or wrappers of a host, the most frequent first."""
     wrapper: list[Folded] = []
-    for text in forms["form"]:
+    rows = rows.sort_values(["pages", "nodes"], ascending=[False, True], kind="stable")
+    for text in rows["nodes"]:
         wrapper = merge(wrapper, load(json.loads(text)))
-    stats: dict[str, list[float]] = {}
-    by_form = {f: part for f, part in rows[rows["slot"] != ""].groupby("form", sort=False)}
-    for text in forms["form"]:
-        form = load(json.loads(text))
-        if text not in by_form:
-            continue
-        places = list(slots(form))
-        to_wrapper = dict(zip([p for p, _ in places], [p for p, _ in match(form, wrapper)], strict=True))
-        for r in by_form[text].itertuples():
-            path = to_wrapper.get(r.slot, r.slot)
-            s = stats.get(path)
-            new = [r.pages, r.texts, r.chars, r.linked, r.least, r.largest, list(r.contents)]
-            stats[path] = new if s is None else [s[0] + new[0], s[1] + new[1], s[2] + new[2], s[3] + new[3], min(s[4], new[4]), max(s[5], new[5]), [*{*s[6], *new[6]}][:3]]
-    good = slot_kinds(stats)
-    return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps({"nodes": dump(wrapper), "slots": good}, separators=(",", ":"))], "pages": [int(forms["pages"].sum())], "forms": [len(forms)]})
+    return pd.DataFrame({"host": [key[0]], "nodes": [json.dumps(dump(wrapper), separators=(",", ":"))], "pages": [int(rows["pages"].sum())], "forms": [int(rows["forms"].sum())]})
+
+
+def _merged(forms: DataFrame, most: int = 32) -> DataFrame:
+    """``host``, ``nodes``, ``pages``, ``forms``: each host's wrapper.  A task merges about ``most`` of a host's forms, then of the wrappers so made."""
+    parts = materialise(forms, "forms")
+    while (largest := parts.groupBy("host").count().agg(F.max("count")).first()[0] or 0) > 1:
+        bins = -(-largest // most)
+        dealt = parts.withColumn("bin", F.pmod(F.xxhash64("nodes"), F.lit(bins)).cast("int"))
+        parts = materialise(dealt.groupBy("host", "bin").applyInPandas(_merge_forms, "host string, nodes string, pages long, forms long"), "forms")
+    return parts
+
+
+def _in_wrapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Statistics of each form's slots, by the wrapper's paths."""
+    names = ["host", "slot", "pages", "texts", "chars", "linked", "least", "largest", "contents"]
+    wrapper_of: dict[str, list[Folded]] = {}
+    for batch in batches:
+        for part in byte_slices(batch, "nodes"):
+            rows = []
+            for r in part.to_pylist():
+                if r["nodes"] not in wrapper_of:
+                    if len(wrapper_of) > 100:
+                        wrapper_of.clear()
+                    wrapper_of[r["nodes"]] = load(json.loads(r["nodes"]))
+                form = load(json.loads(r["form"]))
+                to_wrapper = dict(zip([p for p, _ in slots(form)], [p for p, _ in match(form, wrapper_of[r["nodes"]])], strict=True))
+                rows += [(r["host"], to_wrapper.get(x["slot"], x["slot"]), *(x[c] for c in names[2:])) for x in r["stats"]]
+            if rows:
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns[:2]] + [pa.array(c, pa.int64()) for c in columns[2:-1]] + [pa.array(columns[-1], pa.list_(pa.int64()))], names=names)
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            kinds = slot_kinds({r["slot"]: [r[c] for c in ("pages", "texts", "chars", "linked", "least", "largest", "contents")]})
+            rows += [(r["host"], p, v) for p, v in kinds.items()]
+        if rows:
+            hosts, paths, values = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(values, pa.list_(pa.float64()))], names=["host", "slot", "kind"])
 
 
 def _three(column: str) -> Column:
@@ -436,13 +464,21 @@ def _three(column: str) -> Column:
 def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``host``, ``wrapper`` (JSON), ``pages``, ``forms``: one row for each host, from all its pages.
 
-    Pages are counted by form before the shuffle, so a host's size does not
-    matter; one task aligns the distinct forms of one host.
+    Pages are counted by form before the shuffle, forms are merged as a tree of
+    small groups, and slots are counted by the wrapper's paths, so no task holds
+    all of a host.  The wrapper itself is as large as the host's parts are various.
     """
     source = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
-    seen = source.mapInArrow(_survey, "host string, form string, slot string, pages long, texts long, chars long, linked long, least long, largest long, contents array<long>")
-    forms = seen.groupBy("host", "form", "slot").agg(*(F.sum(c).alias(c) for c in ("pages", "texts", "chars", "linked")), F.min("least").alias("least"), F.max("largest").alias("largest"), _three("contents"))
-    return forms.groupBy("host").applyInPandas(_infer, "host string, wrapper string, pages long, forms long")
+    kinds = "pages long, texts long, chars long, linked long, least long, largest long, contents array<long>"
+    seen = source.mapInArrow(_survey, f"host string, form string, slot string, {kinds}")
+    sums = [*(F.sum(c).alias(c) for c in ("pages", "texts", "chars", "linked")), F.min("least").alias("least"), F.max("largest").alias("largest"), _three("contents")]
+    found = materialise(seen.groupBy("host", "form", "slot").agg(*sums), "slots")
+    wrappers = _merged(found.where("slot = ''").select("host", F.col("form").alias("nodes"), "pages", F.lit(1).cast("long").alias("forms")))
+    by_form = found.where("slot <> ''").groupBy("host", "form").agg(F.collect_list(F.struct("slot", *(c.split()[0] for c in kinds.split(", ")))).alias("stats"))
+    stats = by_form.join(wrappers.select("host", "nodes"), "host").mapInArrow(_in_wrapper, f"host string, slot string, {kinds}").groupBy("host", "slot").agg(*sums)
+    good = stats.mapInArrow(_judged, "host string, slot string, kind array<double>").groupBy("host").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("slot", "kind"))))).alias("good"))
+    text = F.concat(F.lit('{"nodes":'), "nodes", F.lit(',"slots":'), F.coalesce("good", F.lit("{}")), F.lit("}"))
+    return wrappers.join(good, "host", "left").select("host", text.alias("wrapper"), "pages", "forms")
 
 
 class Extractor:

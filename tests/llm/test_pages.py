@@ -94,3 +94,14 @@ def test_copies_of_a_page_are_no_boilerplate(spark):
     assert all(got[k][0] == "Copied head\n\nCopied words" for k in range(5))
     assert all(got[10 + k][0] == "Own layout" for k in range(3))
     assert all(got[20 + k][0] == f"Story {k}" for k in range(6))
+
+
+def test_many_forms_of_a_host_are_merged_in_small_groups(spark):
+    kinds = ["h2", "h3", "ul", "table", "pre", "dl", "blockquote"]
+    frame = spark.createDataFrame([(k, "http://many.test", "<body>" + "".join(f"<{t}>{t} {k}</{t}>" for i, t in enumerate(kinds) if k >> i & 1) + f"<div class='post-{k}'><p>Body {k}</p></div></body>", "", "") for k in range(128)], KIND)
+    wrapper = html_wrapper.infer_wrappers(frame).collect()
+    assert [(r["host"], r["pages"], r["forms"]) for r in wrapper] == [("many.test", 128, 128)]
+    got = {r["page_id"]: r["text"] for r in html_wrapper.extract_text(frame).collect()}
+    assert all(got[k].endswith(f"Body {k}") and got[k].count("\n\n") == k.bit_count() for k in range(128))
+    same = frame.where("page_id in (0)").unionByName(frame.where("page_id in (0)").selectExpr("1L AS page_id", "url", "replace(html, 'post-0', 'post-77') AS html", "text", "host"))
+    assert html_wrapper.infer_wrappers(same).first()["forms"] == 1
