@@ -7,6 +7,10 @@ and its residual is coded.  A query visits the cells nearest to it, ranks their
 codes by tables of query-to-codeword products, and the best of each block of a
 cell are ranked again by the exact cosine of the original vectors.
 
+Equal vectors are one node, which holds its smallest ids: as many as an answer can
+need.  Nodes with the same code score as the last of the best are ranked again too,
+so copies and tight clusters crowd nothing out.
+
 A cell's vectors are dealt into blocks of at most about ``block`` rows, and its
 visitors into groups of at most about ``visitors``, so one task never holds a
 whole cell of unbounded size; the dealing travels with the number of cells.
@@ -23,12 +27,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import key_runs, materialise, shuffle_partitions
+from .common import expand, key_runs, materialise, shuffle_partitions
 
 
 @dataclass(frozen=True)
 class SearchSettings:
-    """``probe``: share of the cells that a query visits.  ``shortlist``: codes of each block that are ranked again."""
+    """``probe``: share of the cells that a query visits.  ``shortlist``: codes of each block that are ranked again, and all that tie with the last."""
 
     train: int = 8_192
     least_cells: int = 16
@@ -119,18 +123,28 @@ def train_quantizer(vectors: DataFrame, key: str, vector: str, rows: int, s: Sea
     return Quantizer.fit(sample, min(cells, len(sample)), s)
 
 
-def build_index(vectors: DataFrame, quantizer: Quantizer, key: str, vector: str) -> DataFrame:
-    """``id``, ``vec``, ``cell``, ``code``: every row coded.  The quantizer's size is bounded by its settings."""
-    handle = vectors.sparkSession.sparkContext.broadcast(quantizer)
+def nodes_of(vectors: DataFrame, nearest: int, key: str, vector: str) -> DataFrame:
+    """``id``, ``vec``, ``ids``: each distinct vector with its ``nearest`` + 1 smallest ids (a query's own may be among them).
+
+    An id that repeats stands in ``ids`` as often as it does, ``nearest`` times at most.  ``id`` is the smallest.
+    """
+    counted = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vec")).groupBy("vec", "id").agg(F.least(F.count("*"), F.lit(nearest)).cast("int").alias("times"))
+    first = counted.withColumn("at", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("at") <= nearest + 1)
+    ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("id", "times"))), lambda x: F.array_repeat(x["id"], x["times"])))
+    return first.groupBy("vec").agg(F.min("id").alias("id"), ids.alias("ids")).select("id", "vec", "ids")
+
+
+def build_index(nodes: DataFrame, quantizer: Quantizer) -> DataFrame:
+    """``id``, ``vec``, ``ids``, ``cell``, ``code``: every node coded.  The quantizer's size is bounded by its settings."""
+    handle = nodes.sparkSession.sparkContext.broadcast(quantizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 cell, codes = handle.value.code(vectors_of(batch.column("vec")))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "vec", "cell", "code"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), batch.column("ids"), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "vec", "ids", "cell", "code"])
 
-    kind = dict(vectors.dtypes)[vector]
-    return vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vec")).mapInArrow(run, f"id long, vec {kind}, cell int, code binary")
+    return nodes.mapInArrow(run, f"id long, vec {dict(nodes.dtypes)['vec']}, ids array<long>, cell int, code binary")
 
 
 def _visit(queries: DataFrame, quantizer: Quantizer, sizes: np.ndarray, probe: int, wanted: int) -> DataFrame:
@@ -164,7 +178,7 @@ def exact_cosines(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 
 def _search_blocks(batches: Iterator[pa.RecordBatch], quantizer: Quantizer, nearest: int, shortlist: int) -> Iterator[pa.RecordBatch]:
-    """Per block and visitor, the ``nearest`` rows by exact cosine among the ``shortlist`` best by code."""
+    """Per block and visitor, the ``nearest`` rows by exact cosine among the ``shortlist`` best nodes by code and those that tie with the last."""
     names = ["query_id", "vec_id", "score"]
     for part in key_runs(batches, ["cell", "block", "group"], 2_000):
         cell, block, group = (np.asarray(part.column(c)) for c in ("cell", "block", "group"))
@@ -172,6 +186,9 @@ def _search_blocks(batches: Iterator[pa.RecordBatch], quantizer: Quantizer, near
         ids, vecs = np.asarray(part.column("id")), vectors_of(part.column("vec"))
         asks = np.asarray(part.column("asks"))
         coded = part.column("code")
+        lengths = np.asarray(pc.fill_null(pc.list_value_length(part.column("ids")), 0), dtype=np.int64)
+        starts = np.cumsum(lengths) - lengths
+        held = np.asarray(pc.list_flatten(part.column("ids")), dtype=np.int64)
         for a, b in zip([0, *edges], [*edges, len(cell)], strict=True):
             q, v = np.flatnonzero(asks[a:b]) + a, np.flatnonzero(asks[a:b] == 0) + a
             if not len(q) or not len(v):
@@ -184,20 +201,23 @@ def _search_blocks(batches: Iterator[pa.RecordBatch], quantizer: Quantizer, near
                 rough = np.repeat((x @ quantizer.centroids[cell[a]])[:, None], len(v), axis=1)
                 for p in range(codes.shape[1]):
                     rough += tables[:, p, codes[:, p]]
-                own = ids[asked][:, None] == ids[v][None, :]
-                rough[own] = -np.inf
+                low, high = held[starts[v]], held[starts[v] + lengths[v] - 1]
+                rough[(low == high)[None, :] & (ids[asked][:, None] == low[None, :])] = -np.inf  # nodes of no other id
                 n = min(shortlist, len(v))
-                best = np.argpartition(-rough, n - 1, axis=1)[:, :n]
-                row = np.repeat(np.arange(len(asked)), n)
-                col = best.ravel()
-                on = ~own[row, col]
-                row, col = row[on], col[on]
-                score = exact_cosines(vecs[asked][row], vecs[v][col])
-                order = np.lexsort((ids[v][col], -score, row))
-                row, col, score = row[order], col[order], score[order]
+                last = -np.partition(-rough, n - 1, axis=1)[:, n - 1 : n]
+                row, col = np.nonzero((rough >= last) & (rough > -np.inf))
+                score = np.empty(len(row))
+                for k in range(0, len(row), 8_192):
+                    score[k : k + 8_192] = exact_cosines(vecs[asked[row[k : k + 8_192]]], vecs[v[col[k : k + 8_192]]])
+                found = held[expand(starts[v[col]], lengths[v[col]])]
+                row, score = np.repeat(row, lengths[v[col]]), np.repeat(score, lengths[v[col]])
+                on = found != ids[asked][row]
+                row, score, found = row[on], score[on], found[on]
+                order = np.lexsort((found, -score, row))
+                row, score, found = row[order], score[order], found[order]
                 rank = np.arange(len(row)) - np.searchsorted(row, row)
                 on = rank < nearest
-                yield pa.RecordBatch.from_arrays([pa.array(ids[asked][row[on]]), pa.array(ids[v][col[on]]), pa.array(score[on])], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[asked][row[on]]), pa.array(found[on]), pa.array(score[on])], names=names)
 
 
 def search(vectors: DataFrame, queries: Column, nearest: int = 5, key: str = "vec_id", vector: str = "embedding", settings: SearchSettings = SearchSettings()) -> DataFrame:
@@ -216,22 +236,23 @@ def search(vectors: DataFrame, queries: Column, nearest: int = 5, key: str = "ve
     sizes = usable.groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     if not sizes:
         return spark.createDataFrame([], schema)
-    width, rows = sizes[0]["n"], sizes[0]["count"]
+    width = sizes[0]["n"]
     usable = usable.where(F.size(vector) == width)
-    quantizer = train_quantizer(usable, key, vector, rows, s)
+    nodes = materialise(nodes_of(usable, nearest, key, vector), "nodes")
+    quantizer = train_quantizer(nodes, "id", "vec", nodes.count(), s)
     cells = len(quantizer.centroids)
-    index = materialise(build_index(usable, quantizer, key, vector), "ivfpq")
+    index = materialise(build_index(nodes, quantizer), "ivfpq")
     asked = usable.where(queries).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vec")).dropDuplicates(["id"])
     held = np.zeros(cells, dtype=np.int64)
-    for r in index.groupBy("cell").count().collect():  # at most ``most_cells`` rows
-        held[r["cell"]] = r["count"]
+    for r in index.groupBy("cell").agg(F.sum(F.size(F.array_distinct("ids"))).alias("rows")).collect():  # at most ``most_cells`` rows
+        held[r["cell"]] = r["rows"]
     # One more than asked for: the query's own row is among them.
     visits = materialise(_visit(asked, quantizer, held, max(1, int(np.ceil(cells * s.probe))), nearest + 1), "visits")
     # Rows and visitors of each cell: as many numbers as there are cells.
     deal = index.groupBy("cell").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks")).join(visits.groupBy("cell").agg(F.ceil(F.count("*") / s.visitors).cast("int").alias("groups")), "cell")
     deal = F.broadcast(deal)  # at most ``most_cells`` rows
-    stored = index.join(deal, "cell").select("cell", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.lit(0).alias("asks"), "id", "vec", "code")
-    asking = visits.join(deal, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), "groups").cast("int").alias("group"), F.lit(1).alias("asks"), "id", "vec", F.lit(None).cast("binary").alias("code"))
+    stored = index.join(deal, "cell").select("cell", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.lit(0).alias("asks"), "id", "vec", "ids", "code")
+    asking = visits.join(deal, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), "groups").cast("int").alias("group"), F.lit(1).alias("asks"), "id", "vec", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("binary").alias("code"))
     met = stored.unionByName(asking).repartition(shuffle_partitions(spark), "cell", "block", "group").sortWithinPartitions("cell", "block", "group")
     handle = spark.sparkContext.broadcast(quantizer)
     found = met.mapInArrow(lambda b: _search_blocks(b, handle.value, nearest, s.shortlist), "query_id long, vec_id long, score double")
