@@ -147,6 +147,12 @@ def farthest_points_16(spark, sf_dir):
     return bank.join(names, "descriptor").select("bank_pos", "vec_id")
 
 
+@query()
+def farthest_points_256(spark, sf_dir):
+    """The bank at its production size (``BANK_SIZE`` picks)."""
+    return farthest_points(descriptors(spark, sf_dir).where("role = 0"), order=("vec_id",))
+
+
 @query(
     _recursive(D)
     + ", "

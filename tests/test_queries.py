@@ -2,9 +2,11 @@ import subprocess
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 from conftest import SF_DIR
 
+from normscope.operators.selection import farthest_rows
 from normscope.plans import queries as core
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -39,3 +41,12 @@ assert "inspect_verdict" in __spark_entry__.queries() and "pipeline" not in __sp
 assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 """
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
+def test_a_bank_of_production_size_equals_the_plain_selection(spark, tmp_path):
+    vectors = np.random.default_rng(5).normal(size=(930, 8))
+    spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    known = vectors[np.arange(930) // 10 % 3 == 0]
+    got = core.QUERIES["farthest_points_256"](spark, str(tmp_path)).orderBy("bank_pos").collect()
+    assert [r["bank_pos"] for r in got] == list(range(256))
+    assert np.array_equal([r["descriptor"] for r in got], known[farthest_rows(known, 256)])
