@@ -6,9 +6,13 @@ mean gives the class.  Table and softmax are trained jointly, by gradient descen
 in numpy, on a bounded sample of labelled rows.  A misspelt or inflected word
 shares most of its n-grams with the word it comes from.
 
-Training reads at most ``per_class`` documents of each class (those with the
-smallest hashes of their ids); everything else covers all rows.  The class prior
-is put right afterwards from the counts over all labelled rows.
+Training takes at most ``per_class`` documents of each class (those with the
+smallest hashes of their ids); everything else covers all rows.  They are chosen by
+ids and labels alone and fetched by a broadcast of the chosen ids, so no text is
+shuffled but theirs; tasks turn them into subword bags, which are what the driver
+gets (a bag has at most one entry for each row of the table, whatever the text's
+length).  The class prior is put right afterwards from the counts over all labelled
+documents.
 """
 
 from __future__ import annotations
@@ -18,7 +22,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,11 +45,15 @@ class Settings:
     out_rate: float = 0.2
     calm: float = 1e-8
     batch: int = 64
-    per_class: int = 2_500
+    per_class: int = 2_500  # documents of each class that training takes, at most
     threshold: float = 0.3
     seed: int = 7
 
 
+def row_kind(s: Settings) -> str:
+    return "<u2" if s.buckets <= 1 << 16 else "<i4"
+
+
 def plain_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_PLAIN).split()
 
@@ -71,9 +78,7 @@ def subword_rows(words: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarra
                 on = np.flatnonzero(owner[: len(rolled)] == owner[n - 1 :])
                 word_of.append(owner[on])
                 row_of.append((rolled[on] + np.uint64(n)) * _BASE)
-        power = np.ones(int(size.max()) + 1 if len(size) else 1, dtype=np.uint64)
-        for k in range(1, len(power)):
-            power[k] = power[k - 1] * _BASE
+        power = np.multiply.accumulate(np.concatenate([np.ones(1, dtype=np.uint64), np.full(int(size.max(initial=0)), _BASE)]))
         weighted = codes * power[np.arange(len(codes)) - first[owner]]
         whole = np.add.reduceat(weighted, first) if len(first) else weighted
         word_of.append(np.arange(len(words)))
@@ -85,8 +90,8 @@ def subword_rows(words: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarra
 
 
 def damped(counts: np.ndarray) -> np.ndarray:
-    """What a word counts in its document's mean, by how often it occurs there: repeats add little, and nothing beyond three."""
-    return 1.0 + np.log(np.minimum(counts, 3))
+    """What a word counts in its document's mean, by how often it occurs there: repeats add less and less."""
+    return 1.0 + np.log(counts)
 
 
 @no_cycle_search()
@@ -100,7 +105,7 @@ def document_bags(texts: list[str | None], s: Settings) -> list[tuple[np.ndarray
         docs.append((ids.astype(np.int32), (worth / (worth.sum() + s.padding)).astype(np.float32)))
     words = list(numbers)
     parts = [subword_rows(words[a : a + 20_000], s) for a in range(0, len(words), 20_000)]
-    kind = np.uint16 if s.buckets <= 1 << 16 else np.int32
+    kind = row_kind(s)
     rows = np.concatenate([p[0].astype(kind) for p in parts]) if parts else np.zeros(0, dtype=kind)
     sizes = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, dtype=np.int64)
     at = np.cumsum(sizes) - sizes
@@ -126,14 +131,18 @@ class Model:
 
 
 def train(texts: list[str | None], labels: np.ndarray, prior: float, settings: Settings = Settings()) -> Model:
-    """Fit table and softmax jointly; ``prior`` is the share of class 1 among all labelled rows."""
+    """Fit table and softmax jointly; ``prior`` is the share of class 1 among all labelled documents."""
+    return train_on_bags(document_bags(texts, settings), labels, prior, settings)
+
+
+def train_on_bags(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float, settings: Settings = Settings()) -> Model:
+    """:func:`train` on texts that are bags already."""
     s = settings
     rng = np.random.default_rng(s.seed)
     table = rng.uniform(-1.0 / s.dims, 1.0 / s.dims, (s.buckets, s.dims)).astype(np.float32)
     out = rng.uniform(-1.0, 1.0, (s.dims, 2)).astype(np.float32)
     bias = np.zeros(2, dtype=np.float32)
     seen = np.zeros(s.buckets)
-    bags = document_bags(texts, s)
     counts = np.array([len(b[0]) for b in bags], dtype=np.int64)
     order = np.flatnonzero(counts)
     target = np.eye(2, dtype=np.float32)[labels.astype(int)]
@@ -165,25 +174,50 @@ def train(texts: list[str | None], labels: np.ndarray, prior: float, settings: S
     return Model(s, (table @ (out[:, 1] - out[:, 0])).astype(np.float64), float(bias[1] - bias[0] + shift))
 
 
-def training_sample(labelled: DataFrame, label: str, settings: Settings, key: str, text: str) -> tuple[pd.DataFrame, float]:
-    """At most ``per_class`` rows of each class, smallest hash of the key first, and the share of class 1 among all rows."""
-    counts = {r[0]: r["count"] for r in labelled.groupBy(label).count().collect()}  # two rows: the classes are 0 and 1
-    mixed = F.xxhash64(F.col(key).cast("string"))
-    picks = [labelled.where(F.col(label) == c).orderBy(mixed, key).limit(settings.per_class).select(key).withColumn(label, F.lit(c)) for c in (0, 1)]
-    chosen = picks[0].unionByName(picks[1])
-    rows = labelled.select(key, text).join(chosen, key).select(key, text, label).toPandas().sort_values(key, kind="stable")
+def chosen_keys(docs: DataFrame, labels: DataFrame, held_out, label: str, key: str, settings: Settings) -> tuple[DataFrame, float]:
+    """``key``, ``label`` (0 or 1): at most ``per_class`` documents of each class, smallest hash of the key first; and the share of class 1 among all.
+
+    Only keys and labels are read.  A key counts once, however many rows repeat it in either table; its label is
+    the largest that it has.
+    """
+    marks = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("label")).toDF("key", "label")
+    known = docs.where(F.col(key).isNotNull() if held_out is None else F.col(key).isNotNull() & ~held_out).select(F.col(key).alias("key"))
+    marked = marks.join(known, "key", "left_semi")
+    counts = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}  # two rows: the classes are 0 and 1
+    mixed = F.xxhash64(F.col("key").cast("string"))
+    picks = [marked.where(F.col("label") == c).orderBy(mixed, "key").limit(settings.per_class) for c in (0, 1)]
     total = counts.get(0, 0) + counts.get(1, 0)
-    return rows, counts.get(1, 0) / total if total else 0.5
+    return picks[0].unionByName(picks[1]), counts.get(1, 0) / total if total else 0.0
+
+
+def sampled_bags(docs: DataFrame, chosen: DataFrame, key: str, text: str, settings: Settings) -> DataFrame:
+    """``key``, ``label``, ``rows`` and ``shares`` (float32): one subword bag for each chosen document.
+
+    Rows that repeat a key count once, with the text that comes first.
+    """
+    kind = row_kind(settings)
+    near = F.broadcast(chosen)  # at most 2 x ``per_class`` rows
+    own = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(near, "key").groupBy("key", "label").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in byte_slices(batch, "text"):
+                bags = document_bags(part.column("text").to_pylist(), settings)
+                rows = pa.array([b[0].astype(kind).tobytes() for b in bags], pa.binary())
+                shares = pa.array([b[1].astype("<f4").tobytes() for b in bags], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("label"), rows, shares], names=["key", "label", "rows", "shares"])
+
+    return own.mapInArrow(run, f"key {dict(own.dtypes)['key']}, label int, rows binary, shares binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out=None, label: str = "toxic", key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> Model:
     """Train on the documents that ``labels`` marks 0 or 1, without those where the column ``held_out`` is true."""
-    marks = labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias("_label"))
-    known = docs.select(key, text).where(F.col(key).isNotNull())
-    if held_out is not None:
-        known = known.where(~held_out)
-    rows, prior = training_sample(known.join(marks, key), "_label", settings, key, text)
-    return train(rows[text].tolist(), rows["_label"].to_numpy(), prior, settings)
+    chosen, prior = chosen_keys(docs, labels, held_out, label, key, settings)
+    found = sampled_bags(docs, chosen, key, text, settings).toArrow()
+    kind = row_kind(settings)
+    bags = [(np.frombuffer(r.as_buffer(), dtype=kind), np.frombuffer(v.as_buffer(), dtype="<f4")) for r, v in zip(found["rows"], found["shares"], strict=True)]
+    order = np.argsort(np.asarray(found["key"]), kind="stable")
+    return train_on_bags([bags[i] for i in order], np.asarray(found["label"], dtype=np.int64)[order], prior, settings)
 
 
 class Scorer:
@@ -232,8 +266,8 @@ def is_held_out(key: str = "doc_id", folds: int = 4, fold: int = 2):
 def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """Per document: key, ``held_out``, ``score``, ``predicted``; trained without the held-out fold.
 
-    Without any label all scores are one half.  Every row is scored, rows with
-    null or repeated keys too.
+    Without any label nothing is known to be toxic, and all scores are near zero.
+    Every row is scored, rows with null or repeated keys too.
     """
     model = fit(docs, labels, is_held_out(key), key=key, text=text, settings=settings)
     scored = score(docs, model, key, text)
