@@ -2,17 +2,22 @@
 
 A shard holds whole documents in ascending id order.  Its file body is one blob:
 
-    8 bytes   magic ``NSWAVE01``
-    4 x u64   documents, tokens, bit planes, tokens per rank block
+    8 bytes   magic ``NSWAVE02``
+    4 x u64   documents, tokens, bit planes, bits of a chunk
     i64[documents]  document ids          u8[documents]  1 where the id is not null
     u64[documents]  tokens of each document
     u64[planes]     zeros of each plane
-    then for each plane, highest bit first: its bits (u8, big-endian bit order,
-    padded to whole blocks) and the number of ones before each block (u32)
+    u64[planes x chunks]  ones of the plane before each chunk
+    u64[planes x chunks]  bytes of each chunk
+    the chunks, plane by plane, highest bit first
 
 A plane holds one bit of every token; below it, tokens are stably partitioned by
-that bit.  Access, count and occurrence lookup walk the planes with rank and
-select and touch one byte range for each plane.
+that bit, so equal tokens draw together and the planes compress: each chunk of a
+plane's bits (u8, big-endian bit order, the last one padded with zeros) is a zstd
+frame of its own, or plain where that is no shorter.  Access, count and occurrence
+lookup walk the planes with rank and select and decompress only the chunks they
+touch, one or two a plane; the ones before each chunk and a count within it give
+the ranks.
 
 Shards are written by Spark as rows of Parquet files (one blob in one cell), so
 any store Spark can write will do, tasks can be repeated, and half-written files
@@ -34,49 +39,70 @@ from pyspark.sql import functions as F
 
 from .common import Numbered, byte_slices, expand, no_cycle_search, scratch_path, shuffle_partitions
 
-MAGIC = b"NSWAVE01"
-BLOCK = 512
+MAGIC = b"NSWAVE02"
+CHUNK = 1 << 17  # bits
 SHARD_SCHEMA = "shard_no long, n_docs long, n_tokens long, blob binary"
 
 
+def _squeeze(bits: np.ndarray) -> bytes:
+    """One chunk of a plane, compressed if that makes it shorter."""
+    raw = bits.tobytes()
+    small = pa.compress(raw, codec="zstd", asbytes=True)
+    return small if len(small) < len(raw) else raw
+
+
 class WaveletMatrix:
-    """Succinct sequence of tokens below 2**planes."""
+    """Succinct sequence of ``n`` tokens below 2**planes.
+
+    ``zeros``: zeros of each plane; ``ones``: (planes, chunks), ones before each
+    chunk; ``chunks``: compressed bits, by plane and chunk.  The chunk last used of
+    each plane stays open.
+    """
 
-    def __init__(self, n: int, zeros: np.ndarray, planes: list[np.ndarray], ranks: list[np.ndarray]):
-        self.n, self.zeros, self.planes, self.ranks = n, zeros, planes, ranks
+    def __init__(self, n: int, zeros: np.ndarray, ones: np.ndarray, chunks: list[list[bytes | memoryview]]):
+        self.n, self.zeros, self.ones, self.chunks = n, zeros, ones, chunks
+        self._open: dict[int, tuple[int, np.ndarray]] = {}
 
     @classmethod
     def build(cls, tokens: np.ndarray, bits: int) -> WaveletMatrix:
         kind = np.uint16 if bits <= 16 else np.uint32
         rest = tokens.astype(kind)
-        zeros, planes, ranks = np.zeros(bits, dtype=np.uint64), [], []
-        pad = -len(rest) % BLOCK
+        count = -(-len(rest) // CHUNK)
+        zeros, ones, chunks = np.zeros(bits, dtype=np.uint64), np.zeros((bits, count), dtype=np.uint64), []
         for level in range(bits):
             bit = (rest & kind(1 << (bits - 1 - level))).astype(bool)
-            packed = np.packbits(bit)
-            packed = np.concatenate([packed, np.zeros((len(rest) + pad) // 8 - len(packed), dtype=np.uint8)])
-            ones = np.bitwise_count(packed.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.int64)
-            planes.append(packed)
-            ranks.append((np.cumsum(ones) - ones).astype(np.uint32))
+            packed = np.zeros(count * CHUNK // 8, dtype=np.uint8)
+            packed[: -(-len(rest) // 8)] = np.packbits(bit)
+            held = np.bitwise_count(packed.view(np.uint64)).reshape(count, CHUNK // 64).sum(axis=1, dtype=np.uint64)
+            ones[level] = np.cumsum(held) - held
+            chunks.append([_squeeze(part) for part in packed.reshape(count, CHUNK // 8)])
             low = rest[~bit]
             zeros[level] = len(low)
             rest = np.concatenate([low, rest[bit]])
-        return cls(len(tokens), zeros, planes, ranks)
+        return cls(len(tokens), zeros, ones, chunks)
+
+    def _bits(self, level: int, chunk: int) -> np.ndarray:
+        if (known := self._open.get(level)) and known[0] == chunk:
+            return known[1]
+        held = self.chunks[level][chunk]
+        raw = held if len(held) == CHUNK // 8 else pa.decompress(held, CHUNK // 8, codec="zstd")
+        found = np.frombuffer(raw, dtype=np.uint8)
+        self._open[level] = (chunk, found)
+        return found
 
     def _rank1(self, level: int, at: int) -> int:
-        block = at // BLOCK
-        if block == len(self.ranks[level]):
+        chunk, rest = divmod(at, CHUNK)
+        if chunk == len(self.chunks[level]):
             return self.n - int(self.zeros[level])
-        first = block * (BLOCK // 8)
-        whole, part = divmod(at - block * BLOCK, 8)
-        count = int(self.ranks[level][block]) + int(np.bitwise_count(self.planes[level][first : first + whole]).sum())
-        return count + (int(self.planes[level][first + whole] >> (8 - part)).bit_count() if part else 0)
+        bits = self._bits(level, chunk)
+        whole, part = divmod(rest, 8)
+        return int(self.ones[level, chunk]) + int(np.bitwise_count(bits[:whole]).sum()) + (int(bits[whole] >> (8 - part)).bit_count() if part else 0)
 
     def access(self, at: int) -> int:
         """The token at a position."""
         value = 0
-        for level in range(len(self.planes)):
-            bit = int(self.planes[level][at >> 3] >> (7 - (at & 7))) & 1
+        for level in range(len(self.chunks)):
+            bit = int(self._bits(level, at // CHUNK)[at % CHUNK >> 3] >> (7 - (at & 7))) & 1
             ones = self._rank1(level, at)
             at = int(self.zeros[level]) + ones if bit else at - ones
             value = value * 2 + bit
@@ -84,9 +110,9 @@ class WaveletMatrix:
 
     def _range(self, token: int, upto: int) -> tuple[int, int]:
         low, high = 0, upto
-        for level in range(len(self.planes)):
+        for level in range(len(self.chunks)):
             a, b = self._rank1(level, low), self._rank1(level, high)
-            if token >> (len(self.planes) - 1 - level) & 1:
+            if token >> (len(self.chunks) - 1 - level) & 1:
                 low, high = int(self.zeros[level]) + a, int(self.zeros[level]) + b
             else:
                 low, high = low - a, high - b
@@ -94,179 +120,169 @@ class WaveletMatrix:
 
     def count(self, token: int, upto: int | None = None) -> int:
         """Occurrences of a token before a position (in all, without one)."""
-        if token >> len(self.planes):
+        if token >> len(self.chunks):
             return 0
         low, high = self._range(token, self.n if upto is None else upto)
         return high - low
 
     def _select(self, level: int, bit: int, nth: int) -> int:
         """Position of the nth (from 0) such bit of a plane."""
-        before = self.ranks[level].astype(np.int64)
+        before = self.ones[level].astype(np.int64)
         if not bit:
-            before = np.arange(len(before), dtype=np.int64) * BLOCK - before
-        block = int(np.searchsorted(before, nth, side="right")) - 1
-        bits = np.unpackbits(self.planes[level][block * (BLOCK // 8) : (block + 1) * (BLOCK // 8)])
-        return block * BLOCK + int(np.flatnonzero(bits == bit)[nth - before[block]])
+            before = np.arange(len(before), dtype=np.int64) * CHUNK - before
+        chunk = int(np.searchsorted(before, nth, side="right")) - 1
+        return chunk * CHUNK + int(np.flatnonzero(np.unpackbits(self._bits(level, chunk)) == bit)[nth - before[chunk]])
 
     def occurrence(self, token: int, nth: int) -> int:
         """Position of the nth (from 0) occurrence of a token; IndexError beyond the last."""
-        low, high = self._range(token, self.n) if not token >> len(self.planes) else (0, 0)
+        low, high = self._range(token, self.n) if not token >> len(self.chunks) else (0, 0)
         if not 0 <= nth < high - low:
             raise IndexError(nth)
         at = low + nth
-        for level in reversed(range(len(self.planes))):
-            bit = token >> (len(self.planes) - 1 - level) & 1
+        for level in reversed(range(len(self.chunks))):
+            bit = token >> (len(self.chunks) - 1 - level) & 1
             at = self._select(level, bit, at - int(self.zeros[level]) if bit else at)
         return at
 
     def tokens(self) -> np.ndarray:
         """All tokens: the partitions undone from the lowest plane up."""
-        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        kind = np.uint16 if len(self.chunks) <= 16 else np.uint32
         rest = np.zeros(self.n, dtype=kind)
-        for level in reversed(range(len(self.planes))):
-            bit = np.unpackbits(self.planes[level], count=self.n).view(bool)
+        for level in reversed(range(len(self.chunks))):
+            packed = np.concatenate([self._bits(level, c) for c in range(len(self.chunks[level]))] or [np.zeros(0, dtype=np.uint8)])
+            bit = np.unpackbits(packed, count=self.n).view(bool)
             zeros = int(self.zeros[level])
             above = np.empty(self.n, dtype=kind)
             above[~bit] = rest[:zeros]
-            above[bit] = rest[zeros:] | kind(1 << (len(self.planes) - 1 - level))
+            above[bit] = rest[zeros:] | kind(1 << (len(self.chunks) - 1 - level))
             rest = above
         return rest
 
 
 def pack_shard(doc_ids: list[int | None], counts: np.ndarray, tokens: np.ndarray, bits: int) -> bytes:
     matrix = WaveletMatrix.build(tokens, bits)
-    head = np.array([len(doc_ids), len(tokens), bits, BLOCK], dtype="<u8").tobytes()
+    head = np.array([len(doc_ids), len(tokens), bits, CHUNK], dtype="<u8").tobytes()
     known = np.array([d is not None for d in doc_ids], dtype=np.uint8)
     ids = np.array([d or 0 for d in doc_ids], dtype="<i8")
-    parts = [MAGIC, head, ids.tobytes(), known.tobytes(), counts.astype("<u8").tobytes(), matrix.zeros.astype("<u8").tobytes()]
-    for plane, rank in zip(matrix.planes, matrix.ranks, strict=True):
-        parts += [plane.tobytes(), rank.astype("<u4").tobytes()]
-    return b"".join(parts)
+    sizes = np.array([len(c) for plane in matrix.chunks for c in plane], dtype="<u8")
+    parts = [MAGIC, head, ids.tobytes(), known.tobytes(), counts.astype("<u8").tobytes(), matrix.zeros.astype("<u8").tobytes(), matrix.ones.astype("<u8").tobytes(), sizes.tobytes()]
+    return b"".join(chain(parts, chain.from_iterable(matrix.chunks)))
 
 
-def open_shard(blob: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
-    """Document ids, tokens of each document, and the matrix; arrays are views of the blob."""
-    if blob[:8] != MAGIC:
+def open_shard(blob: bytes | memoryview | pa.Buffer) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
+    """Document ids, tokens of each document, and the matrix; all are views of the blob, which is not copied."""
+    view = memoryview(blob)
+    if view[:8] != MAGIC:
         raise ValueError("not a token shard")
-    docs, n, bits, block = (int(x) for x in np.frombuffer(blob, "<u8", 4, 8))
-    if block != BLOCK:
-        raise ValueError("another block size")
+    docs, n, bits, chunk = (int(x) for x in np.frombuffer(view, "<u8", 4, 8))
+    if chunk != CHUNK:
+        raise ValueError("another chunk size")
     at = 40
 
     def take(kind: str, count: int) -> np.ndarray:
         nonlocal at
-        found = np.frombuffer(blob, kind, count, at)
+        found = np.frombuffer(view, kind, count, at)
         at += found.nbytes
         return found
 
     ids, known = take("<i8", docs), take("u1", docs)
     counts, zeros = take("<u8", docs).astype(np.int64), take("<u8", bits)
-    blocks = -(-n // BLOCK)
-    planes, ranks = [], []
-    for _ in range(bits):
-        planes.append(take("u1", blocks * BLOCK // 8))
-        ranks.append(take("<u4", blocks))
-    return [i if k else None for i, k in zip(ids.tolist(), known.tolist(), strict=True)], counts, WaveletMatrix(n, zeros, planes, ranks)
+    count = -(-n // CHUNK)
+    ones, sizes = take("<u8", bits * count).reshape(bits, count), take("<u8", bits * count).reshape(bits, count)
+    chunks: list[list[bytes | memoryview]] = []
+    for plane in sizes.tolist():
+        chunks.append([])
+        for size in plane:
+            chunks[-1].append(view[at : at + size])
+            at += size
+    return [i if k else None for i, k in zip(ids.tolist(), known.tolist(), strict=True)], counts, WaveletMatrix(n, zeros, ones, chunks)
+
+
+#: Characters on which Python and the tokenizer agree throughout: ASCII but for four separators, Latin letters with marks,
+#: common quotes, dashes and signs.  They are normalised already but for their case.
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u0148\u014a-\u017e"
+_UNUSUAL = re.compile("[^\x00-\x1b -~\u00a1\u00a3\u00a7\u00ab\u00b0\u00b7\u00bb\u00bf\u00c0-\u012f\u0131-\u0148\u014a-\u017e\u2013\u2014\u2018\u2019\u201c\u201d\u2022\u2026\u20ac]")
+#: The tokenizer's own pattern (fixed value) over those characters.
+_PIECES = re.compile(f"'(?:[stmd]|re|ve|ll)|[{_LETTERS}]+|[0-9]|[^\\s0-9{_LETTERS}]+")
+#: What the byte-level step (fixed by the format) makes of each byte: printable bytes stand for themselves, the others follow from U+0100 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: b for b in _PRINTABLE} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(_PRINTABLE))}
 
 
 class WordEncoder:
-    """A tokenizer of the tokenizers library that encodes each distinct word once.
+    """A tokenizer of the tokenizers library that puts each distinct piece of text through its model once.
 
     White space splits this tokenizer's texts before anything else does, so a
-    text's ids are its words' ids in a row.  Words are normalised and cut by the
-    library's own parts, together; each distinct piece then goes through its
-    model.  Texts with control characters that Python, but not the library, takes
-    for white space, and words with special-token marks, are encoded whole.
+    text's ids are its words' ids in a row, and a word's are its pieces'.  Texts of
+    usual characters are lower-cased and cut into pieces by one regular expression,
+    as the library's normaliser and splitter would; unusual words go through the
+    library whole, once each.  Texts with control characters that Python, but not
+    the library, takes for white space, and those with special-token marks, are
+    encoded whole.
     """
 
-    ODD_TEXT = re.compile("[\x1c-\x1f]")
+    ODD_TEXT = re.compile("[\x1c-\x1f]|<\\|")
 
-    def __init__(self, path: str, cache_words: int = 700_000, cache_pieces: int = 600_000):
+    def __init__(self, path: str, cache_pieces: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache_words, self.cache_pieces = cache_words, cache_pieces
-        self.pieces = Numbered()
-        self._forget_pieces()
+        self.cache_pieces = cache_pieces
         self._forget()
 
     def _forget(self) -> None:
-        self.words = Numbered()
-        if len(self.pieces) > self.cache_pieces:
-            self._forget_pieces()
+        self.pieces = Numbered()  # a piece, or a line end and an unusual word
         self.flat = np.zeros(1 << 16, dtype=np.int32)
         self.filled = 0
         self.start, self.length = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
-    def _forget_pieces(self) -> None:
-        self.pieces = Numbered()
-        self.piece_ids = np.zeros(0, dtype=np.int32)
-        self.piece_size = np.zeros(0, dtype=np.int64)
-
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of some words in a row, and each word's number of ids."""
-        tk, pieces = self.tokenizer, self.pieces
-        joined = " ".join(words)
-        normal = tk.normalizer.normalize_str(joined) if tk.normalizer else joined
-        gaps = np.flatnonzero(np.frombuffer(normal.encode("utf-32-le"), dtype=np.uint32) == 32)
-        if len(gaps) != len(words) - 1:  # normalising made or took white space
-            rows = [self.whole(w) for w in words]
-            return np.array([i for r in rows for i in r], dtype=np.int32), np.array([len(r) for r in rows], dtype=np.int64)
-        cut = tk.pre_tokenizer.pre_tokenize_str(normal)
-        owner = np.searchsorted(gaps, np.fromiter([o[0] for _, o in cut], dtype=np.int64, count=len(cut)))
-        number = np.fromiter(map(pieces.__getitem__, [p for p, _ in cut]), dtype=np.int64, count=len(cut))
-        if pieces.new:
-            tokenize = tk.model.tokenize
-            rows = [[t.id for t in tokenize(p)] for p in pieces.new]
-            pieces.new = []
-            size = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
-            self.piece_ids = np.concatenate([self.piece_ids, np.fromiter(chain.from_iterable(rows), dtype=np.int32, count=int(size.sum()))])
-            self.piece_size = np.concatenate([self.piece_size, size])
-        size = self.piece_size[number]
-        flat = self.piece_ids[expand((np.cumsum(self.piece_size) - self.piece_size)[number], size)]
-        return flat, np.bincount(owner, weights=size, minlength=len(words)).astype(np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        marked = [w for w in words if "<|" in w]
-        order = [w for w in words if "<|" not in w] + marked if marked else words
-        flat, lengths = self._ids_of(order[: len(order) - len(marked)]) if len(order) > len(marked) else (np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64))
-        if marked:
-            rows = [self.whole(w) for w in marked]
-            flat = np.concatenate([flat, np.array([i for r in rows for i in r], dtype=np.int32)])
-            lengths = np.concatenate([lengths, np.array([len(r) for r in rows], dtype=np.int64)])
-        if self.filled + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(flat), len(self.flat)), dtype=np.int32)])
-        self.flat[self.filled : self.filled + len(flat)] = flat
-        number = np.array([self.words[w] for w in order], dtype=np.int64) if marked else np.arange(len(self.start), len(self.words))
-        base = len(self.start)
-        self.start = np.concatenate([self.start, np.zeros(len(words), dtype=np.int64)])
-        self.length = np.concatenate([self.length, np.zeros(len(words), dtype=np.int64)])
-        self.start[number], self.length[number] = self.filled + np.cumsum(lengths) - lengths, lengths
-        self.filled += len(flat)
-        assert len(self.start) == base + len(words) == len(self.words)
+    def _learn(self, new: list[str]) -> None:
+        """Ids of new pieces, appended to the table in order."""
+        tokenize = self.tokenizer.model.tokenize
+        rows = [
+            self.whole(p[1:]) if p[0] == "\n" else [t.id for t in tokenize(p if p.isascii() and p.isprintable() else p.encode("utf-8").decode("latin-1").translate(_BYTE_CHARS))]
+            for p in new
+        ]
+        size = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+        total = int(size.sum())
+        if self.filled + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(total, len(self.flat)), dtype=np.int32)])
+        self.flat[self.filled : self.filled + total] = np.fromiter(chain.from_iterable(rows), dtype=np.int32, count=total)
+        self.start = np.concatenate([self.start, self.filled + np.cumsum(size) - size])
+        self.length = np.concatenate([self.length, size])
+        self.filled += total
 
     @no_cycle_search()
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and each text's number of ids."""
-        if len(self.words) > self.cache_words:
+        if len(self.pieces) > self.cache_pieces:
             self._forget()
         counts = np.zeros(len(texts), dtype=np.int64)
         index: list[int] = []
         odd: dict[int, list[int]] = {}
-        number = self.words.__getitem__
+        number, cut, unusual, marked = self.pieces.__getitem__, _PIECES.findall, _UNUSUAL.search, self.ODD_TEXT.search
         for i, text in enumerate(texts):
-            if text:
-                if self.ODD_TEXT.search(text):
-                    odd[i] = self.whole(text)
-                    continue
-                found = text.split()
-                counts[i] = len(found)
-                index.extend(map(number, found))
-        if self.words.new:
-            new, self.words.new = self.words.new, []
+            if not text:
+                continue
+            if unusual(text) is None and "<|" not in text:
+                found = cut(text.lower())
+            elif marked(text):
+                odd[i] = self.whole(text)
+                continue
+            else:
+                found = []
+                for word in text.split():
+                    if unusual(word):
+                        found.append("\n" + word)
+                    else:
+                        found += cut(word.lower())
+            counts[i] = len(found)
+            index.extend(map(number, found))
+        if self.pieces.new:
+            new, self.pieces.new = self.pieces.new, []
             self._learn(new)
         at = np.array(index, dtype=np.int64)
         lengths = self.length[at]
@@ -353,7 +369,7 @@ def read_token_shards(spark: SparkSession, path: str, key: str = "doc_id") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, blob in zip(batch.column("shard_no").to_pylist(), batch.column("blob"), strict=True):
-                ids, counts, matrix = open_shard(blob.as_buffer().to_pybytes())
+                ids, counts, matrix = open_shard(blob.as_buffer())
                 data = memoryview(matrix.tokens().astype("<u4")).cast("B")
                 ends = np.cumsum(counts)
                 bounds = [0, *(ends * 4).tolist()]
@@ -368,12 +384,15 @@ def read_token_shards(spark: SparkSession, path: str, key: str = "doc_id") -> Da
 
 
 def token_lookup(spark: SparkSession, path: str, token: int) -> DataFrame:
-    """Per shard: ``shard_no``, ``occurrences`` of a token and the position of the ``first`` one (null: none), by rank and select alone."""
+    """Per shard: ``shard_no``, ``occurrences`` of a token and the position of the ``first`` one (null: none).
+
+    By rank and select alone: of each plane only the chunks that the walk touches are decompressed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, blob in zip(batch.column("shard_no").to_pylist(), batch.column("blob"), strict=True):
-                matrix = open_shard(blob.as_buffer().to_pybytes())[2]
+                matrix = open_shard(blob.as_buffer())[2]
                 n = matrix.count(token)
                 yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([n]), pa.array([matrix.occurrence(token, 0) if n else None], pa.int64())], names=["shard_no", "occurrences", "first"])
 
