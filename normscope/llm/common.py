@@ -21,14 +21,16 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only a session without that setting (tests, notebooks on one machine) gets
-    a local folder of its own.
+    Only a local session without that setting (tests, notebooks) gets a folder of
+    its own; on a cluster a missing setting is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="normscope-"))
         current = spark.sparkContext.getCheckpointDir()
     return current
@@ -46,6 +48,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_name(df: DataFrame, wish: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -171,13 +181,28 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[roots[far]])], names=["u", "v"])
 
 
+def _with_least(edges: DataFrame, by: str, other: str, least: DataFrame, share: int) -> DataFrame:
+    """Each edge with ``m``, the value that ``least (k, m, n)`` has for its end ``by``; n: edges of k.
+
+    Keys of more than ``share`` edges are split over as many tasks as they have shares.
+    They are few (edges / share), so their list is sent to all tasks.
+    """
+    pieces = F.ceil(F.col("n") / share).cast("int")
+    hot = F.broadcast(least.where(F.col("n") > share).select(F.col("k").alias("h"), pieces.alias("pieces")))
+    left = edges.join(hot, F.col(by) == F.col("h"), "left").withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce("pieces", F.lit(1))).cast("int")).drop("h", "pieces")
+    right = least.select("k", "m", F.explode(F.sequence(F.lit(0), F.greatest(pieces, F.lit(1)) - 1)).alias("salt_of"))
+    return left.join(right, (F.col(by) == F.col("k")) & (F.col("salt") == F.col("salt_of"))).drop("salt", "salt_of")
+
+
 def connected_components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of the undirected ``edges (u, v)``; component is its smallest node.
 
     Each round hangs every node on the smallest neighbour it knows (large star,
     then small star), so distances shrink geometrically; a written table ends
-    each round.  Nothing but two counters per round reaches the driver.  Edges
-    with a null end and loops are ignored.  Empty input gives no rows.
+    each round.  A node with more than a quarter of a partition's fair share of the
+    edges, as the root of a large component is, is split over several tasks; there are
+    at most eight such nodes a partition.  Nothing but two counters per round reaches
+    the driver.  Edges with a null end and loops are ignored.  Empty input gives no rows.
     """
     spark = edges.sparkSession
     clean = edges.where("u is not null and v is not null").select(F.col("u").cast("long"), F.col("v").cast("long"))
@@ -185,13 +210,14 @@ def connected_components(edges: DataFrame, name: str = "components", most_rounds
     state = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
     before = stars.agg(*state).first()
     for _ in range(most_rounds):
+        share = max(64, before[0] // (4 * shuffle_partitions(spark)))
         # Rows (u, v) say u > v.  Large star: each node's larger neighbours move to the smallest of all its neighbours.
         both = stars.select("u", "v").unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = stars.join(least, stars.v == least.k).select("u", F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"), "n")
+        large = _with_least(stars, "v", "u", least, share).select("u", F.col("m").alias("v"))
         # Small star: each node's smaller neighbours, and the node, move to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        moved = large.join(low, large.u == low.k).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("k"), "m", "n")
+        moved = _with_least(large, "u", "v", low, share).select(F.col("v").alias("u"), F.col("m").alias("v"))
         nxt = moved.unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).where("u > v").distinct()
         stars = materialise(nxt, name)
         after = stars.agg(*state).first()

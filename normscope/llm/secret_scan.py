@@ -1,14 +1,15 @@
 """Secret scans over a trigram inverted index, in DataFrame functions alone.
 
-Every rule's regular expression is turned into a Boolean trigram query: an OR,
-over its keyword alternatives, of the ANDs of their trigrams (letters compared in
-lower case).  The index holds postings (trigram, document) for the trigrams that
-the rules' queries name.  Intersecting a rule's postings leaves its candidate
-documents, and only those meet its expression; a rule without mandatory trigrams
-scans every document.
+Every rule's regular expression is read into a Boolean trigram query: what every
+match's text must hold, as ANDs and ORs of three characters in a row (letters
+compared in lower case).  The index is a table of postings (trigram, document) for
+the trigrams that the queries name.  Postings meet by document, which intersects
+and unites them as each query says and leaves each rule's candidate documents; only
+those meet its expression.  A rule without mandatory trigrams scans every document.
 
 Spans come from splitting a text at a rule's matches: lengths of the parts
-between and of the matches add up to every match's place.
+between and of the matches add up to every match's place.  Sums run over blocks of
+matches, so a text's time grows with its matches, not with their square.
 """
 
 from __future__ import annotations
@@ -16,21 +17,22 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from functools import reduce
+from itertools import product
+from re import _constants as C
+from re import _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh_name, materialise
+
 
 @dataclass(frozen=True)
 class Rule:
-    """``keywords``: alternatives of which a match holds at least one, as literal text (empty: none is mandatory).
-
-    ``group`` must have ``least`` characters for a match to count.
-    """
+    """``group`` must have ``least`` characters for a match to count."""
 
     kind: str
     pattern: str
-    keywords: tuple[str, ...] = ()
     group: int = 0
     least: int = 0
 
@@ -39,40 +41,98 @@ def any_case(word: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else re.escape(c) for c in word)
 
 
-_KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 #: The three base kinds, in the order in which they are listed.
 BASE_RULES = (
-    Rule(
-        "assign",
-        "(" + "|".join(map(any_case, _KEYWORDS[:4])) + "|" + any_case("api") + "_?" + any_case("key") + ")[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
-        _KEYWORDS,
-        2,
-        12,
-    ),
+    Rule("assign", "(" + "|".join(map(any_case, ("password", "passwd", "secret", "token"))) + "|" + any_case("api") + "_?" + any_case("key") + ")[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12),
     # A run that is too short holds no longer one, so the bound can stand in the expression.
-    Rule("access", "AKIA[A-Z0-9]{14,}", ("AKIA",)),
+    Rule("access", "AKIA[A-Z0-9]{14,}"),
     Rule("hex", "[0-9a-f]{16,}"),
 )
 #: Kinds that this scan adds.
 MORE_RULES = (
-    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", ("PRIVATE KEY-----",)),
-    Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
-    Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
-    Rule("google", "AIza[A-Za-z0-9_-]{35}", ("AIza",)),
-    Rule("jwt", "eyJ[A-Za-z0-9_-]{10,}\\.eyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}", (".eyJ",)),
+    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("google", "AIza[A-Za-z0-9_-]{35}"),
+    Rule("jwt", "eyJ[A-Za-z0-9_-]{10,}\\.eyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}"),
 )
 RULES = BASE_RULES + MORE_RULES
 
-
-def trigrams(word: str) -> frozenset[str]:
-    low = word.lower()
-    return frozenset(low[i : i + 3] for i in range(len(low) - 2))
-
-
-def trigram_query(rule: Rule) -> list[frozenset[str]] | None:
-    """The OR of ANDs that every match's text satisfies; None: no mandatory trigram."""
-    parts = [trigrams(k) for k in rule.keywords]
-    return parts if parts and all(parts) else None
+#: A trigram query: a trigram, or ("and" | "or", its parts); None demands nothing.
+Query = str | tuple[str, tuple] | None
+#: More texts than this for a part of an expression, and its trigrams demand nothing by themselves.
+MOST_TEXTS = 40
+#: Candidates are broadcast up to this number (16 bytes each, some 40 in the join's table); more are joined by key.
+MOST_BROADCAST = 500_000
+
+
+def _both(kind: str, parts: list[Query]) -> Query:
+    """The AND or OR of some queries, flat and without repeats."""
+    if kind == "or" and (not parts or None in parts):
+        return None
+    flat: list[Query] = []
+    for p in parts:
+        for q in p[1] if isinstance(p, tuple) and p[0] == kind else [p]:
+            if q is not None and q not in flat:
+                flat.append(q)
+    return flat[0] if len(flat) == 1 else (kind, tuple(flat)) if flat else None
+
+
+def _of_texts(texts: frozenset[str]) -> Query:
+    """One of some texts stands here: an OR of the ANDs of their trigrams, without those that another one covers."""
+    held = sorted({tuple(dict.fromkeys(t[i : i + 3] for i in range(len(t) - 2))) for t in texts}, key=lambda x: (len(x), x))
+    least = [x for k, x in enumerate(held) if not any(set(y) <= set(x) for y in held[:k])]
+    return _both("or", [_both("and", list(x)) for x in least])
+
+
+def _demands(items: list) -> tuple[frozenset[str] | None, Query]:
+    """Of parsed items in a row: all texts that they match, in lower case, or None if too many; and what a match must hold."""
+    run: frozenset[str] | None = frozenset([""])  # texts of the items since the last that has too many
+    found: list[Query] = []
+    whole = True
+    for op, value in items:
+        texts, query = _demand(op, value)
+        if texts is not None and len(run) * len(texts) <= MOST_TEXTS:
+            run = frozenset(a + b for a, b in product(run, texts))
+            continue
+        found += [_of_texts(run), query]
+        run, whole = texts if texts is not None else frozenset([""]), False
+    return run if whole else None, _both("and", [*found, _of_texts(run)])
+
+
+def _demand(op, value) -> tuple[frozenset[str] | None, Query]:
+    """The same for one parsed item."""
+    if op is C.LITERAL:
+        return frozenset([chr(value).lower()]), None
+    if op is C.IN and all(k in (C.LITERAL, C.RANGE) for k, _ in value):
+        codes = {c for k, v in value for c in ([v] if k is C.LITERAL else range(v[0], min(v[1], v[0] + 99) + 1))}
+        texts = frozenset(chr(c).lower() for c in codes)
+        return (texts if len(texts) <= 8 else None), None
+    if op is C.SUBPATTERN:
+        return _demands(list(value[3]))
+    if op is C.BRANCH:
+        branches = [_demands(list(b)) for b in value[1]]
+        texts = frozenset().union(*(t for t, _ in branches if t is not None))
+        exact = all(t is not None for t, _ in branches) and len(texts) <= MOST_TEXTS
+        return (texts if exact else None), _both("or", [q if t is None else _of_texts(t) for t, q in branches])
+    if op in (C.MAX_REPEAT, C.MIN_REPEAT):
+        least, most, inner = value
+        texts, query = _demands(list(inner))
+        if texts is not None and most != C.MAXREPEAT and len(texts) ** int(most) <= MOST_TEXTS:
+            return frozenset("".join(p) for n in range(least, int(most) + 1) for p in product(texts, repeat=n)), None
+        return None, (query if least else None)
+    if op is C.AT:
+        return frozenset([""]), None
+    return None, None  # classes, any character and the like demand nothing
+
+
+def trigram_query(rule: Rule) -> Query:
+    """What every match's text holds, in lower case, derived from the rule's expression; None: no mandatory trigram."""
+    return _demands(list(_parser.parse(rule.pattern)))[1]
+
+
+def trigrams_of(query: Query) -> set[str]:
+    return {query} if isinstance(query, str) else set().union(*map(trigrams_of, query[1])) if query else set()
 
 
 def trigram_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -80,60 +140,73 @@ def trigram_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "
 
     A row for each trigram that a document holds.  Null texts and keys have none.
     """
-    wanted = sorted({t for r in rules for part in trigram_query(r) or [] for t in part})
+    wanted = sorted(set().union(*(trigrams_of(trigram_query(r)) for r in rules)))
     low = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.lower(text).alias("low"))
-    held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in wanted)))
+    held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in wanted))) if wanted else F.array().cast("array<string>")
     return low.select("doc", F.explode(held).alias("trigram"))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``doc``, ``kinds``: the rules whose trigram queries a document's postings satisfy.
+    """``doc``, ``rules`` (bit k: rule k): the rules whose trigram queries a document's postings satisfy.
 
-    Postings meet by document; one pass answers all rules' queries, each AND as a
-    count of its distinct trigrams.
+    The postings of a document meet in one row, partially before the shuffle: a bit
+    for each trigram.  An AND intersects postings, an OR unites them.
     """
-    indexed = [r for r in rules if trigram_query(r) is not None]
-    names = sorted({t for r in indexed for part in trigram_query(r) for t in part})
-    bit = {t: k for k, t in enumerate(names)}
-    if len(bit) > 120:
-        raise ValueError("more trigrams than two masks hold")
-
-    def mask(part: frozenset[str], half: int) -> int:
-        return sum(1 << (bit[t] - 60 * half) for t in part if bit[t] // 60 == half)
-
-    # Each posting is one bit of its document's mask; bits of all its postings are ORed, partially before the shuffle.
-    halves = []
-    for half in (0, 1):
-        own = [x for t in names if bit[t] // 60 == half for x in (F.lit(t), F.lit(1 << (bit[t] - 60 * half)).cast("long"))]
-        value = F.coalesce(F.create_map(*own)[F.col("trigram")], F.lit(0).cast("long")) if own else F.lit(0).cast("long")
-        halves.append(F.bit_or(value).alias(f"m{half}"))
-    masks = index.groupBy("doc").agg(*halves)
-
-    def satisfied(rule: Rule) -> Column:
-        parts = [reduce(lambda x, y: x & y, [F.col(f"m{h}").bitwiseAND(F.lit(mask(p, h)).cast("long")) == mask(p, h) for h in (0, 1)]) for p in trigram_query(rule)]
-        return reduce(lambda x, y: x | y, parts)
-
-    kinds = F.array_compact(F.array(*(F.when(satisfied(r), F.lit(r.kind)) for r in indexed)))
-    return masks.select("doc", kinds.alias("kinds")).where(F.size("kinds") > 0)
-
-
-def _spans(rule: Rule, place: int, text: Column) -> Column:
-    """array<struct<start, place, end, kind>> of a rule's matches in a text, in code points."""
-    between = F.split(text, rule.pattern, -1)
-    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    kept = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
-    lengths = F.arrays_zip(F.transform(F.slice(between, 1, F.size(whole)), F.length).alias("gap"), F.transform(whole, F.length).alias("size"), F.transform(kept, F.length).alias("held"))
-    empty = F.array().cast("array<struct<start:int,place:int,end:int,kind:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
-
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["gap"]
-        end = begin + x["size"]
-        span = F.struct(begin.alias("start"), F.lit(place).alias("place"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(x["held"] >= rule.least, F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"))
-
-    found = F.aggregate(lengths, start, step, lambda s: s["found"])
-    return F.when(text.rlike(rule.pattern), found).otherwise(empty)
+    queries = [trigram_query(r) for r in rules]
+    names = sorted(set().union(*map(trigrams_of, queries)))
+    place = {t: divmod(k, 60) for k, t in enumerate(names)}
+    masks = []
+    for half in range(-(-len(names) // 60)):
+        own = [x for t in names if place[t][0] == half for x in (F.lit(t), F.lit(1 << place[t][1]).cast("long"))]
+        masks.append(F.bit_or(F.coalesce(F.create_map(*own)[F.col("trigram")], F.lit(0).cast("long"))).alias(f"m{half}"))
+    if not masks:
+        return index.select("doc", F.lit(0).cast("long").alias("rules")).limit(0)
+
+    def met(query: Query) -> Column:
+        if isinstance(query, str):
+            half, bit = place[query]
+            return F.col(f"m{half}").bitwiseAND(F.lit(1 << bit).cast("long")) != 0
+        return reduce((lambda x, y: x & y) if query[0] == "and" else (lambda x, y: x | y), map(met, query[1]))
+
+    bits = reduce(lambda x, y: x + y, [F.when(met(q), F.lit(1 << k)).otherwise(0).cast("long") for k, q in enumerate(queries) if q is not None])
+    return index.groupBy("doc").agg(*masks).select("doc", bits.alias("rules")).where("rules <> 0")
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+#: Matches of a block: sums add up within blocks of this many matches, then over the blocks.
+BLOCK = 64
+SPAN = "struct<start:int,place:int,end:int,kind:string>"
+#: In both, ``transform(array(x), v -> ..)[0]`` computes x once.  Blocks of matches, each with its length and its matches' places in it; then the blocks' own places.
+_SPANS = """CASE WHEN {body} RLIKE {pattern} THEN
+  transform(array(transform(array(transform(array(struct(regexp_extract_all({body}, {pattern}, 0) AS whole, split({body}, {pattern}, -1) AS gaps, regexp_extract_all({body}, {pattern}, {group}) AS held)),
+    x -> transform(x.whole, (m, i) -> struct(length(x.gaps[i]) AS gap, length(m) AS size, length(x.held[i]) AS held)))[0]),
+    v -> transform(sequence(0, CAST((size(v) - 1) DIV {block} AS INT)), b -> aggregate(slice(v, b * {block} + 1, {block}),
+      struct(0 AS at, CAST(array() AS array<struct<start:int,end:int,held:int>>) AS found),
+      (s, x) -> struct(s.at + x.gap + x.size AS at, concat(s.found, array(struct(s.at + x.gap AS start, s.at + x.gap + x.size AS end, x.held AS held))) AS found))))[0]),
+    v -> flatten(zip_with(v, aggregate(v, struct(0 AS at, CAST(array() AS array<int>) AS before), (s, x) -> struct(s.at + x.at AS at, concat(s.before, array(s.at)) AS before), s -> s.before),
+      (b, at) -> transform(filter(b.found, f -> f.held >= {least}), f -> struct(f.start + at AS start, {place} AS place, f.end + at AS end, {kind} AS kind)))))[0]
+  ELSE CAST(array() AS array<struct<start:int,place:int,end:int,kind:string>>) END"""
+#: The parts of a text between its spans, which may overlap: blocks of spans that know the last end before them; a block's parts are cut from its own stretch of the text.
+_SWEPT = """CASE WHEN size({spans}) > 0 THEN array_join(concat(flatten(transform(
+  transform(array(transform(sequence(0, CAST((size({spans}) - 1) DIV {block} AS INT)), b -> slice({spans}, b * {block} + 1, {block}))),
+    v -> filter(zip_with(v, aggregate(v, struct(0 AS at, CAST(array() AS array<int>) AS before), (s, x) -> struct(greatest(s.at, array_max(transform(x, y -> y.end))) AS at, concat(s.before, array(s.at)) AS before), s -> s.before),
+      (b, at) -> aggregate(b, struct(at AS at, CAST(array() AS array<struct<start:int,end:int>>) AS gaps),
+        (s, x) -> struct(greatest(s.at, x.end) AS at, if(x.start >= s.at, concat(s.gaps, array(struct(s.at AS start, x.start AS end))), s.gaps) AS gaps), s -> s.gaps)), g -> size(g) > 0))[0],
+  g -> transform(array(substring({body}, g[0].start + 1, g[size(g) - 1].end - g[0].start)), own -> transform(g, x -> substring(own, x.start - g[0].start + 1, x.end - x.start)))[0])),
+  array(substring({body}, array_max(transform({spans}, x -> x.end)) + 1, length({body})))), {mark}) ELSE {body} END"""
+
+
+def _spans(rule: Rule, place: int, text: str) -> Column:
+    """array<struct<start, place, end, kind>> of a rule's matches in a text column, in code points."""
+    body = f"coalesce({_name(text)}, '')"
+    return F.expr(_SPANS.format(body=body, pattern=_literal(rule.pattern), group=rule.group, least=rule.least, place=place, kind=_literal(rule.kind), block=BLOCK))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -141,21 +214,25 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id",
 
     Null and empty texts have none.  Rows with a repeated key share their
     candidates; rows with a null key meet every rule.  A column named ``spans``
-    is replaced.
+    is replaced; other columns may have any name.
+
+    The candidates are written and counted; up to ``MOST_BROADCAST`` they are sent to
+    the texts, so no text is shuffled, more of them meet the texts by key.
     """
     kept = docs.drop("spans")
-    found = candidates(trigram_index(kept, rules, key, text), rules).select(F.col("doc").alias("_doc"), F.col("kinds").alias("_kinds"))
-    joined = kept.join(found, F.col(key) == F.col("_doc"), "left")
-    body = F.coalesce(F.col(text), F.lit(""))
-    none = F.array().cast("array<struct<start:int,place:int,end:int,kind:string>>")
+    doc, mask = fresh_name(kept, "doc"), fresh_name(kept, "rules")
+    found = materialise(candidates(trigram_index(kept, rules, key, text), rules), "candidates").toDF(doc, mask)
+    found = F.broadcast(found) if found.count() <= MOST_BROADCAST else found
+    joined = kept.join(found, F.col(key) == F.col(doc), "left")
+    none = F.array().cast(f"array<{SPAN}>")
     parts = []
     for place, rule in enumerate(rules):
-        spans = _spans(rule, place, body)
+        spans = _spans(rule, place, text)
         if trigram_query(rule) is not None:
-            candidate = F.coalesce(F.array_contains("_kinds", rule.kind), F.lit(False)) | F.col(key).isNull()
+            candidate = (F.coalesce(F.col(mask), F.lit(0).cast("long")).bitwiseAND(F.lit(1 << place).cast("long")) != 0) | F.col(key).isNull()
             spans = F.when(candidate, spans).otherwise(none)
         parts.append(spans)
-    return joined.withColumn("spans", F.array_sort(F.concat(*parts))).drop("_doc", "_kinds")
+    return joined.withColumn("spans", F.array_sort(F.concat(*parts))).drop(doc, mask)
 
 
 def _line(spans: Column) -> Column:
@@ -175,17 +252,10 @@ def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The documents with every span (overlapping ones merged) replaced by ``mark``; all columns and rows stay."""
-    body = F.col(text)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        piece = F.concat(state["out"], F.substring(body, state["at"] + 1, s["start"] - state["at"]), F.lit(mark))
-        fresh = s["start"] >= state["at"]
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, piece).otherwise(state["out"]).alias("out"))
-
-    clean = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.substring(body, s["at"] + 1, F.length(body))))
-    found = scan(docs, rules, key, text)
-    return found.withColumn(text, F.when(F.size("spans") > 0, clean).otherwise(body)).select(*docs.columns)
+    own = fresh_name(docs, "own_spans")
+    found = scan(docs.withColumnRenamed("spans", own), rules, key, text)
+    swept = found.withColumn(text, F.expr(_SWEPT.format(spans="spans", body=_name(text), mark=_literal(mark), block=BLOCK)))
+    return swept.drop("spans").withColumnRenamed(own, "spans").select(*docs.columns)
 
 
 def oracle_sql(rules: tuple[Rule, ...] = RULES, table: str = "documents") -> str:
