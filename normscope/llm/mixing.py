@@ -1,18 +1,20 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents fall into cells (source, language, topic) with a token count each.
-Raking scales the cells' token weights until their sums over sources, languages
-and topics equal the targets; each cell's documents are then sampled with one
-probability, so that the expected token budget is met.
-
-The topic of a document is the register its whole text is written in, told by the
-share of digits, of marks and of line ends (a column named ``topic`` is used
-instead where the table has one).
+Raking scales what is taken of the cells until the sums over sources, languages and
+topics have the targets' shares; a cell cannot give more than it holds, so every
+step of the raking is bounded by that, and what a full cell cannot give the others
+of its source, language and topic do.  Each cell's documents are then sampled with
+one probability.  The targets win over the budget: where a value's target is more
+than the table can give, the sample gets smaller.
+
+Tables of documents carry no topic; unless a column has that name, the register
+that the whole text is written in stands in for it, told by the share of digits, of
+marks and of line ends.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fresh_name, materialise
 
 DIMENSIONS = ("source", "lang", "topic")
 #: ASCII characters that are neither letters, digits, white space nor the marks of plain prose.
@@ -29,15 +31,18 @@ MARKS = "!\"#$%&()*+/<=>@[\\]^_`{|}~"
 
 @dataclass(frozen=True)
 class Mix:
-    """``temper``: without explicit targets, a margin's target is its own shares to this power, made to sum to one.
+    """``temper``: without explicit targets, a margin's target is its own shares to this power, made to sum to one,
+    where no value's target is more than it holds of the budget.
 
-    ``budget``: expected share of all tokens to keep.  ``rounds``: of raking.
-    ``most_cells``: more cells than this are raked by Spark, not in the driver.
+    ``budget``: share of all tokens to keep, at most.  ``rounds``: of raking, at most.
+    ``settled``: relative change of a round below which raking ends.
+    ``most_cells``: more cells than this are raked by Spark, not in the driver, in the same steps.
     """
 
     temper: float = 0.7
     budget: float = 0.8
-    rounds: int = 25
+    rounds: int = 60
+    settled: float = 1e-10
     most_cells: int = 200_000
 
 
@@ -66,107 +71,114 @@ def measured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(key, *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in DIMENSIONS[:2]), F.coalesce(topic, F.lit("")).alias("topic"), token_count(F.col(text)).alias("n_tokens"))
 
 
-def tempered(shares: pd.Series, power: float) -> pd.Series:
-    raised = shares**power
-    return raised / raised.sum()
+FILLS = 8  # steps in which tempered targets settle under their bounds, at most
 
 
-def rake(cells: pd.DataFrame, targets: dict[str, pd.Series], rounds: int) -> np.ndarray:
-    """Weights (summing to one) of cells with the tokens of ``cells``, fitted to the targets one margin after the other."""
-    weight = cells["tokens"].to_numpy(dtype=np.float64)
-    weight = weight / weight.sum()
-    codes = {d: cells[d].astype("category").cat for d in targets}
-    for _ in range(rounds):
-        for d, target in targets.items():
-            code, names = codes[d].codes, codes[d].categories
-            sums = np.bincount(code, weights=weight, minlength=len(names))
-            want = target.reindex(names).fillna(0.0).to_numpy()
-            weight = weight * np.divide(want, sums, out=np.zeros_like(sums), where=sums > 0)[code]
-    return weight
+def tempered(shares: pd.Series, mix: Mix) -> pd.Series:
+    """Shares to the power ``temper``, none above its own share of the budget; what is cut off goes to the others."""
+    raised, most = shares**mix.temper, shares / mix.budget
+    full = pd.Series(False, index=shares.index)
+    for _ in range(FILLS):
+        scale = (1.0 - most[full].sum()) / raised[~full].sum() if not full.all() else 0.0
+        full |= raised * scale >= most
+    return most.where(full, raised * ((1.0 - most[full].sum()) / raised[~full].sum() if not full.all() else 0.0))
 
 
-def probabilities(cells: pd.DataFrame, weight: np.ndarray, budget: float) -> np.ndarray:
-    """Sampling probability of each cell: weight over natural share, scaled so that ``budget`` of the tokens is expected.
+def _goals(cells: pd.DataFrame, mix: Mix, targets: dict[str, dict[str, float]] | None) -> tuple[dict[str, pd.Series], float]:
+    """Each dimension's tokens by value, and the sample's size in tokens: the budget, or less where a target asks for more than there is."""
+    total = float(cells["tokens"].sum())
+    shares, size = {}, mix.budget * total
+    for d in DIMENSIONS:
+        held = cells.groupby(d)["tokens"].sum().astype(float)
+        if targets and d in targets:
+            wanted = pd.Series(targets[d], dtype=float)
+            shares[d] = (wanted / wanted.sum()).reindex(held.index).fillna(0.0)
+            asked = shares[d] > 0
+            size = min(size, float((held[asked] / shares[d][asked]).min())) if asked.any() else 0.0
+        else:
+            shares[d] = tempered(held / total, mix)
+    return {d: s * size for d, s in shares.items()}, size
 
-    Cells cannot give more than they hold: those that reach one stay there, and
-    the rest share what is left of the budget.
-    """
-    tokens = cells["tokens"].to_numpy(dtype=np.float64)
-    want = budget * tokens.sum()
-    ratio = np.divide(weight * tokens.sum(), tokens, out=np.zeros_like(weight), where=tokens > 0)
-    full = np.zeros(len(tokens), dtype=bool)
-    scale = 1.0
-    while not full.all():
-        held = tokens[full].sum()
-        rest = (ratio * tokens)[~full].sum()
-        scale = (want - held) / rest if rest > 0 else 0.0
-        more = ~full & (ratio * scale >= 1.0)
-        if not more.any():
+
+def rake(cells: pd.DataFrame, goals: dict[str, pd.Series], mix: Mix) -> np.ndarray:
+    """Tokens taken of each cell: scaled to one margin's goals after the other, never more than the cell holds."""
+    held = cells["tokens"].to_numpy(dtype=np.float64)
+    taken = held.copy()
+    codes = {d: cells[d].astype("category").cat for d in goals}
+    for _ in range(mix.rounds):
+        before = taken
+        for d, goal in goals.items():
+            code, names = codes[d].codes, codes[d].categories
+            sums = np.bincount(code, weights=taken, minlength=len(names))
+            want = goal.reindex(names).fillna(0.0).to_numpy()
+            taken = np.minimum(held, taken * np.divide(want, sums, out=np.zeros_like(sums), where=sums > 0)[code])
+        if (np.abs(taken - before) <= mix.settled * held).all():
             break
-        full |= more
-    return np.where(full, 1.0, np.minimum(1.0, ratio * scale))
+    return taken
 
 
 def fitted_cells(measures: DataFrame, mix: Mix = Mix(), targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """The cells with ``tokens``, raked ``weight`` and ``probability``.
+    """The cells with ``tokens``, ``weight`` (share of the sample's tokens) and ``probability``.
 
     ``targets``: shares by value for some of the dimensions; the others are
-    tempered.  Cells without tokens have weight zero and probability one (there
-    is nothing to balance).  Values without a target get none of the mix.
+    tempered.  A target for a value that the table lacks is unreachable: the other
+    values keep their proportions.  Cells without tokens have weight zero and
+    probability one (there is nothing to balance).  Values without a target get none
+    of the mix.
     """
     spark = measures.sparkSession
     cells = measures.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
     schema = "source string, lang string, topic string, tokens long, weight double, probability double"
-    size = cells.count()
-    if size > mix.most_cells:
+    cells = materialise(cells, "cells")
+    if cells.count() > mix.most_cells:
         return _fitted_by_spark(cells, mix, targets)
     frame = cells.toPandas().sort_values(list(DIMENSIONS), kind="stable").reset_index(drop=True)
-    filled = frame[frame["tokens"] > 0].reset_index(drop=True)
+    filled = (frame["tokens"] > 0).to_numpy()
     out = frame.assign(weight=0.0, probability=1.0)
-    if len(filled):
-        wanted = {}
-        for d in DIMENSIONS:
-            if targets and d in targets:
-                series = pd.Series(targets[d], dtype=float)
-                wanted[d] = series / series.sum()
-            else:
-                sums = filled.groupby(d)["tokens"].sum()
-                wanted[d] = tempered(sums / sums.sum(), mix.temper)
-        weight = rake(filled, wanted, mix.rounds)
-        out.loc[(frame["tokens"] > 0).to_numpy(), "weight"] = weight
-        out.loc[(frame["tokens"] > 0).to_numpy(), "probability"] = probabilities(filled, weight, mix.budget)
+    if filled.any():
+        own = frame[filled].reset_index(drop=True)
+        goals, _ = _goals(own, mix, _present(own, targets))
+        taken = rake(own, goals, mix)
+        out.loc[filled, "weight"] = taken / taken.sum() if taken.sum() > 0 else 0.0
+        out.loc[filled, "probability"] = taken / own["tokens"].to_numpy()
     return spark.createDataFrame(out.astype({"tokens": "int64"}), schema) if len(out) else spark.createDataFrame([], schema)
 
 
+def _present(cells: pd.DataFrame, targets: dict[str, dict[str, float]] | None) -> dict[str, dict[str, float]] | None:
+    """The targets of values that the cells have."""
+    return {d: {k: v for k, v in t.items() if k in set(cells[d])} for d, t in targets.items()} if targets else targets
+
+
 def _fitted_by_spark(cells: DataFrame, mix: Mix, targets: dict[str, dict[str, float]] | None) -> DataFrame:
-    """The same raking where the cells themselves are many: sums by Spark, a written table after each round."""
-    state = cells.where("tokens > 0")
-    total = state.agg(F.sum("tokens")).first()[0]
-    state = materialise(state.withColumn("weight", F.col("tokens") / F.lit(float(total))), "cells")
-    goals = {}
+    """The same steps where the cells themselves are many: margins by Spark, a written table after each round.
+
+    A margin's values are brought to the driver for its goals, so one dimension may
+    have at most ``most_cells`` values, the three together any number of cells.
+    """
+    state = materialise(cells.where("tokens > 0").withColumn("taken", F.col("tokens").cast("double")), "cells")
+    total = float(state.agg(F.sum("tokens")).first()[0])
+    size, shares = mix.budget * total, {}
     for d in DIMENSIONS:
-        if targets and d in targets:
-            whole = sum(targets[d].values())
-            goals[d] = state.sparkSession.createDataFrame([(k, v / whole) for k, v in targets[d].items()], f"{d} string, goal double")
-        else:
-            sums = state.groupBy(d).agg((F.sum("tokens") / F.lit(float(total))).alias("share"))
-            norm = sums.agg(F.sum(F.pow("share", F.lit(mix.temper)))).first()[0]
-            goals[d] = materialise(sums.select(d, (F.pow("share", F.lit(mix.temper)) / norm).alias("goal")), "goals")
+        sums = state.groupBy(d).agg(F.sum("tokens").alias("tokens")).limit(mix.most_cells + 1).toPandas()
+        if len(sums) > mix.most_cells:
+            raise ValueError(f"{d} has more than {mix.most_cells} values")
+        own = sums.assign(**{x: "" for x in DIMENSIONS if x != d})
+        goals, bound = _goals(own, mix, _present(own, {k: v for k, v in (targets or {}).items() if k == d}))
+        shares[d] = goals[d] / bound if bound else goals[d]
+        size = min(size, bound)
+    goals = {d: F.broadcast(state.sparkSession.createDataFrame([(k, float(v * size)) for k, v in sorted(shares[d].items())], f"{d} string, goal double")) for d in DIMENSIONS}
     for _ in range(mix.rounds):
+        before = state
+        moved = state.withColumnRenamed("taken", "was").withColumn("taken", F.col("was"))
         for d in DIMENSIONS:
-            factor = state.groupBy(d).agg(F.sum("weight").alias("s")).join(goals[d], d, "left").select(d, F.when(F.col("s") > 0, F.coalesce("goal", F.lit(0.0)) / F.col("s")).otherwise(0.0).alias("f"))
-            state = state.join(factor, d).select(*DIMENSIONS, "tokens", (F.col("weight") * F.col("f")).alias("weight"))
-        state = materialise(state, "cells")
-    ratio = F.col("weight") * F.lit(float(total)) / F.col("tokens")
-    # The scale that meets the budget, by bisection: each step is one sum.
-    low, high = 0.0, 1.0
-    kept = lambda scale: state.agg(F.sum(F.least(F.lit(1.0), ratio * scale) * F.col("tokens"))).first()[0]
-    while kept(high) < mix.budget * total * (1 - 1e-9) and high < 1e9:
-        high *= 2
-    for _ in range(40):
-        middle = (low + high) / 2
-        low, high = (middle, high) if kept(middle) < mix.budget * total else (low, middle)
-    fitted = state.withColumn("probability", F.least(F.lit(1.0), ratio * high))
+            sums = moved.groupBy(d).agg(F.sum("taken").alias("sum")).join(goals[d], d)
+            factor = F.broadcast(sums.select(d, F.when(F.col("sum") > 0, F.col("goal") / F.col("sum")).otherwise(0.0).alias("factor")))
+            moved = materialise(moved.join(factor, d).withColumn("taken", F.least(F.col("tokens").cast("double"), F.col("taken") * F.col("factor"))).select(*DIMENSIONS, "tokens", "was", "taken"), "cells")
+        state = moved.drop("was")
+        if not moved.where(F.abs(F.col("taken") - F.col("was")) > mix.settled * F.col("tokens")).head(1):
+            break
+    kept = state.agg(F.sum("taken")).first()[0]
+    fitted = state.select(*DIMENSIONS, "tokens", (F.col("taken") / F.lit(kept or 1.0)).alias("weight"), (F.col("taken") / F.col("tokens")).alias("probability"))
     empty = cells.where("coalesce(tokens, 0) = 0").select(*DIMENSIONS, "tokens", F.lit(0.0).alias("weight"), F.lit(1.0).alias("probability"))
     return fitted.unionByName(empty)
 
@@ -180,24 +192,31 @@ def mixture(docs: DataFrame, mix: Mix = Mix(), targets: dict[str, dict[str, floa
     """
     measures = materialise(measured(docs, key, text), "measures")
     cells = fitted_cells(measures, mix, targets)
-    joined = measures.join(cells.select(*DIMENSIONS, "probability"), list(DIMENSIONS))
+    chances = cells.select(*DIMENSIONS, "probability")
+    joined = measures.join(F.broadcast(chances) if cells.count() <= mix.most_cells else chances, list(DIMENSIONS))
     return joined.select(key, *DIMENSIONS, "n_tokens", F.round("probability", 6).alias("probability"), (lottery(F.col(key)) < F.round("probability", 6)).alias("kept"))
 
 
 def sample_documents(docs: DataFrame, mix: Mix = Mix(), targets: dict[str, dict[str, float]] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The sampled documents, with their own columns only."""
-    measures = measured(docs, key, text)
+    """The sampled documents, with their own columns only, whatever their names.
+
+    Up to ``most_cells`` cells are sent to the texts, so none is shuffled; more are joined by key.
+    """
+    measures = materialise(measured(docs, key, text), "measures")
     cells = fitted_cells(measures, mix, targets)
-    topic: Callable[[], Column] = lambda: F.col("topic") if "topic" in docs.columns else topic_of(F.col(text))
-    named = docs.withColumn("_s", F.coalesce(F.col("source").cast("string"), F.lit(""))).withColumn("_l", F.coalesce(F.col("lang").cast("string"), F.lit(""))).withColumn("_t", F.coalesce(topic(), F.lit("")))
-    chances = cells.select(F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"), F.round("probability", 6).alias("_p"))
-    return named.join(chances, ["_s", "_l", "_t"]).where(lottery(F.col(key)) < F.col("_p")).select(*docs.columns)
+    topic = F.col("topic") if "topic" in docs.columns else topic_of(F.col(text))
+    own = [fresh_name(docs, f"own_{d}") for d in DIMENSIONS]
+    chance = fresh_name(docs, "chance")
+    values = [F.coalesce(c.cast("string"), F.lit("")) for c in (F.col("source"), F.col("lang"), topic)]
+    chances = cells.select(*(F.col(d).alias(o) for d, o in zip(DIMENSIONS, own, strict=True)), F.round("probability", 6).alias(chance))
+    chances = F.broadcast(chances) if cells.count() <= mix.most_cells else chances
+    named = docs.select("*", *(v.alias(o) for v, o in zip(values, own, strict=True)))
+    return named.join(chances, own).where(lottery(F.col(key)) < F.col(chance)).select(*docs.columns)
 
 
-def oracle_sql(mix: Mix = Mix(), table: str = "documents", fills: int = 12) -> str:
+def oracle_sql(mix: Mix = Mix(), table: str = "documents") -> str:
     """:func:`mixture` with tempered targets in DuckDB's SQL: one step of the raking after the other."""
     marks = MARKS.replace("'", "''")
-    p = mix.temper
     steps = [
         f"""m AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
   CASE WHEN (n - length(translate(t, '0123456789', ''))) * 20 >= greatest(n, 1) THEN 'figures'
@@ -206,24 +225,21 @@ def oracle_sql(mix: Mix = Mix(), table: str = "documents", fills: int = 12) -> s
   CAST(len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens
   FROM (SELECT *, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM {table}))""",
         "c AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM m GROUP BY ALL)",
-        "w0 AS MATERIALIZED (SELECT *, tokens / sum(tokens) OVER () AS weight FROM c WHERE tokens > 0)",
+        "w0 AS MATERIALIZED (SELECT *, tokens AS taken FROM c WHERE tokens > 0)",
     ]
+    scale = "(1 - coalesce(sum(most) FILTER (done) OVER (), 0)) / sum(raised) FILTER (NOT done) OVER ()"
     for d in DIMENSIONS:
-        steps.append(f"t_{d} AS MATERIALIZED (SELECT {d}, pow(s, {p}) / sum(pow(s, {p})) OVER () AS goal FROM (SELECT {d}, sum(weight) AS s FROM w0 GROUP BY {d}))")
+        steps.append(f"t_{d}_0 AS MATERIALIZED (SELECT {d}, pow(s, {mix.temper}) AS raised, s / {mix.budget} AS most, false AS done FROM (SELECT {d}, sum(tokens) / (SELECT sum(tokens) FROM w0) AS s FROM w0 GROUP BY {d}))")
+        for k in range(FILLS):
+            steps.append(f"t_{d}_{k + 1} AS MATERIALIZED (SELECT {d}, raised, most, done OR raised * coalesce({scale}, 0) >= most AS done FROM t_{d}_{k})")
+        steps.append(f"t_{d} AS MATERIALIZED (SELECT {d}, {mix.budget} * (SELECT sum(tokens) FROM w0) * CASE WHEN done THEN most ELSE raised * {scale} END AS goal FROM t_{d}_{FILLS})")
     last = "w0"
     for k in range(mix.rounds):
         for d in DIMENSIONS:
             name = f"w{k + 1}_{d}"
-            steps.append(f"{name} AS MATERIALIZED (SELECT w.source, w.lang, w.topic, w.tokens, w.weight * g.goal / sum(w.weight) OVER (PARTITION BY w.{d}) AS weight FROM {last} w JOIN t_{d} g ON w.{d} = g.{d})")
+            steps.append(f"{name} AS MATERIALIZED (SELECT w.source, w.lang, w.topic, w.tokens, least(w.tokens, w.taken * g.goal / sum(w.taken) OVER (PARTITION BY w.{d})) AS taken FROM {last} w JOIN t_{d} g ON w.{d} = g.{d})")
             last = name
-    steps.append(f"p0 AS MATERIALIZED (SELECT source, lang, topic, tokens, weight * sum(tokens) OVER () / tokens AS ratio, false AS done FROM {last})")
-    for k in range(fills):
-        steps.append(
-            f"p{k + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, ratio, done OR ratio * ({mix.budget} * (sum(tokens) OVER ()) - coalesce(sum(tokens) FILTER (done) OVER (), 0)) / (sum(ratio * tokens) FILTER (NOT done) OVER ()) >= 1 AS done FROM p{k})"
-        )
-    steps.append(
-        f"q AS (SELECT source, lang, topic, CASE WHEN done THEN 1.0 ELSE least(1.0, ratio * ({mix.budget} * (sum(tokens) OVER ()) - coalesce(sum(tokens) FILTER (done) OVER (), 0)) / (sum(ratio * tokens) FILTER (NOT done) OVER ())) END AS p FROM p{fills})"
-    )
+    steps.append(f"q AS (SELECT source, lang, topic, taken / tokens AS p FROM {last})")
     body = ",\n".join(steps)
     return f"""WITH {body}
 SELECT doc_id, source, lang, topic, n_tokens, round(coalesce(p, 1.0), 6) AS probability,
