@@ -7,6 +7,11 @@ and its residual is coded.  A query visits the cells nearest to it, ranks their
 codes by tables of query-to-codeword products, and the best of each block of a
 cell are ranked again by the exact cosine of the original vectors.
 
+How many cells a query visits is measured, not guessed: for a bounded sample of the
+table's vectors the true nearest are found by brute force over all rows, and the
+share of cells is taken that holds nearly all of them.  Where nearness follows the
+cells it is small; where vectors are spread at random no index can do with few.
+
 Equal vectors are one node, which holds its smallest ids: as many as an answer can
 need.  Nodes with the same code score as the last of the best are ranked again too,
 so copies and tight clusters crowd nothing out.
@@ -32,14 +37,19 @@ from .common import expand, key_runs, materialise, shuffle_partitions
 
 @dataclass(frozen=True)
 class SearchSettings:
-    """``probe``: share of the cells that a query visits.  ``shortlist``: codes of each block that are ranked again, and all that tie with the last."""
+    """``probe``: share of the cells that a query visits; None: measured on ``trial`` vectors so that the cells hold ``covered`` of their nearest.
+
+    ``shortlist``: codes of each block that are ranked again, and all that tie with the last.
+    """
 
     train: int = 8_192
     least_cells: int = 16
     most_cells: int = 4_096
     parts: int = 16
     codewords: int = 256
-    probe: float = 0.6
+    probe: float | None = None
+    trial: int = 128
+    covered: float = 0.97
     shortlist: int = 24
     block: int = 4_096
     visitors: int = 4_096
@@ -220,34 +230,76 @@ def _search_blocks(batches: Iterator[pa.RecordBatch], quantizer: Quantizer, near
                 yield pa.RecordBatch.from_arrays([pa.array(ids[asked][row[on]]), pa.array(found[on]), pa.array(score[on])], names=names)
 
 
+def measured_probe(index: DataFrame, quantizer: Quantizer, nearest: int, s: SearchSettings) -> float:
+    """The share of cells in which ``covered`` of the true nearest of some vectors lie, the cells nearest to each taken first.
+
+    The ``trial`` vectors (smallest hashes of their ids first) are compared with every
+    vector of the index; each batch hands on its ``nearest`` for each of them.
+    """
+    spark = index.sparkSession
+    picked = index.orderBy(F.xxhash64("id"), "id").limit(s.trial).select("id", "vec").toPandas()
+    x = np.array(picked["vec"].tolist(), dtype=np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    handle = spark.sparkContext.broadcast((picked["id"].to_numpy(), x))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, asked = handle.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, cell = np.asarray(batch.column("id")), np.asarray(batch.column("cell"))
+            vecs = vectors_of(batch.column("vec"))
+            score = asked @ (vecs / np.linalg.norm(vecs, axis=1, keepdims=True)).T
+            score[own[:, None] == ids[None, :]] = -np.inf
+            n = min(nearest, len(ids))
+            best = np.argpartition(-score, n - 1, axis=1)[:, :n]
+            row = np.repeat(np.arange(len(own)), n)
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(score[row, best.ravel()]), pa.array(cell[best.ravel()])], names=["trial", "score", "cell"])
+
+    order = Window.partitionBy("trial").orderBy(F.desc("score"), "cell")
+    found = index.select("id", "vec", "cell").mapInArrow(run, "trial long, score double, cell int").withColumn("rank", F.row_number().over(order))
+    held = found.where((F.col("rank") <= nearest) & (F.col("score") > float("-inf"))).toPandas()  # trial x nearest rows
+    if held.empty:
+        return 1.0
+    c = quantizer.centroids
+    place = np.argsort(np.argsort((c**2).sum(axis=1) / 2 - x @ c.T, axis=1, kind="stable"), axis=1)
+    ranks = np.sort(place[held["trial"].to_numpy(), held["cell"].to_numpy()])
+    return float((ranks[int(np.ceil(s.covered * len(ranks))) - 1] + 1) / len(c))
+
+
+SCHEMA = "query_id long, rank int, vec_id long, score double"
+
+
 def search(vectors: DataFrame, queries: Column, nearest: int = 5, key: str = "vec_id", vector: str = "embedding", settings: SearchSettings = SearchSettings()) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``: the nearest rows found for each row where ``queries`` is true.
 
     Score: cosine of the original vectors in double precision; ties go to the
     smaller id.  A row is no candidate of its own, nor are rows of its id.
-    Unusable vectors (see :func:`is_usable`), those of another length than most,
-    and rows without an id take no part.  Of repeated ids all rows count as
-    candidates; a repeated query id is answered once.
+    Unusable vectors (see :func:`is_usable`) and rows without an id take no part;
+    vectors of each length are searched among themselves.  Of repeated ids all rows
+    count as candidates; a query id that repeats is answered once for each length.
     """
-    s = settings
-    spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
     usable = vectors.where(is_usable(F.col(vector)) & F.col(key).isNotNull())
-    sizes = usable.groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], schema)
-    width = sizes[0]["n"]
-    usable = usable.where(F.size(vector) == width)
+    found = None
+    for width in [r[0] for r in usable.select(F.size(vector)).distinct().orderBy(F.size(vector)).collect()]:  # a table has one length, or few
+        own = _search_width(usable.where(F.size(vector) == width), queries, nearest, key, vector, settings)
+        found = own if found is None else found.unionByName(own)
+    return found if found is not None else vectors.sparkSession.createDataFrame([], SCHEMA)
+
+
+def _search_width(usable: DataFrame, queries: Column, nearest: int, key: str, vector: str, s: SearchSettings) -> DataFrame:
+    spark = usable.sparkSession
     nodes = materialise(nodes_of(usable, nearest, key, vector), "nodes")
     quantizer = train_quantizer(nodes, "id", "vec", nodes.count(), s)
     cells = len(quantizer.centroids)
     index = materialise(build_index(nodes, quantizer), "ivfpq")
+    probe = s.probe if s.probe is not None else measured_probe(index, quantizer, nearest, s)
     asked = usable.where(queries).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vec")).dropDuplicates(["id"])
     held = np.zeros(cells, dtype=np.int64)
     for r in index.groupBy("cell").agg(F.sum(F.size(F.array_distinct("ids"))).alias("rows")).collect():  # at most ``most_cells`` rows
         held[r["cell"]] = r["rows"]
     # One more than asked for: the query's own row is among them.
-    visits = materialise(_visit(asked, quantizer, held, max(1, int(np.ceil(cells * s.probe))), nearest + 1), "visits")
+    visits = materialise(_visit(asked, quantizer, held, max(1, int(np.ceil(cells * probe))), nearest + 1), "visits")
     # Rows and visitors of each cell: as many numbers as there are cells.
     deal = index.groupBy("cell").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks")).join(visits.groupBy("cell").agg(F.ceil(F.count("*") / s.visitors).cast("int").alias("groups")), "cell")
     deal = F.broadcast(deal)  # at most ``most_cells`` rows
