@@ -15,6 +15,11 @@ The recursion covers both kinds of model:
   position, and the maximum finds it.  Whether a pair holds is found by undoing
   both pieces' merges, latest first, and looking for an earlier merge across the
   boundary; this too runs on whole arrays.
+
+A long run without spaces is one word.  Under BPE its overlapping windows advance
+together, as words do; two windows are joined where both have a boundary and the
+pieces beside it follow each other, which by the rule above gives the encoding of the
+whole.  Under unigram it is cut between characters that no piece holds side by side.
 """
 
 from __future__ import annotations
@@ -39,6 +44,8 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)  # odd, so no two hashes meet; spreads them
 _SLOT_SHIFT = np.uint64(64 - 19)
 _FAR = np.int64(1 << 60)
 _UNKNOWN_CHARACTER = -2
+#: Words of more characters than this are cut into windows, which overlap by the second number.
+LONG, WINDOW, OVERLAP = 2_000, 512, 128
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int, object]]:
@@ -153,6 +160,8 @@ class Codec:
         self.piece_hash[normal], self.piece_len[normal] = hashes, [len(t) for t in text]
         if model.kind == 2:
             self._learn_merges(normal)
+        else:
+            self.bigrams = np.unique(np.array([ord(a) << 32 | ord(b) for p in text for a, b in zip(p, p[1:], strict=False)], dtype=np.uint64))
         singles = {p for p in text if len(p) == 1}
         #: Characters that no piece holds are pieces of their own whatever surrounds them, so words may be cut there.
         cuts = "".join(re.escape(c) for c in "\n\t\r" if c not in singles)
@@ -266,20 +275,20 @@ class Codec:
         pieces[1][unknown] = _UNKNOWN_CHARACTER
         last = np.full((length + 1, n), -1, dtype=np.int64)
         back = np.zeros((length + 1, n), dtype=np.int64)
-        best = np.zeros((length + 1, n))
-        floor = self.model.scores[self.model.types == NORMAL].min() - 10.0  # an unknown character's score
+        best = np.zeros((length + 1, n), dtype=np.float32)  # as the library adds
+        floor = np.float32(self.model.scores[self.model.types == NORMAL].min() - 10.0)  # an unknown character's score
         for end in range(1, length + 1):
             sizes = np.arange(1, min(reach, end) + 1)
             here = pieces[sizes, end]  # (sizes, n)
             k, word = np.nonzero(here != -1)
             piece = here[k, word].astype(np.int64)
-            score = np.full(here.shape, -np.inf)
+            score = np.full(here.shape, -np.inf, dtype=np.float32)
             if bpe:
                 good = self._follows(last[end - sizes[k], word], piece)
                 score[k[good], word[good]] = 0.0
             else:
-                score[k, word] = best[end - sizes[k], word] + np.where(piece >= 0, self.model.scores[np.maximum(piece, 0)], floor)
-            choice = np.argmax(score, axis=0)
+                score[k, word] = best[end - sizes[k], word] + np.where(piece >= 0, self.model.scores[np.maximum(piece, 0)].astype(np.float32), floor)
+            choice = len(sizes) - 1 - np.argmax(score[::-1], axis=0)  # of equal ones the longest piece
             every = np.arange(n)
             best[end], last[end], back[end] = score[choice, every], here[choice, every], sizes[choice]
         ends = np.full(n, length)
@@ -294,6 +303,55 @@ class Codec:
         order = np.lexsort((end, word))
         return word[order], last[end, word][order], end[order]
 
+    def _long_word(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of one long word (code points) and where each ends."""
+        if self.model.kind == 2:
+            return self._from_windows(codes)
+        pair = codes[:-1].astype(np.uint64) << np.uint64(32) | codes[1:]
+        joined = np.isin(pair, self.bigrams)
+        parts = np.split(codes, np.flatnonzero(~joined) + 1)
+        found, ends, at = [], [], 0
+        sizes = np.array([len(p) for p in parts])
+        by_size: dict[int, tuple[np.ndarray, ...]] = {}
+        place = np.zeros(len(parts), dtype=np.int64)
+        for size in np.unique(sizes):  # parts of one length advance together
+            own = np.flatnonzero(sizes == size)
+            place[own] = np.arange(len(own))
+            word, piece, end = self._lattice(np.stack([parts[i] for i in own]))
+            by_size[int(size)] = (np.searchsorted(word, np.arange(len(own) + 1)), piece, end)
+        for i, size in enumerate(sizes.tolist()):
+            cut, piece, end = by_size[size]
+            a, b = cut[place[i]], cut[place[i] + 1]
+            found.append(piece[a:b])
+            ends.append(end[a:b] + at)
+            at += size
+        return np.concatenate(found), np.concatenate(ends)
+
+    def _from_windows(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A BPE word from windows; where two cannot be joined, the whole advances by itself."""
+        size = WINDOW + OVERLAP
+        count = max(1, -(-(len(codes) - OVERLAP) // WINDOW))
+        full = count - 1  # the last one has a length of its own
+        word, piece, end = self._lattice(np.lib.stride_tricks.sliding_window_view(codes, size)[: full * WINDOW : WINDOW]) if full else (np.zeros(0, dtype=np.int64),) * 3
+        cut = np.searchsorted(word, np.arange(full + 1))
+        _, tail, tail_end = self._lattice(codes[None, full * WINDOW :])
+        pieces = [piece[a:b] for a, b in zip(cut, cut[1:], strict=False)] + [tail]
+        ends = [end[a:b] + k * WINDOW for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False))] + [tail_end + full * WINDOW]
+        out, out_ends, first = [], [], 0
+        for k in range(full):
+            _, i, j = np.intersect1d(ends[k], ends[k + 1], assume_unique=True, return_indices=True)
+            on = (i >= first) & (j + 1 < len(pieces[k + 1]))
+            i, j = i[on], j[on]
+            good = np.flatnonzero(self._follows(pieces[k][i].astype(np.int64), pieces[k + 1][j + 1].astype(np.int64)))
+            if not len(good):
+                _, piece, end = self._lattice(codes[None, :])
+                return piece, end
+            g = good[len(good) // 2]
+            out.append(pieces[k][first : i[g] + 1])
+            out_ends.append(ends[k][first : i[g] + 1])
+            first = int(j[g]) + 1
+        return np.concatenate([*out, pieces[full][first:]]), np.concatenate([*out_ends, ends[full][first:]])
+
     def _encode_new(self, words: list[str]) -> None:
         """Append the ids of these words to the table, in order."""
         size = np.array([len(w) for w in words], dtype=np.int64)
@@ -302,11 +360,15 @@ class Codec:
         limits = np.flatnonzero(np.diff(size[order])) + 1
         for group in np.split(order, limits):
             length = int(size[group[0]])
-            step = max(1, 3_000_000 // (length * min(length, self.longest)))
+            step = max(1, 3_000_000 // (length * min(length, self.longest))) if length <= LONG else 1
             for at in range(0, len(group), step):
                 part = group[at : at + step]
                 codes = np.frombuffer("".join([words[i] for i in part]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(part), length)
-                word, piece, end = self._lattice(codes)
+                if length > LONG:
+                    piece, end = self._long_word(codes[0])
+                    word = np.zeros(len(piece), dtype=np.int64)
+                else:
+                    word, piece, end = self._lattice(codes)
                 odd = np.flatnonzero(piece < 0)
                 if len(odd):
                     word, piece = self._spell_unknown(codes, word, piece, end, odd)
