@@ -84,8 +84,14 @@ def _by_blocks(queries: DataFrame, bank: DataFrame, vector: str, distance: str,
 
 
 def nearest_distance_expr(queries: DataFrame, bank: DataFrame, key: list[str], vector: str = "descriptor", distance: str = "d") -> DataFrame:
-    """The same for small banks in expressions only: a nested-loop join with a partial minimum above it."""
-    pairs = queries.join(F.broadcast(bank.select(F.col(vector).alias("_b")).limit(BROADCAST_ROWS)), how="cross")
+    """The same for small banks in expressions only: a nested-loop join with a partial minimum above it.
+
+    ``ValueError`` for a bank of more than ``BROADCAST_ROWS`` rows, which :func:`nearest_distance` takes.
+    """
+    known = bank.select(F.col(vector).alias("_b"))
+    if known.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        raise ValueError(f"a bank of more than {BROADCAST_ROWS} rows")
+    pairs = queries.join(F.broadcast(known), how="cross")
     return pairs.groupBy(*key).agg(F.min(l2(F.col(vector), F.col("_b"))).alias(distance))
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..schema import BANK, BANK_SIZE
 
@@ -28,10 +29,10 @@ def farthest_rows(points: np.ndarray, most: int) -> list[int]:
     return picks
 
 
-def farthest_points(points: DataFrame, most: int = BANK_SIZE, order: tuple[str, ...] = ("seq", "cell"), vector: str = "descriptor", one_task_numbers: int = ONE_TASK_NUMBERS) -> DataFrame:
+def farthest_points(points: DataFrame, most: int = BANK_SIZE, order: tuple[str, ...] = ("seq", "cell"), vector: str = "descriptor", one_task_numbers: int = ONE_TASK_NUMBERS, keep_order: bool = False) -> DataFrame:
     """``bank_pos``, ``descriptor``: ``min(most, rows)`` rows in the order they are picked.
 
-    ``order`` decides row 0 and ties, and must tell the rows apart.  The choice
+    ``keep_order`` adds the ``order`` columns, which name the rows picked.  ``order`` decides row 0 and ties, and must tell the rows apart.  The choice
     depends on all rows, so it is one task as long as they fit (their number is
     checked first); beyond that every pick is one distributed pass.  Null vectors
     are left out; no rows give none.
@@ -39,14 +40,18 @@ def farthest_points(points: DataFrame, most: int = BANK_SIZE, order: tuple[str,
     known = points.where(F.col(vector).isNotNull()).select(*order, F.col(vector).cast("array<double>").alias("v"))
     size = known.agg(F.count("*"), F.max(F.size("v"))).first()
     if size[0] * (size[1] or 0) > one_task_numbers:
-        return _by_passes(known, most, order)
+        picked = _by_passes(known, most, order)
+        return picked if keep_order else picked.select(*BANK.names)
+    kinds = known.select(*order).schema
+    schema = StructType([*BANK.fields, *kinds.fields])
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(list(order), kind="stable")
         picks = farthest_rows(np.stack(frame["v"].to_numpy()), most)
-        return pd.DataFrame({"bank_pos": np.arange(len(picks), dtype=np.int32), "descriptor": [frame["v"].iloc[p] for p in picks]})
+        return pd.DataFrame({"bank_pos": np.arange(len(picks), dtype=np.int32), "descriptor": [frame["v"].iloc[p] for p in picks], **{c: frame[c].to_numpy()[picks] for c in order}})
 
-    return known.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda f: choose(f), BANK)
+    picked = known.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda f: choose(f), schema)
+    return picked if keep_order else picked.select(*BANK.names)
 
 
 def _by_passes(known: DataFrame, most: int, order: tuple[str, ...]) -> DataFrame:
@@ -77,4 +82,5 @@ def _by_passes(known: DataFrame, most: int, order: tuple[str, ...]) -> DataFrame
         if not far:
             break
         picks.append((tuple(far[0][c] for c in order), list(far[0]["v"])))
-    return spark.createDataFrame([(k, v) for k, (_, v) in enumerate(picks)], BANK)
+    schema = StructType([*BANK.fields, *known.select(*order).schema.fields])
+    return spark.createDataFrame([(k, v, *names) for k, (names, v) in enumerate(picks)], schema)

@@ -142,9 +142,7 @@ def _recursive(sql: str) -> str:
 @query(_recursive(D) + ", " + FPS + " SELECT CAST(k AS INT) AS bank_pos, ids[pick] AS vec_id FROM f, p")
 def farthest_points_16(spark, sf_dir):
     d = descriptors(spark, sf_dir).where("role = 0")
-    bank = farthest_points(d, 16, ("vec_id",))
-    names = d.groupBy("descriptor").agg(F.min("vec_id").alias("vec_id"))
-    return bank.join(names, "descriptor").select("bank_pos", "vec_id")
+    return farthest_points(d, 16, ("vec_id",), keep_order=True).select("bank_pos", "vec_id")
 
 
 @query()
@@ -207,16 +205,19 @@ def jet_colormap(spark, sf_dir):
     D
     + UP
     + f""", t AS (SELECT quantile_cont(score, 0.95) AS threshold FROM s WHERE role = 1),
-x AS (SELECT image_id, gy, gx, greatest(0, least(1, round(d / CASE WHEN threshold > 0 THEN threshold * 2 ELSE 1.0 END, 9))) AS x FROM u, t)
+m AS (SELECT *, max(d) OVER (PARTITION BY image_id) AS largest FROM u),
+x AS (SELECT image_id, gy, gx, greatest(0, least(1, round(d / CASE WHEN threshold > 0 THEN threshold * 2 WHEN largest > 0 THEN largest ELSE 1.0 END, 9))) AS x FROM m, t)
 SELECT image_id, gy, gx, {JET_SQL} FROM x"""
 )
 def heatmap_pixels(spark, sf_dir):
     local = _local(spark, sf_dir)
     scores = local.groupBy("image_id", "role").agg(F.max("d").alias("score"))
     threshold = threshold_of(scores.where("role = 1")).select("threshold")
-    level = colour_level(F.round(F.col("d") / colour_bound(F.col("threshold"), F.lit(1.0)), 9), F.lit(1.0))
+    large = _upscaled(spark, sf_dir)
+    most = large.groupBy("image_id").agg(F.max("d").alias("largest"))
+    level = colour_level(F.round(F.col("d") / colour_bound(F.col("threshold"), F.col("largest")), 9), F.lit(1.0))
     r, g, b = jet(F.col("level"))
-    return _upscaled(spark, sf_dir).crossJoin(F.broadcast(threshold)).withColumn("level", level).select("image_id", "gy", "gx", r.alias("r"), g.alias("g"), b.alias("b"))
+    return large.join(most, "image_id").crossJoin(F.broadcast(threshold)).withColumn("level", level).select("image_id", "gy", "gx", r.alias("r"), g.alias("g"), b.alias("b"))
 
 
 @query("SELECT o_orderkey, CAST(floor((o_orderkey % 256) * (1.0 - a) + ((o_orderkey * 7) % 256) * a) AS INT) AS v FROM (SELECT o_orderkey, greatest(0.0, least(1.0, ((o_orderkey % 9) - 2) / 4.0::DOUBLE)) AS a FROM orders)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import content_id, image_format
@@ -16,9 +16,16 @@ PIXELS = "path string, width int, height int, pixels binary"
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """``path``, ``length``, ``content``, ``format`` of the files; too large ones are skipped before their bytes are read."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= MOST_BYTES)
-    return files.select("path", "length", "content", image_format(F.col("content")).alias("format"))
+    """``path``, ``length``, ``content``, ``format`` of the files; of too large ones neither bytes nor format are read (null)."""
+    files = spark.read.format("binaryFile").load(path)
+    small = files.where(F.col("length") <= MOST_BYTES).select("path", "length", "content", image_format(F.col("content")).alias("format"))
+    large = files.where(F.col("length") > MOST_BYTES).select("path", "length", F.lit(None).cast("binary").alias("content"), F.lit(None).cast("string").alias("format"))
+    return small.unionByName(large)
+
+
+def _plain_path(path: str) -> Column:
+    """A path as both readers spell it; they differ in the slashes of local ones."""
+    return F.regexp_replace(path, "^file:/+", "/")
 
 
 def read_pixels(spark: SparkSession, path: str, size: int = INPUT_SIZE) -> DataFrame:
@@ -43,18 +50,15 @@ def read_pixels(spark: SparkSession, path: str, size: int = INPUT_SIZE) -> DataF
 
 
 def read_uploads(spark: SparkSession, path: str, group: str, first_seq: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Uploads ready for the catalogue, in order of their paths, and the rejected files with a reason."""
-    files = read_files(spark, path)
-    name = F.element_at(F.split("path", "/"), -1)
-    # Readers spell local paths differently; the name within the folder is common to both.
-    pixels = read_pixels(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("_name"), "width", "height", "pixels")
-    joined = files.withColumn("_name", name).join(pixels, "_name", "left")
+    """Uploads ready for the catalogue, in order of their paths, and the rejected files (too large, of another format, damaged) with a reason."""
+    files = read_files(spark, path).withColumn("_place", _plain_path("path")).withColumn("_name", F.element_at(F.split("path", "/"), -1))
+    pixels = read_pixels(spark, path).select(_plain_path("path").alias("_place"), "width", "height", "pixels")
+    joined = files.join(pixels, "_place", "left")
     good = F.col("format").isNotNull() & F.col("pixels").isNotNull()
-    order = F.xxhash64("path")
     accepted = joined.where(good).select(
-        F.lit(group).alias("group"), F.col("_name").alias("filename"), F.col("content").alias("raw"), content_id(F.col("pixels")).alias("content_id"), "width", "height", "pixels", F.col("path").alias("_path"), order.alias("_o")
+        F.lit(group).alias("group"), F.col("_name").alias("filename"), F.col("content").alias("raw"), content_id(F.col("pixels")).alias("content_id"), "width", "height", "pixels", F.col("path").alias("_path")
     )
     ranks = accepted.select("_path").distinct().orderBy("_path").rdd.map(lambda r: r[0]).zipWithIndex().map(lambda x: (x[0], x[1] + first_seq)).toDF("_path string, seq long") if accepted.limit(1).count() else None
     out = accepted.join(ranks, "_path") if ranks is not None else accepted.withColumn("seq", F.lit(None).cast("long"))
-    rejected = joined.where(~good).select("path", F.when(F.col("format").isNull(), "not a PNG or JPEG image").otherwise("the image cannot be decoded").alias("reason"))
-    return out.drop("_path", "_o"), rejected
+    rejected = joined.where(~good).select("path", F.when(F.col("length") > MOST_BYTES, f"larger than {MOST_BYTES} bytes").when(F.col("format").isNull(), "not a PNG or JPEG image").otherwise("the image cannot be decoded").alias("reason"))
+    return out.drop("_path"), rejected

@@ -123,3 +123,28 @@ def test_ingest_rejects_equal_content_in_either_group(spark):
     assert tuple(catalog.group_counts(accepted).first()) == (1, 1)
     assert catalog.overlap(accepted).count() == 0
     assert catalog.delete(accepted, accepted.select("sample_id").limit(1)).count() == 1
+
+
+def test_a_large_bank_is_refused_by_the_expression_form_not_cut(spark, monkeypatch):
+    from normscope.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "BROADCAST_ROWS", 10)
+    asks = spark.createDataFrame([(1, [5.0])], "k int, descriptor array<double>")
+    bank = spark.createDataFrame([([float(i)],) for i in range(11)], "descriptor array<double>")
+    with pytest.raises(ValueError):
+        neighbours.nearest_distance_expr(asks, bank, ["k"])
+    assert neighbours.nearest_distance_expr(asks, bank.where("descriptor[0] <> 0"), ["k"]).first()["d"] == 0.0
+
+
+def test_uploads_are_told_by_their_whole_path_and_large_ones_rejected(spark, tmp_path, monkeypatch):
+    from normscope.functions.raster import encode_png
+    from normscope.sources import images
+
+    for folder, shade in (("a", 10), ("b", 200)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "0.png").write_bytes(encode_png(np.full((8, 8, 3), shade, dtype=np.uint8)))
+    (tmp_path / "a" / "big.png").write_bytes(encode_png(np.random.default_rng(0).integers(0, 255, (64, 64, 3)).astype(np.uint8)))
+    monkeypatch.setattr(images, "MOST_BYTES", 2_000)
+    uploads, rejected = images.read_uploads(spark, str(tmp_path / "*"), "reference")
+    assert sorted((r["filename"], r["pixels"][0]) for r in uploads.collect()) == [("0.png", 10), ("0.png", 200)]
+    assert [(r["path"].split("/")[-1], "larger" in r["reason"]) for r in rejected.collect()] == [("big.png", True)]
