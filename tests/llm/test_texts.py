@@ -407,7 +407,7 @@ def test_every_pair_within_four_bits_links(spark):
 def test_a_crowded_bucket_links_all_its_fingerprints():
     rng = np.random.default_rng(4)
     fp = (rng.integers(0, 1 << 12, 3_000).astype(np.uint64)) << np.uint64(3)
-    a, b = simhash_dedup._forest_of(fp, np.zeros(len(fp), dtype=np.int32), 4, block=64)
+    a, b = simhash_dedup._forest_of([fp], np.zeros(len(fp), dtype=np.int32), 4, block=64)
     assert len(a) == len(np.unique(fp)) - 1
     assert (np.bitwise_count(fp[a] ^ fp[b]) <= 4).all()
 
