@@ -1,13 +1,14 @@
 """Main text of web pages by union-free wrapper inference.
 
 Pages of one host come from few templates.  Each page is read as a stream of
-structural tags and text; neighbouring repeats are folded into repeated groups,
-so pages that differ only in how often a part occurs have one *form*.  The
-distinct forms of a host are aligned with each other in small groups, then the
-wrappers of the groups, until one is left:
-where two streams mismatch, the part on one side becomes an optional group, a part
-that repeats on one side a repeated group, and differing text a slot.  The result
-is the host's wrapper, a union-free regular expression over tags and slots.
+structural tags and text; neighbouring repeats, of one block or of a row of blocks
+such as a heading and its paragraphs, are folded into repeated groups, so pages that
+differ only in how often a part occurs have one *form*.  The distinct forms of a
+host are aligned with each other in small groups, then the wrappers of the groups,
+until one is left: where two streams mismatch, a row of blocks that the other side
+repeats joins its group, the part that one side lacks becomes optional, and
+differing text a slot.  The result is the host's wrapper, a union-free regular
+expression over tags and slots.
 
 Over all pages of the host, each of the wrapper's slots gathers what its texts are
 like (how long, how much of it links, whether it is the same text everywhere);
@@ -43,12 +44,16 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Parts of a page that are no article, by tag, by role, and by words in class or id.
-_OUTSIDE = frozenset("head title nav header footer aside form menu dialog button figcaption".split())
+_OUTSIDE = frozenset("head title nav header footer aside form menu dialog button".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
 _WORDS = re.compile(
     r"nav\w*|menu\w*|header|masthead|footer|foot|side-?bar\w*|aside|ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice\w*|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|comments?|comment-\w+|respond|replies|disqus|related|recommend\w*|breadcrumbs?|pagination|pager|toolbar|widget\w*|form|search\w*|tags?|meta|byline|legal|copyright|skip\w*",
     re.I,
 )
+#: Within an article these name the part that holds its headline.
+_HEADLINE = frozenset(("header", "masthead", "banner"))
+#: Blocks nested deeper than this stand side by side.
+DEEPEST = 150
 #: What may stand beside those words in a class or id; any other part (tag-politics, no-sidebar, with-sidebar) makes it another word.
 _BESIDE = frozenset("site page main entry post posts blog article top bottom left right global primary secondary sub list item items area wrap wrapper container inner outer box block bar section row col links link icons buttons button policy 0".split())
 _FIRST = frozenset("tag tags category cat no not has have with without is hide show".split())
@@ -70,8 +75,12 @@ class Page:
 
 
 def read_page(source: str | None) -> Page:
-    """The page's blocks.  A name is a block's path flags: where text may stand, ``#`` after its block's tag."""
+    """The page's blocks.  A name is a block's path flags: where text may stand, ``#`` after its block's tag.
+
+    Of blocks nested more than ``DEEPEST`` deep the inner ones stand side by side; their texts are read as any other.
+    """
     page = Page()
+    flat: dict[str, int] = {}  # open tags beyond that depth
     names = page.names
     stack: list[tuple[str, str]] = []
     buffer: list[str] = []
@@ -120,7 +129,9 @@ def read_page(source: str | None) -> Page:
             continue
         flush()
         if ending:
-            if any(t == tag for t, _ in stack):
+            if flat.get(tag):
+                flat[tag] -= 1
+            elif any(t == tag for t, _ in stack):
                 close({tag}, False)
             continue
         if tag in _CLOSES:
@@ -132,10 +143,13 @@ def read_page(source: str | None) -> Page:
             if marks:
                 name += "[" + ";".join(re.sub(r"\d+", "0", x) for x in marks) + "]"
         names.append(name)
-        if tag not in _VOID and not attributes.rstrip().endswith("/"):
+        opens = tag not in _VOID and not attributes.rstrip().endswith("/")
+        if opens and len(stack) < DEEPEST:
             stack.append((tag, name))
         else:
             names.append("/" + name)
+            if opens:
+                flat[tag] = flat.get(tag, 0) + 1
     if at < len(source):
         tail = source[at:]
         cut = re.search(r"<[!/?]?[a-zA-Z][^>]*\Z|<!--.*\Z|<\Z", tail, re.S)  # a page that ends within a tag
@@ -164,21 +178,24 @@ def _tree(names: list[str]) -> list:
 
 @dataclass
 class Folded:
-    """A block of a form: its label, whether it repeats, its children, and the texts it stands for."""
+    """A part of an expression: a block or a group of blocks (label ``(..``), whether it repeats or may lack, its children, and the texts it stands for."""
 
     label: str
     many: bool
     children: list[Folded]
     leaves: list[int]
+    optional: bool = False
+
 
-    def shape(self) -> tuple:
-        return (self.label, self.many, tuple(c.shape() for c in self.children))
+def _joined(x: Folded, y: Folded, many: bool) -> Folded:
+    """Two parts of one label as one."""
+    return Folded(x.label, many, merge(x.children, y.children), x.leaves + y.leaves, x.optional and y.optional)
 
 
 def fold(names: list[str]) -> list[Folded]:
-    """Fold neighbouring blocks of one label into one repeated block whose parts are aligned with each other.
+    """Fold neighbouring repeats into one part whose repeats are aligned with each other.
 
-    A repeated block's children are the alignment of all repeats' children, so a
+    A repeated part's children are the alignment of all repeats' children, so a
     list whose items differ still is one group.  Text slots side by side are one.
     """
 
@@ -187,47 +204,130 @@ def fold(names: list[str]) -> list[Folded]:
         for label, inner in children:
             made = Folded("#", False, [], [inner]) if label == "#" else Folded(label, False, of(inner), [])
             if out and out[-1].label == label:
-                out[-1] = Folded(label, True, merge(out[-1].children, made.children), out[-1].leaves + made.leaves)
+                out[-1] = _joined(out[-1], made, True)
             else:
                 out.append(made)
-        return out
+        return grouped(out)
 
     return of(_tree(names))
 
 
-def merge(a: list[Folded], b: list[Folded]) -> list[Folded]:
-    """Align two child lists: a longest common subsequence by label; what only one side has becomes optional.
+def _group(row: list[Folded], many: bool) -> Folded:
+    return Folded(f"({zlib.crc32(chr(31).join(x.label for x in row).encode()):08x}", many, row, [])
+
 
-    Optional parts need no mark of their own: a wrapper's part matches a page's
-    part by label and order, and those that a page lacks are passed over.
+def grouped(parts: list[Folded], most: int = 6) -> list[Folded]:
+    """Rows of two to ``most`` parts that follow themselves become one repeated group; shorter rows first, from the left."""
+    for period in range(2, most + 1):
+        labels = [x.label for x in parts]
+        out: list[Folded] = []
+        at = 0
+        while at < len(parts):
+            row = labels[at : at + period]
+            end = at + period
+            while labels[end : end + period] == row and len(row) == period:
+                end += period
+            if end - at < 2 * period:
+                out.append(parts[at])
+                at += 1
+                continue
+            group = _group(parts[at : at + period], True)
+            for k in range(at + period, end, period):
+                group = _joined(group, _group(parts[k : k + period], True), True)
+            out.append(group)
+            at = end
+        parts = out
+    return parts
+
+
+def absorbed(parts: list[Folded], groups: list[Folded]) -> list[Folded]:
+    """Rows of parts that another expression repeats as a group become that group."""
+    for g in groups:
+        row = [c.label for c in g.children]
+        if g.label[0] != "(" or not row or g.label in (x.label for x in parts):
+            continue
+        out: list[Folded] = []
+        at = 0
+        while at < len(parts):
+            if [x.label for x in parts[at : at + len(row)]] == row:
+                out.append(Folded(g.label, True, parts[at : at + len(row)], []))
+                at += len(row)
+            else:
+                out.append(parts[at])
+                at += 1
+        parts = out
+    return parts
+
+
+def aligned(a: list[Folded], b: list[Folded], most: int = 250_000) -> list[tuple[int | None, int | None]]:
+    """Pairs of parts that stand for each other, and parts of one side alone, in order.
+
+    Equal ends first, between them a longest common subsequence by label; beyond
+    ``most`` comparisons each part meets the next one of its label.
     """
-    if not a or not b:
-        return a or b
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
+    head = 0
+    while head < min(len(a), len(b)) and a[head].label == b[head].label:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail].label == b[-1 - tail].label:
+        tail += 1
+    x, y = [p.label for p in a[head : len(a) - tail]], [p.label for p in b[head : len(b) - tail]]
+    n, m = len(x), len(y)
+    met: list[tuple[int, int]] = []
+    if n * m > most:
+        places: dict[str, list[int]] = {}
         for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i].label == b[j].label else max(best[i + 1][j], best[i][j + 1])
+            places.setdefault(y[j], []).append(j)
+        last = -1
+        for i, label in enumerate(x):
+            left = places.get(label, [])
+            while left and left[-1] <= last:
+                left.pop()
+            if left:
+                last = left.pop()
+                met.append((i, last))
+    else:
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n - 1, -1, -1):
+            for j in range(m - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+        i = j = 0
+        while i < n and j < m:
+            if x[i] == y[j]:
+                met.append((i, j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+    out: list[tuple[int | None, int | None]] = [(k, k) for k in range(head)]
+    i = j = 0
+    for p, q in [*met, (n, m)]:
+        out += [(head + k, None) for k in range(i, p)] + [(None, head + k) for k in range(j, q)]
+        if p < n:
+            out.append((head + p, head + q))
+        i, j = p + 1, q + 1
+    return out + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+
+
+def merge(a: list[Folded], b: list[Folded]) -> list[Folded]:
+    """One expression for both: aligned parts are merged, rows that one side repeats join its group, what only one side has is optional."""
+    a, b = absorbed(a, b), absorbed(b, a)
     out: list[Folded] = []
 
     def add(x: Folded) -> None:
         if out and out[-1].label == x.label:  # two optional parts of one label side by side repeat
-            last = out[-1]
-            out[-1] = Folded(x.label, True, merge(last.children, x.children), last.leaves + x.leaves)
+            out[-1] = _joined(out[-1], x, True)
         else:
             out.append(x)
 
-    i = j = 0
-    while i < n or j < m:
-        if i < n and j < m and a[i].label == b[j].label:
-            add(Folded(a[i].label, a[i].many or b[j].many, merge(a[i].children, b[j].children), a[i].leaves + b[j].leaves))
-            i, j = i + 1, j + 1
-        elif j >= m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            add(a[i])
-            i += 1
+    for i, j in aligned(a, b):
+        if i is not None and j is not None:
+            made = _joined(a[i], b[j], a[i].many or b[j].many)
+            add(Folded(made.label, made.many, made.children, made.leaves, a[i].optional or b[j].optional))
         else:
-            add(b[j])
-            j += 1
+            x = a[i] if i is not None else b[j]
+            add(Folded(x.label, x.many, x.children, x.leaves, True))
     return out
 
 
@@ -243,37 +343,43 @@ def slots(nodes: list[Folded], path: tuple[str, ...] = ()) -> Iterator[tuple[str
 
 
 def dump(nodes: list[Folded]) -> list:
-    return [[n.label, int(n.many), dump(n.children)] for n in nodes]
+    return [[n.label, n.many + 2 * n.optional, dump(n.children)] for n in nodes]
 
 
 def load(data: list) -> list[Folded]:
-    return [Folded(label, bool(many), load(children), []) for label, many, children in data]
+    return [Folded(label, bool(kind & 1), load(children), [], bool(kind & 2)) for label, kind, children in data]
 
 
 def expression(nodes: list[Folded]) -> str:
-    """The wrapper as a readable regular expression: ``(...)+`` repeats, ``#`` is a slot."""
-    return "".join(f"({n.label} {expression(n.children)})" + ("+" if n.many else "") if n.label != "#" else "#" + ("+" if n.many else "") for n in nodes)
+    """The wrapper as a readable regular expression: ``(...)+`` repeats, ``(...)?`` may lack, ``(...)*`` both, ``#`` is a slot."""
+
+    def one(n: Folded) -> str:
+        mark = "*" if n.many and n.optional else "+" if n.many else "?" if n.optional else ""
+        inner = expression(n.children)
+        return (n.label if n.label == "#" else f"({inner})" if n.label[0] == "(" else f"({n.label} {inner})" if inner else f"({n.label})") + mark
+
+    return "".join(map(one, nodes))
 
 
 def match(page: list[Folded], wrapper: list[Folded], path: tuple[str, ...] = ()) -> Iterator[tuple[str, list[int]]]:
-    """Slots of a page's form by the wrapper's paths: parts meet by label, in order; parts the wrapper lacks keep their own path."""
+    """Slots of a page's form by the wrapper's paths: the form is aligned with the expression as forms are; parts that it lacks keep their own path."""
     rank: dict[str, int] = {}
     names = []
     for n in wrapper:
         k = rank[n.label] = rank.get(n.label, -1) + 1
         names.append(f"{n.label}~{k}" if k else n.label)
-    at = 0
-    for n in page:
-        found = next((k for k in range(at, len(wrapper)) if wrapper[k].label == n.label), None)
-        if found is None:
-            found = next((k for k in range(len(wrapper)) if wrapper[k].label == n.label), None)
-        else:
-            at = found
-        here = (*path, names[found] if found is not None else n.label)
+    page = absorbed(page, wrapper)
+    for i, j in aligned(page, wrapper):
+        if i is None:
+            continue
+        n = page[i]
+        if j is None:  # out of order: the first part of its label
+            j = next((k for k in range(len(wrapper)) if wrapper[k].label == n.label), None)
+        here = (*path, names[j] if j is not None else n.label)
         if n.label == "#":
             yield " > ".join(here), n.leaves
         else:
-            yield from match(n.children, wrapper[found].children if found is not None else [], here)
+            yield from match(n.children, wrapper[j].children if j is not None else [], here)
 
 
 def host_of(url):
@@ -312,11 +418,16 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns[:3]] + [pa.array(c, pa.int64()) for c in columns[3:-1]] + [pa.array(columns[-1], pa.list_(pa.int64()))], names=names)
 
 
-def _names_outside(token: str) -> bool:
-    """Whether one class or id names a part that is no article: such a word, or one with nothing but place words beside it."""
+def _names_outside(token: str, within: bool = False) -> bool:
+    """Whether one class or id names a part that is no article: such a word, or one with nothing but place words beside it.
+
+    ``within``: it stands in an article, where a header is the article's own.
+    """
+    parts = [p for p in re.split(r"[-_]+", token.lower()) if p]
+    if within and _HEADLINE.intersection(parts):
+        return False
     if _WORDS.fullmatch(token):
         return True
-    parts = [p for p in re.split(r"[-_]+", token.lower()) if p]
     if len(parts) < 2 or parts[0] in _FIRST:
         return False
     words = [bool(_WORDS.fullmatch(p)) for p in parts]
@@ -328,10 +439,12 @@ def _outside(path: str) -> tuple[int, str]:
     """0: may be the article; 1: outside by a class or id alone, and the path down to it; 2: outside by a tag, a role or hidden."""
     parts = path.split(" > ")
     named = ""
+    within = False
     for k, part in enumerate(parts):
         tag, _, marks = part.partition("[")
         tag = tag.partition("~")[0]
-        if tag in _OUTSIDE:
+        within = within or tag == "article"
+        if tag in _OUTSIDE and not (within and tag == "header"):
             return 2, ""
         for mark in marks.rpartition("]")[0].split(";") if marks else ():
             kind, _, value = mark.partition("=")
@@ -339,7 +452,7 @@ def _outside(path: str) -> tuple[int, str]:
                 return 2, ""
             if kind == "role" and value.lower() in _ROLES:
                 return 2, ""
-            if not named and kind in ("class", "id") and tag not in _WHOLE and any(map(_names_outside, value.split())):
+            if not named and kind in ("class", "id") and tag not in _WHOLE and any(_names_outside(v, within) for v in value.split()):
                 named = " > ".join(parts[: k + 1])
     return (1, named) if named else (0, "")
 
@@ -400,17 +513,17 @@ def chosen_slots(paths: list[str], kinds: dict[str, list[float]], cards: bool) -
 def has_cards(nodes: list[Folded]) -> bool:
     """Whether a form has more than one article block."""
 
-    def count(nodes: list[Folded]) -> int:
-        return sum((n.label.partition("[")[0] == "article") * (2 if n.many else 1) + count(n.children) for n in nodes)
+    def count(nodes: list[Folded], times: int) -> int:
+        return sum((n.label.partition("[")[0] == "article") * times * (2 if n.many else 1) + count(n.children, 2 if n.many and n.label[0] == "(" else times) for n in nodes)
 
-    return count(nodes) > 1
+    return count(nodes, 1) > 1
 
 
 def _merge_forms(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """One wrapper of some forms or wrappers of a host, the most frequent first."""
-    wrapper: list[Folded] = []
     rows = rows.sort_values(["pages", "nodes"], ascending=[False, True], kind="stable")
-    for text in rows["nodes"]:
+    wrapper = load(json.loads(rows["nodes"].iloc[0]))
+    for text in rows["nodes"].iloc[1:]:
         wrapper = merge(wrapper, load(json.loads(text)))
     return pd.DataFrame({"host": [key[0]], "nodes": [json.dumps(dump(wrapper), separators=(",", ":"))], "pages": [int(rows["pages"].sum())], "forms": [int(rows["forms"].sum())]})
 
@@ -425,6 +538,13 @@ def _merged(forms: DataFrame, most: int = 32) -> DataFrame:
     return parts
 
 
+def _leaves(nodes: list[Folded]) -> Iterator[Folded]:
+    for n in nodes:
+        if n.label == "#":
+            yield n
+        yield from _leaves(n.children)
+
+
 def _in_wrapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Statistics of each form's slots, by the wrapper's paths."""
     names = ["host", "slot", "pages", "texts", "chars", "linked", "least", "largest", "contents"]
@@ -438,7 +558,10 @@ def _in_wrapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         wrapper_of.clear()
                     wrapper_of[r["nodes"]] = load(json.loads(r["nodes"]))
                 form = load(json.loads(r["form"]))
-                to_wrapper = dict(zip([p for p, _ in slots(form)], [p for p, _ in match(form, wrapper_of[r["nodes"]])], strict=True))
+                for k, leaf in enumerate(_leaves(form)):
+                    leaf.leaves = [k]
+                own = {k: p for p, leaves in slots(form) for k in leaves}
+                to_wrapper = {own[k]: p for p, leaves in match(form, wrapper_of[r["nodes"]]) for k in leaves}
                 rows += [(r["host"], to_wrapper.get(x["slot"], x["slot"]), *(x[c] for c in names[2:])) for x in r["stats"]]
             if rows:
                 columns = list(zip(*rows, strict=True))

@@ -1,5 +1,8 @@
 """Main text of pages."""
 
+import time
+
+import numpy as np
 from conftest import SF_DIR
 
 from normscope.llm import html_wrapper
@@ -42,7 +45,74 @@ def test_odd_pages_keep_their_rows(spark):
 def test_wrapper_is_inferred_with_optional_and_repeated_parts():
     forms = [html_wrapper.fold(html_wrapper.read_page(h).names) for h in ("<div><h1>a</h1><p>b</p><p>c</p></div>", "<div><h1>a</h1><h2>s</h2><p>b</p></div>")]
     wrapper = html_wrapper.merge(forms[0], forms[1])
-    assert html_wrapper.expression(wrapper) == "(div (h1 #)(h2 #)(p #)+)"
+    assert html_wrapper.expression(wrapper) == "(div (h1 #)(h2 #)?(p #)+)"
+
+
+def form_of(source):
+    return html_wrapper.fold(html_wrapper.read_page(source).names)
+
+
+def test_rows_of_blocks_repeat_as_one_group():
+    def page(sections):
+        return form_of("<div>" + "<h2>t</h2><p>a</p><p>b</p>" * sections + "<ul><li>x</li></ul></div>")
+
+    three, five, one = page(3), page(5), page(1)
+    assert html_wrapper.dump(three) == html_wrapper.dump(five)
+    assert html_wrapper.expression(three) == "(div ((h2 #)(p #)+)+(ul (li #)))"
+    for order in ((three, one), (one, three)):
+        assert html_wrapper.expression(html_wrapper.merge(*order)) == "(div ((h2 #)(p #)+)+(ul (li #)))"
+    wrapper = html_wrapper.merge(three, form_of("<div><ul><li>x</li><li>y</li></ul><pre>c</pre></div>"))
+    assert html_wrapper.expression(wrapper) == "(div ((h2 #)(p #)+)*(ul (li #)+)(pre #)?)"
+    found = list(html_wrapper.match(one, wrapper))
+    assert sorted(len(k) for _, k in found) == [1, 1, 2] and all("(" in p for p, _ in found[:2])
+    assert html_wrapper.load(html_wrapper.dump(wrapper)) == wrapper or html_wrapper.dump(html_wrapper.load(html_wrapper.dump(wrapper))) == html_wrapper.dump(wrapper)
+
+
+def test_headlines_and_captions_of_an_article_stay(spark):
+    def source(k):
+        return f"""<html><body><header><p>Site {k % 2}</p></header><article><header class="entry-header"><h1>Head {k}</h1></header><p>Body {k}</p>
+<figure><img src="x"><figcaption>Caption {k}</figcaption></figure><div class="share"><p>Share me</p></div><footer><p>filed {k}</p></footer></article></body></html>"""
+
+    got = extract(spark, [(k, "http://head.test", source(k)) for k in range(5)])
+    assert all(got[k][0] == f"Head {k}\n\nBody {k}\n\nCaption {k}" for k in range(5))
+
+
+def test_pages_without_article_tags_by_several_templates(spark):
+    """Made pages whose article is known: three templates of one host, none with article or main tags."""
+    rng = np.random.default_rng(1)
+    rows, want = [], {}
+    for k in range(60):
+        words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 900, n))
+        title = f"Title {k} {words(4)}"
+        parts = [f"{words(30)} {k}.{i}" for i in range(int(rng.integers(1, 6)))]
+        menu = "<ul class='menu'>" + "".join(f"<li><a href='/{i}'>Item {i}</a></li>" for i in range(int(rng.integers(3, 9)))) + "</ul>"
+        foot = "<div id='footer'><p>All rights reserved</p></div>"
+        if k % 3 == 0:
+            body = f"<div class='content'><h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in parts) + "</div><div class='comments'><p>First!</p></div>"
+            blocks = [title, *parts]
+        elif k % 3 == 1:
+            heads = [f"Part {k} {i}" for i in range(len(parts))]
+            body = f"<table><tr><td><h1>{title}</h1>" + "".join(f"<h2>{h}</h2><p>{p}</p>" for h, p in zip(heads, parts, strict=True)) + "</td></tr></table>"
+            blocks = [title, *(x for pair in zip(heads, parts, strict=True) for x in pair)]
+        else:
+            body = f"<section><h1>{title}</h1><ol>" + "".join(f"<li>{p}</li>" for p in parts) + "</ol></section><div class='sidebar'><p>Read on</p></div>"
+            blocks = [title, *parts]
+        rows.append((k, "http://plain.test/x", f"<html><head><title>{title}</title></head><body>{menu}{body}{foot}</body></html>"))
+        want[k] = "\n\n".join(blocks)
+    got = extract(spark, rows)
+    wrong = [k for k in want if got[k][0] != want[k]]
+    assert not wrong, (wrong, got[wrong[0]][0][:300], want[wrong[0]][:300])
+
+
+def test_deep_and_long_pages(spark):
+    deep = "<body>" + "<div>" * 5_000 + "<p>bottom words</p>" + "</div>" * 5_000 + "<p>after all</p></body>"
+    long = "<body><div>" + "".join(f"<h{k % 5 + 1}>t{k}</h{k % 5 + 1}><p>words {k}</p>" + ("<pre>c</pre>" if k % 7 == 0 else "") for k in range(2_000)) + "</div></body>"
+    start = time.process_time()
+    forms = [form_of(long), form_of(long.replace("<pre>", "<ul><li>").replace("</pre>", "</li></ul>"))]
+    html_wrapper.merge(*forms)
+    assert time.process_time() - start < 20
+    got = extract(spark, [(1, "http://deep.test", deep), (2, "http://deep.test", deep.replace("bottom", "other")), (None, "http://deep.test", "<p>x</p>"), (3, "http://long.test", long)])
+    assert "bottom words" in got[1][0] and "after all" in got[1][0] and "words 1999" in got[3][0] and got[None][0] == "x"
 
 
 def test_each_page_of_the_table_gives_its_article(spark):
