@@ -133,7 +133,7 @@ class Codec:
     emptied (results never depend on it).
     """
 
-    def __init__(self, model: PieceModel, cache_words: int = 400_000):
+    def __init__(self, model: PieceModel, cache_words: int = 200_000):
         self.model, self.cache_words = model, cache_words
         normal = np.flatnonzero(model.types == NORMAL)
         text = [model.pieces[i] for i in normal]
@@ -478,7 +478,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", ids:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load_codec(model_path)
         for batch in batches:
-            for part in byte_slices(batch, text):
+            for part in byte_slices(batch, text, 2_000_000):
                 flat, counts = codec.encode(part.column(text).to_pylist())
                 bounds = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
                 column = pa.ListArray.from_arrays(bounds, pa.array(flat.astype(np.int32)))
@@ -516,7 +516,7 @@ def codec_report(docs: DataFrame, model_path: str, key: str = "doc_id", text: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load_codec(model_path)
         for batch in batches:
-            for part in byte_slices(batch, text):
+            for part in byte_slices(batch, text, 2_000_000):
                 texts = part.column(text).to_pylist()
                 flat, counts = codec.encode(texts)
                 decoded = codec.decode(flat, counts)
