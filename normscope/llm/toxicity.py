@@ -190,8 +190,18 @@ def chosen_keys(docs: DataFrame, labels: DataFrame, held_out, label: str, key: s
     return picks[0].unionByName(picks[1]), counts.get(1, 0) / total if total else 0.0
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Values as a zstd frame after their number of bytes."""
+    return len(values.tobytes()).to_bytes(8, "little") + pa.compress(values.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: pa.BinaryScalar, kind: str) -> np.ndarray:
+    view = memoryview(data.as_buffer())
+    return np.frombuffer(pa.decompress(view[8:], int.from_bytes(view[:8], "little"), codec="zstd", asbytes=True), dtype=kind)
+
+
 def sampled_bags(docs: DataFrame, chosen: DataFrame, key: str, text: str, settings: Settings) -> DataFrame:
-    """``key``, ``label``, ``rows`` and ``shares`` (float32): one subword bag for each chosen document.
+    """``key``, ``label``, ``rows`` (steps from one to the next) and ``shares`` (float32), both zstd: one subword bag for each chosen document.
 
     Rows that repeat a key count once, with the text that comes first.
     """
@@ -201,10 +211,10 @@ def sampled_bags(docs: DataFrame, chosen: DataFrame, key: str, text: str, settin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in byte_slices(batch, "text"):
+            for part in byte_slices(batch, "text", 1_000_000):
                 bags = document_bags(part.column("text").to_pylist(), settings)
-                rows = pa.array([b[0].astype(kind).tobytes() for b in bags], pa.binary())
-                shares = pa.array([b[1].astype("<f4").tobytes() for b in bags], pa.binary())
+                rows = pa.array([_packed(np.diff(b[0].astype(kind), prepend=np.zeros(1, dtype=kind))) for b in bags], pa.binary())
+                shares = pa.array([_packed(b[1].astype("<f4")) for b in bags], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("label"), rows, shares], names=["key", "label", "rows", "shares"])
 
     return own.mapInArrow(run, f"key {dict(own.dtypes)['key']}, label int, rows binary, shares binary")
@@ -215,15 +225,19 @@ def fit(docs: DataFrame, labels: DataFrame, held_out=None, label: str = "toxic",
     chosen, prior = chosen_keys(docs, labels, held_out, label, key, settings)
     found = sampled_bags(docs, chosen, key, text, settings).toArrow()
     kind = row_kind(settings)
-    bags = [(np.frombuffer(r.as_buffer(), dtype=kind), np.frombuffer(v.as_buffer(), dtype="<f4")) for r, v in zip(found["rows"], found["shares"], strict=True)]
     order = np.argsort(np.asarray(found["key"]), kind="stable")
-    return train_on_bags([bags[i] for i in order], np.asarray(found["label"], dtype=np.int64)[order], prior, settings)
+    target = np.asarray(found["label"], dtype=np.int64)[order]
+    rows, shares = found["rows"], found["shares"]
+    bags = [(np.cumsum(_unpacked(rows[i], kind), dtype=kind), _unpacked(shares[i], "<f4")) for i in order.tolist()]
+    del found, rows, shares
+    pa.default_memory_pool().release_unused()
+    return train_on_bags(bags, target, prior, settings)
 
 
 class Scorer:
     """Scores lists of texts; keeps the weights of words it has seen, up to a bound."""
 
-    def __init__(self, model: Model, cache_words: int = 500_000):
+    def __init__(self, model: Model, cache_words: int = 150_000):
         self.model, self.cache_words = model, cache_words
         self.known: dict[bytes, float] = {}
 
@@ -251,7 +265,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(handle.value)
         for batch in batches:
-            for part in byte_slices(batch, text):
+            for part in byte_slices(batch, text, 1_000_000):
                 values = scorer(part.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(key), pa.array(values, pa.float64())], names=[key, "score"])
 
@@ -282,7 +296,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(handle.value)
         for batch in batches:
-            for part in byte_slices(batch, text):
+            for part in byte_slices(batch, text, 1_000_000):
                 clean = scorer(part.column(text).to_pylist()) < settings.threshold
                 yield part.filter(pa.array(clean, pa.bool_()))
 
