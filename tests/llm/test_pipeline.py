@@ -14,16 +14,17 @@ KIND = "doc_id long, text string, lang string, source string, n_chars long, own_
 
 
 def test_stages_with_nulls_repeats_and_other_columns(spark):
+    # No label has these keys, so nothing is known to be toxic.
     long = " ".join(f"w{i}" for i in range(30_000))
-    rows = [(None, None, None, None, None, "x", "y"), (1, "", "en", None, 0, "x", "y"), (1, "", "en", None, 0, "x", "y"), (2, "token=abcdefghijklmn", None, "web", 20, "x", "y"), (3, long, "en", "web", 9, "x", "y"), (4, long + " more", "en", "web", 9, "x", "y"), (None, long, "en", "web", 9, "x", "y")]
+    rows = [(None, None, None, None, None, "x", "y"), (10**9 + 1, "", "en", None, 0, "x", "y"), (10**9 + 1, "", "en", None, 0, "x", "y"), (10**9 + 2, "token=abcdefghijklmn", None, "web", 20, "x", "y"), (10**9 + 3, long, "en", "web", 9, "x", "y"), (10**9 + 4, long + " more", "en", "web", 9, "x", "y"), (None, long, "en", "web", 9, "x", "y")]
     for docs in (spark.createDataFrame(rows, KIND), spark.createDataFrame([], KIND)):
         before = docs
         for name, stage in corpus_pipeline.STAGES:
             docs = materialise(stage(spark, docs, SF_DIR), name)
             if name == "simhash_dedup" and before.count():
-                assert sorted(str(r["doc_id"]) for r in docs.collect()) == ["1", "1", "2", "3", "None", "None"]
+                assert sorted(str(r["doc_id"]) for r in docs.collect()) == ["1000000001", "1000000001", "1000000002", "1000000003", "None", "None"]
             if name == "secret_scan" and before.count():
-                assert [r["text"] for r in docs.where("doc_id = 2").collect()] == ["[SECRET]"]
+                assert [r["text"] for r in docs.where("doc_id = 1000000002").collect()] == ["[SECRET]"]
         assert docs.count() <= before.count() and docs.columns[0] == "doc_id"
 
 
