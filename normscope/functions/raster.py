@@ -74,23 +74,25 @@ def normalised(value: Column, channel: Column) -> Column:
     return (value / 255.0 - mean) / std
 
 
+def axis_weights(source: int, target: int) -> np.ndarray:
+    """(target, source) weights of one axis, as :func:`bilinear_weights` has them in rows."""
+    step = source / target
+    wide = max(step, 1.0)
+    centre = (np.arange(target) + 0.5) * step
+    w = np.maximum(0.0, 1.0 - np.abs((np.arange(source)[None, :] + 0.5 - centre[:, None]) / wide))
+    return w / w.sum(axis=1, keepdims=True)
+
+
 def triangle_resize(pixels: np.ndarray, rows: int, cols: int) -> np.ndarray:
     """An (h, w, 3) uint8 image resized along x, then y, each result rounded to uint8."""
 
-    def weights(source: int, target: int) -> np.ndarray:
-        step = source / target
-        wide = max(step, 1.0)
-        centre = (np.arange(target) + 0.5) * step
-        w = np.maximum(0.0, 1.0 - np.abs((np.arange(source)[None, :] + 0.5 - centre[:, None]) / wide))
-        return w / w.sum(axis=1, keepdims=True)
-
     def to_bytes(a: np.ndarray) -> np.ndarray:
         return np.clip(np.floor(a + 0.5), 0, 255)
 
     if pixels.shape[:2] == (rows, cols):
         return pixels
-    across = to_bytes(np.einsum("hwc,ow->hoc", pixels.astype(np.float64), weights(pixels.shape[1], cols)))
-    return to_bytes(np.einsum("hwc,oh->owc", across, weights(pixels.shape[0], rows))).astype(np.uint8)
+    across = to_bytes(np.einsum("hwc,ow->hoc", pixels.astype(np.float64), axis_weights(pixels.shape[1], cols)))
+    return to_bytes(np.einsum("hwc,oh->owc", across, axis_weights(pixels.shape[0], rows))).astype(np.uint8)
 
 
 def encode_png(pixels: np.ndarray) -> bytes:

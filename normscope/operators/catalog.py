@@ -13,21 +13,28 @@ def ingest(samples: DataFrame, uploads: DataFrame) -> tuple[DataFrame, DataFrame
     """Accepted rows in the samples' schema, and rejected ones with a ``reason``.
 
     ``uploads``: group, filename, raw, content_id, width, height, seq.  An upload is
-    rejected if its group is unknown, or if its content is already held in either
-    group or by an earlier upload of the same call; the reason names the group.
+    rejected if its group is unknown, if it has no content id, or if its content is already
+    held in either group or by an earlier upload of the same call (the reason names
+    the group), or if its sample id is.  Only keys are shuffled, never ``raw``.
     """
-    named = uploads.withColumn("sample_id", sample_id(F.col("group"), F.col("raw"))).withColumn("filename", filename_or_default(F.col("filename")))
-    good = F.coalesce(F.col("group").isin(*GROUPS), F.lit(False))
+    named = uploads.withColumn("sample_id", sample_id(F.col("group"), F.col("raw"))).withColumn("filename", filename_or_default(F.col("filename"))).select(*samples.columns)
+    known = F.coalesce(F.col("group").isin(*GROUPS), F.lit(False))
+    good = known & F.col("content_id").isNotNull()
     first = Window.partitionBy("content_id").orderBy("seq")
     ranked = named.where(good).withColumn("_rank", F.row_number().over(first)).withColumn("_first_group", F.first("group").over(first))
     held = samples.groupBy("content_id").agg(F.min("group").alias("_held"))
     joined = ranked.join(held, "content_id", "left")
-    accepted = joined.where(F.col("_held").isNull() & (F.col("_rank") == 1))
+    fresh = joined.where(F.col("_held").isNull() & (F.col("_rank") == 1))
+    names = samples.select("sample_id", F.lit(True).alias("_named")).distinct()
+    counted = fresh.withColumn("_turn", F.row_number().over(Window.partitionBy("sample_id").orderBy("seq"))).join(names, "sample_id", "left")
+    new = F.col("_named").isNull() & (F.col("_turn") == 1)
+    accepted = counted.where(new)
+    again = counted.where(~new).select("seq", "group", "filename", F.lit("this file has already been uploaded").alias("reason"))
     rejected = joined.where(F.col("_held").isNotNull() | (F.col("_rank") > 1)).select(
         "seq", "group", "filename", F.concat(F.lit("identical image content is already in "), F.coalesce("_held", "_first_group")).alias("reason")
     )
-    unknown = named.where(~good).select("seq", "group", "filename", F.lit("unknown group").alias("reason"))
-    return accepted.select(*samples.columns), rejected.unionByName(unknown)
+    unusable = named.where(~good).select("seq", "group", "filename", F.when(known, "the image has no content").otherwise("unknown group").alias("reason"))
+    return accepted.select(*samples.columns), rejected.unionByName(again).unionByName(unusable)
 
 
 def delete(samples: DataFrame, keys: DataFrame, key: str = "sample_id") -> DataFrame:

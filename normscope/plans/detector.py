@@ -93,10 +93,16 @@ def heat_png(pixels: DataFrame, image: str = "sample_id") -> DataFrame:
     return pixels.groupBy(image).applyInPandas(draw, f"{image} {dict(pixels.dtypes)[image]}, png binary")
 
 
-def inspection_json(scored: DataFrame, pngs: DataFrame, image: str = "sample_id") -> DataFrame:
-    """The reply for each image, with the picture in base64 and without the grid."""
-    joined = scored.join(pngs, image).withColumn("heat_png", F.base64("png"))
-    return joined.select(image, F.to_json(F.struct("score", "threshold", "is_anomaly", "threshold_is_zero", "heat_png")).alias("reply"))
+def inspection_json(scored: DataFrame, heat: DataFrame, originals: DataFrame, image: str = "sample_id") -> DataFrame:
+    """The whole reply for each image: verdict, end of the colour scale (null for a threshold of zero), size, both pictures in base64.
+
+    ``heat``: image, png; ``originals``: image, width, height, png.  Images that one of them lacks give no reply.
+    """
+    left = scored.join(heat.select(image, F.base64("png").alias("heatmap")), image)
+    joined = left.join(originals.select(image, "width", "height", F.base64("png").alias("original")), image)
+    vmax = F.when(F.col("threshold") != 0, F.col("threshold") * 2).alias("color_scale_vmax")
+    fields = F.struct("score", "threshold", "is_anomaly", "threshold_is_zero", vmax, "width", "height", "original", "heatmap")
+    return joined.select(image, F.to_json(fields, {"ignoreNullFields": "false"}).alias("reply"))
 
 
 def status(store: DetectorStore, samples: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from ..functions.raster import blend, colour_bound, colour_level, jet, normalise
 from ..functions.stats import linear_quantile, ordered_values
 from ..functions.vectors import scaled
 from ..operators import catalog
+from ..operators.assembly import concat_grids
 from ..operators.neighbours import image_score, nearest_distance
 from ..operators.scoring import is_anomaly, is_zero, threshold_of, verdicts
 from ..operators.selection import farthest_points
@@ -348,9 +349,26 @@ def quantile_by_source(spark, sf_dir):
     return docs.groupBy("source").agg(*(_r(linear_quantile("n_chars", q)).alias(n) for n, q in (("q0", 0.0), ("q95", 0.95), ("q1", 1.0))))
 
 
-@query()
+@query(SAMPLES_SQL + """ SELECT seq, CAST(to_json({'sample_id': substr(grp, 1, 1) || '-' || substr(sha256(text), 1, 16), 'filename': coalesce(nullif(filename, ''), 'upload'), 'content_id': content_id, 'width': width, 'height': height, 'group': grp}) AS VARCHAR) AS sample FROM k WHERE rn = 1""")
 def state_json(spark, sf_dir):
-    """The state document (rows only: engines space JSON differently)."""
+    """The state document, one sample a row."""
     accepted, _ = catalog.ingest(_none(spark), _uploads(spark, sf_dir))
     sample = F.struct("sample_id", "filename", "content_id", "width", "height", "group")
-    return accepted.select("seq", F.to_json(sample).alias("sample"))
+    return accepted.select("seq", F.to_json(sample, {"ignoreNullFields": "false"}).alias("sample"))
+
+
+@query(
+    """WITH e AS (SELECT vec_id // 16 AS image_id, CAST(vec_id % 16 AS INT) AS cell, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+c AS (SELECT image_id, cell // 2 AS cy, cell % 2 AS cx, v FROM e WHERE cell < 4),
+wx AS (SELECT o, least(1, greatest(0, t)) AS s, sum(greatest(0, 1 - abs(t + 0.5 - (o + 0.5) * 0.5))) AS w FROM range(4) AS a(o), range(-2, 4) AS b(t) GROUP BY o, s HAVING w > 0),
+wy AS (SELECT * FROM wx),
+u AS (SELECT image_id, CAST(wy.o * 4 + wx.o AS INT) AS cell, sum(v[1] * wx.w * wy.w) AS first, sum(v[-1] * wx.w * wy.w) AS last FROM c JOIN wx ON cx = wx.s JOIN wy ON cy = wy.s GROUP BY 1, 2)
+SELECT e.image_id, e.cell, CAST(2 * len(e.v) AS INT) AS dims, round(e.v[1], 6) AS fine_first, round(u.first, 6) AS coarse_first, round(u.last, 6) AS coarse_last
+FROM e JOIN u USING (image_id, cell) WHERE image_id IN (SELECT image_id FROM c GROUP BY image_id HAVING count(*) = 4)"""
+)
+def aligned_features(spark, sf_dir):
+    """Sixteen vectors are an image's 4 x 4 grid; its first four serve as the coarser 2 x 2 grid."""
+    e = _table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 16").alias("image_id"), (F.col("vec_id") % 16).cast("int").alias("cell"), F.col("embedding").alias("descriptor"))
+    whole = concat_grids(e, e.where("cell < 4"), (4, 4), (2, 2), "image_id").where("descriptor is not null")
+    v, dims = F.col("descriptor"), F.size("descriptor")
+    return whole.select("image_id", "cell", dims.alias("dims"), _r(F.element_at(v, 1)).alias("fine_first"), _r(F.element_at(v, F.expr("size(descriptor) div 2 + 1").cast("int"))).alias("coarse_first"), _r(F.element_at(v, -1)).alias("coarse_last"))

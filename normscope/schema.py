@@ -37,6 +37,8 @@ DESCRIPTOR = T.StructType(
         T.StructField("descriptor", T.ArrayType(T.FloatType())),
     ]
 )
+#: A sample's image as it is stored, in its own size.
+IMAGE = T.StructType([T.StructField("sample_id", T.StringType()), T.StructField("png", T.BinaryType())])
 BANK = T.StructType([T.StructField("bank_pos", T.IntegerType()), T.StructField("descriptor", T.ArrayType(T.DoubleType()))])
 VERSION = T.StructType(
     [

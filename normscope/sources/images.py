@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import content_id, image_format
-from ..functions.raster import triangle_resize
+from ..functions.raster import encode_png, triangle_resize
 from ..schema import INPUT_SIZE, MOST_BYTES
 
-PIXELS = "path string, width int, height int, pixels binary"
+PIXELS = "path string, width int, height int, pixels binary, png binary"
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -29,7 +29,7 @@ def _plain_path(path: str) -> Column:
 
 
 def read_pixels(spark: SparkSession, path: str, size: int = INPUT_SIZE) -> DataFrame:
-    """``path``, original ``width`` and ``height``, ``pixels``: RGB bytes of the image resized to ``size`` x ``size``.
+    """``path``, original ``width`` and ``height``, ``pixels``: RGB bytes of the image resized to ``size`` x ``size``, ``png``: the image in its own size.
 
     Files that cannot be decoded are left out.
     """
@@ -39,12 +39,13 @@ def read_pixels(spark: SparkSession, path: str, size: int = INPUT_SIZE) -> DataF
 
     def resize(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
+            out, pngs = [], []
             for h, w, c, data in zip(f["height"], f["width"], f["nChannels"], f["data"], strict=True):
                 image = np.frombuffer(data, dtype=np.uint8).reshape(h, w, c)
                 rgb = image[:, :, [2, 1, 0]] if c >= 3 else np.repeat(image[:, :, :1], 3, axis=2)  # stored blue first
                 out.append(triangle_resize(np.ascontiguousarray(rgb), size, size).tobytes())
-            yield pd.DataFrame({"path": f["origin"], "width": f["width"], "height": f["height"], "pixels": out})
+                pngs.append(encode_png(np.ascontiguousarray(rgb)))
+            yield pd.DataFrame({"path": f["origin"], "width": f["width"], "height": f["height"], "pixels": out, "png": pngs})
 
     return raw.mapInPandas(resize, PIXELS)
 
@@ -52,11 +53,11 @@ def read_pixels(spark: SparkSession, path: str, size: int = INPUT_SIZE) -> DataF
 def read_uploads(spark: SparkSession, path: str, group: str, first_seq: int = 0) -> tuple[DataFrame, DataFrame]:
     """Uploads ready for the catalogue, in order of their paths, and the rejected files (too large, of another format, damaged) with a reason."""
     files = read_files(spark, path).withColumn("_place", _plain_path("path")).withColumn("_name", F.element_at(F.split("path", "/"), -1))
-    pixels = read_pixels(spark, path).select(_plain_path("path").alias("_place"), "width", "height", "pixels")
+    pixels = read_pixels(spark, path).select(_plain_path("path").alias("_place"), "width", "height", "pixels", "png")
     joined = files.join(pixels, "_place", "left")
     good = F.col("format").isNotNull() & F.col("pixels").isNotNull()
     accepted = joined.where(good).select(
-        F.lit(group).alias("group"), F.col("_name").alias("filename"), F.col("content").alias("raw"), content_id(F.col("pixels")).alias("content_id"), "width", "height", "pixels", F.col("path").alias("_path")
+        F.lit(group).alias("group"), F.col("_name").alias("filename"), F.col("content").alias("raw"), content_id(F.col("pixels")).alias("content_id"), "width", "height", "pixels", "png", F.col("path").alias("_path")
     )
     ranks = accepted.select("_path").distinct().orderBy("_path").rdd.map(lambda r: r[0]).zipWithIndex().map(lambda x: (x[0], x[1] + first_seq)).toDF("_path string, seq long") if accepted.limit(1).count() else None
     out = accepted.join(ranks, "_path") if ranks is not None else accepted.withColumn("seq", F.lit(None).cast("long"))

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import BANK, VERSION
+from ..schema import BANK, IMAGE, SAMPLE, VERSION
 
 
 class DetectorStore:
@@ -31,8 +31,8 @@ class DetectorStore:
         self._point(version)
         return version
 
-    def _point(self, version: str) -> None:
-        fresh, current = self._path(f"{self.root}/.pointer-{version}"), self._path(f"{self.root}/CURRENT")
+    def _point(self, version: str, name: str = "CURRENT") -> None:
+        fresh, current = self._path(f"{self.root}/.pointer-{version}"), self._path(f"{self.root}/{name}")
         out = self._fs.create(fresh, True)
         out.write(bytearray(version.encode()))
         out.close()
@@ -62,3 +62,71 @@ class DetectorStore:
 
     def record(self, version: str) -> DataFrame:
         return self.spark.read.schema(VERSION).parquet(f"{self.root}/version={version}/record")
+
+
+class SampleStore(DetectorStore):
+    """The catalogue and the samples' images beside the detector; what is written outlives the session.
+
+    Each change writes a new list of samples and moves the pointer ``SAMPLES`` to it.
+    Images are Parquet rows, written before the list that names them; an image
+    that no list names is unreachable until :meth:`vacuum` drops it.  One writer at a time.
+    """
+
+    def samples(self) -> DataFrame:
+        """The current list; samples whose image is gone are left out."""
+        listed = self._listed()
+        images = self._images()
+        return listed.limit(0) if images is None else listed.join(images.select("sample_id").distinct(), "sample_id", "left_semi").select(*SAMPLE.names)
+
+    def _listed(self) -> DataFrame:
+        if not self._fs.exists(self._path(f"{self.root}/SAMPLES")):
+            return self.spark.createDataFrame([], SAMPLE)
+        version = self.spark.read.text(f"{self.root}/SAMPLES").first()[0]
+        return self.spark.read.schema(SAMPLE).parquet(f"{self.root}/samples={version}")
+
+    def _images(self) -> DataFrame | None:
+        if not self._fs.exists(self._path(f"{self.root}/IMAGES")):
+            return None
+        version = self.spark.read.text(f"{self.root}/IMAGES").first()[0]
+        return self.spark.read.schema(IMAGE).option("recursiveFileLookup", True).parquet(f"{self.root}/images={version}")
+
+    def _list(self, samples: DataFrame) -> None:
+        version = uuid.uuid4().hex
+        samples.select(*SAMPLE.names).write.parquet(f"{self.root}/samples={version}")
+        self._point(version, "SAMPLES")
+
+    def add(self, accepted: DataFrame, images: DataFrame) -> None:
+        """Take accepted samples up; ``images`` holds ``sample_id`` and ``png``, of which only theirs are kept."""
+        if self._images() is None:
+            version = uuid.uuid4().hex
+            self._fs.mkdirs(self._path(f"{self.root}/images={version}"))
+            self._point(version, "IMAGES")
+        version = self.spark.read.text(f"{self.root}/IMAGES").first()[0]
+        own = images.join(accepted.select("sample_id"), "sample_id", "left_semi").dropDuplicates(["sample_id"])
+        own.select(*IMAGE.names).write.parquet(f"{self.root}/images={version}/batch-{uuid.uuid4().hex}")
+        self._list(self._listed().unionByName(accepted.select(*SAMPLE.names)))
+
+    def delete(self, sample_id: str) -> None:
+        """Take one sample and its image out; ``KeyError`` for an unknown one."""
+        listed = self._listed()
+        if not listed.where(F.col("sample_id") == sample_id).limit(1).count():
+            raise KeyError(sample_id)
+        self._list(listed.where(F.col("sample_id") != sample_id))
+
+    def image(self, sample_id: str) -> bytes:
+        """The stored PNG; the id is compared within the Parquet scan.  ``KeyError`` for an unknown one."""
+        one = self._listed().where(F.col("sample_id") == sample_id).limit(1).count() and self._images().where(F.col("sample_id") == sample_id).first()
+        if not one:
+            raise KeyError(sample_id)
+        return bytes(one["png"])
+
+    def vacuum(self) -> None:
+        """Rewrite the images that a sample names into a new folder and drop the older one."""
+        images = self._images()
+        if images is None:
+            return
+        old = self.spark.read.text(f"{self.root}/IMAGES").first()[0]
+        version = uuid.uuid4().hex
+        images.join(self._listed().select("sample_id"), "sample_id", "left_semi").dropDuplicates(["sample_id"]).write.parquet(f"{self.root}/images={version}/batch-{uuid.uuid4().hex}")
+        self._point(version, "IMAGES")
+        self._fs.delete(self._path(f"{self.root}/images={old}"), True)

@@ -1,3 +1,6 @@
+import base64
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +11,7 @@ from normscope.plans import detector
 from normscope.schema import SAMPLE
 from normscope.sources.descriptors import PixelStatistics, describe
 from normscope.sources.images import read_uploads
-from normscope.sources.store import DetectorStore
+from normscope.sources.store import DetectorStore, SampleStore
 from normscope.streaming.scoring import score_stream
 
 
@@ -90,8 +93,14 @@ def test_heatmap_colours_are_fixed_by_the_threshold(spark, built):
     pngs = detector.heat_png(pixels)
     assert all(r["png"][:8] == b"\x89PNG\r\n\x1a\n" for r in pngs.collect())
     scored = detector.inspect(built[0], built[4])[0]
-    replies = detector.inspection_json(scored.withColumn("sample_id", F.concat(F.lit("i"), F.substring("sample_id", 1, 1))), pngs)
-    assert all('"heat_png"' in r["reply"] for r in replies.collect())
+    originals = spark.createDataFrame([("i0", 300, 240, b"zero"), ("i1", 300, 240, b"one")], "sample_id string, width int, height int, png binary")
+    replies = detector.inspection_json(scored.withColumn("sample_id", F.concat(F.lit("i"), F.substring("sample_id", 1, 1))), pngs, originals).collect()
+    assert len(replies) == 2
+    for r in replies:
+        reply = json.loads(r["reply"])
+        assert list(reply) == ["score", "threshold", "is_anomaly", "threshold_is_zero", "color_scale_vmax", "width", "height", "original", "heatmap"]
+        assert reply["color_scale_vmax"] == (2 * reply["threshold"] if reply["threshold"] else None)
+        assert base64.b64decode(reply["original"]) == (b"zero" if r["sample_id"] == "i0" else b"one") and (reply["width"], reply["height"]) == (300, 240)
 
 
 def test_stream_scores_equal_batch_scores(spark, built, tmp_path):
@@ -103,3 +112,34 @@ def test_stream_scores_equal_batch_scores(spark, built, tmp_path):
     got = spark.table("scored").groupBy("sample_id").agg(F.max("d").alias("score"))
     want = detector.inspect(store, inspected)[0].select("sample_id", "score")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_the_catalogue_outlives_its_store_object(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.png").write_bytes(encode_png(_cloth(50 + k)))
+    store = SampleStore(spark, str(tmp_path / "store"))
+    assert store.samples().count() == 0
+    with pytest.raises(KeyError):
+        store.image("r-none")
+    uploads, _ = read_uploads(spark, str(tmp_path / "in"), "reference")
+    accepted, _ = catalog.ingest(store.samples(), uploads)
+    named = accepted.join(uploads.select("seq", "png"), "seq")
+    store.add(accepted.where("seq < 2"), named)
+    again = SampleStore(spark, store.root)
+    rest, rejected = catalog.ingest(again.samples(), uploads)
+    assert [r["seq"] for r in rest.collect()] == [2] and rejected.count() == 2
+    again.add(rest, named)
+    held = {r["seq"]: r["sample_id"] for r in SampleStore(spark, store.root).samples().collect()}
+    assert sorted(held) == [0, 1, 2]
+    assert again.image(held[1]) == encode_png(_cloth(51))
+    again.delete(held[1])
+    for gone in (held[1], "unknown"):
+        with pytest.raises(KeyError):
+            store.delete(gone)
+        with pytest.raises(KeyError):
+            store.image(gone)
+    again.vacuum()
+    assert sorted(r["seq"] for r in store.samples().collect()) == [0, 2]
+    assert store.image(held[2]) == encode_png(_cloth(52)) and store._images().count() == 2
+    assert store.current() is None  # no detector was built

@@ -6,6 +6,7 @@ from normscope.functions.ids import filename_or_default, image_format, upload_st
 from normscope.functions.raster import colour_bound, encode_png, jet, resize_grid, triangle_resize
 from normscope.functions.stats import linear_quantile, require_quantile
 from normscope.operators import catalog
+from normscope.operators.assembly import concat_grids
 from normscope.operators.neighbours import nearest_distance, nearest_distance_expr
 from normscope.operators.scoring import is_anomaly, is_zero
 from normscope.operators.selection import farthest_points, farthest_rows
@@ -148,3 +149,46 @@ def test_uploads_are_told_by_their_whole_path_and_large_ones_rejected(spark, tmp
     uploads, rejected = images.read_uploads(spark, str(tmp_path / "*"), "reference")
     assert sorted((r["filename"], r["pixels"][0]) for r in uploads.collect()) == [("0.png", 10), ("0.png", 200)]
     assert [(r["path"].split("/")[-1], "larger" in r["reason"]) for r in rejected.collect()] == [("big.png", True)]
+
+
+def _stretched(grid, rows, cols):
+    """Bilinear interpolation cell by cell, positions held within the grid."""
+    h, w, _ = grid.shape
+    out = np.empty((rows, cols, grid.shape[2]))
+    for y in range(rows):
+        for x in range(cols):
+            v, u = max((y + 0.5) * h / rows - 0.5, 0.0), max((x + 0.5) * w / cols - 0.5, 0.0)
+            a, b = int(v), int(u)
+            c, d = min(a + 1, h - 1), min(b + 1, w - 1)
+            top = grid[a, b] * (1 - u + b) + grid[a, d] * (u - b)
+            low = grid[c, b] * (1 - u + b) + grid[c, d] * (u - b)
+            out[y, x] = top * (1 - v + a) + low * (v - a)
+    return out
+
+
+def test_grids_are_aligned_and_concatenated(spark):
+    rng = np.random.default_rng(8)
+    fine, coarse = rng.normal(size=(6, 8, 3)), rng.normal(size=(3, 4, 2))
+    kinds = "sample_id string, cell int, descriptor array<double>, extra int"
+    left = [("a", k, v.tolist(), 1) for k, v in enumerate(fine.reshape(48, 3))] + [("b", 0, [1.0, 2.0, 3.0], 1), ("a", 48, [0.0] * 3, 1), ("a", 1, None, 1), (None, 0, [1.0] * 3, 1)]
+    right = [("a", k, v.tolist(), 1) for k, v in enumerate(coarse.reshape(12, 2))] + [("b", k, [0.0, 0.0], 1) for k in range(11)] + [("c", 0, [0.0, 0.0], 1)]
+    got = concat_grids(spark.createDataFrame(left, kinds), spark.createDataFrame(right, kinds), (6, 8), (3, 4)).collect()
+    assert len(got) == len(left)
+    whole = {r["cell"]: r["descriptor"] for r in got if r["descriptor"] is not None}
+    want = np.concatenate([fine, _stretched(coarse, 6, 8)], axis=2).reshape(48, 5)
+    assert sorted(whole) == list(range(48)) and np.allclose([whole[k] for k in range(48)], want)
+    nothing = spark.createDataFrame([], kinds)
+    assert concat_grids(nothing, nothing).count() == 0
+    assert [r["descriptor"] for r in concat_grids(spark.createDataFrame(left[:1], kinds), nothing, (6, 8), (3, 4)).collect()] == [None]
+
+
+def test_ingest_rejects_known_ids_and_missing_content(spark):
+    kinds = "group string, filename string, raw binary, content_id string, width int, height int, seq long"
+    uploads = spark.createDataFrame([("reference", "x", b"1", "c1", 1, 1, 0), ("reference", "y", b"1", "c2", 1, 1, 1), ("calibration", "z", b"2", None, 1, 1, 2), ("calibration", "z", b"3", None, 1, 1, 3)], kinds)
+    accepted, rejected = catalog.ingest(spark.createDataFrame([], SAMPLE), uploads)
+    assert [r["seq"] for r in accepted.collect()] == [0]
+    reasons = {r["seq"]: r["reason"] for r in rejected.collect()}
+    assert reasons == {1: "this file has already been uploaded", 2: "the image has no content", 3: "the image has no content"}
+    third = spark.createDataFrame([("reference", "w", b"1", "c3", 1, 1, 4)], kinds)
+    again, refused = catalog.ingest(accepted, third)
+    assert again.count() == 0 and refused.first()["reason"] == "this file has already been uploaded"
