@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_wrapper, mixing, secret_scan, sentencepiece_codec, simhash_dedup, substring_dedup, toxicity, vector_dedup, vector_search, wavelet_output
+from . import fill_middle, html_wrapper, impact_search, mixing, secret_scan, sentencepiece_codec, simhash_dedup, substring_dedup, toxicity, vector_codes, vector_dedup, vector_search, wavelet_output
 
 
 def tokenizer_file(name: str) -> str:
@@ -61,8 +61,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compression_report(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_report(_table(spark, sf_dir, "documents"))
+
+
+def op13_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_search.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_sentencepiece, op2_html_text, op3_token_output, op4_vector_search, op5_vector_dedup, op6_substring_dedup, op7_toxicity, op8_secret_scan, op9_simhash_dedup, op10_mixing)
+    made = (op1_sentencepiece, op2_html_text, op3_token_output, op4_vector_search, op5_vector_dedup, op6_substring_dedup, op7_toxicity, op8_secret_scan, op9_simhash_dedup, op10_mixing, op11_vector_codes, op12_fill_middle, op13_impact_search)
     return {f.__name__: f for f in made}
 
 
@@ -98,4 +110,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_substring_dedup": OP6_SQL,
         "op8_secret_scan": secret_scan.oracle_sql(),
         "op10_mixing": mixing.oracle_sql(),
+        "op11_vector_codes": vector_codes.oracle_sql(),
+        "op12_fill_middle": fill_middle.oracle_sql(),
+        "op13_impact_search": impact_search.oracle_sql(),
     }
