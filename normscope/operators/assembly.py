@@ -7,16 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.raster import axis_weights
+from ..functions.raster import align
 from ..schema import GRID
 
 
-def align(coarse: np.ndarray, rows: int, cols: int) -> np.ndarray:
-    """(h, w, dims) to (rows, cols, dims), bilinear with half-pixel centres; border cells repeat."""
-    across = np.einsum("hwd,ow->hod", coarse, axis_weights(coarse.shape[1], cols))
-    return np.einsum("hwd,oh->owd", across, axis_weights(coarse.shape[0], rows))
-
-
 def concat_grids(fine: DataFrame, coarse: DataFrame, fine_shape: tuple[int, int] = (GRID, GRID), coarse_shape: tuple[int, int] = (GRID // 2, GRID // 2), key: str = "sample_id") -> DataFrame:
     """``key``, ``cell``, ``descriptor``: each fine cell's vector followed by the coarse grid's value there.
 

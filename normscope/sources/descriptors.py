@@ -1,9 +1,9 @@
 """Where local descriptors come from.
 
-A descriptor source turns resized pixels into a grid of vectors.  The network
-features that such detectors usually read need weights and a library that are not
-part of this repository; :class:`PixelStatistics` is a plain source for tests and
-first trials and does not imitate them.
+A descriptor source turns resized pixels into a grid of vectors.  Network features
+(:mod:`normscope.sources.network`) need an archive of weights that is not
+part of this repository; :class:`PixelStatistics` is a plain source for first
+trials and does not imitate them.
 """
 
 from __future__ import annotations
@@ -41,23 +41,6 @@ class PixelStatistics:
         return np.concatenate(parts, axis=1).astype(np.float32)
 
 
-class TorchFeatures:
-    """Features of a scripted torch module that gives (1, dims, grid, grid); loaded once per worker, only where torch is there."""
-
-    def __init__(self, path: str):
-        self.path, self.module = path, None
-
-    def __call__(self, pixels: np.ndarray) -> np.ndarray:
-        import torch
-
-        if self.module is None:
-            self.module = torch.jit.load(self.path, map_location="cpu").eval()
-        x = (pixels.astype(np.float32) / 255.0 - np.array(CHANNEL_MEAN, np.float32)) / np.array(CHANNEL_STD, np.float32)
-        with torch.inference_mode():
-            out = self.module(torch.from_numpy(x.transpose(2, 0, 1)[None].copy()))[0].numpy()
-        return out.reshape(out.shape[0], -1).T.astype(np.float32)
-
-
 def describe(uploads: DataFrame, source: DescriptorSource, size: int = INPUT_SIZE) -> DataFrame:
     """A row for each cell of each upload (columns sample_id, group, seq, pixels)."""
 
