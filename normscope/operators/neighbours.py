@@ -5,22 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2
+from .pivots import matrix, nearest_by_pivots
 
-#: Banks of up to so many rows travel to every executor; larger ones are dealt into blocks of this size.
+#: Banks of up to so many rows travel to every executor.
 BROADCAST_ROWS = 4_096
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.asarray(pc.list_flatten(column), dtype=np.float64).reshape(len(column), -1)
-
-
 def least_distances(queries: np.ndarray, bank: np.ndarray, step: int = 256) -> np.ndarray:
     """Distance of each query to its nearest bank row, from differences (exact zeros stay zero)."""
     out = np.full(len(queries), np.inf)
@@ -38,10 +34,9 @@ def nearest_distance(queries: DataFrame, bank: DataFrame, vector: str = "descrip
     """The queries' columns without ``vector``, and ``distance`` to the nearest bank row.
 
     A bank within ``broadcast_rows`` is counted first, then sent to every executor
-    and compared in numpy, batch by batch: no shuffle.  A larger one is dealt into
-    blocks that meet the queries block by block; the least over the blocks is
-    taken by a partial aggregation.  Rows with a null vector get a null distance;
-    an empty bank gives nulls.
+    and compared in numpy, batch by batch: no shuffle.  A larger one stays where it is
+    but for the blocks that a query may need (:mod:`normscope.operators.pivots`).
+    Rows with a null vector get a null distance; an empty bank gives nulls.
     """
     spark = queries.sparkSession
     known = bank.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("b"))
@@ -49,7 +44,7 @@ def nearest_distance(queries: DataFrame, bank: DataFrame, vector: str = "descrip
     kept = [c for c in queries.columns if c != vector]
     schema = queries.select(*kept).schema.add(distance, "double")
     if len(head) > broadcast_rows:
-        return _by_blocks(queries, known, vector, distance, broadcast_rows)
+        return nearest_by_pivots(queries, known, vector, distance)
     handle = spark.sparkContext.broadcast(np.array(head.tolist(), dtype=np.float64) if len(head) else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,30 +54,12 @@ def nearest_distance(queries: DataFrame, bank: DataFrame, vector: str = "descrip
             valid = np.asarray(pc.is_valid(column))
             out = np.full(len(column), np.nan)
             if rows is not None and valid.any():
-                out[valid] = least_distances(_matrix(column.filter(pa.array(valid))), rows)
+                out[valid] = least_distances(matrix(column.filter(pa.array(valid))), rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.float64(), mask=np.isnan(out))], names=[*kept, distance])
 
     return queries.mapInArrow(run, schema)
 
 
-def _by_blocks(queries: DataFrame, bank: DataFrame, vector: str, distance: str, block: int) -> DataFrame:
-    kept = [c for c in queries.columns if c != vector]
-    blocks = max(1, -(-bank.count() // block))
-    numbered = queries.withColumn("_row", F.monotonically_increasing_id())
-    many = 64  # parts of the queries, so that a block's comparisons are shared out
-    asks = numbered.select("_row", F.col(vector).cast("array<double>").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("_row"), F.lit(many)).alias("part")).where("q is not null")
-    held = bank.select("b", F.pmod(F.xxhash64("b"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long"))).alias("part"))
-
-    def meet(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"_row": pd.Series(dtype="int64"), "d": pd.Series(dtype="float64")})
-        return pd.DataFrame({"_row": left["_row"], "d": least_distances(np.stack(left["q"].to_numpy()), np.stack(right["b"].to_numpy()))})
-
-    partial = asks.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInPandas(meet, "_row long, d double")
-    least = partial.groupBy("_row").agg(F.min("d").alias("_d"))
-    return numbered.join(least, "_row", "left").select(*kept, F.col("_d").alias(distance))
-
-
 def nearest_distance_expr(queries: DataFrame, bank: DataFrame, key: list[str], vector: str = "descriptor", distance: str = "d") -> DataFrame:
     """The same for small banks in expressions only: a nested-loop join with a partial minimum above it.
 
