@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,3 +24,18 @@ def l2(a: Column, b: Column) -> Column:
 
 def scaled(vector: Column, factor: Column) -> Column:
     return F.transform(as_double(vector), lambda x: x * factor)
+
+
+def farthest_rows(points: np.ndarray, most: int) -> list[int]:
+    """Start at row 0; then always the unused row farthest from all picks, the first of equal ones.  No pairwise matrix."""
+    picks = [0]
+    reach = np.full(len(points), np.inf)
+    free = np.ones(len(points), dtype=bool)
+    free[0] = False
+    while len(picks) < min(most, len(points)):
+        gap = points - points[picks[-1]]
+        np.minimum(reach, np.sqrt(np.einsum("ij,ij->i", gap, gap)), out=reach)
+        pick = int(np.argmax(np.where(free, reach, -1.0)))
+        free[pick] = False
+        picks.append(pick)
+    return picks

@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from ..functions.vectors import farthest_rows
 from ..sources.scratch import materialise
-from .selection import farthest_rows
 
 
 @dataclass(frozen=True)

@@ -4,46 +4,34 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.vectors import farthest_rows
 from ..schema import BANK, BANK_SIZE
+from .lazy_greedy import lazy_picks
 
-#: Numbers (rows times dimensions) that one task may hold; beyond it Spark makes one pass for each pick.
+#: Numbers (rows times dimensions) that one task may hold.
 ONE_TASK_NUMBERS = 64_000_000
 
 
-def farthest_rows(points: np.ndarray, most: int) -> list[int]:
-    """Start at row 0; then always the unused row farthest from all picks, the first of equal ones.  No pairwise matrix."""
-    picks = [0]
-    reach = np.full(len(points), np.inf)
-    free = np.ones(len(points), dtype=bool)
-    free[0] = False
-    while len(picks) < min(most, len(points)):
-        gap = points - points[picks[-1]]
-        np.minimum(reach, np.sqrt(np.einsum("ij,ij->i", gap, gap)), out=reach)
-        pick = int(np.argmax(np.where(free, reach, -1.0)))
-        free[pick] = False
-        picks.append(pick)
-    return picks
-
-
 def farthest_points(points: DataFrame, most: int = BANK_SIZE, order: tuple[str, ...] = ("seq", "cell"), vector: str = "descriptor", one_task_numbers: int = ONE_TASK_NUMBERS, keep_order: bool = False) -> DataFrame:
     """``bank_pos``, ``descriptor``: ``min(most, rows)`` rows in the order they are picked.
 
     ``keep_order`` adds the ``order`` columns, which name the rows picked.  ``order`` decides row 0 and ties, and must tell the rows apart.  The choice
     depends on all rows, so it is one task as long as they fit (their number is
-    checked first); beyond that every pick is one distributed pass.  Null vectors
+    checked first); beyond that they are picked lazily from a written table
+    (:mod:`normscope.operators.lazy_greedy`).  Null vectors
     are left out; no rows give none.
     """
     known = points.where(F.col(vector).isNotNull()).select(*order, F.col(vector).cast("array<double>").alias("v"))
+    schema = StructType([*BANK.fields, *known.select(*order).schema.fields])
     size = known.agg(F.count("*"), F.max(F.size("v"))).first()
     if size[0] * (size[1] or 0) > one_task_numbers:
-        picked = _by_passes(known, most, order)
+        picks = lazy_picks(known, most, order)
+        picked = known.sparkSession.createDataFrame([(k, v, *names) for k, (names, v) in enumerate(picks)], schema)
         return picked if keep_order else picked.select(*BANK.names)
-    kinds = known.select(*order).schema
-    schema = StructType([*BANK.fields, *kinds.fields])
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(list(order), kind="stable")
@@ -52,35 +40,3 @@ def farthest_points(points: DataFrame, most: int = BANK_SIZE, order: tuple[str,
 
     picked = known.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda f: choose(f), schema)
     return picked if keep_order else picked.select(*BANK.names)
-
-
-def _by_passes(known: DataFrame, most: int, order: tuple[str, ...]) -> DataFrame:
-    """One pass over all rows for each pick; only the picks so far (``most`` rows) travel."""
-    spark: SparkSession = known.sparkSession
-    first = known.orderBy(*order).limit(1).collect()
-    picks = [(tuple(r[c] for c in order), list(r["v"])) for r in first]
-    kinds = ", ".join(f"{c} {dict(known.dtypes)[c]}" for c in order)
-    while picks and len(picks) < most:
-        handle = spark.sparkContext.broadcast((np.array([p[1] for p in picks]), {p[0] for p in picks}))
-
-        def best(frames, handle=handle):
-            chosen, used = handle.value
-            for frame in frames:
-                if not len(frame):
-                    continue
-                x = np.stack(frame["v"].to_numpy())
-                reach = np.full(len(x), np.inf)
-                for c in chosen:
-                    gap = x - c
-                    np.minimum(reach, np.sqrt(np.einsum("ij,ij->i", gap, gap)), out=reach)
-                keys = list(frame[list(order)].itertuples(index=False, name=None))
-                reach[[k in used for k in keys]] = -1.0
-                out = frame[list(order)].assign(v=frame["v"], reach=reach).sort_values(["reach", *order], ascending=[False] + [True] * len(order))
-                yield out.head(1)
-
-        far = known.mapInPandas(best, f"{kinds}, v array<double>, reach double").where("reach >= 0").orderBy(F.desc("reach"), *order).limit(1).collect()
-        if not far:
-            break
-        picks.append((tuple(far[0][c] for c in order), list(far[0]["v"])))
-    schema = StructType([*BANK.fields, *known.select(*order).schema.fields])
-    return spark.createDataFrame([(k, v, *names) for k, (names, v) in enumerate(picks)], schema)
