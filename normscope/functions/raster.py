@@ -83,6 +83,41 @@ def axis_weights(source: int, target: int) -> np.ndarray:
     return w / w.sum(axis=1, keepdims=True)
 
 
+def axis_taps(source: int, target: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same weights as (first source place, taps) of each target place: rows of ``taps`` weights, zero beyond a place's own.
+
+    A place sees the source within one step, or one target step where the image
+    shrinks, of its centre, as far as there is any.
+    """
+    step = source / target
+    wide = max(step, 1.0)
+    centre = (np.arange(target) + 0.5) * step
+    first = np.maximum((centre - wide + 0.5).astype(np.int64), 0)
+    last = np.minimum((centre + wide + 0.5).astype(np.int64), source)
+    at = first[:, None] + np.arange(int((last - first).max()))[None, :]
+    w = np.where(at < last[:, None], np.maximum(0.0, 1.0 - np.abs((at - centre[:, None] + 0.5) / wide)), 0.0)
+    return first, w / w.sum(axis=1, keepdims=True)
+
+
+# Fixed value: bits behind the point of the weights by which bytes are resampled.
+WEIGHT_BITS = 22
+
+
+def resize_axis(pixels: np.ndarray, target: int, axis: int) -> np.ndarray:
+    """A uint8 image resampled along one axis by integer weights, each result rounded to a byte."""
+    source = pixels.shape[axis]
+    if source == target:
+        return pixels
+    first, w = axis_taps(source, target)
+    whole = np.floor(w * (1 << WEIGHT_BITS) + 0.5).astype(np.int64)
+    rows = np.moveaxis(pixels, axis, 0)
+    out = np.full((target, *rows.shape[1:]), 1 << (WEIGHT_BITS - 1), dtype=np.int64)
+    for tap in range(whole.shape[1]):
+        # Taps beyond the border weigh nothing, so any place serves.
+        out += rows[np.minimum(first + tap, source - 1)] * whole[:, tap].reshape(-1, *[1] * (rows.ndim - 1))
+    return np.moveaxis(np.clip(out >> WEIGHT_BITS, 0, 255).astype(np.uint8), 0, axis)
+
+
 def align(coarse: np.ndarray, rows: int, cols: int) -> np.ndarray:
     """(h, w, dims) to (rows, cols, dims), bilinear with half-pixel centres; border cells repeat."""
     across = np.einsum("hwd,ow->hod", coarse, axis_weights(coarse.shape[1], cols))
@@ -90,15 +125,27 @@ def align(coarse: np.ndarray, rows: int, cols: int) -> np.ndarray:
 
 
 def triangle_resize(pixels: np.ndarray, rows: int, cols: int) -> np.ndarray:
-    """An (h, w, 3) uint8 image resized along x, then y, each result rounded to uint8."""
+    """An (h, w, 3) uint8 image resized along x, then y, by the fixed-point triangle filter that image libraries use for bytes.
+
+    Weights are integers of ``WEIGHT_BITS`` bits, and what the first pass gives is rounded to
+    bytes before the second; ids of content depend on it.
+    """
+    return resize_axis(resize_axis(pixels, cols, 1), rows, 0)
 
-    def to_bytes(a: np.ndarray) -> np.ndarray:
-        return np.clip(np.floor(a + 0.5), 0, 255)
 
-    if pixels.shape[:2] == (rows, cols):
-        return pixels
-    across = to_bytes(np.einsum("hwc,ow->hoc", pixels.astype(np.float64), axis_weights(pixels.shape[1], cols)))
-    return to_bytes(np.einsum("hwc,oh->owc", across, axis_weights(pixels.shape[0], rows))).astype(np.uint8)
+def heat_colours(levels: np.ndarray) -> np.ndarray:
+    """uint8 colours (..., 3) of levels in [0, 1], as :func:`jet` has them."""
+    at = levels[..., None] * 4.0
+    low, high = np.array([1.5, 0.5, -0.5]), np.array([4.5, 3.5, 2.5])
+    return np.rint(np.clip(np.minimum(at - low, high - at), 0.0, 1.0) * 255.0).astype(np.uint8)
+
+
+def heat_image(grid: np.ndarray, rows: int, cols: int, threshold: float) -> np.ndarray:
+    """An (h, w) grid of distances as a (rows, cols, 3) uint8 picture on the scale that the threshold fixes: both axes are matrix products."""
+    large = axis_weights(grid.shape[0], rows) @ grid @ axis_weights(grid.shape[1], cols).T
+    largest = large.max(initial=0.0)
+    bound = 2.0 * threshold if threshold > 0 else largest if largest > 0 else 1.0
+    return heat_colours(np.clip(np.round(large / bound, 9), 0.0, 1.0))
 
 
 def encode_png(pixels: np.ndarray) -> bytes:

@@ -1,60 +1,58 @@
-"""Building a detector, inspecting with it, and telling its state."""
+"""Building a detector, inspecting with it, and what it answers."""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.raster import colour_bound, colour_level, encode_png, jet, resize_grid
+from ..functions.raster import encode_png, heat_image
 from ..functions.stats import ordered_values
 from ..operators.neighbours import image_score, nearest_distance
-from ..operators.scoring import is_anomaly, is_zero, threshold_of
+from ..operators.ranks import exact_quantiles, numbered
+from ..operators.scoring import is_anomaly, is_zero
 from ..operators.selection import farthest_points
-from ..schema import BANK_SIZE, CHANNEL_MEAN, CHANNEL_STD, GRID, INPUT_SIZE, QUANTILE
-from ..sources.store import DetectorStore
-
-PREPROCESS = json.dumps({"input_size": [INPUT_SIZE, INPUT_SIZE], "mode": "RGB", "mean": CHANNEL_MEAN, "std": CHANNEL_STD, "grid": GRID})
+from ..schema import BANK_SIZE, GRID, PREPROCESS, QUANTILE
+from ..sources.scratch import materialise
+from ..sources.store import StateStore
+from .state import samples_digest, status
 
 
 class NotBuilt(RuntimeError):
     """There is no detector yet."""
 
 
-def samples_digest(samples: DataFrame) -> int:
-    """A number that changes with the set of samples."""
-    return int(samples.agg(F.coalesce(F.sum(F.xxhash64("sample_id", "group").cast("decimal(38,0)")) % 9_007_199_254_740_993, F.lit(0))).first()[0])
-
-
-def rebuild(store: DetectorStore, samples: DataFrame, descriptors: DataFrame, most: int = BANK_SIZE, q: float = QUANTILE) -> str:
+def rebuild(store: StateStore, samples: DataFrame, descriptors: DataFrame, most: int = BANK_SIZE, q: float = QUANTILE) -> str:
     """Select the bank, score the calibration images against it, publish a new version.
 
     ``ValueError`` when a group is empty, or when a sample has no descriptors (its
-    image is gone); the current version then stays as it is.
+    image is gone); the current version then stays as it is.  Descriptors are evaluated
+    once, into a written table.
     """
     counts = {r["group"]: r["count"] for r in samples.groupBy("group").count().collect()}
     for group in ("reference", "calibration"):
         if not counts.get(group):
             raise ValueError(f"add at least one {group} image first")
-    lost = samples.join(descriptors.select("sample_id").distinct(), "sample_id", "left_anti").limit(1).collect()
+    own = materialise(descriptors.join(samples.select("sample_id"), "sample_id", "left_semi"), "descriptors")
+    lost = samples.join(own.select("sample_id").distinct(), "sample_id", "left_anti").limit(1).collect()
     if lost:
         raise ValueError(f"no image for {lost[0]['sample_id']}")
-    own = descriptors.join(samples.select("sample_id"), "sample_id", "left_semi")
     bank = farthest_points(own.where(F.col("group") == "reference"), most)
     rows = bank.collect()  # at most ``most`` rows; fixed here, so that scoring and storing see one selection
     bank = store.spark.createDataFrame(rows, bank.schema)
     local = nearest_distance(own.where(F.col("group") == "calibration"), bank)
-    scores = local.groupBy("sample_id", "seq").agg(F.max("d").alias("score"))
-    record = scores.agg(F.expr(f"percentile(score, {float(q)})").alias("threshold"), ordered_values("seq", "score").alias("calibration_scores")).select(
-        "threshold", "calibration_scores", F.lit(len(rows)).cast("long").alias("memory_bank_items"), F.current_timestamp().alias("built_at"), F.lit(PREPROCESS).alias("preprocess"), F.lit(samples_digest(samples)).alias("samples_digest")
+    scores = materialise(local.groupBy("sample_id", "seq").agg(F.max("d").alias("score")), "scores")
+    record = store.spark.range(1).select(
+        F.lit(exact_quantiles(scores, "score", [q])[0]).cast("double").alias("threshold"), F.lit(len(rows)).cast("long").alias("memory_bank_items"), F.current_timestamp().alias("built_at"), F.lit(json.dumps(PREPROCESS)).alias("preprocess"), F.lit(samples_digest(samples)).alias("samples_digest")
     )
-    return store.publish(bank, record)
+    return store.publish(bank, record, numbered(scores, ["seq", "sample_id"], "pos"))
 
 
-def inspect(store: DetectorStore, descriptors: DataFrame, image: str = "sample_id") -> tuple[DataFrame, DataFrame]:
+def inspect(store: StateStore, descriptors: DataFrame, image: str = "sample_id") -> tuple[DataFrame, DataFrame]:
     """Verdicts and distance grids by the version that is current now; later versions do not touch them.
 
     Verdicts: image, score, threshold, is_anomaly, threshold_is_zero.  Grids:
@@ -64,7 +62,7 @@ def inspect(store: DetectorStore, descriptors: DataFrame, image: str = "sample_i
     if version is None:
         raise NotBuilt("build the detector first")
     record = store.record(version).first()
-    if json.loads(record["preprocess"]) != json.loads(PREPROCESS):
+    if json.loads(record["preprocess"]) != PREPROCESS:
         raise NotBuilt("the detector was built for other preprocessing")
     local = nearest_distance(descriptors, store.bank(version))
     threshold = F.lit(record["threshold"])
@@ -73,24 +71,38 @@ def inspect(store: DetectorStore, descriptors: DataFrame, image: str = "sample_i
     return scored, grid
 
 
-def heatmap(grid: DataFrame, threshold: float, width: int, height: int, image: str = "sample_id", rows: int = GRID, cols: int = GRID) -> DataFrame:
-    """Pixels (image, gy, gx, r, g, b) on a colour scale that the threshold fixes for all images."""
-    large = resize_grid(grid, rows, cols, height, width, image)
-    most = large.groupBy(image).agg(F.max("d").alias("largest"))
-    level = colour_level(F.col("d"), colour_bound(F.lit(float(threshold)), F.col("largest")))
-    r, g, b = jet(F.col("level"))
-    return large.join(most, image).withColumn("level", level).select(image, "gy", "gx", r.alias("r"), g.alias("g"), b.alias("b"))
+def grid_rows(cells: DataFrame, image: str = "sample_id", rows: int = GRID, cols: int = GRID) -> DataFrame:
+    """``image``, ``grid``: an image's distances (columns gy, gx, d) in row order, one row an image; null where a cell lacks or is there twice."""
+    place = (F.col("gy") * cols + F.col("gx")).alias("place")
+    whole = cells.select(image, place, "d").groupBy(image).agg(ordered_values("place", "d").alias("grid"), F.count_distinct("place").alias("places"), F.min("place").alias("least"), F.max("place").alias("most"))
+    good = (F.size("grid") == rows * cols) & (F.col("places") == rows * cols) & (F.col("least") == 0) & (F.col("most") == rows * cols - 1)
+    return whole.select(image, F.when(good, F.col("grid")).alias("grid"))
 
 
-def heat_png(pixels: DataFrame, image: str = "sample_id") -> DataFrame:
-    """One PNG for each image; one image's pixels are one group."""
+def heat_images(grids: DataFrame, image: str = "sample_id", rows: int = GRID, cols: int = GRID) -> DataFrame:
+    """``image``, ``width``, ``height``, ``rgb``, ``png``: each grid as a picture of its image's size, on a colour scale that the threshold fixes for all images.
+
+    ``grids``: image, grid, threshold, width, height.  A row is a whole image, so resizing, colours
+    and the file are made in one task without a shuffle by pixel.  Null grids or sizes give null pictures;
+    without a threshold the scale ends at the map's own maximum.
+    """
+    kind = dict(grids.dtypes)[image]
 
-    def draw(f: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros((f["gy"].max() + 1, f["gx"].max() + 1, 3), dtype=np.uint8)
-        out[f["gy"], f["gx"]] = f[["r", "g", "b"]].to_numpy()
-        return pd.DataFrame({image: [f[image].iloc[0]], "png": [encode_png(out)]})
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rgb, png = [], []
+            for grid, threshold, width, height in zip(*(batch.column(c).to_pylist() for c in ("grid", "threshold", "width", "height")), strict=True):
+                if grid is None or not width or not height:
+                    rgb.append(None)
+                    png.append(None)
+                    continue
+                picture = heat_image(np.array(grid, dtype=np.float64).reshape(rows, cols), height, width, threshold or 0.0)
+                rgb.append(picture.tobytes())
+                png.append(encode_png(picture))
+            yield pa.RecordBatch.from_arrays([batch.column(image), batch.column("width"), batch.column("height"), pa.array(rgb, pa.binary()), pa.array(png, pa.binary())], names=[image, "width", "height", "rgb", "png"])
 
-    return pixels.groupBy(image).applyInPandas(draw, f"{image} {dict(pixels.dtypes)[image]}, png binary")
+    asked = grids.select(image, "grid", "threshold", F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"))
+    return asked.mapInArrow(draw, f"{image} {kind}, width int, height int, rgb binary, png binary")
 
 
 def inspection_json(scored: DataFrame, heat: DataFrame, originals: DataFrame, image: str = "sample_id") -> DataFrame:
@@ -105,16 +117,4 @@ def inspection_json(scored: DataFrame, heat: DataFrame, originals: DataFrame, im
     return joined.select(image, F.to_json(fields, {"ignoreNullFields": "false"}).alias("reply"))
 
 
-def status(store: DetectorStore, samples: DataFrame) -> DataFrame:
-    """One row: sample counts, the bank's size, threshold, time, and whether samples changed since the build."""
-    counts = samples.agg(F.count_if(F.col("group") == "reference").alias("reference_count"), F.count_if(F.col("group") == "calibration").alias("calibration_count"))
-    version = store.current()
-    if version is None:
-        kinds = {"memory_bank_items": F.lit(0).cast("long"), "threshold": F.lit(None).cast("double"), "built_at": F.lit(None).cast("timestamp")}
-        return counts.select("*", F.lit(False).alias("built"), *(v.alias(k) for k, v in kinds.items()), F.lit(False).alias("threshold_is_zero"), F.lit(False).alias("stale"))
-    record = store.record(version).select("memory_bank_items", "threshold", "built_at", "samples_digest")
-    stale = F.col("samples_digest") != F.lit(samples_digest(samples))
-    return counts.crossJoin(F.broadcast(record)).select("reference_count", "calibration_count", F.lit(True).alias("built"), "memory_bank_items", "threshold", "built_at", is_zero(F.col("threshold")).alias("threshold_is_zero"), stale.alias("stale"))
-
-
-__all__ = ["NotBuilt", "heat_png", "heatmap", "inspect", "inspection_json", "rebuild", "samples_digest", "status", "threshold_of"]
+__all__ = ["NotBuilt", "grid_rows", "heat_images", "inspect", "inspection_json", "rebuild", "samples_digest", "status"]

@@ -21,8 +21,11 @@ from ..functions.vectors import scaled
 from ..operators import catalog
 from ..operators.assembly import concat_grids
 from ..operators.neighbours import image_score, nearest_distance
+from ..operators.ranks import exact_quantiles, numbered
 from ..operators.scoring import is_anomaly, is_zero, threshold_of, verdicts
 from ..operators.selection import farthest_points
+from .detector import grid_rows, heat_images
+from .state import as_document, from_document
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,9 +91,9 @@ def calibration_threshold(spark, sf_dir):
 
 @query(D + " SELECT CAST(row_number() OVER (ORDER BY image_id) - 1 AS INT) AS pos, round(score, 6) AS score FROM s WHERE role = 1")
 def calibration_scores(spark, sf_dir):
-    """All calibration scores in upload order, as the detector's record keeps them."""
-    scores = _scores(spark, sf_dir).where("role = 1").withColumn("rounded", _r("score"))
-    return scores.agg(ordered_values("image_id", "rounded").alias("scores")).select(F.posexplode("scores").alias("pos", "score"))
+    """All calibration scores in upload order, as the detector's version keeps them."""
+    scores = _scores(spark, sf_dir).where("role = 1").select("image_id", _r("score").alias("score"))
+    return numbered(scores, ["image_id"], "pos").select(F.col("pos").cast("int").alias("pos"), "score")
 
 
 def _verdict_sql(q: float) -> str:
@@ -202,7 +205,7 @@ def jet_colormap(spark, sf_dir):
     return _table(spark, sf_dir, "lineitem").select("l_discount", r.alias("r"), g.alias("g"), b.alias("b")).distinct()
 
 
-@query(
+QUERY_HEAT = (
     D
     + UP
     + f""", t AS (SELECT quantile_cont(score, 0.95) AS threshold FROM s WHERE role = 1),
@@ -210,6 +213,9 @@ m AS (SELECT *, max(d) OVER (PARTITION BY image_id) AS largest FROM u),
 x AS (SELECT image_id, gy, gx, greatest(0, least(1, round(d / CASE WHEN threshold > 0 THEN threshold * 2 WHEN largest > 0 THEN largest ELSE 1.0 END, 9))) AS x FROM m, t)
 SELECT image_id, gy, gx, {JET_SQL} FROM x"""
 )
+
+
+@query(QUERY_HEAT)
 def heatmap_pixels(spark, sf_dir):
     local = _local(spark, sf_dir)
     scores = local.groupBy("image_id", "role").agg(F.max("d").alias("score"))
@@ -221,6 +227,18 @@ def heatmap_pixels(spark, sf_dir):
     return large.join(most, "image_id").crossJoin(F.broadcast(threshold)).withColumn("level", level).select("image_id", "gy", "gx", r.alias("r"), g.alias("g"), b.alias("b"))
 
 
+@query(QUERY_HEAT)
+def heatmap_images(spark, sf_dir):
+    """The same pictures, made a whole image at a time; pixels are told only to be compared."""
+    local = _local(spark, sf_dir)
+    threshold = threshold_of(local.groupBy("image_id", "role").agg(F.max("d").alias("score")).where("role = 1")).select("threshold")
+    cells = local.where("role = 2").select("image_id", F.expr("cast(cell div 5 as int)").alias("gy"), (F.col("cell") % 5).alias("gx"), "d")
+    grids = grid_rows(cells, "image_id", 2, 5).crossJoin(F.broadcast(threshold)).select("image_id", "grid", "threshold", F.lit(10).alias("width"), F.lit(4).alias("height"))
+    pixels = heat_images(grids, "image_id", 2, 5).select("image_id", "width", F.posexplode(F.split(F.regexp_replace(F.hex("rgb"), "(......)", "$1 "), " ")).alias("place", "colour")).where("colour <> ''")
+    channel = {c: F.conv(F.substring("colour", k, 2), 16, 10).cast("int").alias(c) for c, k in (("r", 1), ("g", 3), ("b", 5))}
+    return pixels.select("image_id", F.expr("cast(place div width as int)").alias("gy"), (F.col("place") % F.col("width")).alias("gx"), *channel.values())
+
+
 @query("SELECT o_orderkey, CAST(floor((o_orderkey % 256) * (1.0 - a) + ((o_orderkey * 7) % 256) * a) AS INT) AS v FROM (SELECT o_orderkey, greatest(0.0, least(1.0, ((o_orderkey % 9) - 2) / 4.0::DOUBLE)) AS a FROM orders)")
 def alpha_blend(spark, sf_dir):
     key = F.col("o_orderkey")
@@ -343,6 +361,16 @@ def image_formats(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select(key, image_format(F.unhex(magic)).alias("format"), F.base64(F.substring("url", 1, 12).cast("binary")).alias("head"))
 
 
+QUANTILES = (0.0, 0.01, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
+
+
+@query(" UNION ALL ".join(f"SELECT CAST({q} AS DOUBLE) AS q, round(quantile_cont(l_extendedprice, {q}), 6) AS price FROM lineitem" for q in QUANTILES))
+def exact_price_quantiles(spark, sf_dir):
+    """Quantiles of a whole column by rounds of range counting."""
+    values = exact_quantiles(_table(spark, sf_dir, "lineitem"), "l_extendedprice", list(QUANTILES))
+    return spark.createDataFrame([(q, v) for q, v in zip(QUANTILES, values, strict=True)], "q double, price double").select("q", _r("price").alias("price"))
+
+
 @query("SELECT source, round(quantile_cont(n_chars, 0.0), 6) AS q0, round(quantile_cont(n_chars, 0.95), 6) AS q95, round(quantile_cont(n_chars, 1.0), 6) AS q1 FROM documents GROUP BY source")
 def quantile_by_source(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
@@ -357,6 +385,22 @@ def state_json(spark, sf_dir):
     return accepted.select("seq", F.to_json(sample, {"ignoreNullFields": "false"}).alias("sample"))
 
 
+@query(
+    SAMPLES_SQL
+    + """, a AS (SELECT k.*, n_chars FROM k JOIN documents ON seq = doc_id WHERE rn = 1), t AS (SELECT round(quantile_cont(n_chars, 0.95), 6) AS threshold, count(*) AS n_scores FROM a WHERE grp = 'calibration')
+SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, substr(grp, 1, 1) || '-' || substr(sha256(text), 1, 16) AS sample_id, coalesce(nullif(filename, ''), 'upload') AS filename, content_id, width, height, grp AS "group", threshold, n_scores FROM a, t"""
+)
+def state_document_read(spark, sf_dir):
+    """The whole state document, out as JSON and in again; the calibration documents' lengths serve as scores."""
+    accepted, _ = catalog.ingest(_none(spark), _uploads(spark, sf_dir))
+    lengths = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("n_chars").cast("double").alias("score"))
+    scores = accepted.where(F.col("group") == "calibration").select("seq").join(lengths, "seq")
+    detector = scores.agg(linear_quantile("score", 0.95).alias("threshold"), ordered_values("seq", "score").alias("calibration_scores"), F.lit("2001-02-03T04:05:06+00:00").alias("built_at"))
+    samples, numbers = from_document(as_document(accepted, detector))
+    told = numbers.select(_r("threshold").alias("threshold"), F.size("calibration_scores").cast("long").alias("n_scores"))
+    return samples.crossJoin(F.broadcast(told))
+
+
 @query(
     """WITH e AS (SELECT vec_id // 16 AS image_id, CAST(vec_id % 16 AS INT) AS cell, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 c AS (SELECT image_id, cell // 2 AS cy, cell % 2 AS cx, v FROM e WHERE cell < 4),

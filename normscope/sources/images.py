@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import content_id, image_format
 from ..functions.raster import encode_png, triangle_resize
+from ..operators.ranks import numbered
 from ..schema import INPUT_SIZE, MOST_BYTES
 
 PIXELS = "path string, width int, height int, pixels binary, png binary"
@@ -59,7 +60,6 @@ def read_uploads(spark: SparkSession, path: str, group: str, first_seq: int = 0)
     accepted = joined.where(good).select(
         F.lit(group).alias("group"), F.col("_name").alias("filename"), F.col("content").alias("raw"), content_id(F.col("pixels")).alias("content_id"), "width", "height", "pixels", "png", F.col("path").alias("_path")
     )
-    ranks = accepted.select("_path").distinct().orderBy("_path").rdd.map(lambda r: r[0]).zipWithIndex().map(lambda x: (x[0], x[1] + first_seq)).toDF("_path string, seq long") if accepted.limit(1).count() else None
-    out = accepted.join(ranks, "_path") if ranks is not None else accepted.withColumn("seq", F.lit(None).cast("long"))
+    out = accepted.join(numbered(accepted.select("_path"), ["_path"], "seq", first_seq), "_path")
     rejected = joined.where(~good).select("path", F.when(F.col("length") > MOST_BYTES, f"larger than {MOST_BYTES} bytes").when(F.col("format").isNull(), "not a PNG or JPEG image").otherwise("the image cannot be decoded").alias("reason"))
     return out.drop("_path"), rejected

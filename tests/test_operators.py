@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from normscope.functions.ids import filename_or_default, image_format, upload_status
-from normscope.functions.raster import colour_bound, encode_png, jet, resize_grid, triangle_resize
+from normscope.functions.raster import axis_weights, colour_bound, encode_png, jet, resize_axis, resize_grid, triangle_resize
 from normscope.functions.stats import linear_quantile, require_quantile
 from normscope.operators import catalog
 from normscope.operators.assembly import concat_grids
@@ -100,6 +100,38 @@ def test_resizing_keeps_constants_and_matches_numpy(spark):
     assert triangle_resize(image, 2, 8).shape == (2, 8, 3)
 
 
+@pytest.mark.parametrize(
+    "row, target, want",
+    [
+        # Shrinking to half: 3, 3 and 1 sevenths from a border: (3 * 100 + 200) / 7 and (100 + 3 * 200 + 3 * 50) / 7.
+        ([0, 100, 200, 50], 2, [71, 121]),
+        # Growing to double: three quarters and one quarter; half a byte is rounded up.
+        ([10, 20], 4, [10, 13, 18, 20]),
+        # From three to two: the outer place weighs 5/6, the middle one 1/2, so 3/8 of 255.
+        ([0, 255, 0], 2, [96, 96]),
+        ([7], 3, [7, 7, 7]),
+        ([1, 2, 3], 3, [1, 2, 3]),
+    ],
+)
+def test_resampled_bytes_equal_rows_by_hand(row, target, want):
+    image = np.repeat(np.array(row, dtype=np.uint8)[None, :, None], 3, axis=2)
+    assert resize_axis(image, target, 1)[0, :, 0].tolist() == want
+    assert resize_axis(image.transpose(1, 0, 2), target, 0)[:, 0, 1].tolist() == want
+    both = triangle_resize(np.repeat(image, 2, axis=0), 2, target)
+    assert both.shape == (2, target, 3) and both[1, :, 2].tolist() == want
+
+
+def test_resampling_rounds_between_the_passes():
+    image = np.array([[[0], [1]], [[1], [1]], [[0], [0]], [[0], [1]]], dtype=np.uint8).repeat(3, axis=2)
+    across = [[0.5], [1], [0], [0.5]]  # means of two, of which a half becomes 1
+    assert resize_axis(image, 1, 1)[:, 0, 0].tolist() == [1, 1, 0, 1]
+    assert triangle_resize(image, 2, 1)[:, 0, 0].tolist() == [1, 1] and np.mean(across) == 0.5
+    wide = np.random.default_rng(0).integers(0, 256, (37, 91, 3)).astype(np.uint8)
+    small = triangle_resize(wide, 11, 20)
+    exact = np.einsum("hwc,oh,pw->opc", wide.astype(float), axis_weights(37, 11), axis_weights(91, 20))
+    assert np.abs(small - exact).max() <= 1.01
+
+
 def test_formats_and_upload_checks(spark):
     png = encode_png(np.zeros((2, 2, 3), dtype=np.uint8))
     rows = spark.createDataFrame([(png,), (b"\xff\xd8\xff\xe0",), (b"not an image",), (b"",), (None,)], "content binary")
