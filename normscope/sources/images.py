@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from ..schema import INPUT_SIZE, MOST_BYTES
 PIXELS = "path string, width int, height int, pixels binary, png binary"
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
+def read_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``path``, ``length``, ``content``, ``format`` of the files; of too large ones neither bytes nor format are read (null)."""
     files = spark.read.format("binaryFile").load(path)
     small = files.where(F.col("length") <= MOST_BYTES).select("path", "length", "content", image_format(F.col("content")).alias("format"))
@@ -29,13 +30,11 @@ def _plain_path(path: str) -> Column:
     return F.regexp_replace(path, "^file:/+", "/")
 
 
-def read_pixels(spark: SparkSession, path: str, size: int = INPUT_SIZE) -> DataFrame:
+def read_pixels(spark: SparkSession, path: str | list[str], size: int = INPUT_SIZE) -> DataFrame:
     """``path``, original ``width`` and ``height``, ``pixels``: RGB bytes of the image resized to ``size`` x ``size``, ``png``: the image in its own size.
 
     Files that cannot be decoded are left out.
     """
-    import numpy as np
-
     raw = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
 
     def resize(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -51,7 +50,20 @@ def read_pixels(spark: SparkSession, path: str, size: int = INPUT_SIZE) -> DataF
     return raw.mapInPandas(resize, PIXELS)
 
 
-def read_uploads(spark: SparkSession, path: str, group: str, first_seq: int = 0) -> tuple[DataFrame, DataFrame]:
+def uploads_of_pixels(pictures: DataFrame, group: str, order: list[Column | str], first_seq: int = 0, size: int = INPUT_SIZE) -> DataFrame:
+    """Uploads as :func:`read_uploads` gives them, of pictures that are there as ``filename``, ``width``, ``height``, ``rgb`` and ``png``, numbered in ``order``."""
+    named = numbered(pictures, order, "seq", first_seq).select("filename", "seq", "width", "height", "rgb", "png")
+
+    def resize(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            small = [triangle_resize(np.frombuffer(rgb, np.uint8).reshape(h, w, 3), size, size).tobytes() for rgb, w, h in zip(f["rgb"], f["width"], f["height"], strict=True)]
+            yield f.assign(pixels=small)[["filename", "png", "width", "height", "pixels", "seq"]]
+
+    read = named.mapInPandas(resize, "filename string, png binary, width int, height int, pixels binary, seq long")
+    return read.select(F.lit(group).alias("group"), "filename", F.col("png").alias("raw"), content_id(F.col("pixels")).alias("content_id"), "width", "height", "pixels", "png", "seq")
+
+
+def read_uploads(spark: SparkSession, path: str | list[str], group: str, first_seq: int = 0) -> tuple[DataFrame, DataFrame]:
     """Uploads ready for the catalogue, in order of their paths, and the rejected files (too large, of another format, damaged) with a reason."""
     files = read_files(spark, path).withColumn("_place", _plain_path("path")).withColumn("_name", F.element_at(F.split("path", "/"), -1))
     pixels = read_pixels(spark, path).select(_plain_path("path").alias("_place"), "width", "height", "pixels", "png")

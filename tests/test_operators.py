@@ -220,7 +220,22 @@ def test_ingest_rejects_known_ids_and_missing_content(spark):
     accepted, rejected = catalog.ingest(spark.createDataFrame([], SAMPLE), uploads)
     assert [r["seq"] for r in accepted.collect()] == [0]
     reasons = {r["seq"]: r["reason"] for r in rejected.collect()}
-    assert reasons == {1: "this file has already been uploaded", 2: "the image has no content", 3: "the image has no content"}
+    assert reasons == {1: "a sample of this name is already held", 2: "the image has no content", 3: "the image has no content"}
     third = spark.createDataFrame([("reference", "w", b"1", "c3", 1, 1, 4)], kinds)
     again, refused = catalog.ingest(accepted, third)
-    assert again.count() == 0 and refused.first()["reason"] == "this file has already been uploaded"
+    assert again.count() == 0 and refused.first()["reason"] == "a sample of this name is already held"
+
+
+def test_a_content_that_very_many_uploads_share(spark):
+    kinds = "group string, filename string, raw binary, content_id string, width int, height int, seq long"
+    rows = [("reference" if k % 3 else "calibration", f"{k}.png", str(k).encode(), "hot" if k % 2 else f"c{k % 40}", 1, 1, 1_000 - k) for k in range(600)]
+    accepted, rejected = catalog.ingest(spark.createDataFrame([], SAMPLE), spark.createDataFrame(rows, kinds).repartition(4))
+    firsts = {}
+    for group, _, _, content, _, _, seq in rows:
+        if content not in firsts or seq < firsts[content][0]:
+            firsts[content] = (seq, group)
+    assert {r["content_id"]: (r["seq"], r["group"]) for r in accepted.collect()} == firsts
+    reasons = {r["seq"]: r["reason"] for r in rejected.collect()}
+    assert reasons == {seq: f"identical image content is already in {firsts[content][1]}" for _, _, _, content, _, _, seq in rows if firsts[content][0] != seq}
+    plan = rejected._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and accepted.count() == 21
