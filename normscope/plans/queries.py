@@ -11,19 +11,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import filename_or_default, image_format, upload_status
-from ..functions.raster import blend, colour_bound, colour_level, jet, normalised, resize_grid
+from ..functions.raster import blend, colour_bound, colour_level, jet, normalised, resize_axis, resize_grid
 from ..functions.stats import linear_quantile, ordered_values
 from ..functions.vectors import scaled
 from ..operators import catalog
 from ..operators.assembly import concat_grids
+from ..operators.lazy_greedy import lazy_picks
 from ..operators.neighbours import image_score, nearest_distance
+from ..operators.pivots import nearest_by_pivots
 from ..operators.ranks import exact_quantiles, numbered
 from ..operators.scoring import is_anomaly, is_zero, threshold_of, verdicts
 from ..operators.selection import farthest_points
+from ..sources.network import Conv, max_pool, relu
+from ..sources.scratch import scratch_path
+from ..sources.store import StateStore
 from .detector import grid_rows, heat_images
 from .state import as_document, from_document
 
@@ -79,6 +86,14 @@ def nn_distance(spark, sf_dir):
     return _local(spark, sf_dir).select("vec_id", "image_id", "cell", _r("d").alias("d"))
 
 
+@query(D + " SELECT vec_id, image_id, cell, round(d, 6) AS d FROM n")
+def nn_distance_pivots(spark, sf_dir):
+    """The same distances by the way that banks beyond a broadcast take."""
+    d = descriptors(spark, sf_dir)
+    bank = d.where("role = 0").select(F.col("descriptor").alias("b"))
+    return nearest_by_pivots(d.where("role > 0"), bank, "descriptor", "d").select("vec_id", "image_id", "cell", _r("d").alias("d"))
+
+
 @query(D + " SELECT image_id, round(score, 6) AS score FROM s")
 def image_scores(spark, sf_dir):
     return image_score(_local(spark, sf_dir)).select("image_id", _r("score").alias("score"))
@@ -149,6 +164,14 @@ def farthest_points_16(spark, sf_dir):
     return farthest_points(d, 16, ("vec_id",), keep_order=True).select("bank_pos", "vec_id")
 
 
+@query(_recursive(D) + ", " + FPS + " SELECT CAST(k AS INT) AS bank_pos, ids[pick] AS vec_id FROM f, p")
+def farthest_points_lazy(spark, sf_dir):
+    """The same picks by the way that banks beyond one task take."""
+    known = descriptors(spark, sf_dir).where("role = 0").select("vec_id", F.col("descriptor").alias("v"))
+    picks = [(k, key[0]) for k, (key, _) in enumerate(lazy_picks(known, 16, ("vec_id",)))]
+    return spark.createDataFrame(picks, "bank_pos int, vec_id long")
+
+
 @query()
 def farthest_points_256(spark, sf_dir):
     """The bank at its production size (``BANK_SIZE`` picks)."""
@@ -361,6 +384,95 @@ def image_formats(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select(key, image_format(F.unhex(magic)).alias("format"), F.base64(F.substring("url", 1, 12).cast("binary")).alias("head"))
 
 
+@query("SELECT doc_id, row_number() OVER (ORDER BY source NULLS FIRST, n_chars DESC NULLS LAST, doc_id) + 99 AS place FROM documents")
+def numbered_documents(spark, sf_dir):
+    """Places in an order of the whole table, from counts of its ranges."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return numbered(docs, ["source", F.desc("n_chars"), "doc_id"], "place", 100).select("doc_id", "place")
+
+
+def _taps_sql(name: str, source: int, target: int) -> str:
+    """Integer weights of one axis as rows o, s, k."""
+    step, wide = source / target, max(source / target, 1.0)
+    return f"""{name}_w AS (SELECT o, s, greatest(0, 1 - abs((s - (o + 0.5) * {step}::DOUBLE + 0.5) / {wide}::DOUBLE)) AS w FROM range({target}) AS a(o), range({source}) AS b(s)),
+{name} AS (SELECT o, s, CAST(floor(w / sum(w) OVER (PARTITION BY o) * 4194304 + 0.5) AS BIGINT) AS k FROM {name}_w)"""
+
+
+@query(
+    f"""WITH {_taps_sql("wx", 8, 5)}, {_taps_sql("wy", 8, 11)},
+p AS (SELECT vec_id, (i - 1) // 8 AS y, (i - 1) % 8 AS x, CAST(floor(greatest(0, least(255, 128 + 300 * CAST(embedding[i] AS DOUBLE)))) AS BIGINT) AS v FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings)),
+h AS (SELECT vec_id, y, o AS x, greatest(0, least(255, (sum(v * k) + 2097152) // 4194304)) AS v FROM p JOIN wx ON x = s GROUP BY vec_id, y, o),
+r AS (SELECT vec_id, o AS y, x, greatest(0, least(255, (sum(v * k) + 2097152) // 4194304)) AS v FROM h JOIN wy ON y = s GROUP BY vec_id, o, x)
+SELECT vec_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(v AS INT) AS v FROM r"""
+)
+def resampled_bytes(spark, sf_dir):
+    """Each vector as a picture of 8 x 8 bytes, resampled to 11 x 5 in fixed point."""
+    level = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), x * 300 + 128))).cast("int"))
+    pictures = _table(spark, sf_dir, "embeddings").select("vec_id", level.alias("level"))
+
+    def resize(frames):
+        for f in frames:
+            small = [resize_axis(resize_axis(np.array(v, dtype=np.uint8).reshape(8, 8, 1), 5, 1), 11, 0).ravel().astype(np.int32) for v in f["level"]]
+            yield pd.DataFrame({"vec_id": f["vec_id"], "level": small})
+
+    cells = pictures.mapInPandas(resize, "vec_id long, level array<int>").select("vec_id", F.posexplode("level").alias("place", "v"))
+    return cells.select("vec_id", F.expr("cast(place div 5 as int)").alias("y"), (F.col("place") % 5).alias("x"), "v")
+
+
+#: Weights of a stem of two channels, for the query below and its SQL.
+STEM = {
+    "conv1.weight": np.array([[[[0.5, -0.25, 1.0], [0.75, 2.0, -1.0], [0.25, -0.5, 0.125]]], [[[-1.0, 0.5, 0.25], [1.5, -0.75, 0.5], [1.0, 0.25, -2.0]]]]),
+    "bn1.weight": np.array([1.5, 0.75]),
+    "bn1.bias": np.array([0.125, -0.0625]),
+    "bn1.running_mean": np.array([0.25, -0.5]),
+    "bn1.running_var": np.array([2.0, 0.5]),
+}
+
+
+def _stem_sql() -> str:
+    rows = ", ".join(f"({c}, {dy}, {dx}, {STEM['conv1.weight'][c, 0, dy, dx]})" for c in range(2) for dy in range(3) for dx in range(3))
+    norms = ", ".join(f"({c}, " + ", ".join(str(STEM[f"bn1.{part}"][c]) for part in ("weight", "bias", "running_mean", "running_var")) + ")" for c in range(2))
+    return f"""WITH p AS (SELECT vec_id, (i - 1) // 8 AS y, (i - 1) % 8 AS x, CAST(embedding[i] AS DOUBLE) AS v FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings)),
+w(c, dy, dx, k) AS (VALUES {rows}), g(c, gain, shift, mean, var) AS (VALUES {norms}),
+a AS (SELECT vec_id, c, oy, ox, sum(v * k) AS v FROM w, range(4) AS r(oy), range(4) AS q(ox), p WHERE p.y = 2 * oy + dy - 1 AND p.x = 2 * ox + dx - 1 GROUP BY ALL),
+n AS (SELECT vec_id, c, oy, ox, greatest(0, (v - mean) / sqrt(var + 1e-5) * gain + shift) AS v FROM a JOIN g USING (c)),
+m AS (SELECT vec_id, c, py, px, max(v) AS v FROM n, range(2) AS r(py), range(2) AS q(px) WHERE oy BETWEEN 2 * py - 1 AND 2 * py + 1 AND ox BETWEEN 2 * px - 1 AND 2 * px + 1 GROUP BY ALL)
+SELECT vec_id, CAST(py AS INT) AS y, CAST(px AS INT) AS x, CAST(c AS INT) AS channel, round(v, 6) AS v FROM m"""
+
+
+@query(_stem_sql())
+def stem_features(spark, sf_dir):
+    """Each vector as an 8 x 8 picture of one channel through a stem: convolution with its norm folded in, rectified, pooled."""
+    pictures = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    handle = spark.sparkContext.broadcast(Conv.folded(STEM, "conv1", "bn1", 2, np.float64))
+
+    def run(frames):
+        for f in frames:
+            maps = [max_pool(relu(handle.value(np.array(v, dtype=np.float64).reshape(8, 8, 1)))).ravel() for v in f["v"]]
+            yield pd.DataFrame({"vec_id": f["vec_id"], "v": maps})
+
+    cells = pictures.mapInPandas(run, "vec_id long, v array<double>").select("vec_id", F.posexplode("v").alias("place", "v"))
+    place = F.col("place")
+    return cells.select("vec_id", F.expr("cast(place div 4 as int)").alias("y"), F.expr("cast(place div 2 % 2 as int)").alias("x"), (place % 2).alias("channel"), _r("v").alias("v"))
+
+
+@query(
+    SAMPLES_SQL
+    + """, one AS (SELECT * FROM u WHERE seq % 4 < 2 QUALIFY row_number() OVER (PARTITION BY content_id ORDER BY seq) = 1),
+two AS (SELECT * FROM u WHERE seq % 4 >= 2 AND content_id NOT IN (SELECT content_id FROM one) QUALIFY row_number() OVER (PARTITION BY content_id ORDER BY seq) = 1)
+SELECT seq, grp AS "group", content_id FROM (FROM one UNION ALL FROM two)"""
+)
+def stored_by_two_writers(spark, sf_dir):
+    """Half the uploads by each of two writers that have both read the empty store; what the second adds is compared with the state it finds."""
+    root = scratch_path(spark, "store")
+    uploads = _uploads(spark, sf_dir)
+    writers = [StateStore(spark, root), StateStore(spark, root)]
+    halves = [catalog.ingest(_none(spark), uploads.where(half))[0] for half in ("seq % 4 < 2", "seq % 4 >= 2")]
+    for writer, own in zip(writers, halves, strict=True):
+        writer.add(own, own.select("sample_id", F.lit(b"").alias("png")))
+    return StateStore(spark, root).samples().select("seq", "group", "content_id")
+
+
 QUANTILES = (0.0, 0.01, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
 
 

@@ -105,7 +105,7 @@ class Conv:
     stride: int
 
     @classmethod
-    def folded(cls, weights: Weights, conv: str, norm: str, stride: int) -> Conv:
+    def folded(cls, weights: Weights, conv: str, norm: str, stride: int, kind: type = np.float32) -> Conv:
         try:
             w = weights[f"{conv}.weight"]
             gain, shift, mean, var = (weights[f"{norm}.{part}"].astype(np.float64) for part in ("weight", "bias", "running_mean", "running_var"))
@@ -115,7 +115,7 @@ class Conv:
             raise ValueError(f"{conv} has weights of shape {w.shape}, {norm} of {gain.shape}")
         factor = gain / np.sqrt(var + EPSILON)
         matrix = (w * factor[:, None, None, None]).transpose(2, 3, 1, 0).reshape(-1, len(w))
-        return cls(np.ascontiguousarray(matrix, dtype=np.float32), (shift - mean * factor).astype(np.float32), w.shape[2], stride)
+        return cls(np.ascontiguousarray(matrix, dtype=kind), (shift - mean * factor).astype(kind), w.shape[2], stride)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         """(h, w, channels) to (h', w', channels out), zeros beyond the border."""
@@ -127,7 +127,7 @@ class Conv:
             return x[::s, ::s] @ self.matrix + self.bias
         wide = np.pad(x, ((pad, pad), (pad, pad), (0, 0)))
         patches = np.lib.stride_tricks.sliding_window_view(wide, (k, k), axis=(0, 1))[::s, ::s].transpose(0, 1, 3, 4, 2)
-        out = np.empty((rows, cols, self.matrix.shape[1]), dtype=np.float32)
+        out = np.empty((rows, cols, self.matrix.shape[1]), dtype=self.matrix.dtype)
         step = max(1, BLOCK_NUMBERS // (cols * len(self.matrix)))
         for a in range(0, rows, step):
             block = patches[a : a + step].reshape(-1, len(self.matrix))
