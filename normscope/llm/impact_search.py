@@ -28,17 +28,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import expand, materialise, shuffle_partitions
+from .common import materialise, shuffle_partitions
 from .vector_codes import is_finite
 
 
 @dataclass(frozen=True)
 class ImpactSettings:
-    """``levels``: segments of a list at most; ``runs``: bounds are looked at so many times at most; ``few``: possible rows at which reading ends."""
+    """``levels``: segments of a list at most; ``shares``: of the postings after which bounds are looked at; ``few``: possible rows at which reading ends."""
 
     scale: int = 256
-    levels: int = 16
-    runs: int = 10
+    levels: int = 32
+    shares: tuple[float, ...] = (1 / 32, 1 / 8, 1 / 3, 0.6, 0.75, 0.85, 0.93, 1.0)
     few: int = 48
     block: int = 8_192
     part_blocks: int = 32
@@ -71,7 +71,15 @@ class ImpactIndex:
     def scores(self, weight: np.ndarray, rows: np.ndarray) -> np.ndarray:
         return self.values[rows] @ weight
 
-    def search(self, weight: np.ndarray, beat: np.ndarray, nearest: int, own: int, runs: int, few: int) -> tuple[np.ndarray, np.ndarray, int]:
+    def _posts(self, segments: np.ndarray) -> np.ndarray:
+        """The postings of ascending segments; those that follow each other are one slice, as a run's segments of a list are."""
+        if not len(segments):
+            return self.postings[:0]
+        cut = np.flatnonzero(np.diff(segments) > 1)
+        first, last = segments[np.r_[0, cut + 1]], segments[np.r_[cut, len(segments) - 1]]
+        return np.concatenate([self.postings[a:b] for a, b in zip(self.start[first].tolist(), (self.start[last] + self.size[last]).tolist(), strict=True)])
+
+    def search(self, weight: np.ndarray, beat: np.ndarray, nearest: int, own: int, shares: tuple[float, ...], few: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Rows whose exact score may be among the ``nearest`` together with ``beat`` (known best scores of other rows), those scores, and the postings read.
 
         ``own``: a row to leave out, or -1.  Rows are left out on proof only: with fewer than ``nearest`` known
@@ -80,26 +88,24 @@ class ImpactIndex:
         n = len(self.values)
         worst = np.where(weight >= 0, weight * self.least, weight * self.most)
         largest = (np.where(weight >= 0, weight * self.most, weight * self.least) - worst).astype(np.float64)
-        on = np.flatnonzero(weight[self.dim])
-        w = weight[self.dim[on]]
-        worth = (np.where(w >= 0, w * self.high[on], w * self.low[on]) - worst[self.dim[on]]).astype(np.float64)
-        by_worth = np.argsort(-worth, kind="stable")
-        on, worth = on[by_worth], worth[by_worth]
+        w = weight[self.dim]
+        worth = (np.where(w >= 0, w * self.high, w * self.low) - worst[self.dim]).astype(np.float64)
+        on = np.flatnonzero(w)
+        on = on[np.argsort(-worth[on], kind="stable")]
         read = np.r_[0, np.cumsum(self.size[on])]
-        ends = np.unique(np.searchsorted(read, np.linspace(0, read[-1], runs + 1)))
         base = float(worst.sum())
         slack = (largest.sum() + abs(base) + 1) * (len(weight) + 2) * 2.0**-50  # above what rounding of the sums can amount to
         met, lists, touched = np.zeros(n), np.zeros(n), np.zeros(len(weight), dtype=bool)
         reach = np.sort(beat)[::-1][:nearest]
         at = 0
-        for end in ends:
-            part = on[at:end]
-            posts = self.postings[expand(self.start[part], self.size[part])]
-            met += np.bincount(posts, weights=np.repeat(worth[at:end], self.size[part]), minlength=n)
+        for end in np.unique(np.searchsorted(read, read[-1] * np.array((0.0, *shares)))):
+            part = np.sort(on[at:end])
+            posts = self._posts(part)
+            met += np.bincount(posts, weights=np.repeat(worth[part], self.size[part]), minlength=n)
             lists += np.bincount(posts, minlength=n)
             touched[self.dim[part]] = True
             at = int(end)
-            rest = worth[at] if at < len(on) else 0.0
+            rest = worth[on[at]] if at < len(on) else 0.0
             bound = base + met - rest * lists + np.where(touched, rest, largest).sum() + slack
             if own >= 0:
                 bound[own] = -np.inf
@@ -143,7 +149,7 @@ def _meet(asked: list[_Asked], block: pa.Table, nearest: int, s: ImpactSettings)
     index = ImpactIndex(_matrix(block.column("q").combine_chunks(), len(row)), s.levels)
     place = {int(r): k for k, r in enumerate(row)}
     for q in asked:
-        rows, score, _ = index.search(q.weight, q.scores, nearest, place.get(q.row, -1), s.runs, s.few)
+        rows, score, _ = index.search(q.weight, q.scores, nearest, place.get(q.row, -1), s.shares, s.few)
         score, found, none = np.r_[q.scores, score], np.r_[q.ids, ids[rows]], np.r_[q.null, null[rows]]
         best = np.lexsort((found, none, -score))[:nearest]
         q.scores, q.ids, q.null = score[best], found[best], none[best]

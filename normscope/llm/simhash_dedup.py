@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import join_counted
 from .common import Forest, byte_slices, connected_components, key_runs, materialise, shuffle_partitions
 
 #: Generator polynomial of the binary Golay code (fixed value): x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -117,20 +118,24 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return int.from_bytes(_majority(hashes.reshape(-1, 8)).tobytes(), "big")
 
 
-def wide_fingerprint(text: str | None, shingle: int) -> np.ndarray:
-    """Three words of 64 majority bits, from 128-bit hashes and a mix of their halves; no words: zeros."""
+def wide_fingerprint(text: str | None, shingle: int) -> tuple[np.ndarray, int, int]:
+    """Three words of 64 majority bits of a text's different shingles, a digest of their set, and how many there are; no words: zeros.
+
+    Shingles count once, so a line that repeats decides nothing.  The bits come from 128-bit hashes and a mix of their halves.
+    """
     import xxhash
 
     line, first, last = _shingles(text, shingle)
     if not first:
-        return np.zeros(3, dtype=np.uint64)
+        return np.zeros(3, dtype=np.uint64), 0, 0
     digest = xxhash.xxh3_128_digest
-    halves = np.frombuffer(b"".join([digest(line[i:j]) for i, j in zip(first, last, strict=True)]), dtype=np.uint64).reshape(-1, 2)
+    hashes = np.unique(np.frombuffer(b"".join([digest(line[i:j]) for i, j in zip(first, last, strict=True)]), dtype="V16"))
+    halves = hashes.view(np.uint64).reshape(-1, 2)
     with np.errstate(over="ignore"):
         third = (halves[:, 0] ^ (halves[:, 1] >> np.uint64(29))) * _PRIME + halves[:, 1]
         third ^= third >> np.uint64(32)
         third *= _PRIME
-    return _majority(np.column_stack([halves, third]).view(np.uint8)).view(np.uint64)
+    return _majority(np.column_stack([halves, third]).view(np.uint8)).view(np.uint64), xxhash.xxh3_64_intdigest(hashes.tobytes()), len(hashes)
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -203,7 +208,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _dealt(prints: DataFrame, keyed: DataFrame, keys_of, schema: str, crowd: int, every: int = 64) -> DataFrame:
+def _dealt(prints: DataFrame, keyed: DataFrame, keys_of, schema: str, crowd: int, every: int = 64, name: str = "fp") -> DataFrame:
     """The rows of ``keyed`` with ``side`` and ``part``: one part for a bucket, but a part for each pair of blocks of a crowded one.
 
     Buckets are crowded if the keys of one fingerprint in ``every`` say that they hold more
@@ -211,11 +216,11 @@ def _dealt(prints: DataFrame, keyed: DataFrame, keys_of, schema: str, crowd: int
     """
     n = shuffle_partitions(prints.sparkSession)
     rows = prints.count()
-    sample = prints.where(F.pmod(F.xxhash64("fp", F.lit("sample")), F.lit(every)) == 0).mapInArrow(keys_of, schema)
+    sample = prints.where(F.pmod(F.xxhash64(name, F.lit("sample")), F.lit(every)) == 0).mapInArrow(keys_of, schema)
     share = max(crowd, rows // (4 * n)) // every
     hot = sample.groupBy("bucket").agg(F.count("*").alias("rows")).where(F.col("rows") > max(share, 8)).select("bucket", F.ceil(F.col("rows") * every / crowd).cast("int").alias("blocks"))
     blocks = F.coalesce("blocks", F.lit(1))
-    sided = keyed.join(F.broadcast(hot), "bucket", "left").withColumn("side", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
+    sided = keyed.join(F.broadcast(hot), "bucket", "left").withColumn("side", F.pmod(F.xxhash64(name), blocks).cast("int"))
     parts = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: (F.least("side", o) * blocks + F.greatest("side", o)).cast("int"))
     return sided.withColumn("part", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(parts))).drop("blocks")
 
@@ -225,16 +230,23 @@ def _distance(words: list[np.ndarray], i, j) -> np.ndarray:
     return sum(np.bitwise_count(w[i] ^ w[j]) for w in words)
 
 
-def _links(batches: Iterator[pa.RecordBatch], most: int, words: tuple[str, ...] = ("fp",)) -> Iterator[pa.RecordBatch]:
+def _alike(size: np.ndarray, i, j, least: float) -> np.ndarray:
+    """Whether the sets at i and j are near enough in size to have a Jaccard similarity of ``least``."""
+    return np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j])
+
+
+def _links(batches: Iterator[pa.RecordBatch], most: int, words: tuple[str, ...] = ("fp",), name: str = "fp", least: float = 0.0) -> Iterator[pa.RecordBatch]:
     """Pairs (u, v) of fingerprints within ``most`` bits in each part: all of them in small parts, else a spanning forest of nearest pairs.
 
-    ``words``: the columns that make a fingerprint; its first one names it.  Without a
-    column ``role`` all rows are home ones.
+    ``words``: the columns that make a fingerprint; ``name``: the column that names its owner.
+    Without a column ``role`` all rows are home ones.  With ``least``, pairs whose
+    column ``size`` rules that similarity out are left out; no pair of that similarity is.
     """
     for part in key_runs(batches, ["bucket", "part"], 200_000):
         bucket, piece, side = (np.asarray(part.column(c)) for c in ("bucket", "part", "side"))
         prints = [np.asarray(part.column(c)).view(np.uint64) for c in words]
-        fp = prints[0]
+        fp = np.asarray(part.column(name)).view(np.uint64)
+        sizes = np.asarray(part.column("size")) if least else np.ones(len(fp), dtype=np.int32)
         role = np.asarray(part.column("role")) if "role" in part.schema.names else np.full(len(fp), HOME, dtype=np.int8)
         edges = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(piece) != 0)) + 1
         first, last = np.concatenate([[0], edges]), np.concatenate([edges, [len(bucket)]])
@@ -247,11 +259,13 @@ def _links(batches: Iterator[pa.RecordBatch], most: int, words: tuple[str, ...]
             i = rows[rows + step < last[run[rows]]]  # rows are sorted by role, so the first of a pair is the home one if either is
             rows = i
             i = i[role[i] == HOME]
+            i = i[_alike(sizes, i, i + step, least)]
             i = i[_distance(prints, i, i + step) <= most]
             left.append(i)
             right.append(i + step)
         for k in np.flatnonzero(~small):
-            a, b = _forest_of([w[first[k] : last[k]] for w in prints], side[first[k] : last[k]], most)
+            own = slice(first[k], last[k])
+            a, b = _forest_of([w[own] for w in prints], side[own], most, fp[own], sizes[own], least)
             left.append(a + first[k])
             right.append(b + first[k])
         if left:
@@ -261,15 +275,16 @@ def _links(batches: Iterator[pa.RecordBatch], most: int, words: tuple[str, ...]
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
 
-def _forest_of(words: list[np.ndarray], side: np.ndarray, most: int, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+def _forest_of(words: list[np.ndarray], side: np.ndarray, most: int, names: np.ndarray | None = None, sizes: np.ndarray | None = None, least: float = 0.0, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
     """Spanning pairs of a large part, nearest ones first, found block by block; of two sides, only pairs across are compared.
 
     Blocks already joined throughout are not compared again.
     """
-    order = np.lexsort((*words, side))
-    keep = np.concatenate([[True], np.any([np.diff(x[order]) != 0 for x in (*words, side)], axis=0)])
+    names, sizes = words[0] if names is None else names, np.ones(len(side), dtype=np.int32) if sizes is None else sizes
+    order = np.lexsort((names, *words, side))
+    keep = np.concatenate([[True], np.any([np.diff(x[order]) != 0 for x in (names, *words, side)], axis=0)])
     where = order[keep]
-    words, side, count = [w[where] for w in words], side[where], int(keep.sum())
+    words, side, sizes, count = [w[where] for w in words], side[where], sizes[where], int(keep.sum())
     cut = int(np.searchsorted(side, side[-1])) if side[0] != side[-1] else 0
     forest = Forest(count)
     out_a, out_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
@@ -280,7 +295,9 @@ def _forest_of(words: list[np.ndarray], side: np.ndarray, most: int, block: int
             ra, rb = roots[a:a_end], roots[b : b + block]
             if ra.min() == ra.max() == rb.min() == rb.max():
                 continue
-            far = _distance(words, (slice(a, a_end), None), (None, slice(b, b + block)))
+            far = _distance(words, (slice(a, a_end), None), (None, slice(b, b + block))).astype(np.int64)
+            if least:
+                far[~_alike(sizes, (slice(a, a_end), None), (None, slice(b, b + block)), least)] = most + 1
             for bits in range(most + 1):
                 i, j = np.nonzero((far == bits) & (ra[:, None] != rb[None, :]))
                 if len(i):
@@ -293,13 +310,20 @@ def _forest_of(words: list[np.ndarray], side: np.ndarray, most: int, block: int
 
 
 def _named_components(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
-    """``fp``, ``component_id``: the smallest ``node`` of each fingerprint's component."""
-    placed = nodes.join(connected_components(edges, name).toDF("fp", "component"), "fp")
-    names = placed.groupBy("component").agg(F.min("node").alias("smallest"))
-    found = placed.join(names, "component").select("fp", "smallest")
+    """``fp``, ``component_id``: the smallest ``node`` of each fingerprint's component; large components are counted first and not shuffled."""
+    placed = materialise(nodes.join(connected_components(edges, name).toDF("fp", "component"), "fp"), "placed")
+    names = placed.groupBy("component").agg(F.min("node").alias("smallest"), F.count("*").alias("rows"))
+    found = join_counted(placed, materialise(names, "names"), "component", "rows", placed.count()).select("fp", "smallest")
     return nodes.join(found, "fp", "left").select("fp", F.coalesce("smallest", "node").alias("component_id"))
 
 
+def _with_classes(prints: DataFrame, classes: DataFrame, name: str) -> DataFrame:
+    """``prints`` with their ``component_id`` (null where there is none); fingerprints that very many rows have are not shuffled."""
+    counted = materialise(prints.groupBy(name).agg(F.count("*").alias("rows")).join(classes, name, "left"), "classes")
+    total = counted.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    return join_counted(prints, counted, name, "rows", total)
+
+
 def fingerprint_components(prints: DataFrame, key: str = "doc_id", most: int = 4, crowd: int = 20_000) -> DataFrame:
     """``fp``, ``component_id`` (smallest key reachable by links of at most ``most`` differing bits), for each distinct fingerprint.
 
@@ -328,7 +352,7 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     prints = materialise(fingerprints(docs, key, text, shingle), "simhash")
     classes = fingerprint_components(prints, key, most)
-    return prints.join(classes, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _with_classes(prints, classes, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: Segments of a wide fingerprint, as (word, first bit, bits), and the pairs of them that make keys.
@@ -338,6 +362,9 @@ WIDE_PAIRS = ((0, 1), (2, 3), (4, 5), (6, 7), (8, 0), (1, 2))
 WIDE_MOST = 32
 
 
+WIDE_COLUMNS = ("fp", "second", "name", "size")
+
+
 def _wide_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keys of wide fingerprints: near words meet near words, so there are no roles."""
     for whole in batches:
@@ -354,7 +381,8 @@ def _wide_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         key.append(_mix(np.full(len(on), k), a[on] >> 11, b[on] >> 11))
                         owner.append(on)
             rows = np.concatenate(owner)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key)), *(pa.array(w.view(np.int64)[rows]) for w in words[:2])], names=["bucket", "fp", "second"])
+            kept = [np.asarray(batch.column(c))[rows] for c in WIDE_COLUMNS]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key)), *map(pa.array, kept)], names=["bucket", *WIDE_COLUMNS])
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, crowd: int = 20_000) -> DataFrame:
@@ -363,45 +391,48 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     Texts link if the sets of their word shingles (A-Z lower-cased) have a Jaccard
     similarity of ``least`` or more; that is exact for the pairs that meet.  Of
     near copies, pairs meet in about 95 of 100 cases at 0.8 and nearly always above
-    0.9.  Texts whose first 64 fingerprint bits are equal are one node; texts
-    without words are copies of each other.  In a bucket of more than 32 texts the
-    nearest pairs that span it are verified, not all.  Null keys are no nodes: such
-    rows get the component of their text (null if no other row has it).
+    0.9.  Texts of the same shingle set, told by its digest, are one node, whatever repeats
+    in them; every other link is verified.  Texts without words are copies of each other and link with
+    nothing else.  In a bucket of more than 32 texts the nearest pairs that span it are
+    verified, not all.  Null keys are no nodes: such rows get the component of their text
+    (null if no other row has it).
     """
     n = shuffle_partitions(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
-    names = [key, "fp", "second", "third"]
+    names = [key, "fp", "second", "third", "name", "size"]
 
     def print_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in byte_slices(whole, text):
-                values = np.array([wide_fingerprint(t, shingle) for t in batch.column(text).to_pylist()]).reshape(-1, 3).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(np.ascontiguousarray(values[:, c])) for c in range(3))], names=names)
-
-    prints = materialise(docs.select(key, text).mapInArrow(print_all, f"{key} {kind}, fp long, second long, third long"), "wide")
-    each = materialise(prints.where(F.col(key).isNotNull()).groupBy("fp", "second", "third").agg(F.min(key).alias("node")), "fingerprints")
-    nodes = each.groupBy("fp").agg(F.min("node").alias("node"))
-    own, schema = each.select("fp", "second", "third"), "bucket long, fp long, second long"
-    keyed = _dealt(own, own.repartition(n, "fp").mapInArrow(_wide_keys, schema), _wide_keys, schema, crowd)
+                found = [wide_fingerprint(t, shingle) for t in batch.column(text).to_pylist()]
+                words = np.array([f[0] for f in found]).reshape(-1, 3).view(np.int64)
+                digest, size = np.array([f[1] for f in found], dtype=np.uint64).view(np.int64), np.array([f[2] for f in found], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(np.ascontiguousarray(words[:, c])) for c in range(3)), pa.array(digest), pa.array(size)], names=names)
+
+    prints = materialise(docs.select(key, text).mapInArrow(print_all, f"{key} {kind}, fp long, second long, third long, name long, size int"), "wide")
+    each = materialise(prints.where(F.col(key).isNotNull()).groupBy("name").agg(F.min(key).alias("node"), *(F.min(c).alias(c) for c in ("fp", "second", "third", "size"))), "fingerprints")
+    nodes = each.select(F.col("name").alias("fp"), "node")
+    own, schema = each.where("size > 0").select("fp", "second", "third", "name", "size"), "bucket long, fp long, second long, name long, size int"
+    keyed = _dealt(own, own.repartition(n, "name").mapInArrow(_wide_keys, schema), _wide_keys, schema, crowd, name="name")
     met = keyed.repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part")
-    pairs = materialise(met.mapInArrow(lambda batches: _links(batches, WIDE_MOST, ("fp", "second")), "u long, v long").distinct(), "pairs")
-    # Shingle sets of the texts in pairs: found by key, told from others of that key by their fingerprint.
+    pairs = materialise(met.mapInArrow(lambda batches: _links(batches, WIDE_MOST, ("fp", "second"), "name", least), "u long, v long").distinct(), "pairs")
+    # Shingle sets of the texts in pairs: found by key, told from others of that key by their digest.
     wanted = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct().join(nodes, "fp").select(F.col("node").alias(key)).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in byte_slices(whole, text):
                 texts = batch.column(text).to_pylist()
-                values = np.array([wide_fingerprint(t, shingle)[0] for t in texts], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array([shingle_set(t, shingle) for t in texts], pa.list_(pa.int64()))], names=["fp", "grams"])
+                values = np.array([wide_fingerprint(t, shingle)[1] for t in texts], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array([shingle_set(t, shingle) for t in texts], pa.list_(pa.int64()))], names=["name", "grams"])
 
     chosen = wanted if wanted.count() > MOST_BROADCAST else F.broadcast(wanted)
-    grams = materialise(docs.select(key, text).join(chosen, key, "left_semi").mapInArrow(sets, "fp long, grams array<long>").dropDuplicates(["fp"]), "grams")
+    grams = materialise(docs.select(key, text).join(chosen, key, "left_semi").mapInArrow(sets, "name long, grams array<long>").dropDuplicates(["name"]), "grams")
     both = pairs.join(grams.toDF("u", "a"), "u").join(grams.toDF("v", "b"), "v")
     common = F.size(F.array_intersect("a", "b"))
     links = both.where(common >= F.lit(least) * (F.size("a") + F.size("b") - common)).select("u", "v")
-    classes = _named_components(nodes, materialise(links, "links"), "simhash")
-    return prints.join(classes, "fp", "left").select(key, "component_id")
+    classes = _named_components(nodes, materialise(links, "links"), "simhash").withColumnRenamed("fp", "name")
+    return _with_classes(prints, classes, "name").select(key, "component_id")
 
 
 #: Keys are broadcast up to this number (8 bytes each, some 40 in the join's table); beyond it they are joined by a shuffle.

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -387,6 +388,34 @@ def test_near_duplicates_by_shingles(spark, crowd):
     assert crowd < 100 or sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, c in enumerate(got) if c == i)
 
 
+def test_repeated_lines_make_no_near_duplicates(spark):
+    """A line many times, then other words: hardly a shingle in common, whatever the line's share of the text."""
+    rng = np.random.default_rng(3)
+    line = "the same line of a form that is repeated "
+    texts = [line * 200 + " ".join(f"w{x}" for x in rng.integers(0, 10**6, 400)) for _ in range(4)] + [line * 300, line * 50, "", None, " "]
+    got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.near_duplicates(docs_of(spark, texts)).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6, 7: 6, 8: 6}
+    assert sorted(r["doc_id"] for r in simhash_dedup.keep_representatives(docs_of(spark, texts)).collect()) == [0, 1, 2, 3, 4, 6]
+
+
+@pytest.mark.parametrize("rows", [7, 50])
+def test_equal_fingerprints_are_pairs_to_verify_not_one_node(rows):
+    names = np.arange(rows) * 11 + 5
+    same = {c: np.zeros(rows, dtype=np.int64) for c in ("bucket", "fp", "second")} | {"part": np.zeros(rows, dtype=np.int32), "side": np.zeros(rows, dtype=np.int32), "name": names, "size": np.full(rows, 30, dtype=np.int32)}
+    found = list(simhash_dedup._links(iter([pa.RecordBatch.from_pydict(same)]), 32, ("fp", "second"), "name", 0.8))
+    pairs = {(u, v) for f in found for u, v in zip(f["u"].to_pylist(), f["v"].to_pylist(), strict=True)}
+    assert pairs <= {(u, v) for u in names for v in names if u > v}
+    assert len(pairs) == (rows * (rows - 1) // 2 if rows <= 32 else rows - 1)
+    same["size"][0] = 100
+    found = list(simhash_dedup._links(iter([pa.RecordBatch.from_pydict(same)]), 32, ("fp", "second"), "name", 0.8))
+    assert names[0] not in {n for f in found for c in ("u", "v") for n in f[c].to_pylist()}
+
+
+def test_no_link_is_lost_to_the_sets_sizes():
+    size = np.array([80, 100, 79, 125, 0])
+    assert simhash_dedup._alike(size, np.array([0, 2, 1, 3]), np.array([1, 1, 3, 1]), 0.8).tolist() == [True, False, True, True]
+
+
 def test_every_pair_within_four_bits_links(spark):
     rng = np.random.default_rng(2)
     base = [int(x) for x in rng.integers(0, 1 << 63, 150)] + [0, (1 << 64) - 1]
