@@ -31,6 +31,7 @@ from ..operators.selection import farthest_points
 from ..sources.network import Conv, max_pool, relu
 from ..sources.scratch import scratch_path
 from ..sources.store import StateStore
+from ..streaming.ingest import add_uploads
 from .detector import grid_rows, heat_images
 from .state import as_document, from_document
 
@@ -284,7 +285,11 @@ k AS (SELECT *, row_number() OVER (PARTITION BY content_id ORDER BY seq) AS rn F
 
 
 def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
+    return _as_uploads(_table(spark, sf_dir, "documents"))
+
+
+def _as_uploads(documents: DataFrame) -> DataFrame:
+    docs = documents.where(F.col("text").isNotNull())
     digest = F.concat(F.lit("resized224-"), F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32))
     return docs.select(
         F.col("doc_id").alias("seq"), F.when(F.col("doc_id") % 2 == 0, "reference").otherwise("calibration").alias("group"), F.col("source").alias("filename"), F.col("text").cast("binary").alias("raw"), digest.alias("content_id"), (F.col("n_chars") % 640).cast("int").alias("width"), (F.col("n_chars") % 480).cast("int").alias("height")
@@ -473,6 +478,23 @@ def stored_by_two_writers(spark, sf_dir):
     return StateStore(spark, root).samples().select("seq", "group", "content_id")
 
 
+@query(SAMPLES_SQL + " SELECT substr(grp, 1, 1) || '-' || substr(sha256(text), 1, 16) AS sample_id, filename, content_id, width, height, seq FROM k WHERE rn = 1")
+def streamed_samples(spark, sf_dir):
+    """The uploads as a stream of files that have arrived, taken up in one batch, twice: the repeated batch adds nothing."""
+    root = scratch_path(spark, "arrivals")
+    store = StateStore(spark, root)
+    # A pattern, as a stream takes a single file by no other name; it fits folders as well.
+    arriving = spark.readStream.schema(_table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parque[t]")
+
+    def take(batch: DataFrame, number: int) -> None:
+        uploads = _as_uploads(batch).withColumn("png", F.lit(b""))
+        for _ in range(2):
+            add_uploads(store, uploads, root, number)
+
+    arriving.writeStream.foreachBatch(take).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return store.samples().select("sample_id", "filename", "content_id", "width", "height", "seq")
+
+
 QUANTILES = (0.0, 0.01, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
 
 
