@@ -498,11 +498,11 @@ def streamed_samples(spark, sf_dir):
 QUANTILES = (0.0, 0.01, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
 
 
-@query(" UNION ALL ".join(f"SELECT CAST({q} AS DOUBLE) AS q, round(quantile_cont(l_extendedprice, {q}), 6) AS price FROM lineitem" for q in QUANTILES))
-def exact_price_quantiles(spark, sf_dir):
+@query(" UNION ALL ".join(f"SELECT CAST({q} AS DOUBLE) AS q, round(quantile_cont(n_chars, {q}), 6) AS n_chars FROM documents" for q in QUANTILES))
+def exact_length_quantiles(spark, sf_dir):
     """Quantiles of a whole column by rounds of range counting."""
-    values = exact_quantiles(_table(spark, sf_dir, "lineitem"), "l_extendedprice", list(QUANTILES))
-    return spark.createDataFrame([(q, v) for q, v in zip(QUANTILES, values, strict=True)], "q double, price double").select("q", _r("price").alias("price"))
+    values = exact_quantiles(_table(spark, sf_dir, "documents"), "n_chars", list(QUANTILES))
+    return spark.createDataFrame([(q, v) for q, v in zip(QUANTILES, values, strict=True)], "q double, n_chars double").select("q", _r("n_chars").alias("n_chars"))
 
 
 @query("SELECT source, round(quantile_cont(n_chars, 0.0), 6) AS q0, round(quantile_cont(n_chars, 0.95), 6) AS q95, round(quantile_cont(n_chars, 1.0), 6) AS q1 FROM documents GROUP BY source")
