@@ -9,7 +9,8 @@ cell are ranked again by the exact cosine of the original vectors.
 
 How many cells a query visits is measured, not guessed: for a bounded sample of the
 table's vectors the true nearest are found by brute force over all rows, and the
-share of cells is taken that holds nearly all of them.  Where nearness follows the
+share of cells is taken that holds nearly all of them.  In the same way it is measured how
+many codes of a block have to be ranked again.  Where nearness follows the
 cells it is small; where vectors are spread at random no index can do with few.
 
 Equal vectors are one node, which holds its smallest ids: as many as an answer can
@@ -39,7 +40,8 @@ from .common import expand, key_runs, materialise, shuffle_partitions
 class SearchSettings:
     """``probe``: share of the cells that a query visits; None: measured on ``trial`` vectors so that the cells hold ``covered`` of their nearest.
 
-    ``shortlist``: codes of each block that are ranked again, and all that tie with the last.
+    ``shortlist``: codes of each block that are ranked again, and all that tie with the last; None: measured on the same vectors so that ``ranked`` of
+    their nearest are among them, ``least_shortlist`` at least.
     """
 
     train: int = 8_192
@@ -50,7 +52,9 @@ class SearchSettings:
     probe: float | None = None
     trial: int = 128
     covered: float = 0.97
-    shortlist: int = 24
+    shortlist: int | None = None
+    ranked: float = 0.98
+    least_shortlist: int = 24
     block: int = 4_096
     visitors: int = 4_096
     rounds: int = 6
@@ -230,11 +234,20 @@ def _search_blocks(batches: Iterator[pa.RecordBatch], quantizer: Quantizer, near
                 yield pa.RecordBatch.from_arrays([pa.array(ids[asked][row[on]]), pa.array(found[on]), pa.array(score[on])], names=names)
 
 
-def measured_probe(index: DataFrame, quantizer: Quantizer, nearest: int, s: SearchSettings) -> float:
-    """The share of cells in which ``covered`` of the true nearest of some vectors lie, the cells nearest to each taken first.
+@dataclass(frozen=True)
+class Trial:
+    """Unit vectors of some rows, and for each of their true nearest: the trial's number, the nearest's cell and code."""
+
+    x: np.ndarray
+    trial: np.ndarray
+    cell: np.ndarray
+    code: np.ndarray
+
+
+def true_nearest(index: DataFrame, nearest: int, s: SearchSettings) -> Trial | None:
+    """The true nearest of ``trial`` vectors (smallest hashes of their ids first), by brute force over the index.
 
-    The ``trial`` vectors (smallest hashes of their ids first) are compared with every
-    vector of the index; each batch hands on its ``nearest`` for each of them.
+    Each batch hands on its ``nearest`` for each of them; None where there is no pair.
     """
     spark = index.sparkSession
     picked = index.orderBy(F.xxhash64("id"), "id").limit(s.trial).select("id", "vec").toPandas()
@@ -254,17 +267,62 @@ def measured_probe(index: DataFrame, quantizer: Quantizer, nearest: int, s: Sear
             n = min(nearest, len(ids))
             best = np.argpartition(-score, n - 1, axis=1)[:, :n]
             row = np.repeat(np.arange(len(own)), n)
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(score[row, best.ravel()]), pa.array(cell[best.ravel()])], names=["trial", "score", "cell"])
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(score[row, best.ravel()]), pa.array(cell[best.ravel()]), batch.column("code").take(pa.array(best.ravel()))], names=["trial", "score", "cell", "code"])
 
-    order = Window.partitionBy("trial").orderBy(F.desc("score"), "cell")
-    found = index.select("id", "vec", "cell").mapInArrow(run, "trial long, score double, cell int").withColumn("rank", F.row_number().over(order))
+    order = Window.partitionBy("trial").orderBy(F.desc("score"), "cell", "code")
+    found = index.select("id", "vec", "cell", "code").mapInArrow(run, "trial long, score double, cell int, code binary").withColumn("rank", F.row_number().over(order))
     held = found.where((F.col("rank") <= nearest) & (F.col("score") > float("-inf"))).toPandas()  # trial x nearest rows
     if held.empty:
+        return None
+    return Trial(x, held["trial"].to_numpy(), held["cell"].to_numpy(), np.frombuffer(b"".join(map(bytes, held["code"])), dtype=np.uint8).reshape(len(held), -1))
+
+
+def measured_probe(trial: Trial | None, quantizer: Quantizer, covered: float) -> float:
+    """The share of cells in which ``covered`` of the trial's true nearest lie, the cells nearest to each taken first."""
+    if trial is None:
         return 1.0
     c = quantizer.centroids
-    place = np.argsort(np.argsort((c**2).sum(axis=1) / 2 - x @ c.T, axis=1, kind="stable"), axis=1)
-    ranks = np.sort(place[held["trial"].to_numpy(), held["cell"].to_numpy()])
-    return float((ranks[int(np.ceil(s.covered * len(ranks))) - 1] + 1) / len(c))
+    place = np.argsort(np.argsort((c**2).sum(axis=1) / 2 - trial.x @ c.T, axis=1, kind="stable"), axis=1)
+    ranks = np.sort(place[trial.trial, trial.cell])
+    return float((ranks[int(np.ceil(covered * len(ranks))) - 1] + 1) / len(c))
+
+
+def measured_shortlist(index: DataFrame, trial: Trial | None, quantizer: Quantizer, s: SearchSettings) -> int:
+    """How many codes of a block are to be ranked again so that ``ranked`` of the trial's true nearest are among them, and half as many more.
+
+    Counts, over the whole index, the codes of its cell that come before each true nearest; a
+    block of a large cell has its share of them.
+    """
+    if trial is None:
+        return s.least_shortlist
+    tables, base = quantizer.tables(trial.x), trial.x @ quantizer.centroids.T
+
+    def rough(pairs: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """(pairs, codes) scores by code of each pair's trial vector within the pair's cell."""
+        t = trial.trial[pairs]
+        out = np.repeat(base[t, trial.cell[pairs]][:, None], len(codes), axis=1)
+        for p in range(codes.shape[1]):
+            out += tables[t][:, p, codes[:, p]]
+        return out
+
+    own = np.concatenate([rough(np.array([k]), trial.code[k : k + 1]).ravel() for k in range(len(trial.trial))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ahead, rows = np.zeros(len(own), dtype=np.int64), np.zeros(len(own), dtype=np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4_096):
+                batch = whole.slice(at, 4_096)
+                cell = np.asarray(batch.column("cell"))
+                codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), dtype=np.uint8).reshape(len(cell), -1)
+                for c in np.intersect1d(cell, trial.cell):
+                    pairs, here = np.flatnonzero(trial.cell == c), np.flatnonzero(cell == c)
+                    ahead[pairs] += (rough(pairs, codes[here]) > own[pairs][:, None]).sum(axis=1)
+                    rows[pairs] += len(here)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own))), pa.array(ahead), pa.array(rows)], names=["pair", "ahead", "rows"])
+
+    counted = index.select("cell", "code").mapInArrow(run, "pair long, ahead long, rows long").groupBy("pair").agg(F.sum("ahead").alias("ahead"), F.sum("rows").alias("rows")).toPandas()
+    place = np.sort(counted["ahead"] * np.minimum(1.0, s.block / counted["rows"]))
+    return max(s.least_shortlist, int(np.ceil(1.5 * (place[int(np.ceil(s.ranked * len(place))) - 1] + 1))))
 
 
 SCHEMA = "query_id long, rank int, vec_id long, score double"
@@ -293,7 +351,9 @@ def _search_width(usable: DataFrame, queries: Column, nearest: int, key: str, ve
     quantizer = train_quantizer(nodes, "id", "vec", nodes.count(), s)
     cells = len(quantizer.centroids)
     index = materialise(build_index(nodes, quantizer), "ivfpq")
-    probe = s.probe if s.probe is not None else measured_probe(index, quantizer, nearest, s)
+    trial = true_nearest(index, nearest, s) if s.probe is None or s.shortlist is None else None
+    probe = s.probe if s.probe is not None else measured_probe(trial, quantizer, s.covered)
+    shortlist = s.shortlist if s.shortlist is not None else measured_shortlist(index, trial, quantizer, s)
     asked = usable.where(queries).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vec")).dropDuplicates(["id"])
     held = np.zeros(cells, dtype=np.int64)
     for r in index.groupBy("cell").agg(F.sum(F.size(F.array_distinct("ids"))).alias("rows")).collect():  # at most ``most_cells`` rows
@@ -307,7 +367,7 @@ def _search_width(usable: DataFrame, queries: Column, nearest: int, key: str, ve
     asking = visits.join(deal, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), "groups").cast("int").alias("group"), F.lit(1).alias("asks"), "id", "vec", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("binary").alias("code"))
     met = stored.unionByName(asking).repartition(shuffle_partitions(spark), "cell", "block", "group").sortWithinPartitions("cell", "block", "group")
     handle = spark.sparkContext.broadcast(quantizer)
-    found = met.mapInArrow(lambda b: _search_blocks(b, handle.value, nearest, s.shortlist), "query_id long, vec_id long, score double")
+    found = met.mapInArrow(lambda b: _search_blocks(b, handle.value, nearest, shortlist), "query_id long, vec_id long, score double")
     # A query has ``nearest`` rows for each block it visited; the best of them are its answer.
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
