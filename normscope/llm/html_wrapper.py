@@ -19,6 +19,7 @@ whether article and main tags mark the article is decided for each form by itsel
 
 from __future__ import annotations
 
+import hashlib
 import html as html_entities
 import json
 import re
@@ -388,34 +389,41 @@ def host_of(url):
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host, form and slot of some pages: pages, texts, characters, linked characters, least and largest text hash, and up to three hashes of different page contents."""
-    names = ["host", "form", "slot", "pages", "texts", "chars", "linked", "least", "largest", "contents"]
+    """Per host, form and slot of some pages: pages, texts, characters, linked characters, least and largest text hash, and up to three hashes of different page contents.
+
+    A form is named by a digest; its text stands in one row, that of the empty slot, so a page's rows grow with its blocks and not with their square.
+    """
+    names = ["host", "digest", "slot", "form", "pages", "texts", "chars", "linked", "least", "largest", "contents"]
     for whole in batches:
         found: dict[tuple[str, str], dict[str, list]] = {}
+        forms: dict[str, str] = {}
         for part in byte_slices(whole, "html"):
             for host, source in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
                 page = read_page(source)
                 form = fold(page.names)
                 body = {k: (t, n) for k, t, n in page.texts}
-                key = (host, json.dumps(dump(form), separators=(",", ":")))
+                text = json.dumps(dump(form), separators=(",", ":"))
+                digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+                forms[digest] = text
+                key = (host, digest)
                 stats = found.setdefault(key, {"": [0, 0, 0, 0, 0, 0, []]})
                 stats[""][0] += 1
                 places = [(slot, [body[k] for k in leaves if k in body]) for slot, leaves in slots(form)]
                 content = zlib.crc32("\n".join(t for slot, texts in places if not _outside(slot)[0] for t, _ in texts).encode("utf-8", "surrogatepass"))
                 for slot, texts in places:
-                    digest = zlib.crc32("\n".join(t for t, _ in texts).encode("utf-8", "surrogatepass"))
-                    s = stats.setdefault(slot, [0, 0, 0, 0, digest, digest, []])
+                    said = zlib.crc32("\n".join(t for t, _ in texts).encode("utf-8", "surrogatepass"))
+                    s = stats.setdefault(slot, [0, 0, 0, 0, said, said, []])
                     s[0] += 1
                     s[1] += len(texts)
                     s[2] += sum(len(t) for t, _ in texts)
                     s[3] += sum(n for _, n in texts)
-                    s[4], s[5] = min(s[4], digest), max(s[5], digest)
+                    s[4], s[5] = min(s[4], said), max(s[5], said)
                     if len(s[6]) < 3 and content not in s[6]:
                         s[6].append(content)
-        rows = [(host, form, slot, *s) for (host, form), by in found.items() for slot, s in by.items()]
+        rows = [(host, digest, slot, None if slot else forms[digest], *s) for (host, digest), by in found.items() for slot, s in by.items()]
         if rows:
             columns = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns[:3]] + [pa.array(c, pa.int64()) for c in columns[3:-1]] + [pa.array(columns[-1], pa.list_(pa.int64()))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns[:4]] + [pa.array(c, pa.int64()) for c in columns[4:-1]] + [pa.array(columns[-1], pa.list_(pa.int64()))], names=names)
 
 
 def _names_outside(token: str, within: bool = False) -> bool:
@@ -465,6 +473,15 @@ def _inside(path: str) -> bool:
     return False
 
 
+#: Blocks that are the article's own where they stand in one, however much of them links.
+_PROSE = frozenset("h1 h2 h3 h4 h5 h6 p blockquote figcaption pre dt dd".split())
+
+
+def _is_prose(path: str) -> bool:
+    blocks = [part.partition("[")[0].partition("~")[0] for part in path.split(" > ")]
+    return bool(_PROSE.intersection(blocks[-2:]))
+
+
 def slot_kinds(stats: dict[str, list]) -> dict[str, list[float]]:
     """The slots that may hold the article: not outside by their tags, not mostly links.
 
@@ -478,7 +495,7 @@ def slot_kinds(stats: dict[str, list]) -> dict[str, list[float]]:
             continue
         same = least == largest and len(set(contents)) >= 3
         inside = _inside(path)
-        if linked * 2 > chars and not inside or linked * 10 > chars * 9:
+        if linked * 2 > chars and not inside or linked * 10 > chars * 9 and not (inside and _is_prose(path)):
             continue
         found[path] = [NAMED if outside else INNER if inside else SAME if same else OUTER, (chars - linked) / n, chars / max(texts, 1)]
     return dict(sorted(found.items()))
@@ -593,12 +610,14 @@ def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> Da
     """
     source = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
     kinds = "pages long, texts long, chars long, linked long, least long, largest long, contents array<long>"
-    seen = source.mapInArrow(_survey, f"host string, form string, slot string, {kinds}")
+    seen = source.mapInArrow(_survey, f"host string, digest string, slot string, form string, {kinds}")
     sums = [*(F.sum(c).alias(c) for c in ("pages", "texts", "chars", "linked")), F.min("least").alias("least"), F.max("largest").alias("largest"), _three("contents")]
-    found = materialise(seen.groupBy("host", "form", "slot").agg(*sums), "slots")
-    wrappers = _merged(found.where("slot = ''").select("host", F.col("form").alias("nodes"), "pages", F.lit(1).cast("long").alias("forms")))
-    by_form = found.where("slot <> ''").groupBy("host", "form").agg(F.collect_list(F.struct("slot", *(c.split()[0] for c in kinds.split(", ")))).alias("stats"))
-    stats = by_form.join(wrappers.select("host", "nodes"), "host").mapInArrow(_in_wrapper, f"host string, slot string, {kinds}").groupBy("host", "slot").agg(*sums)
+    found = materialise(seen.groupBy("host", "digest", "slot").agg(F.min("form").alias("form"), *sums), "slots")
+    forms = found.where("slot = ''")
+    wrappers = _merged(forms.select("host", F.col("form").alias("nodes"), "pages", F.lit(1).cast("long").alias("forms")))
+    by_form = found.where("slot <> ''").groupBy("host", "digest").agg(F.collect_list(F.struct("slot", *(c.split()[0] for c in kinds.split(", ")))).alias("stats"))
+    whole = by_form.join(forms.select("host", "digest", "form"), ["host", "digest"]).drop("digest")
+    stats = whole.join(wrappers.select("host", "nodes"), "host").mapInArrow(_in_wrapper, f"host string, slot string, {kinds}").groupBy("host", "slot").agg(*sums)
     good = stats.mapInArrow(_judged, "host string, slot string, kind array<double>").groupBy("host").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("slot", "kind"))))).alias("good"))
     text = F.concat(F.lit('{"nodes":'), "nodes", F.lit(',"slots":'), F.coalesce("good", F.lit("{}")), F.lit("}"))
     return wrappers.join(good, "host", "left").select("host", text.alias("wrapper"), "pages", "forms")

@@ -175,3 +175,22 @@ def test_many_forms_of_a_host_are_merged_in_small_groups(spark):
     assert all(got[k].endswith(f"Body {k}") and got[k].count("\n\n") == k.bit_count() for k in range(128))
     same = frame.where("page_id in (0)").unionByName(frame.where("page_id in (0)").selectExpr("1L AS page_id", "url", "replace(html, 'post-0', 'post-77') AS html", "text", "host"))
     assert html_wrapper.infer_wrappers(same).first()["forms"] == 1
+
+
+def test_a_page_of_very_many_blocks(spark):
+    """Its rows grow with its blocks, and the other pages come out."""
+    blocks = [f"block {k} says something of its own" for k in range(12_000)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    body = "".join(f"<p class=k{letters[k % 26]}{letters[k // 26 % 26]}{letters[k // 676 % 26]}>{b}</p>" for k, b in enumerate(blocks))
+    rows = [(1, "http://a.test/long", f"<html><body><nav><p>menu</p></nav><article>{body}</article></body></html>"), (2, "http://a.test/short", page("Title", ["one", "two"])), (3, "http://b.test/", page("Other", ["three"]))]
+    got = extract(spark, rows)
+    assert got[1][0] == "\n\n".join(blocks) and got[2][0] == "Title\n\none\n\ntwo" and got[3][0] == "Other\n\nthree"
+
+
+def test_headings_and_paragraphs_of_an_article_that_link_stay(spark):
+    def linked(k):
+        return f"<html><body><nav><a href=/>home</a></nav><article><h2><a href=/{k}>Heading {k}</a></h2><p>Words of page {k} that say something.</p><p><a href=/s>Source of page {k}</a></p><ul><li><a href=/x>more</a></li></ul></article></body></html>"
+
+    got = extract(spark, [(k, f"http://a.test/{k}", linked(k)) for k in range(6)])
+    for k in range(6):
+        assert got[k][0] == f"Heading {k}\n\nWords of page {k} that say something.\n\nSource of page {k}"
