@@ -26,6 +26,7 @@ are never read.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -209,6 +210,24 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: b for b in _PRINTABLE} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(_PRINTABLE))}
 
 
+# The settings of the tokenizer whose cutting is built in above.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def _cuts_as_built_in(path: str) -> bool:
+    with open(path, encoding="utf-8") as f:
+        settings = json.load(f)
+    model = settings["model"]
+    return settings["normalizer"] == _NORMALIZER and settings["pre_tokenizer"] == _SPLITTER and settings["post_processor"] is None and not model.get("dropout") and not model.get("ignore_merges")
+
+
 class WordEncoder:
     """A tokenizer of the tokenizers library that puts each distinct piece of text through its model once.
 
@@ -218,7 +237,7 @@ class WordEncoder:
     as the library's normaliser and splitter would; unusual words go through the
     library whole, once each.  Texts with control characters that Python, but not
     the library, takes for white space, and those with special-token marks, are
-    encoded whole.
+    encoded whole.  So is every text by a tokenizer with another normaliser or splitter.
     """
 
     ODD_TEXT = re.compile("[\x1c-\x1f]|<\\|")
@@ -227,6 +246,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.built_in = _cuts_as_built_in(path)
         self.cache_pieces = cache_pieces
         self._forget()
 
@@ -258,6 +278,9 @@ class WordEncoder:
     @no_cycle_search()
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and each text's number of ids."""
+        if not self.built_in:
+            rows = [e.ids for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(rows), dtype=np.int32), np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
         if len(self.pieces) > self.cache_pieces:
             self._forget()
         counts = np.zeros(len(texts), dtype=np.int64)

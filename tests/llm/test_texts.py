@@ -149,6 +149,18 @@ def test_usual_and_unusual_characters_are_cut_as_the_library_does():
         assert part.tolist() == theirs.encode(t, add_special_tokens=False).ids, ascii(t)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_are_the_librarys_for_any_tokenizer(spark, tmp_path, name):
+    path = tokenizer_file(name)
+    theirs = Tokenizer.from_file(path)
+    texts = [t for t in ODD if t != LONG] + ["Some Words,  and\nlines 12 345"]
+    where = wavelet_output.write_token_shards(docs_of(spark, texts), str(tmp_path / "shards"), path, 2)
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in wavelet_output.read_token_shards(spark, where).collect()}
+    for k, text in enumerate(texts):
+        ids = np.array([*theirs.encode(text or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        assert got[k] == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_shards_are_compressed_and_opened_chunk_by_chunk():
     tokens = (np.random.default_rng(1).zipf(1.3, 600_000) % 40_000).astype(np.int64)
     blob = wavelet_output.pack_shard([1], np.array([len(tokens)]), tokens, 16)
