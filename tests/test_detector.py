@@ -260,3 +260,29 @@ def test_jpeg_files_are_read_like_png(spark, tmp_path):
     pixels = {k: np.frombuffer(r["pixels"], np.uint8).astype(int) for k, r in found.items()}
     assert np.abs(pixels["a.jpg"] - pixels["b.png"]).mean() < 3 and found["a.jpg"]["content_id"] != found["b.png"]["content_id"]
     assert [r["reason"] for r in rejected.collect()] == ["not a PNG or JPEG image"]
+
+
+def test_building_evaluates_each_image_once(spark, tmp_path):
+    """With a source that counts, and descriptors of a small network."""
+    from test_network import random_weights
+
+    from normscope.sources.network import Prefix
+
+    counted = spark.sparkContext.accumulator(0)
+    prefix = Prefix(random_weights((4, 6, 8), 1))
+
+    def source(pixels):
+        counted.add(1)
+        return prefix(pixels)
+
+    rows = [(f"{g[0]}-{k}", g, k, np.ascontiguousarray(_cloth(60 + k)[:224, :224]).tobytes()) for k, g in enumerate(["reference"] * 3 + ["calibration"] * 2)]
+    uploads = spark.createDataFrame(rows, "sample_id string, group string, seq long, pixels binary")
+    samples = uploads.select("sample_id", "group", "seq")
+    store = StateStore(spark, str(tmp_path / "s"))
+    version = detector.rebuild(store, samples, describe(uploads, source))
+    assert counted.value == 5 and store.bank(version).count() == 256
+    assert {len(r["descriptor"]) for r in store.bank(version).collect()} == {14}
+    scored, grid = detector.inspect(store, describe(uploads, prefix))
+    found = {r["sample_id"]: r["score"] for r in scored.collect()}
+    told = [r["score"] for r in store.scores(version).orderBy("pos").collect()]
+    assert [found["c-3"], found["c-4"]] == pytest.approx(told) and grid.count() == 5 * 784

@@ -14,11 +14,11 @@ from normscope.schema import SAMPLE
 
 
 def test_quantile_interpolates_between_order_statistics(spark):
-    values = spark.createDataFrame([(float(x),) for x in (3, 1, 4, 1, 5, 9, 2, 6)], "x double")
-    assert require_quantile(values, "x", 0.95) == pytest.approx(7.95)
+    values = spark.createDataFrame([(float(x),) for x in (8, 3, 5, 13, 2, 21, 1, 34)], "x double")
+    assert require_quantile(values, "x", 0.95) == pytest.approx(21 + 0.65 * 13)
     assert require_quantile(values, "x", 0.0) == 1.0
-    assert require_quantile(values, "x", 1.0) == 9.0
-    assert require_quantile(values.where("x = 9"), "x", 0.95) == 9.0
+    assert require_quantile(values, "x", 1.0) == 34.0
+    assert require_quantile(values.where("x = 13"), "x", 0.95) == 13.0
 
 
 def test_quantile_of_nothing_and_outside_the_unit_interval(spark):
@@ -38,8 +38,8 @@ def _picked(df):
 
 
 def test_farthest_points_start_at_the_first_row_and_take_the_first_of_ties(spark):
-    points = _points(spark, [(0, 0), (0, 0), (10, 0), (0, 10)])
-    assert _picked(farthest_points(points, 3)) == [(0, 0), (10, 0), (0, 10)]
+    points = _points(spark, [(1, 1), (1, 1), (7, 1), (1, 9), (-7, 1)])
+    assert _picked(farthest_points(points, 4)) == [(1, 1), (1, 9), (-7, 1), (7, 1)]
     assert len(_picked(farthest_points(points, 9))) == 4
 
 
@@ -239,3 +239,15 @@ def test_a_content_that_very_many_uploads_share(spark):
     assert reasons == {seq: f"identical image content is already in {firsts[content][1]}" for _, _, _, content, _, _, seq in rows if firsts[content][0] != seq}
     plan = rejected._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and accepted.count() == 21
+
+
+def test_joins_with_counted_keys_split_hot_ones(spark):
+    from normscope.operators.joins import join_counted
+
+    rows = spark.createDataFrame([(k, "hot" if k % 2 else None if k % 10 == 0 else f"k{k % 30}") for k in range(1_000)], "n int, key string")
+    counts = rows.where("key is not null").groupBy("key").count().withColumn("said", F.concat("key", F.lit("!"))).where("key <> 'k2'")
+    for share in (0.25, 1e9):
+        got = {r["n"]: r["said"] for r in join_counted(rows, counts, "key", "count", 1_000, share).collect()}
+        assert got == {k: "hot!" if k % 2 else f"k{k % 30}!" for k in range(1_000) if k % 2 or k % 10 and k % 30 != 2}
+    empty = join_counted(rows.limit(0), counts.limit(0), "key", "count", 0)
+    assert empty.count() == 0 and empty.columns == ["key", "n", "said"]
