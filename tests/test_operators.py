@@ -40,7 +40,7 @@ def _picked(df):
 def test_farthest_points_start_at_the_first_row_and_take_the_first_of_ties(spark):
     points = _points(spark, [(1, 1), (1, 1), (7, 1), (1, 9), (-7, 1)])
     assert _picked(farthest_points(points, 4)) == [(1, 1), (1, 9), (-7, 1), (7, 1)]
-    assert len(_picked(farthest_points(points, 9))) == 4
+    assert len(_picked(farthest_points(points, 9))) == 5
 
 
 def test_farthest_points_edge_cases(spark):
