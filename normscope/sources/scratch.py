@@ -35,3 +35,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's tables between steps; call it when none of its results is to be read any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark).rstrip('/')}/normscope/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
