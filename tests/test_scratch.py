@@ -17,25 +17,15 @@ def test_a_written_table_is_read_back_and_can_be_cleared(spark, monkeypatch, tmp
     assert not kept.exists() and tmp_path.exists()
 
 
-def test_the_shared_folder_comes_from_the_session(spark):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", "shared:/folder")
-    try:
-        assert scratch.scratch_path(spark, "x").startswith(f"shared:/folder/normscope/{spark.sparkContext.applicationId}/x-")
-    finally:
-        if before is None:
-            spark.conf.unset("spark.checkpoint.dir")
-        else:
-            spark.conf.set("spark.checkpoint.dir", before)
-
-
 class _Cluster:
-    """A session on a cluster without the setting."""
+    """A session on a cluster."""
+
+    settings: dict = {}
 
     class conf:  # noqa: N801
         @staticmethod
         def get(name, default=None):
-            return default
+            return _Cluster.settings.get(name, default)
 
     class sparkContext:  # noqa: N801
         master = "spark://somewhere:7077"
@@ -45,6 +35,9 @@ class _Cluster:
             return None
 
 
-def test_a_cluster_without_a_shared_folder_is_an_error():
+def test_the_folder_is_the_one_the_cluster_names_and_none_is_an_error(monkeypatch):
+    monkeypatch.setattr(_Cluster, "settings", {"spark.checkpoint.dir": "shared:/folder"})
+    assert scratch.scratch_dir(_Cluster) == "shared:/folder"
+    monkeypatch.setattr(_Cluster, "settings", {})
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch.scratch_dir(_Cluster)
