@@ -183,6 +183,26 @@ def _fitted_by_spark(cells: DataFrame, mix: Mix, targets: dict[str, dict[str, fl
     return fitted.unionByName(empty)
 
 
+def departures(cells: DataFrame, mix: Mix = Mix(), targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """``dimension``, ``value``, ``target``, ``share``, ``departure``: how far each value's share of the sample lies from its target, for fitted ``cells``.
+
+    The sample's size is bounded margin by margin; targets that only fail together, as
+    where a value's tokens all lie in another value's cells, are missed, and this is where it shows.
+    """
+    rows: list[tuple[str, str, float, float, float]] = []
+    for d in DIMENSIONS:
+        held = cells.where("tokens > 0").groupBy(d).agg(F.sum("tokens").alias("tokens"), F.sum("weight").alias("weight")).limit(mix.most_cells + 1).toPandas()
+        if len(held) > mix.most_cells:
+            raise ValueError(f"{d} has more than {mix.most_cells} values")
+        if not len(held):
+            continue
+        own = held.assign(**{x: "" for x in DIMENSIONS if x != d})
+        goals, size = _goals(own, mix, _present(own, {k: v for k, v in (targets or {}).items() if k == d}))
+        wanted = goals[d] / size if size else goals[d]
+        rows += [(d, value, float(wanted[value]), float(share), float(share - wanted[value])) for value, share in sorted(zip(held[d], held["weight"], strict=True))]
+    return cells.sparkSession.createDataFrame(rows, "dimension string, value string, target double, share double, departure double")
+
+
 def mixture(docs: DataFrame, mix: Mix = Mix(), targets: dict[str, dict[str, float]] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: key, dimensions, ``n_tokens``, ``probability`` and ``kept``.
 

@@ -590,3 +590,16 @@ def test_mixing_nulls_and_empty_texts(spark):
     docs = spark.createDataFrame([(None, None, None, None, None, "", ""), (1, "", "en", None, 0, "", ""), (2, "a b", None, "web", 3, "", ""), (2, "a b", None, "web", 3, "", "")], KIND)
     got = mixing.mixture(docs).collect()
     assert len(got) == 4 and all(0 <= r["probability"] <= 1 for r in got)
+
+
+def test_targets_that_fail_together_are_told(spark):
+    rows = [(k, s, lang, "t", n) for k, (s, lang, n) in enumerate([("a", "x", 900), ("a", "y", 50), ("b", "x", 20), ("b", "y", 30)])]
+    measures = spark.createDataFrame(rows, "doc_id long, source string, lang string, topic string, n_tokens long")
+    goals = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.9, "y": 0.1}}
+    told = {(r["dimension"], r["value"]): r for r in mixing.departures(mixing.fitted_cells(measures, targets=goals), targets=goals).collect()}
+    assert set(told) == {("source", "a"), ("source", "b"), ("lang", "x"), ("lang", "y"), ("topic", "t")}
+    assert told["source", "a"]["target"] == 0.5 and abs(told["source", "a"]["departure"]) > 0.1
+    assert all(abs(r["share"] - r["target"] - r["departure"]) < 1e-12 for r in told.values())
+    fine = {"source": {"a": 0.8, "b": 0.2}}
+    assert all(abs(r["departure"]) < 1e-6 for r in mixing.departures(mixing.fitted_cells(measures, targets=fine), targets=fine).where("dimension = 'source'").collect())
+    assert mixing.departures(mixing.fitted_cells(measures.limit(0))).count() == 0
