@@ -600,6 +600,6 @@ def test_targets_that_fail_together_are_told(spark):
     assert set(told) == {("source", "a"), ("source", "b"), ("lang", "x"), ("lang", "y"), ("topic", "t")}
     assert told["source", "a"]["target"] == 0.5 and abs(told["source", "a"]["departure"]) > 0.1
     assert all(abs(r["share"] - r["target"] - r["departure"]) < 1e-12 for r in told.values())
-    fine = {"source": {"a": 0.8, "b": 0.2}}
-    assert all(abs(r["departure"]) < 1e-6 for r in mixing.departures(mixing.fitted_cells(measures, targets=fine), targets=fine).where("dimension = 'source'").collect())
+    own = {"source": {"a": 0.95, "b": 0.05}, "lang": {"x": 0.92, "y": 0.08}}
+    assert all(abs(r["departure"]) < 1e-6 for r in mixing.departures(mixing.fitted_cells(measures, targets=own), targets=own).collect())
     assert mixing.departures(mixing.fitted_cells(measures.limit(0))).count() == 0
