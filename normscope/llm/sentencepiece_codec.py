@@ -328,7 +328,7 @@ class Codec:
         return np.concatenate(found), np.concatenate(ends)
 
     def _from_windows(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A BPE word from windows; where two cannot be joined, the whole advances by itself."""
+        """A BPE word from windows; where two cannot be joined, each starts where the one before ended."""
         size = WINDOW + OVERLAP
         count = max(1, -(-(len(codes) - OVERLAP) // WINDOW))
         full = count - 1  # the last one has a length of its own
@@ -344,14 +344,48 @@ class Codec:
             i, j = i[on], j[on]
             good = np.flatnonzero(self._follows(pieces[k][i].astype(np.int64), pieces[k + 1][j + 1].astype(np.int64)))
             if not len(good):
-                _, piece, end = self._lattice(codes[None, :])
-                return piece, end
+                return self._from_anchors(codes)
             g = good[len(good) // 2]
             out.append(pieces[k][first : i[g] + 1])
             out_ends.append(ends[k][first : i[g] + 1])
             first = int(j[g]) + 1
         return np.concatenate([*out, pieces[full][first:]]), np.concatenate([*out_ends, ends[full][first:]])
 
+    def _from_anchors(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A BPE word from windows that each start at a cut of the one before.
+
+        Runs and periodic words have the same windows again and again; each is advanced once.
+        A cut serves if the next window's first piece follows the piece before it, which
+        makes the pieces on both sides one encoding; where none of the last few does, the whole advances by itself.
+        """
+        size, known = WINDOW + OVERLAP, {}
+
+        def window(at: int) -> tuple[np.ndarray, np.ndarray]:
+            part = codes[at : at + size]
+            key = part.tobytes()
+            if key not in known:
+                if len(known) > 1_024:
+                    known.clear()
+                known[key] = self._lattice(part[None, :])[1:]
+            return known[key]
+
+        out, out_ends, at = [], [], 0
+        piece, end = window(0)
+        while at + size < len(codes):
+            last = int(np.searchsorted(end, WINDOW, "right")) - 1
+            for cut in range(last, max(last - 8, -1), -1):
+                following = window(at + int(end[cut]))
+                if self._follows(piece[cut : cut + 1].astype(np.int64), following[0][:1].astype(np.int64))[0]:
+                    break
+            else:
+                _, piece, end = self._lattice(codes[None, :])
+                return piece, end
+            out.append(piece[: cut + 1])
+            out_ends.append(end[: cut + 1] + at)
+            at += int(end[cut])
+            piece, end = following
+        return np.concatenate([*out, piece]), np.concatenate([*out_ends, end + at])
+
     def _encode_new(self, words: list[str]) -> None:
         """Append the ids of these words to the table, in order."""
         size = np.array([len(w) for w in words], dtype=np.int64)

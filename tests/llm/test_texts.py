@@ -603,3 +603,25 @@ def test_targets_that_fail_together_are_told(spark):
     own = {"source": {"a": 0.95, "b": 0.05}, "lang": {"x": 0.92, "y": 0.08}}
     assert all(abs(r["departure"]) < 1e-6 for r in mixing.departures(mixing.fitted_cells(measures, targets=own), targets=own).collect())
     assert mixing.departures(mixing.fitted_cells(measures.limit(0))).count() == 0
+
+
+def test_runs_and_periodic_words_are_the_librarys_pieces_and_quick():
+    path = tokenizer_file("piece_bpe_32k.model")
+    theirs = sentencepiece.SentencePieceProcessor(model_file=path)
+    codec = sentencepiece_codec.load_codec(path)
+    texts = ["-" * 100_000, "a" * 60_000, "=" * 3_000 + "x" * 3_001, "ab" * 20_000, "xyzzy" * 3_000 + "!" * 2_500, "_-" * 5_000 + "q", "\u65e5" * 3_000, "word " + "." * 9_001 + " word"]
+    start = time.perf_counter()
+    got = [codec.encode([t])[0].tolist() for t in texts]
+    assert time.perf_counter() - start < 60
+    assert got == [theirs.encode(t) for t in texts]
+
+
+def test_words_whose_windows_never_meet_advance_whole(monkeypatch):
+    path = tokenizer_file("piece_bpe_32k.model")
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.load_codec(path).model)
+    monkeypatch.setattr(sentencepiece_codec, "WINDOW", 40)
+    monkeypatch.setattr(sentencepiece_codec, "OVERLAP", 4)
+    theirs = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = np.random.default_rng(8)
+    for text in ("abc" * 900, "".join(rng.choice(list("etaoinshr"), 2_400)), "-" * 2_501):
+        assert codec.encode([text])[0].tolist() == theirs.encode(text)
