@@ -39,3 +39,34 @@ def farthest_rows(points: np.ndarray, most: int) -> list[int]:
         free[pick] = False
         picks.append(pick)
     return picks
+
+
+#: Pairs whose exact difference is held at once.
+PAIRS = 65_536
+
+
+def least_distances(queries: np.ndarray, bank: np.ndarray, step: int = 1_024) -> np.ndarray:
+    """Distance of each query to its nearest bank row, from differences: exact zeros stay zero.
+
+    A matrix product tells which rows may be nearest, as its rounding is far smaller than
+    the slack it is given; only their differences are taken.
+    """
+    out = np.full(len(queries), np.inf)
+    if not len(bank) or not len(queries):
+        return out
+    sizes = np.einsum("ij,ij->i", bank, bank)
+    for a in range(0, len(queries), step):
+        part = queries[a : a + step]
+        own = np.einsum("ij,ij->i", part, part)
+        rough = own[:, None] + sizes - 2.0 * (part @ bank.T)
+        near = rough.min(axis=1)
+        row, col = np.nonzero(rough <= (near + 1e-10 * (own + sizes.max()))[:, None])
+        best = np.full(len(part), np.inf)
+        for k in range(0, len(row), PAIRS):
+            gap = part[row[k : k + PAIRS]] - bank[col[k : k + PAIRS]]
+            np.minimum.at(best, row[k : k + PAIRS], np.einsum("ij,ij->i", gap, gap))
+        for k in np.flatnonzero(~np.isfinite(near)):  # components that are not finite, or whose squares are not
+            gap = part[k] - bank
+            best[k] = np.einsum("ij,ij->i", gap, gap).min()
+        out[a : a + step] = np.sqrt(best)
+    return out

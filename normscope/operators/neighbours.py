@@ -10,26 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import l2
+from ..functions.vectors import l2, least_distances
 from .pivots import matrix, nearest_by_pivots
 
 #: Banks of up to so many rows travel to every executor.
 BROADCAST_ROWS = 4_096
 
 
-def least_distances(queries: np.ndarray, bank: np.ndarray, step: int = 256) -> np.ndarray:
-    """Distance of each query to its nearest bank row, from differences (exact zeros stay zero)."""
-    out = np.full(len(queries), np.inf)
-    for a in range(0, len(queries), step):
-        part = queries[a : a + step]
-        best = np.full(len(part), np.inf)
-        for row in bank:
-            gap = part - row
-            np.minimum(best, np.einsum("ij,ij->i", gap, gap), out=best)
-        out[a : a + step] = np.sqrt(best)
-    return out
-
-
 def nearest_distance(queries: DataFrame, bank: DataFrame, vector: str = "descriptor", distance: str = "d", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The queries' columns without ``vector``, and ``distance`` to the nearest bank row.
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from ..functions.vectors import farthest_rows
+from ..functions.vectors import farthest_rows, least_distances
 from ..sources.scratch import materialise
 
 
@@ -159,7 +159,7 @@ def meet(queries: np.ndarray, blocks: Blocks, stream: Iterator[tuple[int, np.nda
             part = rows[a : a + step]
             asking = np.flatnonzero(bound[:, place[block]] < best)
             if len(asking):
-                best[asking] = np.minimum(best[asking], distances(queries[asking], part).min(axis=1))
+                best[asking] = np.minimum(best[asking], least_distances(queries[asking], part))
                 compared += len(asking) * len(part)
     return best, compared
 

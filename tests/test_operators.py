@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from normscope.functions.ids import filename_or_default, image_format, upload_status
 from normscope.functions.raster import axis_weights, colour_bound, encode_png, jet, resize_axis, resize_grid, triangle_resize
 from normscope.functions.stats import linear_quantile, require_quantile
+from normscope.functions.vectors import least_distances
 from normscope.operators import catalog
 from normscope.operators.assembly import concat_grids
 from normscope.operators.neighbours import nearest_distance, nearest_distance_expr
@@ -251,3 +252,17 @@ def test_joins_with_counted_keys_split_hot_ones(spark):
         assert got == {k: "hot!" if k % 2 else f"k{k % 30}!" for k in range(1_000) if k % 2 or k % 10 and k % 30 != 2}
     empty = join_counted(rows.limit(0), counts.limit(0), "key", "count", 0)
     assert empty.count() == 0 and empty.columns == ["key", "n", "said"]
+
+
+def test_least_distances_are_those_of_all_differences():
+    rng = np.random.default_rng(2)
+    q, b = rng.normal(size=(300, 9)) * 50 + 1e4, rng.normal(size=(500, 9)) * 50 + 1e4
+    b[100:400] = b[7]
+    q[:40], q[50] = b[7], b[450]
+    want = np.sqrt(((q[:, None] - b[None]) ** 2).sum(axis=2)).min(axis=1)
+    got = least_distances(q, b, 64)
+    assert np.allclose(got, want, rtol=1e-12, atol=0) and (got[:40] == 0).all() and got[50] == 0
+    q[3, 2], b[5, 1] = np.nan, np.inf
+    with np.errstate(invalid="ignore"):
+        assert np.isnan(least_distances(q, b[:5])[3]) and np.isfinite(least_distances(q, b)[4])
+    assert np.isinf(least_distances(q, b[:0])).all() and len(least_distances(q[:0], b)) == 0
