@@ -123,7 +123,8 @@ def first_books(numbers: DataFrame, s: CodeSettings) -> Books:
     head = numbers.select("q", F.row_number().over(order).alias("place")).where(F.col("place") <= s.entries).orderBy("place").collect()
     books: Books = {}
     for width in sorted({len(r["q"]) for r in head}):
-        own = np.array([r["q"] for r in head if len(r["q"]) == width], dtype=np.int64).reshape(-1, width)
+        rows = [r["q"] for r in head if len(r["q"]) == width]
+        own = np.array(rows, dtype=np.int64).reshape(len(rows), width)
         books[width] = [np.ascontiguousarray(b) for b in np.split(own, s.parts, axis=1)]
     return books
 
