@@ -152,7 +152,7 @@ def test_masks_drop_entries_and_ties_go_to_the_lower_index():
     entry, gap, work = vector_codes.nearest_entries(x, book)
     full = ((x[:, None] - book[None]) ** 2).sum(axis=2)
     assert np.array_equal(entry, full.argmin(axis=1)) and np.array_equal(gap, full.min(axis=1))
-    assert (entry[-5:] == 14).all() and work < 0.4 * x.size * 16
+    assert (entry[-5:] == 14).all() and work < 0.5 * x.size * 16
     spread = book.var(axis=0)
     assert (np.diff(spread[vector_codes.search_order(book)]) <= 1e-6).all()
 
