@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours: an inverted file with product-quantised residuals.
+"""Nearest neighbours: an inverted file with product-quantised residuals, and an exact check of what it may have missed.
 
 Vectors are scaled to length one.  Coarse centroids and the codebooks of the
 residuals are trained in numpy on a bounded sample (``train`` vectors, smallest
@@ -7,15 +7,15 @@ and its residual is coded.  A query visits the cells nearest to it, ranks their
 codes by tables of query-to-codeword products, and the best of each block of a
 cell are ranked again by the exact cosine of the original vectors.
 
-How many cells a query visits is measured, not guessed: for a bounded sample of the
-table's vectors the true nearest are found by brute force over all rows, and the
-share of cells is taken that holds nearly all of them.  In the same way it is measured how
-many codes of a block have to be ranked again.  Where nearness follows the
-cells it is small; where vectors are spread at random no index can do with few.
+The last of the nearest so found is a floor: nothing below it can be in the answer.  The
+query then visits every cell that may hold a row at or above the floor, by the triangle
+inequality and the cell's radius, and there compares every row whose code, with the
+length of what the code leaves out, does not rule it out.  So the answer is complete
+whatever the rows are like; where nearness follows the cells few of them are visited,
+where vectors are spread at random nearly all.
 
 Equal vectors are one node, which holds its smallest ids: as many as an answer can
-need.  Nodes with the same code score as the last of the best are ranked again too,
-so copies and tight clusters crowd nothing out.
+need.  Nodes with the same code score as the last of the best are ranked again too.
 
 A cell's vectors are dealt into blocks of at most about ``block`` rows, and its
 visitors into groups of at most about ``visitors``, so one task never holds a
@@ -38,10 +38,10 @@ from .common import expand, key_runs, materialise, shuffle_partitions
 
 @dataclass(frozen=True)
 class SearchSettings:
-    """``probe``: share of the cells that a query visits; None: measured on ``trial`` vectors so that the cells hold ``covered`` of their nearest.
+    """None of these changes an answer, only what it costs.
 
-    ``shortlist``: codes of each block that are ranked again, and all that tie with the last; None: measured on the same vectors so that ``ranked`` of
-    their nearest are among them, ``least_shortlist`` at least.
+    ``probe``: share of the cells that a query visits for its floor; None: its ``first`` nearest ones.
+    ``shortlist``: codes of each block that are ranked again for the floor, and all that tie with the last.
     """
 
     train: int = 8_192
@@ -50,17 +50,18 @@ class SearchSettings:
     parts: int = 16
     codewords: int = 256
     probe: float | None = None
-    trial: int = 128
-    covered: float = 0.97
-    shortlist: int | None = None
-    ranked: float = 0.98
-    least_shortlist: int = 24
+    first: int = 4
+    shortlist: int = 24
     block: int = 4_096
     visitors: int = 4_096
     rounds: int = 6
     seed: int = 11
 
 
+#: Far more than rounding does to bounds and cosines of unit vectors.
+SLACK = 1e-9
+
+
 def is_usable(vector: Column) -> Column:
     """Not null, not empty, no null or non-finite component, not all zeros."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -113,12 +114,14 @@ class Quantizer:
         books = [k_means(rest[:, a:b], s.codewords, s.rounds, rng) for a, b in zip(bounds, bounds[1:], strict=False)]
         return cls(centroids, bounds, books)
 
-    def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Cell and codes of each row, its distance from the centroid, and from what the codes stand for."""
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
         cell = _nearest(x, self.centroids)
         rest = x - self.centroids[cell]
         codes = np.stack([_nearest(rest[:, a:b], book) for a, b, book in zip(self.bounds, self.bounds[1:], self.codebooks, strict=False)], axis=1)
-        return cell, codes.astype(np.uint8)
+        told = np.concatenate([book[codes[:, p]] for p, book in enumerate(self.codebooks)], axis=1)
+        return cell, codes.astype(np.uint8), np.linalg.norm(rest, axis=1), np.linalg.norm(rest - told, axis=1)
 
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """(queries, parts, codewords): products of each query's part with each codeword."""
@@ -149,40 +152,55 @@ def nodes_of(vectors: DataFrame, nearest: int, key: str, vector: str) -> DataFra
 
 
 def build_index(nodes: DataFrame, quantizer: Quantizer) -> DataFrame:
-    """``id``, ``vec``, ``ids``, ``cell``, ``code``: every node coded.  The quantizer's size is bounded by its settings."""
+    """``id``, ``vec``, ``ids``, ``cell``, ``code``, ``gap`` (from the centroid), ``rest`` (from the code): every node coded.  The quantizer's size is bounded by its settings."""
     handle = nodes.sparkSession.sparkContext.broadcast(quantizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                cell, codes = handle.value.code(vectors_of(batch.column("vec")))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), batch.column("ids"), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "vec", "ids", "cell", "code"])
+                cell, codes, gap, rest = handle.value.code(vectors_of(batch.column("vec")))
+                made = [pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(gap), pa.array(rest)]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), batch.column("ids"), *made], names=["id", "vec", "ids", "cell", "code", "gap", "rest"])
+
+    return nodes.mapInArrow(run, f"id long, vec {dict(nodes.dtypes)['vec']}, ids array<long>, cell int, code binary, gap double, rest double")
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Centroids, how many rows each cell holds, and how far the farthest of them is from the centroid."""
 
-    return nodes.mapInArrow(run, f"id long, vec {dict(nodes.dtypes)['vec']}, ids array<long>, cell int, code binary")
+    centroids: np.ndarray
+    rows: np.ndarray
+    radius: np.ndarray
 
 
-def _visit(queries: DataFrame, quantizer: Quantizer, sizes: np.ndarray, probe: int, wanted: int) -> DataFrame:
-    """A row for each query and cell that it visits: the ``probe`` nearest, and more where those hold too few rows.
+def _visit(queries: DataFrame, cells: Cells, probe: int, wanted: int) -> DataFrame:
+    """A row for each query (id, vec, least) and cell that it visits.
 
-    ``sizes``: rows of each cell.  The cells visited hold ``wanted`` rows, or all there are.
+    With a floor ``least``, those are all cells that may hold a row of that cosine; without one, the ``probe``
+    nearest, and more where those hold fewer than ``wanted`` rows.
     """
-    handle = queries.sparkSession.sparkContext.broadcast((quantizer.centroids, sizes))
+    handle = queries.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centroids, rows = handle.value
-        half = (centroids**2).sum(axis=1) / 2
+        c = handle.value
+        sizes = (c.centroids**2).sum(axis=1)
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 x = vectors_of(batch.column("vec"))
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                order = np.argsort(half - x @ centroids.T, axis=1, kind="stable")
-                before = np.cumsum(rows[order], axis=1) - rows[order]
-                row, rank = np.nonzero((np.arange(len(rows)) < probe) | (before < wanted))
-                near = order[row, rank]
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), batch.column("vec").take(pa.array(row)), pa.array(near.astype(np.int32))], names=["id", "vec", "cell"])
+                apart = sizes - 2.0 * (x @ c.centroids.T)
+                order = np.argsort(apart, axis=1, kind="stable")
+                before = np.cumsum(c.rows[order], axis=1) - c.rows[order]
+                first = np.zeros(apart.shape, dtype=bool)
+                np.put_along_axis(first, order, (np.arange(len(sizes)) < probe) | (before < wanted), axis=1)
+                least = np.asarray(batch.column("least").cast(pa.float64()).to_numpy(zero_copy_only=False))[:, None]
+                beyond = np.maximum(np.sqrt(np.maximum(apart + 1.0, 0.0)) - c.radius, 0.0)
+                row, near = np.nonzero(np.where(np.isnan(least), first, 1.0 - beyond**2 / 2 >= least - SLACK) & (c.rows > 0))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row)) for k in ("id", "vec", "least")), pa.array(near.astype(np.int32))], names=["id", "vec", "least", "cell"])
 
-    return queries.select("id", "vec").mapInArrow(run, f"id long, vec {dict(queries.dtypes)['vec']}, cell int")
+    return queries.select("id", "vec", "least").mapInArrow(run, f"id long, vec {dict(queries.dtypes)['vec']}, least double, cell int")
 
 
 def exact_cosines(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -192,14 +210,18 @@ def exact_cosines(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 
 def _search_blocks(batches: Iterator[pa.RecordBatch], quantizer: Quantizer, nearest: int, shortlist: int) -> Iterator[pa.RecordBatch]:
-    """Per block and visitor, the ``nearest`` rows by exact cosine among the ``shortlist`` best nodes by code and those that tie with the last."""
+    """Per block and visitor, the ``nearest`` rows by exact cosine: of all nodes that may reach the visitor's floor ``least``.
+
+    A visitor without a floor compares the ``shortlist`` best nodes by code and those that tie with the last.
+    """
     names = ["query_id", "vec_id", "score"]
     for part in key_runs(batches, ["cell", "block", "group"], 2_000):
         cell, block, group = (np.asarray(part.column(c)) for c in ("cell", "block", "group"))
         edges = np.flatnonzero(np.diff(cell) | np.diff(block) | np.diff(group)) + 1
         ids, vecs = np.asarray(part.column("id")), vectors_of(part.column("vec"))
         asks = np.asarray(part.column("asks"))
-        coded = part.column("code")
+        coded, rest = part.column("code"), np.asarray(part.column("rest").to_numpy(zero_copy_only=False))
+        least = np.asarray(part.column("least").to_numpy(zero_copy_only=False), dtype=np.float64)
         lengths = np.asarray(pc.fill_null(pc.list_value_length(part.column("ids")), 0), dtype=np.int64)
         starts = np.cumsum(lengths) - lengths
         held = np.asarray(pc.list_flatten(part.column("ids")), dtype=np.int64)
@@ -208,6 +230,7 @@ def _search_blocks(batches: Iterator[pa.RecordBatch], quantizer: Quantizer, near
             if not len(q) or not len(v):
                 continue
             codes = np.frombuffer(b"".join(coded.take(pa.array(v)).to_pylist()), dtype=np.uint8).reshape(len(v), -1)
+            unit = vecs[v] / np.linalg.norm(vecs[v], axis=1, keepdims=True)
             for at in range(0, len(q), 64):
                 asked = q[at : at + 64]
                 x = vecs[asked] / np.linalg.norm(vecs[asked], axis=1, keepdims=True)
@@ -217,9 +240,14 @@ def _search_blocks(batches: Iterator[pa.RecordBatch], quantizer: Quantizer, near
                     rough += tables[:, p, codes[:, p]]
                 low, high = held[starts[v]], held[starts[v] + lengths[v] - 1]
                 rough[(low == high)[None, :] & (ids[asked][:, None] == low[None, :])] = -np.inf  # nodes of no other id
+                floor = least[asked][:, None]
                 n = min(shortlist, len(v))
                 last = -np.partition(-rough, n - 1, axis=1)[:, n - 1 : n]
-                row, col = np.nonzero((rough >= last) & (rough > -np.inf))
+                on = np.where(np.isnan(floor), rough >= last, rough + rest[v] >= floor - SLACK) & (rough > -np.inf)
+                # A matrix product screens what the codes leave, exact cosines decide.
+                some = np.flatnonzero(on.any(axis=0))
+                on[:, some] &= np.isnan(floor) | (x @ unit[some].T >= floor - SLACK)
+                row, col = np.nonzero(on)
                 score = np.empty(len(row))
                 for k in range(0, len(row), 8_192):
                     score[k : k + 8_192] = exact_cosines(vecs[asked[row[k : k + 8_192]]], vecs[v[col[k : k + 8_192]]])
@@ -234,97 +262,6 @@ def _search_blocks(batches: Iterator[pa.RecordBatch], quantizer: Quantizer, near
                 yield pa.RecordBatch.from_arrays([pa.array(ids[asked][row[on]]), pa.array(found[on]), pa.array(score[on])], names=names)
 
 
-@dataclass(frozen=True)
-class Trial:
-    """Unit vectors of some rows, and for each of their true nearest: the trial's number, the nearest's cell and code."""
-
-    x: np.ndarray
-    trial: np.ndarray
-    cell: np.ndarray
-    code: np.ndarray
-
-
-def true_nearest(index: DataFrame, nearest: int, s: SearchSettings) -> Trial | None:
-    """The true nearest of ``trial`` vectors (smallest hashes of their ids first), by brute force over the index.
-
-    Each batch hands on its ``nearest`` for each of them; None where there is no pair.
-    """
-    spark = index.sparkSession
-    picked = index.orderBy(F.xxhash64("id"), "id").limit(s.trial).select("id", "vec").toPandas()
-    x = np.array(picked["vec"].tolist(), dtype=np.float64)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    handle = spark.sparkContext.broadcast((picked["id"].to_numpy(), x))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, asked = handle.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, cell = np.asarray(batch.column("id")), np.asarray(batch.column("cell"))
-            vecs = vectors_of(batch.column("vec"))
-            score = asked @ (vecs / np.linalg.norm(vecs, axis=1, keepdims=True)).T
-            score[own[:, None] == ids[None, :]] = -np.inf
-            n = min(nearest, len(ids))
-            best = np.argpartition(-score, n - 1, axis=1)[:, :n]
-            row = np.repeat(np.arange(len(own)), n)
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(score[row, best.ravel()]), pa.array(cell[best.ravel()]), batch.column("code").take(pa.array(best.ravel()))], names=["trial", "score", "cell", "code"])
-
-    order = Window.partitionBy("trial").orderBy(F.desc("score"), "cell", "code")
-    found = index.select("id", "vec", "cell", "code").mapInArrow(run, "trial long, score double, cell int, code binary").withColumn("rank", F.row_number().over(order))
-    held = found.where((F.col("rank") <= nearest) & (F.col("score") > float("-inf"))).toPandas()  # trial x nearest rows
-    if held.empty:
-        return None
-    return Trial(x, held["trial"].to_numpy(), held["cell"].to_numpy(), np.frombuffer(b"".join(map(bytes, held["code"])), dtype=np.uint8).reshape(len(held), -1))
-
-
-def measured_probe(trial: Trial | None, quantizer: Quantizer, covered: float) -> float:
-    """The share of cells in which ``covered`` of the trial's true nearest lie, the cells nearest to each taken first."""
-    if trial is None:
-        return 1.0
-    c = quantizer.centroids
-    place = np.argsort(np.argsort((c**2).sum(axis=1) / 2 - trial.x @ c.T, axis=1, kind="stable"), axis=1)
-    ranks = np.sort(place[trial.trial, trial.cell])
-    return float((ranks[int(np.ceil(covered * len(ranks))) - 1] + 1) / len(c))
-
-
-def measured_shortlist(index: DataFrame, trial: Trial | None, quantizer: Quantizer, s: SearchSettings) -> int:
-    """How many codes of a block are to be ranked again so that ``ranked`` of the trial's true nearest are among them, and half as many more.
-
-    Counts, over the whole index, the codes of its cell that come before each true nearest; a
-    block of a large cell has its share of them.
-    """
-    if trial is None:
-        return s.least_shortlist
-    tables, base = quantizer.tables(trial.x), trial.x @ quantizer.centroids.T
-
-    def rough(pairs: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """(pairs, codes) scores by code of each pair's trial vector within the pair's cell."""
-        t = trial.trial[pairs]
-        out = np.repeat(base[t, trial.cell[pairs]][:, None], len(codes), axis=1)
-        for p in range(codes.shape[1]):
-            out += tables[t][:, p, codes[:, p]]
-        return out
-
-    own = np.concatenate([rough(np.array([k]), trial.code[k : k + 1]).ravel() for k in range(len(trial.trial))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ahead, rows = np.zeros(len(own), dtype=np.int64), np.zeros(len(own), dtype=np.int64)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4_096):
-                batch = whole.slice(at, 4_096)
-                cell = np.asarray(batch.column("cell"))
-                codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), dtype=np.uint8).reshape(len(cell), -1)
-                for c in np.intersect1d(cell, trial.cell):
-                    pairs, here = np.flatnonzero(trial.cell == c), np.flatnonzero(cell == c)
-                    ahead[pairs] += (rough(pairs, codes[here]) > own[pairs][:, None]).sum(axis=1)
-                    rows[pairs] += len(here)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own))), pa.array(ahead), pa.array(rows)], names=["pair", "ahead", "rows"])
-
-    counted = index.select("cell", "code").mapInArrow(run, "pair long, ahead long, rows long").groupBy("pair").agg(F.sum("ahead").alias("ahead"), F.sum("rows").alias("rows")).toPandas()
-    place = np.sort(counted["ahead"] * np.minimum(1.0, s.block / counted["rows"]))
-    return max(s.least_shortlist, int(np.ceil(1.5 * (place[int(np.ceil(s.ranked * len(place))) - 1] + 1))))
-
-
 SCHEMA = "query_id long, rank int, vec_id long, score double"
 
 
@@ -345,29 +282,45 @@ def search(vectors: DataFrame, queries: Column, nearest: int = 5, key: str = "ve
     return found if found is not None else vectors.sparkSession.createDataFrame([], SCHEMA)
 
 
-def _search_width(usable: DataFrame, queries: Column, nearest: int, key: str, vector: str, s: SearchSettings) -> DataFrame:
-    spark = usable.sparkSession
-    nodes = materialise(nodes_of(usable, nearest, key, vector), "nodes")
-    quantizer = train_quantizer(nodes, "id", "vec", nodes.count(), s)
-    cells = len(quantizer.centroids)
-    index = materialise(build_index(nodes, quantizer), "ivfpq")
-    trial = true_nearest(index, nearest, s) if s.probe is None or s.shortlist is None else None
-    probe = s.probe if s.probe is not None else measured_probe(trial, quantizer, s.covered)
-    shortlist = s.shortlist if s.shortlist is not None else measured_shortlist(index, trial, quantizer, s)
-    asked = usable.where(queries).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vec")).dropDuplicates(["id"])
-    held = np.zeros(cells, dtype=np.int64)
-    for r in index.groupBy("cell").agg(F.sum(F.size(F.array_distinct("ids"))).alias("rows")).collect():  # at most ``most_cells`` rows
-        held[r["cell"]] = r["rows"]
-    # One more than asked for: the query's own row is among them.
-    visits = materialise(_visit(asked, quantizer, held, max(1, int(np.ceil(cells * probe))), nearest + 1), "visits")
+def _met(index: DataFrame, visits: DataFrame, quantizer: Quantizer, nearest: int, s: SearchSettings) -> DataFrame:
+    """``query_id``, ``vec_id``, ``score``: the nearest of each block that a query visits."""
+    spark = index.sparkSession
     # Rows and visitors of each cell: as many numbers as there are cells.
     deal = index.groupBy("cell").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks")).join(visits.groupBy("cell").agg(F.ceil(F.count("*") / s.visitors).cast("int").alias("groups")), "cell")
     deal = F.broadcast(deal)  # at most ``most_cells`` rows
-    stored = index.join(deal, "cell").select("cell", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.lit(0).alias("asks"), "id", "vec", "ids", "code")
-    asking = visits.join(deal, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), "groups").cast("int").alias("group"), F.lit(1).alias("asks"), "id", "vec", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("binary").alias("code"))
+    stored = index.join(deal, "cell").select(
+        "cell", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.lit(0).alias("asks"), "id", "vec", "ids", "code", "rest", F.lit(None).cast("double").alias("least")
+    )
+    asking = visits.join(deal, "cell").select(
+        "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), "groups").cast("int").alias("group"), F.lit(1).alias("asks"), "id", "vec", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("rest"), "least"
+    )
     met = stored.unionByName(asking).repartition(shuffle_partitions(spark), "cell", "block", "group").sortWithinPartitions("cell", "block", "group")
     handle = spark.sparkContext.broadcast(quantizer)
-    found = met.mapInArrow(lambda b: _search_blocks(b, handle.value, nearest, shortlist), "query_id long, vec_id long, score double")
-    # A query has ``nearest`` rows for each block it visited; the best of them are its answer.
+    return met.mapInArrow(lambda b: _search_blocks(b, handle.value, nearest, s.shortlist), "query_id long, vec_id long, score double")
+
+
+def _search_width(usable: DataFrame, queries: Column, nearest: int, key: str, vector: str, s: SearchSettings) -> DataFrame:
+    nodes = materialise(nodes_of(usable, nearest, key, vector), "nodes")
+    quantizer = train_quantizer(nodes, "id", "vec", nodes.count(), s)
+    cells = len(quantizer.centroids)
+    index = materialise(build_index(nodes, quantizer), "ivfpq")
+    # Written, as of a query id that repeats any vector may be taken.
+    asked = materialise(usable.where(queries).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vec")).dropDuplicates(["id"]), "asked")
+    held, radius = np.zeros(cells, dtype=np.int64), np.zeros(cells)
+    for r in index.groupBy("cell").agg(F.sum(F.size(F.array_distinct("ids"))).alias("rows"), F.max("gap").alias("radius")).collect():  # at most ``most_cells`` rows
+        held[r["cell"]], radius[r["cell"]] = r["rows"], r["radius"]
+    known = Cells(quantizer.centroids, held, radius)
+    probe = s.first if s.probe is None else max(1, int(np.ceil(cells * s.probe)))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    def best(found: DataFrame) -> DataFrame:
+        """A query has ``nearest`` rows at most for each block it visited; the best of them."""
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest)
+
+    # One more than asked for: the query's own row is among them.
+    visits = materialise(_visit(asked.withColumn("least", F.lit(None).cast("double")), known, probe, nearest + 1), "visits")
+    floors = best(_met(index, visits, quantizer, nearest, s)).groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") == nearest, F.min("score")).alias("least"))
+    # A query that found fewer has no floor: everything may be in its answer.
+    visits = materialise(_visit(asked.join(floors, "id", "left").select("id", "vec", F.coalesce("least", F.lit(-2.0)).alias("least")), known, probe, nearest + 1), "visits")
+    found = _met(index, visits, quantizer, nearest, s)
+    return best(found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -225,3 +225,16 @@ def test_search_finds_the_nearest_in_clusters_at_production_settings(spark):
     near[np.arange(len(near)), np.arange(0, len(x), 50)] = -2
     best = np.argsort(-near, axis=1)[:, :5]
     assert np.mean([len(got[50 * k] & set(b.tolist())) / 5 for k, b in enumerate(best)]) >= 0.93
+
+
+def test_search_is_complete_where_queries_are_unlike_the_other_rows(spark):
+    """Nearly all rows lie in tight clusters, the queries and some others anywhere: the table's rows tell nothing of the queries'."""
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(40, 32))[rng.integers(0, 40, 3_000)] + 0.05 * rng.normal(size=(3_000, 32))
+    x[::50] = rng.normal(size=(60, 32))
+    rows = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in vector_search.search(rows, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = nearest(x, np.arange(len(x)), range(0, len(x), 50), 5)
+    assert got == {q: [i for i, _ in v] for q, v in want.items()}
