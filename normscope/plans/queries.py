@@ -32,7 +32,7 @@ from ..sources.network import Conv, max_pool, relu
 from ..sources.scratch import scratch_path
 from ..sources.store import StateStore
 from ..streaming.ingest import add_uploads
-from .detector import grid_rows, heat_images
+from .detector import heat_images, partial_grid_rows
 from .state import as_document, from_document
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -257,8 +257,10 @@ def heatmap_images(spark, sf_dir):
     local = _local(spark, sf_dir)
     threshold = threshold_of(local.groupBy("image_id", "role").agg(F.max("d").alias("score")).where("role = 1")).select("threshold")
     cells = local.where("role = 2").select("image_id", F.expr("cast(cell div 5 as int)").alias("gy"), (F.col("cell") % 5).alias("gx"), "d")
-    grids = grid_rows(cells, "image_id", 2, 5).crossJoin(F.broadcast(threshold)).select("image_id", "grid", "threshold", F.lit(10).alias("width"), F.lit(4).alias("height"))
-    pixels = heat_images(grids, "image_id", 2, 5).select("image_id", "width", F.posexplode(F.split(F.regexp_replace(F.hex("rgb"), "(......)", "$1 "), " ")).alias("place", "colour")).where("colour <> ''")
+    grids = partial_grid_rows(cells, "image_id", 2, 5).crossJoin(F.broadcast(threshold)).select("image_id", "grid", "threshold", F.lit(10).alias("width"), F.lit(4).alias("height"))
+    pixels = heat_images(grids, "image_id", 2, 5).select("image_id", "width", F.hex("reached").alias("reached"), F.posexplode(F.split(F.regexp_replace(F.hex("rgb"), "(......)", "$1 "), " ")).alias("place", "colour"))
+    # An image that lacks cells has no pixels where none of its cells reaches.
+    pixels = pixels.where("colour <> '' and substring(reached, 2 * place + 2, 1) = '1'")
     channel = {c: F.conv(F.substring("colour", k, 2), 16, 10).cast("int").alias(c) for c, k in (("r", 1), ("g", 3), ("b", 5))}
     return pixels.select("image_id", F.expr("cast(place div width as int)").alias("gy"), (F.col("place") % F.col("width")).alias("gx"), *channel.values())
 
