@@ -167,7 +167,7 @@ class Forest:
             p = self.parent = q
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replace each part's edges by stars around the smallest node of each of the part's components."""
     for batch in batches:
         if batch.num_rows == 0:
@@ -206,7 +206,7 @@ def connected_components(edges: DataFrame, name: str = "components", most_rounds
     """
     spark = edges.sparkSession
     clean = edges.where("u is not null and v is not null").select(F.col("u").cast("long"), F.col("v").cast("long"))
-    stars = materialise(clean.mapInArrow(_contract, "u long, v long").distinct(), name)
+    stars = materialise(clean.mapInArrow(contract, "u long, v long").distinct(), name)
     state = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
     before = stars.agg(*state).first()
     for _ in range(most_rounds):

@@ -23,8 +23,10 @@ throughout, and each bucket hands on only a spanning forest of its links.
 differ in a sixth of their bits, more than those keys are complete for.  It takes
 192 bits in nine segments; the near words of two segments together are a key, for
 six pairs of segments, and two texts meet if in one of these pairs they share a near
-word of both.  Pairs that meet and have near fingerprints are then verified by the
-Jaccard similarity of their shingles, exactly.
+word of both.  Pairs that meet and have near fingerprints make groups; of these only
+spanning forests are needed.  Within a group every pair is verified by the Jaccard
+similarity of its shingles, exactly: a group's texts are dealt into blocks, a task holds two
+blocks' shingle sets, and a spanning forest of its links goes on, so no list of pairs is made.
 
 Crowded buckets, as a small sample tells them, are dealt into blocks, and each pair
 of blocks is a part of its own; results do not depend on the sample.
@@ -36,11 +38,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import join_counted
-from .common import Forest, byte_slices, connected_components, key_runs, materialise, shuffle_partitions
+from .common import Forest, byte_slices, connected_components, contract, key_runs, materialise, shuffle_partitions
 
 #: Generator polynomial of the binary Golay code (fixed value): x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY_POLYNOMIAL = 0b110001110101
@@ -385,16 +388,62 @@ def _wide_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key)), *map(pa.array, kept)], names=["bucket", *WIDE_COLUMNS])
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, crowd: int = 20_000) -> DataFrame:
+#: Texts of a block of a group, at least and at most (between them a sixteenth of the group), and shingles of a block.
+BLOCK_TEXTS, MOST_TEXTS, BLOCK_GRAMS = 128, 1_024, 1_000_000
+
+
+def _common(values: np.ndarray, owner: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """(left, right): how many values the sets of two rows have in common, counted by matrix products over slices of the values that several rows have."""
+    order = np.argsort(values, kind="stable")
+    place = np.cumsum(np.concatenate([[False], np.diff(values[order]) != 0])) if len(values) else np.zeros(0, dtype=np.int64)
+    several = np.bincount(place) > 1 if len(values) else np.zeros(0, dtype=bool)
+    on = several[place]
+    column, row = (np.cumsum(several) - 1)[place[on]], owner[order[on]]
+    n = len(left) if left is right else len(left) + len(right)
+    width = max(256, 4_000_000 // max(1, n))
+    common = np.zeros((len(left), len(right)), dtype=np.int64)
+    for at in range(0, int(several.sum()), width):
+        lo, hi = np.searchsorted(column, [at, at + width])
+        marks = np.zeros((int(max(left.max(), right.max())) + 1, min(width, int(several.sum()) - at)), dtype=np.float32)
+        marks[row[lo:hi], column[lo:hi] - at] = 1.0
+        common += (marks[left] @ marks[right].T).astype(np.int64)
+    return common
+
+
+def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Per part of a group, a spanning forest (u, v) of its links; every pair is compared: of two blocks those across, else all."""
+    for run in key_runs(batches, ["component", "part"], 500):
+        component, part, side, name = (np.asarray(run.column(c)) for c in ("component", "part", "side", "name"))
+        size = np.asarray(pc.list_value_length(run.column("grams")), dtype=np.int64)
+        ends, grams = np.cumsum(size), np.asarray(pc.list_flatten(run.column("grams")))
+        edges = np.flatnonzero((np.diff(component) != 0) | (np.diff(part) != 0)) + 1
+        u, v = [], []
+        for a, b in zip([0, *edges], [*edges, len(name)], strict=True):
+            if b - a < 2:
+                continue
+            own = np.arange(b - a)
+            first = side[a:b] == side[a]
+            left, right = (own, own) if first.all() else (own[first], own[~first])
+            both = _common(grams[ends[a] - size[a] : ends[b - 1]], np.repeat(own, size[a:b]), left, right)
+            link = both >= least * (size[a:b][left][:, None] + size[a:b][right][None, :] - both)
+            i, j = np.nonzero(np.triu(link, 1) if left is right else link)
+            i, j = left[i], right[j]
+            used = Forest(b - a).join(i, j)
+            u.append(name[a:b][i[used]])
+            v.append(name[a:b][j[used]])
+        if u:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, crowd: int = 20_000, texts: int = BLOCK_TEXTS) -> DataFrame:
     """Per row of ``docs``: key and ``component_id``, the smallest key reachable by links.
 
     Texts link if the sets of their word shingles (A-Z lower-cased) have a Jaccard
-    similarity of ``least`` or more; that is exact for the pairs that meet.  Of
-    near copies, pairs meet in about 95 of 100 cases at 0.8 and nearly always above
-    0.9.  Texts of the same shingle set, told by its digest, are one node, whatever repeats
+    similarity of ``least`` or more; that is exact for all pairs of a group, and groups hold what is
+    reachable by pairs that meet.  Of near copies, pairs meet in about 95 of 100 cases at 0.8 and
+    nearly always above 0.9.  Texts of the same shingle set, told by its digest, are one node, whatever repeats
     in them; every other link is verified.  Texts without words are copies of each other and link with
-    nothing else.  In a bucket of more than 32 texts the nearest pairs that span it are
-    verified, not all.  Null keys are no nodes: such rows get the component of their text
+    nothing else.  Null keys are no nodes: such rows get the component of their text
     (null if no other row has it).
     """
     n = shuffle_partitions(docs.sparkSession)
@@ -415,23 +464,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     own, schema = each.where("size > 0").select("fp", "second", "third", "name", "size"), "bucket long, fp long, second long, name long, size int"
     keyed = _dealt(own, own.repartition(n, "name").mapInArrow(_wide_keys, schema), _wide_keys, schema, crowd, name="name")
     met = keyed.repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part")
-    pairs = materialise(met.mapInArrow(lambda batches: _links(batches, WIDE_MOST, ("fp", "second"), "name", least), "u long, v long").distinct(), "pairs")
-    # Shingle sets of the texts in pairs: found by key, told from others of that key by their digest.
-    wanted = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct().join(nodes, "fp").select(F.col("node").alias(key)).distinct()
+    # Only what is reachable matters here, so each bucket hands on a spanning forest; verifying is done within the groups.
+    meets = met.mapInArrow(lambda batches: contract(_links(batches, WIDE_MOST, ("fp", "second"), "name", least)), "u long, v long")
+    placed = materialise(connected_components(meets, "meets").withColumnRenamed("node", "name").join(each.select("name", "node", "size"), "name"), "groups")
+    block = F.greatest(F.lit(texts), F.least(F.lit(MOST_TEXTS), F.ceil(F.col("rows") / 16)))
+    blocks = F.greatest(F.ceil(F.col("rows") / block), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
+    counted = materialise(placed.groupBy("component").agg(F.count("*").alias("rows"), F.sum("size").alias("grams")).select("component", "rows", blocks.alias("_blocks")), "counted")
+    # Shingle sets of the texts in groups: found by key, told from others of that key by their digest.
+    many = placed.count()
+    wanted = join_counted(placed, counted, "component", "rows", many).select(F.col("node").alias(key), F.col("name").alias("_name"), F.col("component").alias("_component"), "_blocks")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in byte_slices(whole, text):
                 texts = batch.column(text).to_pylist()
-                values = np.array([wide_fingerprint(t, shingle)[1] for t in texts], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array([shingle_set(t, shingle) for t in texts], pa.list_(pa.int64()))], names=["name", "grams"])
-
-    chosen = wanted if wanted.count() > MOST_BROADCAST else F.broadcast(wanted)
-    grams = materialise(docs.select(key, text).join(chosen, key, "left_semi").mapInArrow(sets, "name long, grams array<long>").dropDuplicates(["name"]), "grams")
-    both = pairs.join(grams.toDF("u", "a"), "u").join(grams.toDF("v", "b"), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    links = both.where(common >= F.lit(least) * (F.size("a") + F.size("b") - common)).select("u", "v")
-    classes = _named_components(nodes, materialise(links, "links"), "simhash").withColumnRenamed("fp", "name")
+                digests = np.array([wide_fingerprint(t, shingle)[1] for t in texts], dtype=np.uint64).view(np.int64)
+                at = np.flatnonzero(digests == np.asarray(batch.column("_name")))
+                grams = pa.array([shingle_set(texts[k], shingle) for k in at], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in ("_component", "_blocks", "_name")), grams], names=["component", "blocks", "name", "grams"])
+
+    chosen = wanted if many > MOST_BROADCAST else F.broadcast(wanted)
+    found = docs.select(F.col(key), F.col(text)).join(chosen, key).select(text, "_component", "_blocks", "_name").mapInArrow(sets, "component long, blocks int, name long, grams array<long>")
+    side = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (F.least("side", o).cast("long") * F.col("blocks") + F.greatest("side", o)).cast("long"))
+    dealt = found.withColumn("side", side).withColumn("part", F.explode(parts)).select("component", "part", "side", "name", "grams")
+    units = dealt.repartition(n, "component", "part").sortWithinPartitions("component", "part", "side")
+    links = units.mapInArrow(lambda batches: _verified(batches, least), "u long, v long")
+    classes = _named_components(nodes, links, "simhash").withColumnRenamed("fp", "name")
     return _with_classes(prints, classes, "name").select(key, "component_id")
 
 

@@ -400,6 +400,27 @@ def test_near_duplicates_by_shingles(spark, crowd):
     assert crowd < 100 or sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, c in enumerate(got) if c == i)
 
 
+@pytest.mark.parametrize("block", [128, 7])
+def test_no_link_is_lost_in_a_crowd_of_texts_about_the_threshold(spark, block):
+    """Copies at some 0.75 to 0.85 of each other meet in buckets of far more than 32; which of them link no fingerprint tells."""
+    rng = np.random.default_rng(9)
+    texts = near_copies(rng, [f"h{x}" for x in rng.integers(0, 5_000, 300)], [0.016] * 130) + near_copies(rng, [f"k{x}" for x in range(60)], [0.02] * 40)
+    got = simhash_dedup.near_duplicates(docs_of(spark, texts), texts=block).orderBy("doc_id").collect()
+    want = plain_classes(plain_sets(texts))
+    assert 3 < len(set(want)) < len(want) - 3
+    assert [r["component_id"] for r in got] == want
+
+
+def test_common_values_are_counted_exactly():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 400, int(rng.integers(1, 300)))) for _ in range(40)]
+    owner = np.repeat(np.arange(40), [len(s) for s in sets])
+    for left, right in ((np.arange(40), None), (np.arange(15), np.arange(15, 40))):
+        right = left if right is None else right
+        got = simhash_dedup._common(np.concatenate(sets), owner, left, right)
+        assert got.tolist() == [[len(np.intersect1d(sets[i], sets[j])) for j in right] for i in left]
+
+
 def test_repeated_lines_make_no_near_duplicates(spark):
     """A line many times, then other words: hardly a shingle in common, whatever the line's share of the text."""
     rng = np.random.default_rng(3)
