@@ -31,9 +31,10 @@ from .vector_search import is_usable, vectors_of
 class LatticeSettings:
     """With these, a pair at cosine 0.93 is missed once in some thousands (see the tests), closer ones more rarely.
 
+    They hold at every size, so whether two vectors meet depends on these two alone.
     ``scale`` is the length of a unit vector in the lattice's units.  The larger it
-    is, the fewer vectors meet by chance and the more ``tables`` a near pair needs:
-    see :meth:`for_rows`.
+    is, the fewer vectors meet by chance and the more ``tables`` a near pair needs;
+    a caller who would rather miss more than compare more may ask for that by :meth:`for_rows`.
     """
 
     tables: int = 6
@@ -217,7 +218,7 @@ def _verify(batches: Iterator[pa.RecordBatch], least: float, s: LatticeSettings)
         )
 
 
-def linked_vectors(vectors: DataFrame, least: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label", settings: LatticeSettings | None = None) -> DataFrame:
+def linked_vectors(vectors: DataFrame, least: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label", settings: LatticeSettings = LatticeSettings()) -> DataFrame:
     """One row per vector: key, ``n_links``, ``component_id``, ``kept``.
 
     Vectors of one label (and length) link at a cosine of ``least`` or more.
@@ -225,7 +226,7 @@ def linked_vectors(vectors: DataFrame, least: float = 0.93, key: str = "vec_id",
     component.  Each different vector of a label is a node of its own, whatever ids it
     has, and rows that repeat an id are vectors of their own: they share links only
     through their vectors.  Rows with a null id take no part: their component is null
-    and they are not kept.  Without ``settings``, those for the number of nodes are taken.
+    and they are not kept.  Links do not depend on how many other vectors there are.
     """
     spark = vectors.sparkSession
     n = shuffle_partitions(spark)
@@ -235,7 +236,7 @@ def linked_vectors(vectors: DataFrame, least: float = 0.93, key: str = "vec_id",
     # Nodes are numbered once, and the written table keeps the numbers.
     nodes = usable.groupBy("kind", "vec").agg(F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id())
     nodes = materialise(nodes.withColumn("label", F.xxhash64("kind", F.size("vec"))).withColumn("width", F.size("vec")), "vectors")
-    s = settings or LatticeSettings.for_rows(nodes.count())
+    s = settings
     keyed = None
     for width in [r[0] for r in nodes.select("width").distinct().collect()]:  # vectors of a table have one length, or few
         own = nodes.where(F.col("width") == width).select("node", "label", "vec").mapInArrow(lambda b: _sign(b, s), "bucket long, node long, role byte")

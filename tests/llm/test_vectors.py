@@ -118,6 +118,16 @@ def test_settings_follow_the_number_of_vectors():
         assert (~met).mean() < 3e-3
 
 
+def test_links_do_not_depend_on_how_many_vectors_there_are(spark, monkeypatch):
+    """Settings by counts would give other cells beyond 100,000 vectors; here any count would."""
+    asked = []
+    monkeypatch.setattr(vector_dedup.LatticeSettings, "for_rows", classmethod(lambda cls, rows: asked.append(rows) or cls(tables=1, probes=0, scale=50.0)))
+    x, label = clustered(300, seed=2)
+    n, component = links(x, label, 0.93)
+    got = vector_dedup.linked_vectors(frame(spark, x, label)).where("vec_id < 300").orderBy("vec_id").collect()
+    assert not asked and [(r["n_links"], r["component_id"]) for r in got] == list(zip(n.tolist(), component.tolist(), strict=True))
+
+
 def test_components_with_a_large_hub(spark):
     rng = np.random.default_rng(1)
     edges = [(0, int(i)) for i in range(1, 3_000)] + [(int(a), int(a) + 1) for a in rng.integers(5_000, 6_000, 700)] + [(4, 4), (None, 7)]
