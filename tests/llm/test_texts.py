@@ -411,6 +411,19 @@ def test_no_link_is_lost_in_a_crowd_of_texts_about_the_threshold(spark, block):
     assert [r["component_id"] for r in got] == want
 
 
+def test_links_in_a_large_bucket_are_all_verified(spark, monkeypatch):
+    """All texts have one fingerprint here, so it does not tell which of a bucket's pairs link."""
+    whole = simhash_dedup.wide_fingerprint
+
+    def alike(text, shingle):
+        return np.zeros(3, dtype=np.uint64), *whole(text, shingle)[1:]
+
+    monkeypatch.setattr(simhash_dedup, "wide_fingerprint", alike)
+    texts = [" ".join(f"t{i}w{k}" for k in range(30)) for i in range(25)]
+    rows = simhash_dedup.near_duplicates(docs_of(spark, texts + [f"{t} more" for t in texts])).orderBy("doc_id").collect()
+    assert [r["component_id"] for r in rows] == [*range(25), *range(25)]
+
+
 def test_common_values_are_counted_exactly():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 400, int(rng.integers(1, 300)))) for _ in range(40)]
