@@ -194,7 +194,7 @@ def _with_least(edges: DataFrame, by: str, other: str, least: DataFrame, share:
     return left.join(right, (F.col(by) == F.col("k")) & (F.col("salt") == F.col("salt_of"))).drop("salt", "salt_of")
 
 
-def connected_components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, name: str = "components", most_rounds: int = 60, contracted: bool = False) -> DataFrame:
     """``(node, component)`` for every node of the undirected ``edges (u, v)``; component is its smallest node.
 
     Each round hangs every node on the smallest neighbour it knows (large star,
@@ -203,10 +203,13 @@ def connected_components(edges: DataFrame, name: str = "components", most_rounds
     edges, as the root of a large component is, is split over several tasks; there are
     at most eight such nodes a partition.  Nothing but two counters per round reaches
     the driver.  Edges with a null end and loops are ignored.  Empty input gives no rows.
+
+    ``contracted``: the edges come out of :func:`contract` already.  Python functions that follow
+    each other in one stage have a worker process each, and idle workers keep their memory.
     """
     spark = edges.sparkSession
     clean = edges.where("u is not null and v is not null").select(F.col("u").cast("long"), F.col("v").cast("long"))
-    stars = materialise(clean.mapInArrow(contract, "u long, v long").distinct(), name)
+    stars = materialise((clean if contracted else clean.mapInArrow(contract, "u long, v long")).distinct(), name)
     state = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
     before = stars.agg(*state).first()
     for _ in range(most_rounds):

@@ -19,7 +19,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_name, materialise
@@ -141,7 +142,12 @@ def fitted_cells(measures: DataFrame, mix: Mix = Mix(), targets: dict[str, dict[
         taken = rake(own, goals, mix)
         out.loc[filled, "weight"] = taken / taken.sum() if taken.sum() > 0 else 0.0
         out.loc[filled, "probability"] = taken / own["tokens"].to_numpy()
-    return spark.createDataFrame(out.astype({"tokens": "int64"}), schema) if len(out) else spark.createDataFrame([], schema)
+    return _from_frame(spark, out.astype({"tokens": "int64"}), schema) if len(out) else spark.createDataFrame([], schema)
+
+
+def _from_frame(spark: SparkSession, frame: pd.DataFrame, schema: str) -> DataFrame:
+    """A small frame by way of Arrow: rows of Python objects would start Python processes on the executors to be read, which then idle there."""
+    return spark.createDataFrame(pa.Table.from_pandas(frame, preserve_index=False), schema)
 
 
 def _present(cells: pd.DataFrame, targets: dict[str, dict[str, float]] | None) -> dict[str, dict[str, float]] | None:
@@ -166,7 +172,7 @@ def _fitted_by_spark(cells: DataFrame, mix: Mix, targets: dict[str, dict[str, fl
         goals, bound = _goals(own, mix, _present(own, {k: v for k, v in (targets or {}).items() if k == d}))
         shares[d] = goals[d] / bound if bound else goals[d]
         size = min(size, bound)
-    goals = {d: F.broadcast(state.sparkSession.createDataFrame([(k, float(v * size)) for k, v in sorted(shares[d].items())], f"{d} string, goal double")) for d in DIMENSIONS}
+    goals = {d: F.broadcast(_from_frame(state.sparkSession, pd.DataFrame(sorted(shares[d].items()), columns=[d, "goal"]).assign(goal=lambda f: f["goal"].astype(float) * size), f"{d} string, goal double")) for d in DIMENSIONS}
     for _ in range(mix.rounds):
         before = state
         moved = state.withColumnRenamed("taken", "was").withColumn("taken", F.col("was"))

@@ -312,9 +312,9 @@ def _forest_of(words: list[np.ndarray], side: np.ndarray, most: int, names: np.n
     return where[np.concatenate(out_a)], where[np.concatenate(out_b)]
 
 
-def _named_components(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+def _named_components(nodes: DataFrame, edges: DataFrame, name: str, contracted: bool = False) -> DataFrame:
     """``fp``, ``component_id``: the smallest ``node`` of each fingerprint's component; large components are counted first and not shuffled."""
-    placed = materialise(nodes.join(connected_components(edges, name).toDF("fp", "component"), "fp"), "placed")
+    placed = materialise(nodes.join(connected_components(edges, name, contracted=contracted).toDF("fp", "component"), "fp"), "placed")
     names = placed.groupBy("component").agg(F.min("node").alias("smallest"), F.count("*").alias("rows"))
     found = join_counted(placed, materialise(names, "names"), "component", "rows", placed.count()).select("fp", "smallest")
     return nodes.join(found, "fp", "left").select("fp", F.coalesce("smallest", "node").alias("component_id"))
@@ -466,7 +466,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     met = keyed.repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part")
     # Only what is reachable matters here, so each bucket hands on a spanning forest; verifying is done within the groups.
     meets = met.mapInArrow(lambda batches: contract(_links(batches, WIDE_MOST, ("fp", "second"), "name", least)), "u long, v long")
-    placed = materialise(connected_components(meets, "meets").withColumnRenamed("node", "name").join(each.select("name", "node", "size"), "name"), "groups")
+    placed = materialise(connected_components(meets, "meets", contracted=True).withColumnRenamed("node", "name").join(each.select("name", "node", "size"), "name"), "groups")
     block = F.greatest(F.lit(texts), F.least(F.lit(MOST_TEXTS), F.ceil(F.col("rows") / 16)))
     blocks = F.greatest(F.ceil(F.col("rows") / block), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
     counted = materialise(placed.groupBy("component").agg(F.count("*").alias("rows"), F.sum("size").alias("grams")).select("component", "rows", blocks.alias("_blocks")), "counted")
@@ -489,8 +489,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     parts = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (F.least("side", o).cast("long") * F.col("blocks") + F.greatest("side", o)).cast("long"))
     dealt = found.withColumn("side", side).withColumn("part", F.explode(parts)).select("component", "part", "side", "name", "grams")
     units = dealt.repartition(n, "component", "part").sortWithinPartitions("component", "part", "side")
-    links = units.mapInArrow(lambda batches: _verified(batches, least), "u long, v long")
-    classes = _named_components(nodes, links, "simhash").withColumnRenamed("fp", "name")
+    links = units.mapInArrow(lambda batches: contract(_verified(batches, least)), "u long, v long")
+    classes = _named_components(nodes, links, "simhash", contracted=True).withColumnRenamed("fp", "name")
     return _with_classes(prints, classes, "name").select(key, "component_id")
 
 

@@ -5,7 +5,7 @@ from conftest import SF_DIR
 from test_texts import documents, plain_classes, plain_sets, spans_of
 
 import corpus_pipeline
-from normscope.llm import mixing, toxicity
+from normscope.llm import common, mixing, simhash_dedup, toxicity
 from normscope.llm.common import materialise
 from normscope.llm.queries import tokenizer_file
 
@@ -53,3 +53,34 @@ def test_stages(spark):
     theirs = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
     assert {i: r["ids"] for i, r in rows["sentencepiece"].items()} == {i: theirs.encode(r["text"]) for i, r in rows["mixing"].items()}
     assert sorted(map(str, corpus_pipeline.run(spark, SF_DIR).collect())) == sorted(map(str, kept["sentencepiece"].collect()))
+
+
+def python_steps(plan: str) -> tuple[int, bool]:
+    """Most Python functions of one stage of a physical plan, and whether rows of Python objects are read in it."""
+    most, above = 0, []  # above: (depth, Python functions of its stage down to here)
+    for line in plan.splitlines():
+        depth = next((k for k, c in enumerate(line) if c.isalnum()), 0)
+        above = [a for a in above if a[0] < depth]
+        here = 0 if "Exchange" in line.split("(")[0] else (above[-1][1] if above else 0) + ("MapInArrow" in line.split("[")[0])
+        above.append((depth, here))
+        most = max(most, here)
+    return most, "ExistingRDD" in plan
+
+
+def test_a_task_needs_one_python_worker_at_most(spark, monkeypatch):
+    """Each further function of a stage would have a worker process of its own, which keeps its memory while it idles."""
+    assert python_steps("MapInArrow f()\n+- MapInArrow g()\n   +- Exchange hash\n      +- MapInArrow h()") == (2, False)
+    plans = []
+
+    def written(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return materialise(df, name)
+
+    for module in (common, mixing, simhash_dedup):
+        monkeypatch.setattr(module, "materialise", written)
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, SF_DIR), name)
+    assert {n for n, p in plans if "MapInArrow" in p} >= {"toxicity", "wide", "meets", "simhash", "sentencepiece"}
+    told = [(n, *python_steps(p)) for n, p in plans]
+    assert [t for t in told if t[1] > 1 or t[2]] == []
