@@ -167,18 +167,41 @@ class Forest:
             p = self.parent = q
 
 
-def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace each part's edges by stars around the smallest node of each of the part's components."""
+def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node but the smallest of each component of some edges, and that smallest one."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    forest = Forest(len(nodes))
+    forest.join(at[: len(u)], at[len(u) :])
+    roots = forest.roots()
+    far = np.flatnonzero(roots != np.arange(len(nodes)))
+    return nodes[far], nodes[roots[far]]
+
+
+#: Edges that a task gathers before it contracts them.
+HELD_EDGES = 500_000
+
+
+def contract(batches: Iterator[pa.RecordBatch], held: int = 0) -> Iterator[pa.RecordBatch]:
+    """Replace each part's edges by stars around the smallest node of each of the part's components.
+
+    Parts are batches, or at least ``held`` edges of several; a part's stars go into the next
+    part unless they are half of ``held``, so a task of fewer nodes hands on one star edge for each.
+    """
+    u, v, rows = [], [], 0
     for batch in batches:
-        if batch.num_rows == 0:
+        u.append(np.asarray(batch.column("u")))
+        v.append(np.asarray(batch.column("v")))
+        rows += batch.num_rows
+        if rows < held or rows == 0:
             continue
-        u, v = np.asarray(batch.column("u")), np.asarray(batch.column("v"))
-        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-        forest = Forest(len(nodes))
-        forest.join(at[: len(u)], at[len(u) :])
-        roots = forest.roots()
-        far = np.flatnonzero(roots != np.arange(len(nodes)))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[roots[far]])], names=["u", "v"])
+        far, near = _stars(np.concatenate(u), np.concatenate(v))
+        u, v, rows = [far], [near], len(far)
+        if 2 * rows > held:
+            yield pa.RecordBatch.from_arrays([pa.array(far), pa.array(near)], names=["u", "v"])
+            u, v, rows = [], [], 0
+    if rows:
+        far, near = _stars(np.concatenate(u), np.concatenate(v))
+        yield pa.RecordBatch.from_arrays([pa.array(far), pa.array(near)], names=["u", "v"])
 
 
 def _with_least(edges: DataFrame, by: str, other: str, least: DataFrame, share: int) -> DataFrame:
@@ -204,12 +227,19 @@ def connected_components(edges: DataFrame, name: str = "components", most_rounds
     at most eight such nodes a partition.  Nothing but two counters per round reaches
     the driver.  Edges with a null end and loops are ignored.  Empty input gives no rows.
 
-    ``contracted``: the edges come out of :func:`contract` already.  Python functions that follow
+    ``contracted``: the edges come out of :func:`contract` already, so no node is the larger end of more
+    than an edge for each part of each task, but each task may have a star for the same nodes.  A shuffle by the larger
+    end brings a node's stars together, and one edge for each node and those between the stars' centres
+    are left, however many tasks a component was spread over.  Python functions that follow
     each other in one stage have a worker process each, and idle workers keep their memory.
     """
     spark = edges.sparkSession
     clean = edges.where("u is not null and v is not null").select(F.col("u").cast("long"), F.col("v").cast("long"))
-    stars = materialise((clean if contracted else clean.mapInArrow(contract, "u long, v long")).distinct(), name)
+    if contracted:
+        met = clean.repartition(shuffle_partitions(spark), "u").mapInArrow(lambda batches: contract(batches, HELD_EDGES), "u long, v long")
+    else:
+        met = clean.mapInArrow(contract, "u long, v long")
+    stars = materialise(met.distinct(), name)
     state = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
     before = stars.agg(*state).first()
     for _ in range(most_rounds):

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import join_counted
-from .common import Forest, byte_slices, connected_components, contract, key_runs, materialise, shuffle_partitions
+from .common import HELD_EDGES, Forest, byte_slices, connected_components, contract, key_runs, materialise, shuffle_partitions
 
 #: Generator polynomial of the binary Golay code (fixed value): x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY_POLYNOMIAL = 0b110001110101
@@ -465,7 +465,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     keyed = _dealt(own, own.repartition(n, "name").mapInArrow(_wide_keys, schema), _wide_keys, schema, crowd, name="name")
     met = keyed.repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part")
     # Only what is reachable matters here, so each bucket hands on a spanning forest; verifying is done within the groups.
-    meets = met.mapInArrow(lambda batches: contract(_links(batches, WIDE_MOST, ("fp", "second"), "name", least)), "u long, v long")
+    meets = met.mapInArrow(lambda batches: contract(_links(batches, WIDE_MOST, ("fp", "second"), "name", least), HELD_EDGES), "u long, v long")
     placed = materialise(connected_components(meets, "meets", contracted=True).withColumnRenamed("node", "name").join(each.select("name", "node", "size"), "name"), "groups")
     block = F.greatest(F.lit(texts), F.least(F.lit(MOST_TEXTS), F.ceil(F.col("rows") / 16)))
     blocks = F.greatest(F.ceil(F.col("rows") / block), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
@@ -489,7 +489,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     parts = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (F.least("side", o).cast("long") * F.col("blocks") + F.greatest("side", o)).cast("long"))
     dealt = found.withColumn("side", side).withColumn("part", F.explode(parts)).select("component", "part", "side", "name", "grams")
     units = dealt.repartition(n, "component", "part").sortWithinPartitions("component", "part", "side")
-    links = units.mapInArrow(lambda batches: contract(_verified(batches, least)), "u long, v long")
+    links = units.mapInArrow(lambda batches: contract(_verified(batches, least), HELD_EDGES), "u long, v long")
     classes = _named_components(nodes, links, "simhash", contracted=True).withColumnRenamed("fp", "name")
     return _with_classes(prints, classes, "name").select(key, "component_id")
 

@@ -1,10 +1,11 @@
 """Operators on vectors, against comparisons of all pairs."""
 
 import numpy as np
+import pyarrow as pa
 from conftest import SF_DIR
 from pyspark.sql import functions as F
 
-from normscope.llm import vector_dedup, vector_search
+from normscope.llm import common, vector_dedup, vector_search
 from normscope.llm.common import connected_components
 
 KIND = "vec_id long, embedding array<double>, label int, node long, score double"
@@ -147,6 +148,43 @@ def test_components_with_a_large_hub(spark):
     assert got == {n: root(n) for u, v in edges if u is not None and u != v for n in (u, v)}
 
 
+def test_stars_of_many_tasks_leave_an_edge_for_each_node(spark, monkeypatch):
+    """Sixty tasks have seen parts of one group of 600 and made a star each: the rounds begin with some 600 edges, not with the thousands of the stars."""
+    rows = []
+    plain = common.materialise
+
+    def counted(df, name):
+        out = plain(df, name)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "materialise", counted)
+    rng = np.random.default_rng(8)
+    seen = [np.sort(rng.choice(600, 300, replace=False)) for _ in range(60)]
+    edges = [(int(u), int(s[0])) for s in seen for u in s[1:]] + [(901, 900), (902, 901), (7, 7), (None, 3)]
+    frame = spark.createDataFrame(edges, "u long, v long").repartition(8)
+    got = {r["node"]: r["component"] for r in connected_components(frame, contracted=True).collect()}
+    assert got == {int(u): int(min(s[0] for s in seen)) for s in seen for u in s} | {900: 900, 901: 900, 902: 900}
+    assert len({e for e in edges if e[0] is not None}) > 3_000 and max(rows) < 800
+
+
+def test_contraction_keeps_components_whatever_is_held():
+    rng = np.random.default_rng(4)
+    pairs = rng.integers(0, 900, (700, 2))
+    edges = [(int(max(p)), int(min(p))) for p in pairs if p[0] != p[1]]
+    batches = [pa.RecordBatch.from_pydict({"u": [u for u, _ in edges[a : a + 50]], "v": [v for _, v in edges[a : a + 50]]}, pa.schema([("u", pa.int64()), ("v", pa.int64())])) for a in range(0, 1_000, 50)]
+
+    def classes(found):
+        forest = common.Forest(900)
+        forest.join(*np.array(found).T)
+        return {n: forest.find(n) for e in edges for n in e}
+
+    for held in (0, 120, 10_000):
+        got = [(u, v) for b in common.contract(iter(batches), held) for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True)]
+        assert classes(got) == classes(edges) and len(got) <= len(edges)
+        assert held < 10_000 or len({u for u, _ in got}) == len(got)
+
+
 def test_vectors_of_each_length_are_searched_among_themselves(spark):
     rows = [(k, [1.0, k / 9.0] if k % 3 else [1.0, k / 9.0, 0.5], 1, 1, 1.0) for k in range(30)] + [(None, [1.0, 2.0], 1, 1, 1.0), (4, [1.0, 4 / 9.0], 1, 1, 1.0)]
     got = vector_search.search(spark.createDataFrame(rows, KIND), F.col("vec_id") < 6).collect()
