@@ -61,11 +61,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def byte_slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that ``column`` holds about ``most`` bytes in each part (one row at least)."""
+    """Cut a batch so that ``column`` holds about ``most`` bytes in each part (one row at least); a column of whole numbers tells the bytes."""
     values = batch.column(column)
     if len(values) == 0:
         return
-    sizes = np.asarray(pc.fill_null(pc.binary_length(values), 0), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(values if pa.types.is_integer(values.type) else pc.binary_length(values), 0), dtype=np.int64)
     part = np.cumsum(sizes) // most
     cuts = np.flatnonzero(np.diff(part)) + 1
     for a, b in zip([0, *cuts], [*cuts, len(values)], strict=True):

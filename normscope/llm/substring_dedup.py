@@ -8,13 +8,15 @@ super-k-mer and travel together, as one string, to the bucket of that minimiser:
 1. every document's super-k-mers are found (minimiser, first word, windows);
 2. only minimisers that occur more than once can hold a repeated window; their
    super-k-mers are cut out of the texts and packed;
-3. equal packed strings are counted first (all windows of one that occurs twice
-   repeat), then each bucket sorts the windows of its distinct strings and counts
-   them exactly, by the words themselves, never by hashes of them;
+3. the packed strings go to their buckets; each counts its equal strings, sorts the
+   windows of the distinct ones and counts them exactly, by the words themselves, never by
+   hashes of them;
 4. the repeated windows go back to their documents, whose covered words go.
 
-A minimiser that holds very many distinct strings (a passage in very many
-contexts) is split further by the windows' own content.
+Of a minimiser that occurs very often, equal strings are counted before they go to
+the bucket; if it holds very many distinct strings (a passage in very many
+contexts) it is split further by the windows' own content.  Whole texts are shuffled twice,
+to meet their cuts and their repeats, and are compressed for that, one by one.
 """
 
 from __future__ import annotations
@@ -102,6 +104,29 @@ def super_kmers(words: np.ndarray, counts: np.ndarray, window: int, gram: int) -
     return owner[first], value[first].view(np.int64), inside[first] - begin[owner[first]], size
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch], rest: list[str]) -> Iterator[pa.RecordBatch]:
+    """Compress each text; ``bytes`` is its size before (null: no text)."""
+    codec = pa.Codec("zstd", compression_level=1)
+    for batch in batches:
+        for part in byte_slices(batch, "text"):
+            texts = part.column("text").cast(pa.binary()).to_pylist()
+            small = pa.array([None if t is None else codec.compress(t, asbytes=True) for t in texts], pa.binary())
+            sizes = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), small, sizes], names=[*rest, "small", "bytes"])
+
+
+def _texts(part: pa.RecordBatch) -> list[bytes]:
+    """The texts that :func:`_squeeze` has compressed, null ones as empty."""
+    codec = pa.Codec("zstd")
+    return [codec.decompress(t, decompressed_size=n, asbytes=True) if n else b"" for t, n in zip(part.column("small").to_pylist(), part.column("bytes").to_pylist(), strict=True)]
+
+
+def squeezed(source: DataFrame) -> DataFrame:
+    """``source (doc, text, ..)`` with its texts compressed, as ``small`` and ``bytes``."""
+    rest = [c for c in source.columns if c != "text"]
+    return source.select(*rest, "text").mapInArrow(lambda b: _squeeze(b, rest), source.select(*rest).schema.add("small", "binary").add("bytes", "long"))
+
+
 def _find(batches: Iterator[pa.RecordBatch], key: str, text: str, window: int, gram: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in byte_slices(batch, text):
@@ -122,14 +147,14 @@ def _pack(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
     """Cut the super-k-mers out of their texts; a string that recurs in its document is one row with all its first words."""
     names = ["doc", "minimiser", "firsts", "packed"]
     for batch in batches:
-        for part in byte_slices(batch, "text"):
+        for part in byte_slices(batch, "bytes"):
             doc, out, minimisers, firsts = [], [], [], []
             flat = pc.list_flatten(part.column("cuts"))
             sizes = np.asarray(pc.list_value_length(part.column("cuts")), dtype=np.int64)
             first, minimiser = np.asarray(flat.field("first")), np.asarray(flat.field("minimiser"))
             last = (first + np.asarray(flat.field("windows")) + (window - 1)).tolist()
             at = 0
-            for row, (body, n) in enumerate(zip(part.column("text").cast(pa.binary()).to_pylist(), sizes.tolist(), strict=True)):
+            for row, (body, n) in enumerate(zip(_texts(part), sizes.tolist(), strict=True)):
                 words = body.split()
                 found: dict[tuple[int, bytes], list[int]] = {}
                 for m, a, b in zip(minimiser[at : at + n].tolist(), first[at : at + n].tolist(), last[at : at + n], strict=True):
@@ -190,11 +215,13 @@ def _split_hot(batches: Iterator[pa.RecordBatch], window: int, least: int) -> It
 
 def _count(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Sort each bucket's windows and name the repeated ones: (minimiser, string_id, offset, windows)."""
-    for part in key_runs(batches, ["minimiser", "sub"], 8_000):
+    strings = ["minimiser", "sub", "string_id", "offset", "packed"]
+    for run in key_runs(batches, ["minimiser", "sub"], 8_000):
+        part = pa.Table.from_batches([run]).group_by(strings, use_threads=False).aggregate([("copies", "sum")])
         number, owner, first = _windows_of(part.column("packed").to_pylist(), window)
         if len(owner) == 0:
             continue
-        copies = np.asarray(part.column("copies"))[owner]
+        copies = np.asarray(part.column("copies_sum"))[owner]
         rows = np.lib.stride_tricks.sliding_window_view(number, window)[first]
         mixed = _row_hash(rows)
         order = np.argsort(mixed, kind="stable")
@@ -235,8 +262,8 @@ def _row_hash(rows: np.ndarray) -> np.ndarray:
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, gram: int = 8, crowd: int = 20_000) -> DataFrame:
     """``doc``, ``first`` (word), ``windows``: runs of windows whose words also start somewhere else.
 
-    ``crowd`` distinct strings under one minimiser are one bucket's work; more are
-    split by content.  Texts shorter than a window, null ones and rows without a
+    ``crowd`` strings under one minimiser are one bucket's work; of more, equal ones are counted
+    first, and more than ``crowd`` distinct ones are split by content.  Texts shorter than a window, null ones and rows without a
     key have no spans (:func:`remove_repeats` handles null keys).
     """
     if not 1 <= gram <= window:
@@ -247,17 +274,19 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     repeated = found.groupBy("minimiser").agg(F.sum(F.size("cuts")).alias("all")).where("all > 1").select("minimiser")
     wanted = found.join(repeated, "minimiser").select("doc", F.transform("cuts", lambda c: F.struct(F.col("minimiser"), c["first"].alias("first"), c["windows"].alias("windows"))).alias("cuts"))
     wanted = wanted.groupBy("doc").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
-    cut = source.join(wanted, "doc").select("doc", "text", "cuts").mapInArrow(lambda b: _pack(b, window), "doc long, minimiser long, firsts array<int>, packed binary")
+    cut = squeezed(source).join(wanted, "doc").select("doc", "small", "bytes", "cuts").mapInArrow(lambda b: _pack(b, window), "doc long, minimiser long, firsts array<int>, packed binary")
     packed = materialise(cut.withColumn("string_id", F.xxhash64("packed")), "packed")
-    # Equal strings first: one row for each string, with how often it occurs.
-    strings = packed.groupBy("minimiser", "string_id", "packed").agg(F.sum(F.size("firsts")).alias("copies"))
-    strings = materialise(strings, "strings")
-    crowds = strings.groupBy("minimiser").agg(F.count("*").alias("crowd"), F.sum("copies").alias("all"))
-    counted = strings.join(crowds.where("all > 1"), "minimiser")
-    calm = counted.where(F.col("crowd") <= crowd).select("minimiser", F.lit(0).alias("sub"), "string_id", F.lit(0).alias("offset"), "copies", "packed")
-    hot = counted.where(F.col("crowd") > crowd).select("minimiser", "crowd", "string_id", "copies", "packed")
-    hot = hot.mapInArrow(lambda b: _split_hot(b, window, crowd), calm.schema)
-    buckets = calm.unionByName(hot).repartition(n, "minimiser", "sub").sortWithinPartitions("minimiser", "sub")
+    # Strings of a minimiser that occurs up to ``crowd`` times go to its bucket as they are.
+    string = ["minimiser", F.lit(0).alias("sub"), "string_id", F.lit(0).alias("offset"), F.size("firsts").cast("long").alias("copies"), "packed"]
+    busy = F.broadcast(materialise(packed.groupBy("minimiser").agg(F.sum(F.size("firsts")).alias("all")).where(F.col("all") > crowd).select("minimiser"), "busy"))
+    calm = packed.join(busy, "minimiser", "left_anti").select(*string)
+    # Of the others equal strings first: one row for each string, with how often it occurs.
+    counted = packed.join(busy, "minimiser", "left_semi").select(*string).groupBy("minimiser", "sub", "string_id", "offset", "packed").agg(F.sum("copies").alias("copies"))
+    counted = materialise(counted.select(*calm.columns), "strings")
+    crowds = F.broadcast(materialise(counted.groupBy("minimiser").agg(F.count("*").alias("crowd")).where(F.col("crowd") > crowd), "crowds"))
+    hot = counted.join(crowds, "minimiser").mapInArrow(lambda b: _split_hot(b, window, crowd), calm.schema)
+    strings = calm.unionByName(counted.join(crowds, "minimiser", "left_anti").select(*calm.columns)).unionByName(hot)
+    buckets = strings.repartition(n, "minimiser", "sub").sortWithinPartitions("minimiser", "sub")
     marks = buckets.mapInArrow(lambda b: _count(b, window), "minimiser long, string_id long, offset int, windows int")
     places = packed.select("doc", "minimiser", "firsts", "string_id")
     return places.join(marks, ["minimiser", "string_id"]).select("doc", F.explode("firsts").alias("first"), "offset", "windows").select("doc", (F.col("first") + F.col("offset")).alias("first"), "windows")
@@ -265,10 +294,10 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 
 def _strip(batches: Iterator[pa.RecordBatch], window: int, rest: list[str], whole: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in byte_slices(batch, "text"):
+        for part in byte_slices(batch, "bytes"):
             n_words, n_removed, digest, kept = [], [], [], []
             cuts = part.column("spans").to_pylist()
-            for body, spans in zip(part.column("text").cast(pa.binary()).fill_null(b"").to_pylist(), cuts, strict=True):
+            for body, spans in zip(_texts(part), cuts, strict=True):
                 words = body.split()
                 n_words.append(len(words))
                 if spans:
@@ -298,7 +327,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     if odd:  # stable numbers of its own for every row
         source = materialise(source.withColumn("_key", F.col("doc")).withColumn("doc", F.monotonically_increasing_id()), "numbered")
     spans = repeated_spans(source, "doc", "text", window, gram).groupBy("doc").agg(F.collect_list(F.struct("first", "windows")).alias("spans"))
-    joined = source.join(spans, "doc", "left").select(F.col("_key" if odd else "doc").alias(key), "text", "spans")
+    joined = squeezed(source).join(spans, "doc", "left").select(F.col("_key" if odd else "doc").alias(key), "small", "bytes", "spans")
     schema = joined.select(key).schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
     if with_text:
         schema = schema.add("kept_text", "string")

@@ -221,6 +221,44 @@ def test_repeats_are_removed_as_by_brute_force(spark, crowd, monkeypatch):
         assert [(r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got] == removed(texts, window)
 
 
+def moved(df):
+    """The columns that each shuffle of a frame's plan moves."""
+
+    def walk(node):
+        own = [{x.split("#")[0] for x in node.output().mkString(",").split(",")}] if node.nodeName() == "Exchange" else []
+        return own + [x for k in range(node.children().size()) for x in walk(node.children().apply(k))]
+
+    return walk(df._jdf.queryExecution().executedPlan().initialPlan())
+
+
+@pytest.mark.parametrize("crowd", [20_000, 3])
+def test_texts_are_shuffled_compressed_and_packed_strings_once(spark, crowd, monkeypatch):
+    """Copies of whole texts: with a small crowd, minimisers that occur often and have one string each."""
+    rng = np.random.default_rng(12)
+    bodies = [" ".join(f"w{x}" for x in rng.integers(0, 4_000, 120)) for _ in range(4)]
+    texts = bodies * 3 + bodies[:2] * 2 + [f"{bodies[0]} and {bodies[3][5:]}", None, "", "z " * 40_000]
+    plain = substring_dedup.repeated_spans
+    monkeypatch.setattr(substring_dedup, "repeated_spans", lambda *a: plain(*a, crowd=crowd))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = substring_dedup.remove_repeats(docs_of(spark, texts))
+        shuffles = moved(found)
+        got = found.orderBy("doc_id").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert [(r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got] == removed(texts, 35)
+    assert not any("text" in x for x in shuffles) and sum("packed" in x for x in shuffles) == 1
+
+
+def test_compressed_texts_come_back():
+    texts = [None, "", " ", "naïve 日本語 😀", "x" * 5_000_000, "a b c"]
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(6)), "text": pa.array(texts, pa.string())})
+    parts = list(substring_dedup._squeeze(iter([batch]), ["doc"]))
+    assert [t for p in parts for t in substring_dedup._texts(p)] == [(t or "").encode() for t in texts]
+    assert sum(p.nbytes for p in parts) < 10_000 and [x for p in parts for x in p.column("bytes").to_pylist()] == [None if t is None else len(t.encode()) for t in texts]
+
+
 def test_repeats_with_null_and_repeated_keys(spark):
     body = " ".join(f"w{i}" for i in range(40))
     got = substring_dedup.remove_repeats(docs_of(spark, [body, body, "short"], [None, 5, 5])).collect()
